@@ -71,7 +71,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = written(chains.select("bucket", "local_depth", "key", "n").repartition("bucket"), "exact-index")
 
     shared = index.filter("n > 1").select("key", F.lit(True).alias("chained"))
-    members = texts.join(shared, "key", "left").select(
+    members = texts.join(shared.hint("merge"), "key", "left").select(
         "doc_id",
         "key",
         F.coalesce("chained", F.lit(False)).alias("chained"),
@@ -84,8 +84,8 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     chained = members.filter("chained").drop("chained")
     # bytes are compared: a group is one key and one text
-    groups = chained.groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    linked = chained.join(groups, ["key", "text"]).select("doc_id", "keep_id", "group_size", "text_sha256")
+    groups = written(chained.groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "exact-groups")
+    linked = chained.join(groups.hint("merge"), ["key", "text"]).select("doc_id", "keep_id", "group_size", "text_sha256")
     out = alone.unionByName(linked)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
