@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, merkle, mixing, packing, pii, sharding
+from . import chat, exact, langid, merkle, minhash, mixing, packing, pii, sharding
 from ._common import documents, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,11 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.find_groups(documents(spark, sf_dir, "doc_id", "text"), words=2, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(documents(spark, sf_dir, "doc_id", "text", "source"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -128,6 +133,7 @@ def llm_queries() -> dict[str, Query]:
         "op1_external_shuffle": op1_external_shuffle,
         "op2_nearest_centroid": op2_nearest_centroid,
         "op4_extendible_hash": op4_extendible_hash,
+        "op5_superminhash": op5_superminhash,
         "op6_mixing": op6_mixing,
         "op7_weak_supervision": op7_weak_supervision,
         "op8_incremental_rendering": op8_incremental_rendering,
