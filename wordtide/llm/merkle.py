@@ -1,8 +1,8 @@
 """Document fingerprints: a Merkle tree over sentences, paragraphs and sections.
 
-A text is cut into paragraphs (lines), a paragraph into short pieces (sentences, at
-most 240 characters). A piece's node is a hash of its text, a paragraph's node a
-hash of its pieces' nodes, a section's (eight paragraphs) of its paragraphs', the
+A text is cut into paragraphs (lines), a paragraph into short pieces (sentences, or
+48 characters of a longer one). A piece's node is a hash of its text, a paragraph's node a
+hash of its text and its pieces' nodes, a section's (eight paragraphs) of its paragraphs', the
 root of its sections'. Equal roots mean equal texts; where roots differ, the
 branches that differ locate the edits; the share of text under equal pieces is the
 likeness of two trees. Everything is built-in column functions.
@@ -29,33 +29,30 @@ from ._common import partitions, text_of
 
 #: Paragraphs of a section.
 SECTION = 8
-PIECE_PATTERN = r"[^.!?]{1,160}[.!?]{0,80}|[.!?]{1,240}"
-_LENGTH_BITS = 0xFF
+PIECE_PATTERN = r"[^.!?]{1,48}[.!?]{0,14}|[.!?]{1,62}"
+_LENGTH_BITS = 0x3F
 
 
 def _piece(text: Column) -> Column:
-    """A piece's node: 56 bits of hash and, in the last byte, its length."""
-    return F.xxhash64(text).bitwiseAND(F.lit(~_LENGTH_BITS).cast("long")).bitwiseOR(F.length(text).cast("long"))
+    """A piece's node, 48 bits: 42 of hash and 6 of length."""
+    return F.shiftrightunsigned(F.xxhash64(text), 16).bitwiseAND(F.lit(~_LENGTH_BITS).cast("long")).bitwiseOR(F.length(text).cast("long"))
 
 
-def tree(text: str | Column) -> Column:
-    """struct(root string, sections, paragraphs, leaves: arrays of long) of a text."""
-    lines = F.split(text_of(text), "\n", -1)
-    pieces = F.transform(lines, lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE_PATTERN), F.lit(0)), _piece))
-    return F.struct(pieces.alias("pieces"))
+def _pieces(paragraph: Column) -> Column:
+    return F.transform(F.regexp_extract_all(paragraph, F.lit(PIECE_PATTERN), F.lit(0)), _piece)
 
 
 def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds the tree of column ``text`` as struct ``name``(root, sections, paragraphs, leaves)."""
-    df = df.withColumn("__pieces", tree(text)["pieces"])
-    df = df.withColumn("__paragraphs", F.transform("__pieces", lambda p: F.xxhash64(p)))
+    df = df.withColumn("__lines", F.split(text_of(text), "\n", -1)).withColumn("__pieces", F.transform("__lines", _pieces))
+    df = df.withColumn("__paragraphs", F.zip_with("__lines", "__pieces", lambda line, p: F.xxhash64(line, p)))
     starts = F.sequence(F.lit(1), F.size("__paragraphs"), F.lit(SECTION))
     df = df.withColumn("__sections", F.transform(starts, lambda i: F.xxhash64(F.slice("__paragraphs", i, SECTION))))
     root = F.concat(*[F.lpad(F.lower(F.hex(F.xxhash64(F.lit(s), F.col("__sections")))), 16, "0") for s in (1, 2)])
     df = df.withColumn(
         name, F.struct(root.alias("root"), F.col("__sections").alias("sections"), F.col("__paragraphs").alias("paragraphs"), F.flatten("__pieces").alias("leaves"))
     )
-    return df.drop("__pieces", "__paragraphs", "__sections")
+    return df.drop("__lines", "__pieces", "__paragraphs", "__sections")
 
 
 def as_string(tree_: str) -> Column:
