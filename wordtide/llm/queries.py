@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, merkle, minhash, mixing, packing, pii, sharding
+from . import chat, exact, langid, merkle, minhash, mixing, packing, pii, sharding, suffix
 from ._common import documents, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op2_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir, "doc_id", "text")).drop("kept")
+
+
 def op4_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.find_copies(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -132,6 +136,7 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op1_external_shuffle": op1_external_shuffle,
         "op2_nearest_centroid": op2_nearest_centroid,
+        "op3_suffix_array": op3_suffix_array,
         "op4_extendible_hash": op4_extendible_hash,
         "op5_superminhash": op5_superminhash,
         "op6_mixing": op6_mixing,
