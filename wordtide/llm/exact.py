@@ -90,7 +90,10 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=None, **options) -> DataFrame:
     """The rows whose text stays; of rows that repeat doc_id and text, all stay."""
-    gone = find_copies(docs, id_col=id_col, **options).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
+    found = find_copies(docs, id_col=id_col, text_col=text_col, normalise=normalise, **options)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    text = (normalise or (lambda c: c))(text_of(docs[text_col]))
+    same = docs[id_col].eqNullSafe(gone["__id"]) & (F.sha2(text, 256) == gone["__sha"])
+    return docs.join(gone.hint("merge"), same, "left_anti")

@@ -112,7 +112,7 @@ def band_hashes(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _features(words: int, places: int, bands: int):
-    names = ["doc_id", "n_shingles", "c1", "c2", "bands", "sig"]
+    names = ["doc_id", "text_key", "n_shingles", "c1", "c2", "bands", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,6 +131,7 @@ def _features(words: int, places: int, bands: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
+                        batch.column(2).slice(i, j - i),
                         pa.array(size.astype(np.int64)),
                         pa.array(c1.view(np.int64)),
                         pa.array(c2.view(np.int64)),
@@ -209,12 +210,12 @@ def _pairs(rows: DataFrame) -> DataFrame:
 def find_groups(
     docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, part: int = 6, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, kept: one row per document."""
+    """doc_id, text_key, n_shingles, class_id, component_id, kept: one row per document."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     features = written(
-        texts.mapInArrow(_features(words, bands * rows, bands), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sig binary"), "minhash-features"
+        texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_features(words, bands * rows, bands), "doc_id long, text_key long, n_shingles long, c1 long, c2 long, bands array<long>, sig binary"), "minhash-features"
     )
     some = features.filter("n_shingles > 0")
     named = some.filter("doc_id is not null").groupBy("c1", "c2", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r"))
@@ -256,7 +257,15 @@ def find_groups(
         links = written(links.unionByName(found), "minhash-all")
     named = reps.select("c1", "c2", "n_shingles", "node").join(labels.hint("merge"), "node", "left")
     named = written(named.select("c1", "c2", "n_shingles", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id")), "minhash-named")
-    linked = some.select("doc_id", "n_shingles", "c1", "c2").join(named.hint("merge"), ["c1", "c2", "n_shingles"], "left")
-    alone = features.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    out = linked.select("doc_id", "n_shingles", "class_id", "component_id").unionByName(alone)
+    linked = some.select("doc_id", "text_key", "n_shingles", "c1", "c2").join(named.hint("merge"), ["c1", "c2", "n_shingles"], "left")
+    alone = features.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    out = linked.select("doc_id", "text_key", "n_shingles", "class_id", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one with the smallest doc_id."""
+    found = find_groups(docs, id_col=id_col, text_col=text_col, **options)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(text_of(docs[text_col])) == gone["__key"])
+    return docs.join(gone.hint("merge"), same, "left_anti")
