@@ -7,13 +7,14 @@ fraction) over the elements. The ranks are drawn round by round for all document
 a block at once, and a document stops when no later rank can lower any place.
 
 Documents with equal sets form a class, which one member represents. The signature
-is cut into bands; representatives that agree on a band share a bucket. Of each
-bucket, every member is compared with the bucket's leader and the leader of its small
-part, where leaders differ from band to band; pairs that the signatures put far below
-the threshold are dropped and the rest is verified on full sets. Components of the
-verified links are found, and then every pair of a bucket whose members are not in one
-component yet and that was not compared is compared as well, until none is left: no
-cap on partners or buckets.
+is cut into bands; representatives that agree on a band share a bucket. Every member
+of a bucket is compared with the bucket's leader; pairs that the signatures put far
+below the threshold are dropped and the rest is verified on full sets. Components of
+the verified links are found. What matters then are pairs of a bucket that no
+component joins yet: signatures are compared in blocks of 2,048 by 2,048, and of each
+document's partners in each other component the four most alike are verified first;
+once these have linked what they can, all that remain are, until none is left. So
+there is no cap on partners or buckets, and no group's pairs are all listed.
 
 A pair at the threshold of 0.8 shares none of 32 bands of 5 with probability 3e-6,
 and less above it.
@@ -184,31 +185,83 @@ def _verify(percent: int):
     return run
 
 
+def _across(least: float, most: int):
+    """Of one block: pairs of an asking document and a member of another component whose signatures
+    agree enough; with ``most``, only that many, the most alike, for each component asked."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        sig = utf8(table.column("sig"))[0].copy().view("<u2").reshape(len(node), -1)
+        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+        xs, ys = [], []
+        for lo in range(0, len(q), 32):
+            own = q[lo : lo + 32]
+            alike = np.stack([(sig[m] == sig[i]).mean(axis=1) for i in own]) if len(m) else np.zeros((len(own), 0))
+            r, c = np.nonzero((alike >= least) & (label[own][:, None] != label[m][None, :]))
+            if most:
+                order = np.lexsort((node[m[c]], -alike[r, c], label[m[c]], r))
+                r, c = r[order], c[order]
+                new = np.ones(len(r), dtype=bool)
+                new[1:] = (r[1:] != r[:-1]) | (label[m[c]][1:] != label[m[c]][:-1])
+                first = np.flatnonzero(new)
+                place = np.arange(len(r)) - first[np.cumsum(new) - 1]
+                r, c = r[place < most], c[place < most]
+            xs.append(node[own[r]])
+            ys.append(node[m[c]])
+        join = lambda a: np.concatenate(a) if a else np.zeros(0, np.int64)
+        return pa.table([pa.array(join(xs)), pa.array(join(ys))], schema=schema)
+
+    return run
+
+
 class _Links:
     """Compares pairs of representatives: by signature, then on full sets."""
 
     def __init__(self, texts: DataFrame, reps: DataFrame, words: int, percent: int):
         self.texts, self.reps, self.words, self.percent = texts, reps, words, percent
+        self.least = percent / 100 - 0.15
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
+    def alike(self, pairs: DataFrame) -> DataFrame:
         sig = self.reps.select("node", "sig")
         own = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")).hint("merge"), "a")
         own = own.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")).hint("merge"), "b")
-        near = written(own.mapInArrow(_alike(self.percent / 100 - 0.15), "a long, b long"), "minhash-near")
-        asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = self.texts.join(asked.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+        return written(own.mapInArrow(_alike(self.least), "a long, b long"), "minhash-near")
+
+    def verified(self, near: DataFrame) -> DataFrame:
+        asked = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = self.texts.join(asked.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
         sets = written(texts.select("doc_id", "text").mapInArrow(_sets(self.words), "node long, items binary"), "minhash-sets")
         both = near.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")).hint("merge"), "b")
         both = both.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")).hint("merge"), "a")
         return written(both.mapInArrow(_verify(self.percent), "a long, b long"), "minhash-links")
 
+    def across(self, member: DataFrame, labels: DataFrame, most: int, block: int = 2_048) -> DataFrame:
+        """Pairs (a, b) of the buckets that more than one component shares, alike by signature."""
+        own = member.filter("n > 2").join(labels.withColumnRenamed("component", "label").hint("merge"), "node", "left")
+        own = written(own.select("bucket", "node", F.coalesce("label", "node").alias("label")), "minhash-labels")
+        sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+        main = main.filter("most < n").withColumn("rows", F.ceil(F.col("n") / block)).withColumn("columns", F.ceil((F.col("n") - F.col("most")) / block))
+        main = written(main.select("bucket", "main", "rows", "columns"), "minhash-main")
+        mixed = own.join(main.hint("merge"), "bucket").join(self.reps.select("node", "sig").hint("merge"), "node")
+        mixed = written(mixed, "minhash-mixed")
+        place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        members = mixed.withColumn("row", place("rows")).withColumn("column", every("columns")).withColumn("asks", F.lit(False))
+        asking = mixed.filter("label <> main").withColumn("row", every("rows")).withColumn("column", place("columns")).withColumn("asks", F.lit(True))
+        keys = ["bucket", "row", "column"]
+        blocks = members.unionByName(asking).select(*keys, "asks", "node", "label", "sig")
+        return written(_pairs(blocks.groupBy(*keys).applyInArrow(_across(self.least, most), "x long, y long")), "minhash-across")
+
 
 def _pairs(rows: DataFrame) -> DataFrame:
     return rows.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def find_groups(
-    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, part: int = 6, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, text_key, n_shingles, class_id, component_id, kept: one row per document."""
     spark = docs.sparkSession
@@ -222,39 +275,27 @@ def find_groups(
     reps = written(named.select("c1", "c2", "n_shingles", F.col("r.doc_id").alias("node"), "r.bands", "r.sig"), "minhash-classes")
 
     buckets = reps.select("node", F.explode("bands").alias("bucket"))
-    draw = F.xxhash64("bucket", "node")
-    counted = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(draw.alias("d"), "node"))["node"].alias("leader"))
+    # one order of the nodes for all bands: a group's buckets agree on few leaders
+    first = F.min(F.struct(F.xxhash64("node").alias("d"), "node"))["node"]
+    counted = buckets.groupBy("bucket").agg(F.count("*").alias("n"), first.alias("leader"))
     full = written(counted.filter("n > 1"), "minhash-buckets")
     member = written(buckets.join(full.hint("merge"), "bucket"), "minhash-members")
-    small = member.filter(F.col("n") > 2).withColumn("part", F.pmod(draw, F.ceil(F.col("n") / part)))
-    heads = written(small.groupBy("bucket", "part").agg(F.min(F.struct(F.xxhash64("part", "node").alias("d"), "node"))["node"].alias("head")), "minhash-heads")
-    by_part = small.join(heads.hint("merge"), ["bucket", "part"]).select(F.col("node").alias("x"), F.col("head").alias("y"))
-    by_leader = member.select(F.col("node").alias("x"), F.col("leader").alias("y"))
-    todo = written(_pairs(by_leader.unionByName(by_part)), "minhash-pairs")
-
     compare = _Links(texts, reps, words, percent)
-    links, done = compare.confirmed(todo), todo
+    done = compare.alike(_pairs(member.select(F.col("node").alias("x"), F.col("leader").alias("y"))))
+    links, most = compare.verified(done), 4
     while True:
         labels = components(links)
-        # what buckets still join that no component does and that was not compared yet
-        own = member.filter("n > 2").join(labels.withColumnRenamed("component", "label").hint("merge"), "node", "left")
-        own = written(own.select("bucket", "node", F.coalesce("label", "node").alias("label")), "minhash-labels")
-        spread = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        mixed = written(own.join(written(spread, "minhash-spread").hint("merge"), "bucket").select("bucket", "node", "label"), "minhash-mixed")
-        # the members of the bucket's largest component meet only those of the others
-        sizes = mixed.groupBy("bucket", "label").count()
-        main = written(sizes.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main")), "minhash-main")
-        mixed = mixed.join(main.hint("merge"), "bucket")
-        minor = mixed.filter("label <> main").select("bucket", F.col("node").alias("x"), F.col("label").alias("label_x"))
-        across = minor.join(mixed.select("bucket", F.col("node").alias("y"), "label").hint("merge"), "bucket").filter("label <> label_x")
-        todo = written(_pairs(across.select("x", "y")).join(done.hint("merge"), ["a", "b"], "left_anti"), "minhash-pairs")
-        if todo.isEmpty():
-            break
-        found = compare.confirmed(todo)
-        done = written(done.unionByName(todo), "minhash-done")
-        if found.isEmpty():
-            break
-        links = written(links.unionByName(found), "minhash-all")
+        todo = compare.across(member, labels, most).join(done.hint("merge"), ["a", "b"], "left_anti")
+        todo = written(todo, "minhash-todo")
+        found = None if todo.isEmpty() else compare.verified(todo)
+        if found is not None:
+            done = written(done.unionByName(todo), "minhash-done")
+        if found is None or found.isEmpty():
+            if not most:
+                break
+            most = 0  # what is left, whole
+            continue
+        links, most = written(links.unionByName(found), "minhash-all"), 0
     named = reps.select("c1", "c2", "n_shingles", "node").join(labels.hint("merge"), "node", "left")
     named = written(named.select("c1", "c2", "n_shingles", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id")), "minhash-named")
     linked = some.select("doc_id", "text_key", "n_shingles", "c1", "c2").join(named.hint("merge"), ["c1", "c2", "n_shingles"], "left")
