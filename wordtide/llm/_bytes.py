@@ -59,6 +59,21 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def span_hashes_blocked(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """:func:`span_hashes` of spans that are short against ``block``, with arrays of about that size."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    order = np.argsort(starts, kind="stable")
+    s = starts[order]
+    at = 0
+    while at < len(s):
+        to = int(np.searchsorted(s, s[at] + block))
+        own = order[at:to]
+        lo, hi = int(s[at]), int(ends[own].max())
+        out[own] = span_hashes(buf[lo:hi], starts[own] - lo, ends[own] - lo, table)
+        at = to
+    return out
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, one after the other, and the n + 1 offsets. Null is empty."""
     if isinstance(column, pa.ChunkedArray):

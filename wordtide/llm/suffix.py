@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import byte_table, chunks, ranges, span_hashes, utf8
+from ._bytes import byte_table, chunks, ranges, span_hashes_blocked, utf8
 from ._common import partitions, ship, text_of, written
 
 _TABLE = byte_table(91)
@@ -246,7 +246,7 @@ def _find_anchors(length: int, parts: int, kind: str, several_docs: int):
             several = np.minimum.reduceat(doc, cuts[:-1]) != np.maximum.reduceat(doc, cuts[:-1])
             one = h[cuts[:-1]]
             holder = np.where(several, several_docs, ids[doc[cuts[:-1]]]).astype(kind)
-            part = ((one >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)
+            part = ((one >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             by = _runs(part)
             grams = one.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             yield _block(part[by[:-1]], None, _blobs(grams, by), _blobs(holder, by))
@@ -327,15 +327,15 @@ def _leaders(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.nd
 
     Groups are found by hash and their bytes compared; a string that differs from its group's first is its own group.
     """
-    h = span_hashes(buf, starts, starts + sizes, _TABLE)
+    h = span_hashes_blocked(buf, starts, starts + sizes, _TABLE)
     order = np.lexsort((docs, h))
     cuts = _runs(h[order])
     first = np.repeat(order[cuts[:-1]], np.diff(cuts))
     lead = np.arange(len(starts))
     lead[order] = first
     check = order[(order != first) & (sizes[order] == sizes[first])]
-    for lo in range(0, len(check), 200_000):
-        own = check[lo : lo + 200_000]
+    for lo in range(0, len(check), 50_000):
+        own = check[lo : lo + 50_000]
         n = sizes[own]
         differ = _gathered(buf, starts[own], n) != _gathered(buf, starts[lead[own]], n)
         bad = np.logical_or.reduceat(differ, np.cumsum(n) - n) if len(own) else np.zeros(0, bool)
@@ -405,7 +405,7 @@ def _cut_contexts(length: int, parts: int, shared):
                 if wide.any():  # one string at a time, dealt by its own hash
                     n = (last - first + 1)[wide]
                     one = ranges(first[wide], n)
-                    own = span_hashes(buf, one, one + length, _TABLE) & _LOW48
+                    own = span_hashes_blocked(buf, one, one + length, _TABLE) & _LOW48
                     first, last = np.concatenate([first[~wide], one]), np.concatenate([last[~wide], one])
                     h, doc = np.concatenate([h[~wide], own]), np.concatenate([doc[~wide], np.repeat(doc[wide], n)])
             if not len(h):
@@ -421,8 +421,8 @@ def _cut_contexts(length: int, parts: int, shared):
             part = (h[stay] % np.uint64(parts)).astype(np.int64)
             stay = stay[np.argsort(part, kind="stable")]
             part = np.sort(part)
-            for lo in range(0, len(stay), 400_000):
-                own, p = stay[lo : lo + 400_000], part[lo : lo + 400_000]
+            for lo in range(0, len(stay), 100_000):
+                own, p = stay[lo : lo + 100_000], part[lo : lo + 100_000]
                 by = _runs(p)
                 size = sizes[own]
                 text = np.concatenate([[0], np.cumsum(size)])[by]
@@ -526,7 +526,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, hot_keys: int = 100_000, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, hot_keys: int = 100_000, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 3 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes): one row per document."""
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
@@ -536,7 +536,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, hot_keys: int = 100_000, i
     own = own.withColumn("__id", F.coalesce("doc_id", F.lit(FIRST_ID)))
     size, low, high = own.agg(F.sum(F.octet_length("text").cast("long")), F.min("__id"), F.max("__id")).first()
     size = size or 0
-    parts = max(partitions(spark), min(1 << 16, math.ceil(size / part_bytes)))
+    parts = max(partitions(spark), min(1 << 22, math.ceil(size / part_bytes)))
     narrow = size and low >= 0 and high < 2**32 - 1
     kind, several = ("<u4", 2**32 - 1) if narrow else ("<i8", -(1 << 63) + 1)
 
