@@ -298,12 +298,9 @@ def _shared_anchors(kind: str, several_docs: int, hot_above: int):
             hot = h[cuts[:-1]][times > hot_above]
             keep = np.repeat(hit, times) & (docs != several_docs)
             h, docs = h[keep], docs[keep].astype(np.int64)
-            order = np.argsort(docs, kind="stable")
-            h, docs = h[order], docs[order]
-            by = _runs(docs)
-            n = len(by) - 1
-            if n > 0:
-                out.append(pa.table([pa.array(docs[by[:-1]]), _blobs(h, by), pa.array(np.zeros(n, bool))], schema=schema))
+            n = len(h)  # a row for each anchor: rows by document and part would grow with their product
+            if n:
+                out.append(pa.table([pa.array(docs), _blobs(h, np.arange(n + 1)), pa.array(np.zeros(n, bool))], schema=schema))
             if len(hot):
                 out.append(pa.table([pa.nulls(len(hot), pa.int64()), _blobs(hot, np.arange(len(hot) + 1)), pa.array(np.ones(len(hot), bool))], schema=schema))
         return pa.concat_tables(out)
@@ -313,7 +310,7 @@ def _shared_anchors(kind: str, several_docs: int, hot_above: int):
 
 # ---- contexts
 
-_CONTEXTS = "part long, doc_id long, row_id long, spans binary, keys binary, docs binary, rows binary, starts binary, sizes binary, text binary"
+_CONTEXTS = "part long, doc_id long, row_id long, spans binary, docs binary, rows binary, starts binary, sizes binary, text binary"
 _FIELDS = [c.split()[0] for c in _CONTEXTS.split(", ")]
 _ARROW = pa.schema([(n, pa.int64() if i < 3 else pa.binary()) for i, n in enumerate(_FIELDS)])
 
@@ -370,7 +367,7 @@ def _spans(docs: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndar
     rows = keys[group[by[:-1]]]
     n = len(rows)
     columns = [pa.array(rows if part is None else rows % part), pa.array(of[group[by[:-1]]]), pa.array(rows), _blobs(np.stack([starts, ends], axis=1).astype("<i8"), by)]
-    return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(n, pa.binary())] * 6], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(n, pa.binary())] * 5], schema=_ARROW)
 
 
 def _cut_contexts(length: int, parts: int, shared):
@@ -433,10 +430,9 @@ def _cut_contexts(length: int, parts: int, shared):
                         pa.nulls(n, pa.int64()),
                         pa.nulls(n, pa.int64()),
                         pa.nulls(n, pa.binary()),
-                        _blobs(h[own], by),
                         _blobs(who[own].astype("<i8"), by),
                         _blobs(rows[doc[own]].astype("<i8"), by),
-                        _blobs((first - base)[own].astype("<i8"), by),
+                        _blobs((first - base)[own].astype("<i4"), by),
                         _blobs(size.astype("<i4"), by),
                         _blobs(_gathered(buf, first[own], size), text),
                     ],
@@ -455,8 +451,8 @@ def _mark(length: int):
         rest = table.filter(pa.array(table.column("spans").is_null().to_numpy()))
         if not len(rest):
             return done
-        docs, rows, starts = (_joined(rest.column(c), "<i8") for c in ("docs", "rows", "starts"))
-        sizes = _joined(rest.column("sizes"), "<i4").astype(np.int64)
+        docs, rows = (_joined(rest.column(c), "<i8") for c in ("docs", "rows"))
+        starts, sizes = (_joined(rest.column(c), "<i4").astype(np.int64) for c in ("starts", "sizes"))
         raw = _joined(rest.column("text"), np.uint8)
         at = np.cumsum(sizes) - sizes
         least, lead = _leaders(raw, at, sizes, docs)
