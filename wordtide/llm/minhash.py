@@ -10,11 +10,11 @@ Documents with equal sets form a class, which one member represents. The signatu
 is cut into bands; representatives that agree on a band share a bucket. Every member
 of a bucket is compared with the bucket's leader; pairs that the signatures put far
 below the threshold are dropped and the rest is verified on full sets. Components of
-the verified links are found. What matters then are pairs of a bucket that no
-component joins yet: signatures are compared in blocks of 2,048 by 2,048, and of each
-document's partners in each other component the four most alike are verified first;
-once these have linked what they can, all that remain are, until none is left. So
-there is no cap on partners or buckets, and no group's pairs are all listed.
+the verified links are found. What matters then are pairs of a bucket that no component
+joins yet: signatures are compared in blocks of 2,048 by 2,048, a pair in the first
+band it shares only, and those alike enough are verified on full sets within their
+block, until a document is linked to the other's component. So no partner is capped,
+no bucket left out, and no group's pairs are listed as rows.
 
 A pair at the threshold of 0.8 shares none of 32 bands of 5 with probability 3e-6,
 and less above it.
@@ -175,43 +175,67 @@ def _verify(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("items_a"), b.column("items_b"), strict=True):
-                s, t = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(s, t, assume_unique=True)) if min(len(s), len(t)) * 100 >= percent * max(len(s), len(t)) else 0
-                keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
+            pairs = zip(b.column("items_a"), b.column("items_b"), strict=True)
+            keep = [_alike_sets(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in p), percent) for p in pairs]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _across(least: float, most: int):
-    """Of one block: pairs of an asking document and a member of another component whose signatures
-    agree enough; with ``most``, only that many, the most alike, for each component asked."""
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+_BLOCK = "bucket long, row long, column long, node long, label long, partners array<long>"
+
+
+def _plausible(least: float):
+    """Of one block of a bucket: the documents with partners in other components that the signatures
+    allow, with those partners, the most alike first. A pair belongs to the first band it shares."""
+    names = [c.split()[0] for c in _BLOCK.split(", ")]
 
     def run(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
+        asks, bucket = table.column("asks").to_numpy(), table.column("bucket").to_numpy()
         node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
         sig = utf8(table.column("sig"))[0].copy().view("<u2").reshape(len(node), -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
-        xs, ys = [], []
-        for lo in range(0, len(q), 32):
-            own = q[lo : lo + 32]
-            alike = np.stack([(sig[m] == sig[i]).mean(axis=1) for i in own]) if len(m) else np.zeros((len(own), 0))
-            r, c = np.nonzero((alike >= least) & (label[own][:, None] != label[m][None, :]))
-            if most:
-                order = np.lexsort((node[m[c]], -alike[r, c], label[m[c]], r))
-                r, c = r[order], c[order]
-                new = np.ones(len(r), dtype=bool)
-                new[1:] = (r[1:] != r[:-1]) | (label[m[c]][1:] != label[m[c]][:-1])
-                first = np.flatnonzero(new)
-                place = np.arange(len(r)) - first[np.cumsum(new) - 1]
-                r, c = r[place < most], c[place < most]
-            xs.append(node[own[r]])
-            ys.append(node[m[c]])
-        join = lambda a: np.concatenate(a) if a else np.zeros(0, np.int64)
-        return pa.table([pa.array(join(xs)), pa.array(join(ys))], schema=schema)
+        partners: dict[int, np.ndarray] = {}
+        for i in q.tolist() if len(m) else ():
+            alike = (sig[m] == sig[i]).mean(axis=1)
+            c = np.flatnonzero((alike >= least) & (label[m] != label[i]))
+            shared = (bands[m[c]] == bands[i]).argmax(axis=1)
+            c = c[bands[i][shared] == bucket[0]]
+            if len(c):
+                partners[int(node[i])] = node[m[c]][np.lexsort((node[m[c]], -alike[c]))]
+        met = np.unique(np.concatenate([np.zeros(0, np.int64), *partners.values(), np.fromiter(partners, np.int64)]))
+        of = dict(zip(node.tolist(), label.tolist(), strict=True))
+        n = len(met)
+        fixed = [pa.array(np.full(n, table.column(c)[0].as_py(), dtype=np.int64)) for c in ("bucket", "row", "column")]
+        lists = pa.array([partners.get(x, np.zeros(0, np.int64)) for x in met.tolist()], pa.list_(pa.int64()))
+        return pa.table([*fixed, pa.array(met), pa.array([of[x] for x in met.tolist()], pa.int64()), lists], names=names)
+
+    return run
+
+
+def _alike_sets(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    if min(len(s), len(t)) * 100 < percent * max(len(s), len(t)):
+        return False
+    shared = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * shared >= percent * (len(s) + len(t) - shared)
+
+
+def _verify_blocks(percent: int):
+    """Of one block: one verified link of each asking document to each other component that has one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = {r["node"]: r for r in table.select(["node", "label", "items", "partners"]).to_pylist()}
+        sets = {x: np.frombuffer(r["items"], dtype=np.uint64) for x, r in rows.items()}
+        out = []
+        for x, r in rows.items():
+            linked = set()
+            for y in r["partners"]:
+                to = rows[y]["label"] if y in rows else None
+                if to is not None and to not in linked and _alike_sets(sets[x], sets[y], percent):
+                    linked.add(to)
+                    out.append((min(x, y), max(x, y)))
+        return pa.table([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -229,31 +253,37 @@ class _Links:
         own = own.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")).hint("merge"), "b")
         return written(own.mapInArrow(_alike(self.least), "a long, b long"), "minhash-near")
 
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """node, items: the full sets of ``nodes``(doc_id)."""
+        texts = self.texts.join(nodes.distinct().hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+        return written(texts.select("doc_id", "text").mapInArrow(_sets(self.words), "node long, items binary"), "minhash-sets")
+
     def verified(self, near: DataFrame) -> DataFrame:
-        asked = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = self.texts.join(asked.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-        sets = written(texts.select("doc_id", "text").mapInArrow(_sets(self.words), "node long, items binary"), "minhash-sets")
+        sets = self.sets(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))))
         both = near.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")).hint("merge"), "b")
         both = both.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")).hint("merge"), "a")
         return written(both.mapInArrow(_verify(self.percent), "a long, b long"), "minhash-links")
 
-    def across(self, member: DataFrame, labels: DataFrame, most: int, block: int = 2_048) -> DataFrame:
-        """Pairs (a, b) of the buckets that more than one component shares, alike by signature."""
+    def across(self, member: DataFrame, labels: DataFrame, block: int = 2_048) -> DataFrame:
+        """Verified links (a, b) between components that share buckets: all that matter for components."""
         own = member.filter("n > 2").join(labels.withColumnRenamed("component", "label").hint("merge"), "node", "left")
         own = written(own.select("bucket", "node", F.coalesce("label", "node").alias("label")), "minhash-labels")
         sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
         main = main.filter("most < n").withColumn("rows", F.ceil(F.col("n") / block)).withColumn("columns", F.ceil((F.col("n") - F.col("most")) / block))
         main = written(main.select("bucket", "main", "rows", "columns"), "minhash-main")
-        mixed = own.join(main.hint("merge"), "bucket").join(self.reps.select("node", "sig").hint("merge"), "node")
+        mixed = own.join(main.hint("merge"), "bucket").join(self.reps.select("node", "sig", "bands").hint("merge"), "node")
         mixed = written(mixed, "minhash-mixed")
         place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         members = mixed.withColumn("row", place("rows")).withColumn("column", every("columns")).withColumn("asks", F.lit(False))
         asking = mixed.filter("label <> main").withColumn("row", every("rows")).withColumn("column", place("columns")).withColumn("asks", F.lit(True))
         keys = ["bucket", "row", "column"]
-        blocks = members.unionByName(asking).select(*keys, "asks", "node", "label", "sig")
-        return written(_pairs(blocks.groupBy(*keys).applyInArrow(_across(self.least, most), "x long, y long")), "minhash-across")
+        blocks = members.unionByName(asking).select(*keys, "asks", "node", "label", "sig", "bands")
+        met = written(blocks.groupBy(*keys).applyInArrow(_plausible(self.least), _BLOCK), "minhash-plausible")
+        sets = self.sets(met.select(F.col("node").alias("doc_id")))
+        found = met.join(sets.hint("merge"), "node").groupBy(*keys).applyInArrow(_verify_blocks(self.percent), "a long, b long")
+        return written(found.distinct(), "minhash-across")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -281,21 +311,10 @@ def find_groups(
     full = written(counted.filter("n > 1"), "minhash-buckets")
     member = written(buckets.join(full.hint("merge"), "bucket"), "minhash-members")
     compare = _Links(texts, reps, words, percent)
-    done = compare.alike(_pairs(member.select(F.col("node").alias("x"), F.col("leader").alias("y"))))
-    links, most = compare.verified(done), 4
-    while True:
-        labels = components(links)
-        todo = compare.across(member, labels, most).join(done.hint("merge"), ["a", "b"], "left_anti")
-        todo = written(todo, "minhash-todo")
-        found = None if todo.isEmpty() else compare.verified(todo)
-        if found is not None:
-            done = written(done.unionByName(todo), "minhash-done")
-        if found is None or found.isEmpty():
-            if not most:
-                break
-            most = 0  # what is left, whole
-            continue
-        links, most = written(links.unionByName(found), "minhash-all"), 0
+    near = compare.alike(_pairs(member.select(F.col("node").alias("x"), F.col("leader").alias("y"))))
+    links = compare.verified(near)
+    more = compare.across(member, components(links))
+    labels = components(links.unionByName(more))
     named = reps.select("c1", "c2", "n_shingles", "node").join(labels.hint("merge"), "node", "left")
     named = written(named.select("c1", "c2", "n_shingles", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id")), "minhash-named")
     linked = some.select("doc_id", "text_key", "n_shingles", "c1", "c2").join(named.hint("merge"), ["c1", "c2", "n_shingles"], "left")
