@@ -1,0 +1,413 @@
+"""Each operator on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from wordtide.llm import chat, exact, langid, merkle, minhash, mixing, packing, pii, sharding, suffix
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, key long, bucket int"
+RNG = random.Random(7)
+WORDS = ["the", "of", "and", "ring", "tower", "Größe", "niño", "ça", "x1", "don't", "42", "—"]
+
+
+def _text(n):
+    return " ".join(RNG.choice(WORDS) + str(RNG.randint(0, 50)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    base = [_text(RNG.randint(0, 60)) for _ in range(40)]
+    near = [" ".join(w if i != 3 else "changed" for i, w in enumerate(t.split())) for t in base[:10]]
+    texts = [*base, *base[:8], *near, *[base[1]] * 6, None, None, "", "", "word", "word", " \n\t ", "a" * 30_000, _text(4_000)]
+    out = [(i, t, RNG.choice(["en", "de", None]), RNG.choice(["s1", "s2", None]), None, 1, 2, 3, 4) for i, t in enumerate(texts)]
+    return [*out, (None, base[2], "en", None, 0, 1, 2, 3, 4), (None, "alone with no id", "en", None, 0, 1, 2, 3, 4), out[5], out[5]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_empty_tables(spark, none):
+    assert sharding.external_shuffle(none).collect() == []
+    assert langid.identify(none).collect() == []
+    assert suffix.remove_repeats(none).collect() == []
+    assert exact.find_copies(none).collect() == []
+    assert minhash.find_groups(none).collect() == []
+    assert mixing.mixing_plan(none).collect() == []
+    assert pii.find(none).collect() == []
+    assert merkle.compare_with_next(none).collect() == []
+    assert packing.pack(none).collect() == []
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.format_conversations(empty).collect() == []
+
+
+# ---- sharding
+
+
+def test_fisher_yates_is_a_uniform_permutation():
+    seen = Counter(tuple(sharding.fisher_yates(3, np.random.default_rng(s))) for s in range(1_200))
+    assert len(seen) == 6 and min(seen.values()) > 120
+
+
+def test_shards(docs, rows):
+    out = sharding.external_shuffle(docs, shards=4, bucket_bytes=2_000).collect()
+    again = sharding.external_shuffle(docs.repartition(5), shards=4, bucket_bytes=2_000).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((r[0], r[1]) for r in rows)
+    sizes = Counter(r.shard for r in out)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    for s, n in sizes.items():
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(n))
+    place = lambda rs: sorted((r.shard, r.slot, str(r.doc_id), r.text or "") for r in rs)
+    assert place(out) == place(again)
+
+
+# ---- language
+
+
+def test_language(spark):
+    rng = random.Random(1)
+    vocab = {"aa": ["kolo", "miro", "vesna", "brat"], "bb": ["chung", "wang", "ting", "hao"], "cc": ["évre", "çale", "rêve", "noël"]}
+    data = [(i, " ".join(rng.choices(vocab[k], k=rng.randint(3, 40))), k) for i, k in enumerate(rng.choices(list(vocab), k=300))]
+    data += [(900, None, "aa"), (901, "12 34 --", "bb"), (902, "", None), (903, "kolo miro brat vesna kolo", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in langid.identify(df).collect()}
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(out[i].lang_pred == data[i][2] for i in held) >= 0.98 * len(held)
+    assert [out[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "aa"]
+    assert all(0 <= r.score <= 1 for r in out.values()) and out[901].rejected and not out[903].rejected
+    # text next to a text, or its row's other columns, never change a prediction
+    one = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df.filter("doc_id < 5").drop("lang"), langid.fit(df.filter(~langid.held_out()))).collect()}
+    assert all(out[i].lang_pred == p and abs(out[i].score - s) < 1e-6 for i, (p, s) in one.items())
+
+
+def test_language_without_labels(spark):
+    df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
+    assert [(r.lang_pred, r.score) for r in langid.identify(df).collect()] == [("und", 0.0)]
+
+
+# ---- repeated passages
+
+
+def _kept(rows, length):
+    first = {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1):
+            first.setdefault(b[p : p + length], d)
+    out = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if first[b[p : p + length]] < d:
+                gone[p : p + length] = b"\1" * length
+        out[d] = (bytes(x for x, g in zip(b, gone, strict=True) if not g), len(re.findall(rb"\x01+", bytes(gone))))
+    return out
+
+
+def test_two_stage_sort_orders_suffixes():
+    rng = random.Random(3)
+    for _ in range(40):
+        texts = [bytes(rng.choice(b"ab\x00"[: rng.randint(1, 3)]) for _ in range(rng.randint(17, 60))) for _ in range(8)]
+        size = np.array([len(t) for t in texts])
+        begin = np.cumsum(size + 8) - size - 8
+        buf = np.zeros(int((size + 8).sum()), np.uint8)
+        for b, t in zip(begin, texts, strict=True):
+            buf[b : b + len(t)] = np.frombuffer(t, np.uint8)
+        order, words = suffix.two_stage_sort(buf, begin, begin + size, size - 16, 17)
+        owner = np.searchsorted(begin, order, side="right") - 1
+        order = order[order - begin[owner] < (size - 16)[owner]]
+        found = [buf[i : i + 17].tobytes() for i in order]
+        assert found == sorted(found) and len(found) == (size - 16).sum()
+        assert suffix.reaches(words, order, 17).tolist() == [a == b for a, b in zip(found, found[1:], strict=False)]
+
+
+@pytest.mark.parametrize("length", [20, 50])
+def test_repeats(spark, length):
+    rng = random.Random(length)
+    block = ["".join(rng.choices("abc é", k=rng.randint(10, 90))) for _ in range(12)]
+    data = [(i, "".join(rng.choices(block, k=rng.randint(0, 6)))) for i in range(60)] + [(60, None), (61, ""), (62, "a" * 3_000), (63, "a" * 500)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in data], "doc_id long, text string, found int, grams string").repartition(5)
+    out = {r.doc_id: r for r in suffix.remove_repeats(df, length=length).collect()}
+    for d, (kept, spans) in _kept(data, length).items():
+        assert bytes(out[d].kept) == kept and out[d].n_spans == spans and out[d].kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
+def test_repeats_long_and_hot(spark, monkeypatch):
+    rng = random.Random(5)
+    line = "".join(rng.choices("abcdefgh ", k=120))
+    long = "".join(rng.choices("abcdefghij", k=1_900_000))
+    data = [(i, f"{rng.random()}{line}{rng.random()}") for i in range(80)] + [(90, long), (91, "q" + long[950_000:951_000])]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    monkeypatch.setattr(suffix.math, "ceil", lambda x: int(-(-x // 1)))
+    out = {r.doc_id: r for r in suffix.remove_repeats(df, hot_keys=1).collect()}
+    assert out[91].n_removed == 1_000 and out[90].n_removed == 0
+    want = _kept(data[:80], 50)
+    assert all(bytes(out[d].kept) == want[d][0] for d in range(80))
+
+
+# ---- copies
+
+
+def test_exact(docs, rows):
+    out = exact.find_copies(docs, capacity=4).collect()
+    assert len(out) == len(rows)
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1] or ""].append(r[0])
+    want = {h: (max((i for i in ids if i is not None), default=None), len(ids)) for t, ids in groups.items() for h in [hashlib.sha256(t.encode()).hexdigest()]}
+    for r in out:
+        assert (r.keep_id, r.group_size) == want[r.text_sha256] and r.kept == (r.doc_id == r.keep_id)
+    kept = exact.drop_copies(docs).collect()
+    assert {r.text or "" for r in kept} == set(groups) and len({(r.doc_id, r.text) for r in kept}) == len(groups)
+
+
+def test_directory_doubles_until_buckets_fit(spark):
+    keys = spark.range(1_000).selectExpr("xxhash64(id) as key")
+    cells, depth = exact.directory(keys, capacity=50)
+    found = cells.collect()
+    held = Counter((r.local_depth, (k & (2**64 - 1)) >> (64 - r.local_depth)) for k in [x.key for x in keys.collect()] for r in found if ((k & (2**64 - 1)) >> (64 - depth)) == r.cell)
+    assert depth >= 5 and max(held.values()) <= 50 and sum(held.values()) == 1_000
+
+
+# ---- near copies
+
+
+def _components(rows, words):
+    sets = {}
+    for d, t in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))
+        sets[d] = {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+    up = {d: d for d in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), root(d)) for d in ids}
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_near(docs, rows, words):
+    own = [(r[0], r[1]) for r in dict.fromkeys(rows) if r[0] is not None]
+    out = [r for r in minhash.find_groups(docs, words=words).collect() if r.doc_id is not None]
+    want = _components(own, words)
+    assert {r.doc_id for r in out} == set(want)
+    for r in out:
+        assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id)
+    kept = minhash.drop_near_copies(docs, words=words).collect()
+    assert {r.doc_id for r in kept if r.doc_id is not None} == {d for d, (_, c) in want.items() if d == c}
+    assert any(r.text == "alone with no id" for r in kept)
+
+
+def test_near_chains_and_hot_group(spark):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(150)]
+    data = []
+    for i in range(400):  # variants of one text, alike in pairs to about the threshold
+        w = list(base)
+        for p in rng.sample(range(150), rng.randint(2, 11)):
+            w[p] = f"v{rng.randint(0, 10**9)}"
+        data.append((i, " ".join(w)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    out = {r.doc_id: r.component_id for r in minhash.find_groups(df, words=2).collect()}
+    assert out == {d: c for d, (_, c) in _components(data, 2).items()}
+
+
+def test_superminhash_estimates_jaccard():
+    rng = np.random.default_rng(1)
+    errors = []
+    for _ in range(30):
+        pool = rng.integers(0, 2**63, 300).astype(np.uint64)
+        sig = minhash.superminhash(np.concatenate([pool[:200], pool[100:]]), np.array([0, 200, 400]), 160)
+        errors.append((sig[0] == sig[1]).mean() - 1 / 3)
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
+
+
+# ---- mixing
+
+
+def test_mixing(docs, rows):
+    plan = mixing.mixing_plan(docs).collect()
+    assert len(plan) == len(rows)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sums = Counter()
+    for r in rows:
+        sums[r[3]] += size(r[1])
+    names = sorted(sums, key=lambda s: (s is None, s or ""))
+    weights = dict(zip(names, [3, 1, 2], strict=False))
+    target, open_, left = {}, set(names), 1.5 * sum(sums.values())
+    while open_:  # share, cap, share the rest again
+        level = left / sum(weights[s] for s in open_)
+        over = {s for s in open_ if weights[s] * level > 2 * sums[s]}
+        for s in over or open_:
+            target[s] = 2 * sums[s] if over else weights[s] * level
+        left -= sum(target[s] for s in over)
+        open_ = open_ - over if over else set()
+    for r in plan:
+        assert r.size == size(r.text) and r.source_size == sums[r.source] and abs(r.target - target[r.source]) < 1e-6
+        assert r.copies in (int(r.rate), min(2, int(r.rate) + 1))
+    assert mixing.mix(docs).count() == sum(r.copies for r in plan)
+
+
+# ---- personal data
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def _base(t):
+    out = []
+    for rank, (k, p) in enumerate(PATTERNS.items()):
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            odd = [int(c) * 2 - 9 * (int(c) > 4) if i % 2 else int(c) for i, c in enumerate(reversed(d))]
+            good = {"email": True, "ip": all(int(x) < 256 for x in m[0].split(".")) if k == "ip" else False, "card": 12 <= len(d) <= 19 and sum(odd) % 10 == 0, "phone": 9 <= len(d) <= 15}[k]
+            if good:
+                out.append((m.start(), rank, k, m.end()))
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
+
+
+def test_personal_data(spark):
+    rng = random.Random(9)
+    parts = ["a", "é", "1", "22", "4111111111111111", "4111 1111-1111 1111", ".", "@", "b.c", " ", "-", "+", "(", ")", "%", "x@y.z", "1.2.3.4", "300.1.1.1", "+1 (555) 123-4567", "😀", "\n"]
+    data = [(i, "".join(rng.choices(parts, k=rng.randint(0, 25)))) for i in range(400)]
+    data += [(900, None), (901, ""), (902, "1" * 9_000 + " " + "1 " * 9_000), (903, "a" * 60_000), (904, 'call (555) 123-4567 or token = "abcdef0123456789abcd"')]
+    out = {r.doc_id: r for r in pii.find(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", pii.spelled("base").alias("base"), pii.spelled("spans").alias("spans")).collect()}
+    for d, t in data:
+        assert out[d].base == _base(t or ""), t
+        assert not set(filter(None, out[d].base.split(","))) - set(out[d].spans.split(","))
+    assert "secret:23:53" in out[904].spans
+
+
+# ---- chat
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(4)
+    bits = ["<|im_end|>\n", "<|", "\\", "|", "</s>[INST]", "é😀", "\n", "assistant", " "]
+    data = [(c, t, rng.choice(["user", "assistant", "system", None, "a\nb\\n"]), rng.choice([None, "".join(rng.choices(bits, k=6))])) for c in range(30) for t in range(rng.randint(1, 9))]
+    data += [(99, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(150)] + [(None, 0, "user", "x"), (98, 0, "user", "same"), (98, 0, "user", "same")]
+    rows = chat.format_conversations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()
+    by = defaultdict(list)
+    for c, t, role, text in data:
+        by[c].append((t, role or "", text or ""))
+    for r in rows:
+        turns = [(role, text) for _, role, text in sorted(by[r.conv_id])]
+        assert sorted(chat.read_back(r.formatted)) == sorted(turns) and r.rewritten_at is None
+        assert [r.formatted[s:e] for s, e in r.spans] == [chat.marked_turns([x]) for x in chat.read_back(r.formatted)]
+        assert [chat.unescape(r.formatted[s:e]) for s, e in r.loss] == [t for role, t in chat.read_back(r.formatted) if role == "assistant"]
+
+
+def test_chat_detects_rewritten_history(spark):
+    def hides(turns):
+        return "".join(f"<{r}>{t if i == len(turns) - 1 else '...'}</{r}>" for i, (r, t) in enumerate(turns))
+
+    def begins(turns):
+        return "<s>" + chat.marked_turns(turns)
+
+    seen = chat.Renderer(hides).render([("user", "hello"), ("assistant", "hi"), ("user", "bye")])
+    assert seen.rewritten_at == 1
+    whole = chat.Renderer(begins, block=2).render([("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")])
+    assert whole.rewritten_at is None and [whole.text[s:e] for s, e in whole.contents] == ["a", "b", "c", "d"]
+
+
+# ---- fingerprints
+
+
+def test_fingerprints(spark):
+    rng = random.Random(6)
+    data = [(i * 3, "\n".join(_text(rng.randint(1, 30)) for _ in range(rng.randint(1, 20)))) for i in range(50)]
+    data += [(200, None), (201, ""), (202, data[0][1]), (203, "x"), (204, "😀" * 501)]
+    df = spark.createDataFrame([(*r, "e") for r in data], "doc_id long, text string, edited string").repartition(4)
+    out = {r.doc_id: r for r in merkle.compare_with_next(df).select("*", merkle.as_string("own_tree").alias("fp"), merkle.likeness("own_tree", "edited_tree").alias("near"), merkle.likeness("own_tree", "next_tree").alias("next_near")).collect()}
+    ids = sorted(d for d, _ in data)
+    text = {d: t or "" for d, t in data}
+    for i, d in enumerate(ids):
+        following = text[ids[(i + 1) % len(ids)]]
+        half = len(text[d]) // 2
+        edited = text[d][: len(text[d]) - half] + following[:half]
+        assert out[d].n_chars == len(text[d]) and out[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= out[d].near <= 1 and (len(text[d]) < 600 or out[d].near > out[d].next_near)
+    assert out[0].fp == out[202].fp and out[200].fp == out[201].fp and len({r.fp for r in out.values()}) == len({*text.values()})
+
+
+def test_differing_branches_locate_edits(spark):
+    lines = [f"paragraph {i} says {i * i}." for i in range(40)]
+    other = [*lines[:17], "an edit.", *lines[18:33], "another.", *lines[34:]]
+    df = spark.createDataFrame([("\n".join(lines), "\n".join(other))], "a string, b string")
+    df = merkle.fingerprint(merkle.fingerprint(df, "a", "x"), "b", "y")
+    assert df.select(merkle.edited_paragraphs("x", "y")).first()[0] == [17, 33]
+
+
+# ---- packing
+
+
+def test_packing(docs, rows):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    pieces = packing.pack(docs, capacity=256).collect()
+    want = Counter()
+    for r in rows:
+        ids = [*library.encode(r[1] or "", add_special_tokens=False).ids, 2]
+        want[r[0], len(ids)] += 1
+    total, got = Counter(), defaultdict(list)
+    for p in pieces:
+        assert len(p.ids) == 4 * p.length
+        total[p.doc_id, p.doc_tokens] += p.length
+        got[p.sequence_id].append((p.offset, p.length))
+    assert total == Counter({k: k[1] * n for k, n in want.items()})
+    for held in got.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 256
+    one = next(r for r in rows if r[1] and len(r[1]) > 20_000 and " " in r[1])
+    own = sorted((p.start, bytes(p.ids)) for p in pieces if p.doc_id == one[0])
+    assert np.frombuffer(b"".join(b for _, b in own), "<u4").tolist() == [*library.encode(one[1], add_special_tokens=False).ids, 2]
+
+
+def test_bpe_equals_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from wordtide.llm._bpe import load
+    from wordtide.llm._bytes import utf8
+
+    path = packing.default_tokenizer()
+    rng = random.Random(8)
+    letters = "aAbBeEthéÉßüÜñçÿŸ'<|>end12 .,!?-\n\t\x0b\x1c\x85日́ΣİÅ÷×"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(600)] + ["", "it's WE'RE", "a<|endoftext|>b", "x" * 200]
+    ids, first = load(path).encode(*utf8(pa.array(texts)))
+    library = Tokenizer.from_file(path)
+    for i, t in enumerate(texts):
+        assert ids[first[i] : first[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_harmonic_bins_are_nearly_full():
+    rule = packing.Harmonic(4096)
+    for n in (1, 31, 700, 1_500, 2_049, 3_000, 4_096, 10_000):
+        assert sum(rule.pieces(n)) == n and max(rule.pieces(n)) <= 4_096
+    waste = [1 - rule.klass[p] * p / 4096 for n in range(1, 4097) for p in rule.pieces(n) if p > 32]
+    assert max(waste) <= 1 / 32 + 0.01
