@@ -95,11 +95,11 @@ def substitutes(uses: DataFrame, candidates: DataFrame, vectors: DataFrame, thre
     bags = uses.select("lemma", "use_no", F.col("tokens").alias("words"))
     whole = means(bags, ["lemma", "use_no"], words).select("lemma", "use_no", F.col("mean").alias("own"))
     rest = use_bags(uses).select("lemma", "use_no", F.explode_outer("words").alias("word")).join(words, "word", "left")
-    rest = rest.groupBy("lemma", "use_no").agg(F.collect_list("v").alias("rest"))
+    rest = rest.groupBy("lemma", "use_no").agg(total(F.collect_list("v")).alias("rest"))
     parts = candidates.select("lemma", F.col("word").alias("cand"), "ic", "cand_ord", F.posexplode(F.split("word", r"\s+")).alias("at", "word"))
-    parts = parts.filter("cand <> lemma").join(words, "word", "left").groupBy("lemma", "cand", "ic", "cand_ord").agg(F.collect_list("v").alias("parts"), F.count("*").alias("n"))
-    parts = parts.filter(F.size("parts") == F.col("n"))
-    both = rest.join(parts, "lemma").select("lemma", "use_no", "cand", "ic", "cand_ord", unit(total(F.concat("rest", "parts"))).alias("swapped"))
+    parts = parts.filter("cand <> lemma").join(words, "word", "left").groupBy("lemma", "cand", "ic", "cand_ord").agg(total(F.collect_list("v")).alias("parts"), F.count("v").alias("known"), F.count("*").alias("n"))
+    parts = parts.filter("known = n").drop("known", "n")
+    both = rest.join(parts, "lemma").select("lemma", "use_no", "cand", "ic", "cand_ord", unit(F.when(F.col("rest").isNull(), F.col("parts")).otherwise(add(F.col("rest"), F.col("parts")))).alias("swapped"))
     cos = both.join(whole, ["lemma", "use_no"]).select("*", dot(F.col("own"), F.col("swapped")).alias("cos")).filter("cos is not null")
     out = cos.groupBy("lemma", F.col("cand").alias("word"), "ic", "cand_ord").agg(
         F.count_if(F.col("cos") >= threshold).alias("clean"), F.count("*").alias("total"), F.avg("cos").alias("mean_cos")

@@ -112,15 +112,16 @@ def report(
         vocabulary = vectors.vocabulary(uses_all, cands_all)
         table = load_vectors(vocabulary).persist()
         rare = pool.filter((F.octet_length("lemma") >= o.rarity_bytes) & (F.col("word_ic") >= o.rarity_floor))
-        odd = vectors.incongruity(uses_all.join(rare.select("lemma"), "lemma", "left_semi"), table).filter(F.col("incongruity") > o.incongruity_floor)
+        odd = vectors.incongruity(uses_all.join(rare.select("lemma"), "lemma", "left_semi"), table).filter(F.col("incongruity") > o.incongruity_floor).persist()
         subs = vectors.ranked(vectors.substitutes(uses_all, cands_all, table, o.threshold)).persist()
         null = lambda kind: F.lit(None).cast(kind)
-        routes = drift.cascade(pool, o.but(chronic_top=1 << 30))
+        routes = drift.cascade(pool, o.but(chronic_top=1 << 30)).persist()
         chosen = rising.select("lemma", F.lit("riser").alias("kind"), F.lit("riser").alias("reason"), F.lit(1).alias("lane"), (-F.col("score")).alias("place"), F.col("recent").alias("count"), "projects", F.col("recent_rate").alias("rate"), "ratio", null("double").alias("frame_frac"), null("double").alias("word_ic"), null("double").alias("incongruity"), F.lit(False).alias("known"))
         chronic = routes.select("lemma", F.lit("chronic").alias("kind"), F.col("route").alias("reason"), F.lit(2).alias("lane"), (-F.col("rate")).alias("place"), F.col("full").alias("count"), "projects", "rate", null("double").alias("ratio"), "frame_frac", "word_ic", null("double").alias("incongruity"), "known")
         marked = odd.join(rare, "lemma").join(routes, "lemma", "left_anti").select("lemma", F.lit("chronic").alias("kind"), F.lit("marked").alias("reason"), F.lit(3).alias("lane"), (-F.col("incongruity")).alias("place"), F.col("full").alias("count"), "projects", "rate", null("double").alias("ratio"), "frame_frac", "word_ic", "incongruity", "known")
         chosen = chosen.unionByName(chronic).unionByName(marked)
-        rungs = _gate(subs, chosen, o)
+        chosen = chosen.persist()
+        rungs = _gate(subs, chosen, o).persist()
         selves = cands_all.groupBy("lemma").agg(F.first("self_ic").alias("self_ic"))
         steps = rungs.select("lemma", F.struct(F.col("ic").alias("ic"), F.lit(0).alias("is_self"), F.col("rank").alias("rank"), F.col("word").alias("word")).alias("s"))
         own = rungs.select("lemma").distinct().join(selves, "lemma").select("lemma", F.struct(F.col("self_ic").alias("ic"), F.lit(1).alias("is_self"), F.lit(0).alias("rank"), F.col("lemma").alias("word")).alias("s"))
@@ -136,7 +137,7 @@ def report(
         used = F.row_number().over(Window.partitionBy("budget").orderBy("place", "lemma"))
         most = F.when(F.col("budget") == "riser", 1 << 30).when(F.col("budget") == "marked", o.marked_top).otherwise(o.chronic_top)
         live = live.withColumn("used", used).filter(F.col("used") <= most)
-        body = live.select(*[f.name for f in empty.schema]).unionByName(phrase_rows)
+        body = live.select(*[f.name for f in empty.schema]).unionByName(phrase_rows).persist()
     line = drift.series(drift.trend(toks, body.filter("kind <> 'phrase'").select("lemma"), now, o.spark_weeks))
     line = line.select("lemma", F.transform("rates", lambda r: F.coalesce(r, F.lit(-1.0))).alias("spark"))
     out = body.join(line, "lemma", "left").withColumn("spark", F.coalesce("spark", F.array().cast("array<double>")))
