@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..operators import audit as au
 from ..operators import drift, thesaurus, tokens, vectors, verdicts
 from ..options import REPORT, SCAN, VET, Options
+from ..work import cut
 
 VectorLoader = Callable[[DataFrame], DataFrame]
 
@@ -74,33 +75,33 @@ def report(
 
     ``load_vectors`` gets the vocabulary that is asked for and returns its vectors; it is not
     called if no word needs them. ``judgments``(word, role, demote_to, note) drop terms of art
-    before budgets are spent. Tokens and stored sentences feed several branches and are cached.
+    before budgets are spent. What several branches need is written to the shared folder once.
     """
     spark = turns.sparkSession
-    toks = tokens.tokens(turns, stopwords).persist()
-    sents = tokens.sentences(turns, stopwords)
-    store = tokens.stored(sents).persist()
-    lemmas = drift.lemma_counts(drift.lemma_project_counts(toks, now, o)).persist()
+    toks = tokens.tokens(turns, stopwords)
+    store = cut(tokens.stored(tokens.sentences(turns, stopwords)), "sentences")
+    lemmas = cut(drift.lemma_counts(drift.lemma_project_counts(toks, now, o)), "lemmas")
     full_total = drift.totals(lemmas).select("full_total")
-    rising = drift.risers(lemmas, o).select("lemma", "recent", "projects", "recent_rate", "ratio", "score")
-    pool = drift.chronic_pool(lemmas, None, o).persist()
-    asked = rising.select("lemma").union(pool.select("lemma")).distinct().persist()
-    cands_all = thesaurus.candidates(thesaurus.ladders(t, asked)).persist()
-    uses_all = tokens.uses(store, asked, o.max_uses).persist()
-    enough = uses_all.groupBy("lemma").count().filter(F.col("count") >= o.min_uses).join(cands_all.select("lemma").distinct(), "lemma").select("lemma")
-    rising = rising.join(enough, "lemma")
+    rising = cut(drift.risers(lemmas, o).select("lemma", "recent", "projects", "recent_rate", "ratio", "score"), "risers")
+    pool = cut(drift.chronic_pool(lemmas, None, o), "pool")
+    asked = cut(rising.select("lemma").union(pool.select("lemma")).distinct(), "asked")
+    cands_all = cut(thesaurus.candidates(cut(thesaurus.ladders(t, asked), "ladders")), "candidates")
+    uses_all = cut(tokens.uses(store, asked, o.max_uses), "uses")
+    often = uses_all.groupBy("lemma").count().filter(F.col("count") >= o.min_uses)
+    enough = cut(often.join(cands_all.select("lemma").distinct(), "lemma").select("lemma"), "enough")
+    rising = cut(rising.join(enough, "lemma"), "prepared")
     pool = pool.join(rising, "lemma", "left_anti").join(enough, "lemma")
     pool = thesaurus.word_ic(pool, t, "lemma").join(tokens.frame_fraction(store, pool).select("lemma", "frame_frac"), "lemma", "left")
     known = F.col("lemma").isin([tx.lemma_of(w.lower()) for w in curated_words])
-    pool = pool.withColumn("known", known).withColumn("frame_frac", F.coalesce("frame_frac", F.lit(0.0))).persist()
+    pool = cut(pool.withColumn("known", known).withColumn("frame_frac", F.coalesce("frame_frac", F.lit(0.0))), "chronic")
 
     names = tokens.name_counts(turns, stopwords).filter(tx.is_name(F.col("mid"), F.col("capped"))).select("lemma")
     listed = spark.createDataFrame([(tx.lemma_of(w.lower()),) for w in proper_nouns], "lemma string")
-    barred = names.union(listed).distinct()
+    barred = cut(names.union(listed).distinct(), "names")
     found = tokens.report_phrases(turns, list(phrases), stopwords)
     said = found.groupBy("phrase").agg(F.count("*").alias("count"), F.count_distinct("project").alias("projects")).filter(F.col("count") >= o.phrase_min)
     said = said.crossJoin(F.broadcast(full_total)).withColumn("rate", F.when(F.col("full_total") > 0, F.col("count") / F.col("full_total") * 1000).otherwise(0.0))
-    said = said.orderBy(F.desc("count"), "phrase").limit(o.phrase_top)
+    said = cut(said.orderBy(F.desc("count"), "phrase").limit(o.phrase_top), "phrases")
     shape = "kind string, reason string, lemma string, count long, projects long, rate double, ratio double, frame_frac double, word_ic double, incongruity double, known boolean, words array<string>, demote_to string, judge_note string, lane int, place double"
     empty = spark.createDataFrame([], shape)
     blank = lambda **c: [c.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema]
@@ -110,18 +111,18 @@ def report(
         body = phrase_rows
     else:
         vocabulary = vectors.vocabulary(uses_all, cands_all)
-        table = load_vectors(vocabulary).persist()
+        table = cut(load_vectors(vocabulary), "vectors")
         rare = pool.filter((F.octet_length("lemma") >= o.rarity_bytes) & (F.col("word_ic") >= o.rarity_floor))
-        odd = vectors.incongruity(uses_all.join(rare.select("lemma"), "lemma", "left_semi"), table).filter(F.col("incongruity") > o.incongruity_floor).persist()
-        subs = vectors.ranked(vectors.substitutes(uses_all, cands_all, table, o.threshold)).persist()
+        odd = cut(vectors.incongruity(uses_all.join(rare.select("lemma"), "lemma", "left_semi"), table).filter(F.col("incongruity") > o.incongruity_floor), "marked")
+        subs = cut(vectors.ranked(vectors.substitutes(uses_all, cands_all, table, o.threshold)), "substitutes")
         null = lambda kind: F.lit(None).cast(kind)
-        routes = drift.cascade(pool, o.but(chronic_top=1 << 30)).persist()
+        routes = cut(drift.cascade(pool, o.but(chronic_top=1 << 30)), "routes")
         chosen = rising.select("lemma", F.lit("riser").alias("kind"), F.lit("riser").alias("reason"), F.lit(1).alias("lane"), (-F.col("score")).alias("place"), F.col("recent").alias("count"), "projects", F.col("recent_rate").alias("rate"), "ratio", null("double").alias("frame_frac"), null("double").alias("word_ic"), null("double").alias("incongruity"), F.lit(False).alias("known"))
         chronic = routes.select("lemma", F.lit("chronic").alias("kind"), F.col("route").alias("reason"), F.lit(2).alias("lane"), (-F.col("rate")).alias("place"), F.col("full").alias("count"), "projects", "rate", null("double").alias("ratio"), "frame_frac", "word_ic", null("double").alias("incongruity"), "known")
         marked = odd.join(rare, "lemma").join(routes, "lemma", "left_anti").select("lemma", F.lit("chronic").alias("kind"), F.lit("marked").alias("reason"), F.lit(3).alias("lane"), (-F.col("incongruity")).alias("place"), F.col("full").alias("count"), "projects", "rate", null("double").alias("ratio"), "frame_frac", "word_ic", "incongruity", "known")
         chosen = chosen.unionByName(chronic).unionByName(marked)
-        chosen = chosen.persist()
-        rungs = _gate(subs, chosen, o).persist()
+        chosen = cut(chosen, "chosen")
+        rungs = cut(_gate(subs, chosen, o), "rungs")
         selves = cands_all.groupBy("lemma").agg(F.first("self_ic").alias("self_ic"))
         steps = rungs.select("lemma", F.struct(F.col("ic").alias("ic"), F.lit(0).alias("is_self"), F.col("rank").alias("rank"), F.col("word").alias("word")).alias("s"))
         own = rungs.select("lemma").distinct().join(selves, "lemma").select("lemma", F.struct(F.col("self_ic").alias("ic"), F.lit(1).alias("is_self"), F.lit(0).alias("rank"), F.col("lemma").alias("word")).alias("s"))
@@ -137,7 +138,8 @@ def report(
         used = F.row_number().over(Window.partitionBy("budget").orderBy("place", "lemma"))
         most = F.when(F.col("budget") == "riser", 1 << 30).when(F.col("budget") == "marked", o.marked_top).otherwise(o.chronic_top)
         live = live.withColumn("used", used).filter(F.col("used") <= most)
-        body = live.select(*[f.name for f in empty.schema]).unionByName(phrase_rows).persist()
+        body = live.select(*[f.name for f in empty.schema]).unionByName(phrase_rows)
+    body = cut(body, "body")
     line = drift.series(drift.trend(toks, body.filter("kind <> 'phrase'").select("lemma"), now, o.spark_weeks))
     line = line.select("lemma", F.transform("rates", lambda r: F.coalesce(r, F.lit(-1.0))).alias("spark"))
     out = body.join(line, "lemma", "left").withColumn("spark", F.coalesce("spark", F.array().cast("array<double>")))

@@ -15,6 +15,7 @@ from .options import REPORT, SCAN
 from .plans import commands
 from .sources import adapters as ad
 from .sources.adapters import NOW, table, turns
+from .work import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 STOP = tx.stopword_set()
@@ -575,7 +576,7 @@ def fence_state(spark: SparkSession, d: str) -> DataFrame:
 @_query(None)
 def report_document(spark: SparkSession, d: str) -> DataFrame:
     """The whole report; words of a made-up thesaurus, in which a lemma's hypernyms are the ones ranked around it."""
-    top = _top(spark, d, 1_000).persist()
+    top = cut(_top(spark, d, 1_000), "top")
     key = F.concat(F.lit("k"), "r")
     synset = top.select(key.alias("key"), F.lit("n").alias("pos"), F.lit("").alias("gloss"))
     words_ = top.select(key.alias("key"), F.lit(0).alias("ord"), F.col("lemma").alias("word"))
