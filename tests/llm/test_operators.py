@@ -299,6 +299,33 @@ def test_personal_data(spark):
     assert "secret:23:53" in out[904].spans
 
 
+def _spans(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find(df).select("doc_id", pii.spelled("base").alias("base"), pii.spelled("spans").alias("spans"), "base.kind").collect()
+    return [r for r in sorted(found)]
+
+
+def test_cards_grouped_in_ones_and_twos(spark):
+    rng = random.Random(11)
+    texts = ["card 41-11-11-11-11-11-11-11", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "é 41 11 11-11 11 11 11 11.", "41 11 11 11 11 11 11 12", "41 11  11 11 11 11 11 11"]
+    for _ in range(300):
+        digits = "".join(rng.choices("0123456789", k=rng.randint(10, 21)))
+        cut = sorted(rng.sample(range(1, len(digits)), len(digits) * 2 // 3))
+        texts.append("x" + "".join(rng.choice(" -") * (i in cut) + c for i, c in enumerate(digits)))
+    got = _spans(spark, texts)
+    assert sum("card" in r.kind for r in got if not re.search("[0-9]{3}", texts[r.doc_id])) > 3
+    for r in got:
+        assert r.base == _base(texts[r.doc_id]), texts[r.doc_id]
+
+
+def test_first_look_loses_no_candidate(spark):
+    texts = ["account GB29 NWBK ABCD EF12 34GH", "account DE12ABCDEFGHIJKL", "ssn 123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.candidates(df).collect():
+        whole = [m.span() for m in re.finditer(pii.WIDER["account"], texts[r.doc_id])]
+        assert whole and [(c.start, c.end) for c in r.found if c.kind == "account"] == whole
+
+
 # ---- chat
 
 
