@@ -326,6 +326,16 @@ def test_first_look_loses_no_candidate(spark):
         assert whole and [(c.start, c.end) for c in r.found if c.kind == "account"] == whole
 
 
+def test_national_phones_with_dots_and_failing_cards(spark):
+    texts = ["call (555) 123.4567", "tel 555.123.4567", "card 4111 1111 1111 1112", "card 4111 1111 1111 1111"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.candidates(df)
+    out = {r.doc_id: [(c.kind, c.start, c.end, c.base) for c in r.found] for r in found.collect()}
+    assert out == {0: [("phone_national", 5, 19, False)], 1: [("phone_national", 4, 16, False)], 2: [("card_like", 5, 24, False)], 3: [("card", 5, 24, True)]}
+    judged = lambda bias: {r.doc_id: (r.b, r.s) for r in pii.classify(found, pii.Labeling(0.5, {}, bias, {})).select("doc_id", pii.spelled("base").alias("b"), pii.spelled("spans").alias("s")).collect()}
+    assert judged(1.0)[2] == ("", "card_like:5:24") and judged(-1.0)[2] == ("", "") and judged(-1.0)[3] == ("card:5:24", "card:5:24")
+
+
 # ---- chat
 
 

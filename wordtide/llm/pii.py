@@ -52,7 +52,6 @@ NEEDS = {
     "phone": "+",
     "ip": ".",
     "email_spelled": "at",
-    "phone_national": "-",
     "secret": '"',
 }
 #: Patterns that every text with a match of the kind holds as well: a first look that loses nothing.
@@ -62,7 +61,9 @@ IMPLIED = {
     "account": r"[A-Z]{2}[0-9]{2}\x20?+[A-Z0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "phone_national": r"[0-9]{3}[-.][0-9]{4}",
 }
-KINDS = [*BASE, *WIDER]
+#: Matches of the card pattern that fail their check digit: no base span, but the classifier judges them.
+CARD_LIKE = "card_like"
+KINDS = [*BASE, *WIDER, CARD_LIKE]
 LABELERS = ("strict", "valid", "cue", "shape", "listed")
 #: Words that announce personal data, and top-level domains that addresses end with.
 CUES = (
@@ -135,6 +136,7 @@ def _candidates(text: Column, kind: str) -> Column:
         before = F.lower(F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT))))
         sides = F.concat(F.substring(text, start, F.when(start > 0, 1).otherwise(0)), F.substring(text, end + 1, F.lit(1)))
         ok = _valid(kind, value)
+        named = lambda f: F.when(ok, F.lit(f(kind))).otherwise(F.lit(f(CARD_LIKE))) if kind == "card" else F.lit(f(kind))
         cue = before.rlike(rf"(?:^|[^a-z])(?:{'|'.join(CUES.split())})[^a-z]")
         votes = {
             "strict": F.lit(1 if base or kind == "secret" else 0),
@@ -145,8 +147,8 @@ def _candidates(text: Column, kind: str) -> Column:
         }
         return F.struct(
             start.alias("start"),
-            F.lit(KINDS.index(kind)).alias("rank"),
-            F.lit(kind).alias("kind"),
+            named(KINDS.index).alias("rank"),
+            named(str).alias("kind"),
             end.alias("end"),
             (ok if base else F.lit(False)).alias("base"),
             *[v.cast("int").alias(k) for k, v in votes.items()],
@@ -158,7 +160,7 @@ def _candidates(text: Column, kind: str) -> Column:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ``found``: all candidates of the whole text with their votes."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.select("doc_id", F.concat(*[_candidates(F.col("text"), k) for k in KINDS]).alias("found"))
+    return rows.select("doc_id", F.concat(*[_candidates(F.col("text"), k) for k in BASE | WIDER]).alias("found"))
 
 
 @dataclass
