@@ -174,6 +174,26 @@ def test_exact(docs, rows):
     assert {r.text or "" for r in kept} == set(groups) and len({(r.doc_id, r.text) for r in kept}) == len(groups)
 
 
+def test_chains_lie_with_the_owner_of_their_bucket(docs, rows, monkeypatch):
+    made = {}
+    monkeypatch.setattr(exact, "written", lambda df, purpose, real=exact.written: made.setdefault(purpose, real(df, purpose)))
+    exact.find_copies(docs, capacity=4).collect()
+    files = defaultdict(set)
+    for r in made["exact-chains"].select("*", "_metadata.file_path").collect():
+        files[r.local_depth, r.bucket].add(r.file_path)
+        assert (r.key & (2**64 - 1)) >> (64 - r.local_depth) == r.bucket
+    shared = [t for t, n in Counter(r[1] or "" for r in rows).items() if n > 1]
+    assert len(files) > 1 and all(len(x) == 1 for x in files.values())
+    assert made["exact-chains"].count() == len(shared)
+
+
+def test_colliding_texts_are_links_of_one_chain(spark):
+    data = [(1, 7, 0, 1, "a"), (2, 7, 0, 1, "b"), (3, 7, 0, 1, "a"), (None, 7, 0, 1, "b"), (4, 8, 0, 1, "c"), (None, 8, 0, 1, "d")]
+    members = spark.createDataFrame(data, "doc_id long, key long, bucket long, local_depth int, text string").repartition(3)
+    out = {r.key: [tuple(c) for c in r.chain] for r in exact._chains(members).collect()}
+    assert out == {7: [("a", 3, 2), ("b", 2, 2)], 8: [("c", 4, 1), ("d", None, 1)]}
+
+
 def test_directory_doubles_until_buckets_fit(spark):
     keys = spark.range(1_000).selectExpr("xxhash64(id) as key")
     cells, depth = exact.directory(keys, capacity=50)

@@ -59,6 +59,18 @@ def directory(keys: DataFrame, capacity: int, max_depth: int = 48) -> tuple[Data
     return one.select("cell", "b.bucket", "b.local_depth"), depth
 
 
+def _chains(members: DataFrame) -> DataFrame:
+    """local_depth, bucket, key and chain: the different texts of each key, made by the owner of its bucket.
+
+    ``members`` are counted by text before they go to the owner, so a group of any size
+    is one link there. A chain has more than one link only where texts collide.
+    """
+    cell = ["local_depth", "bucket"]
+    links = members.groupBy(*cell, "key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    link = F.struct("text", "keep_id", "group_size")
+    return links.repartition(*cell).groupBy(*cell, "key").agg(F.array_sort(F.collect_list(link)).alias("chain"))
+
+
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=None, capacity: int = 65_536) -> DataFrame:
     """doc_id, keep_id (the largest doc_id of equal texts), group_size, kept, text_sha256."""
     normal = (normalise or (lambda c: c))(text_of(text_col))
@@ -70,22 +82,26 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # an owner task holds the key range of whole buckets
     index = written(chains.select("bucket", "local_depth", "key", "n").repartition("bucket"), "exact-index")
 
-    shared = index.filter("n > 1").select("key", F.lit(True).alias("chained"))
+    # a key's bucket is where its chain lies; keys of one row have no chain
+    shared = index.filter("n > 1").select("key", "bucket", "local_depth")
     members = texts.join(shared.hint("merge"), "key", "left").select(
         "doc_id",
         "key",
-        F.coalesce("chained", F.lit(False)).alias("chained"),
+        "bucket",
+        "local_depth",
         F.sha2("text", 256).alias("text_sha256"),
-        F.when(F.col("chained"), F.col("text")).alias("text"),
+        F.when(F.col("bucket").isNotNull(), F.col("text")).alias("text"),
     )
     members = written(members, "exact-members")
-    alone = members.filter(~F.col("chained")).select(
+    alone = members.filter("bucket is null").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256"
     )
-    chained = members.filter("chained").drop("chained")
-    # bytes are compared: a group is one key and one text
-    groups = written(chained.groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "exact-groups")
-    linked = chained.join(groups.hint("merge"), ["key", "text"]).select("doc_id", "keep_id", "group_size", "text_sha256")
+    chained = members.filter("bucket is not null")
+    chains = written(_chains(chained), "exact-chains")
+    at = chained.join(chains.hint("merge"), ["local_depth", "bucket", "key"])
+    # bytes are compared: a row belongs to the link of its chain that has its text
+    link = F.filter("chain", lambda c: c["text"] == F.col("text"))[0]
+    linked = at.select("doc_id", link["keep_id"].alias("keep_id"), link["group_size"].alias("group_size"), "text_sha256")
     out = alone.unionByName(linked)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
