@@ -240,6 +240,22 @@ def test_near(docs, rows, words):
     assert any(r.text == "alone with no id" for r in kept)
 
 
+def test_near_copies_without_or_with_shared_ids(spark):
+    def near(seed):
+        w = [f"{seed}w{i}" for i in range(100)]
+        return [" ".join(w), " ".join([*w[:99], "other"])]
+
+    (a, a2), (b, b2), (c, _), (d, d2), (e, e2) = map(near, "abcde")
+    data = [(None, a), (None, a2), (None, b), (7, b2), (None, c), (None, c), (5, d), (5, e), (8, d2), (9, e2), (None, None), (None, " ")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    ids = {(r.doc_id, r.text_key): r for r in minhash.find_groups(df, words=2).collect()}
+    assert sorted(r.component_id for r in ids.values() if r.doc_id in (5, 7, 8, 9)) == [5, 5, 5, 5, 7]
+    kept = minhash.drop_near_copies(df, words=2).collect()
+    texts = Counter(r.text for r in kept)
+    assert texts[a] + texts[a2] == 1 and texts[b] == 0 and texts[b2] == 1 and texts[c] == 1
+    assert (texts[d], texts[d2], texts[e], texts[e2]) == (1, 0, 1, 0) and texts[None] == texts[" "] == 1 and len(kept) == 7
+
+
 def test_near_chains_and_hot_group(spark):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(150)]

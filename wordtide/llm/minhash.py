@@ -21,9 +21,11 @@ and less above it.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and
 are linked with nothing; ties do not occur, since components are named by their
-smallest doc_id; rows that repeat a doc_id are nodes of one name; a null doc_id takes
-part only as a copy of another; an empty table gives an empty result; extra columns
-are ignored.
+smallest doc_id, or null where no member has one; every different text is compared,
+also those that share a doc_id or have none. Of a component the row with the smallest
+doc_id stays (null last, then the smaller hash of the text); rows that repeat both
+doc_id and text get one verdict, but of rows with no doc_id ``drop_near_copies`` keeps
+one of each text. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import byte_table, chunks, mix, span_hashes, utf8, word_spans
-from ._common import ship, text_of, written
+from ._common import WORD_PATTERN, ship, text_of, written
 from .graph import components
 
 _WORDS = byte_table(29, lower=True)
@@ -254,12 +256,14 @@ class _Links:
         return written(own.mapInArrow(_alike(self.least), "a long, b long"), "minhash-near")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
-        """node, items: the full sets of ``nodes``(doc_id)."""
-        texts = self.texts.join(nodes.distinct().hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-        return written(texts.select("doc_id", "text").mapInArrow(_sets(self.words), "node long, items binary"), "minhash-sets")
+        """node, items: the full sets of ``nodes``(node)."""
+        asked = self.reps.select("node", F.col("doc_id").alias("own"), "text_key").join(nodes.distinct().hint("merge"), "node")
+        same = self.texts["doc_id"].eqNullSafe(asked["own"]) & (F.xxhash64(self.texts["text"]) == asked["text_key"])
+        texts = self.texts.join(asked.hint("merge"), same).select("node", "text").dropDuplicates(["node"])
+        return written(texts.mapInArrow(_sets(self.words), "node long, items binary"), "minhash-sets")
 
     def verified(self, near: DataFrame) -> DataFrame:
-        sets = self.sets(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))))
+        sets = self.sets(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))))
         both = near.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")).hint("merge"), "b")
         both = both.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")).hint("merge"), "a")
         return written(both.mapInArrow(_verify(self.percent), "a long, b long"), "minhash-links")
@@ -281,7 +285,7 @@ class _Links:
         keys = ["bucket", "row", "column"]
         blocks = members.unionByName(asking).select(*keys, "asks", "node", "label", "sig", "bands")
         met = written(blocks.groupBy(*keys).applyInArrow(_plausible(self.least), _BLOCK), "minhash-plausible")
-        sets = self.sets(met.select(F.col("node").alias("doc_id")))
+        sets = self.sets(met.select("node"))
         found = met.join(sets.hint("merge"), "node").groupBy(*keys).applyInArrow(_verify_blocks(self.percent), "a long, b long")
         return written(found.distinct(), "minhash-across")
 
@@ -301,8 +305,11 @@ def find_groups(
         texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_features(words, bands * rows, bands), "doc_id long, text_key long, n_shingles long, c1 long, c2 long, bands array<long>, sig binary"), "minhash-features"
     )
     some = features.filter("n_shingles > 0")
-    named = some.filter("doc_id is not null").groupBy("c1", "c2", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r"))
-    reps = written(named.select("c1", "c2", "n_shingles", F.col("r.doc_id").alias("node"), "r.bands", "r.sig"), "minhash-classes")
+    # a class is a node of its own number; its member with the smallest doc_id, null last, stands for it
+    member = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "bands", "sig")
+    named = some.groupBy("c1", "c2", "n_shingles").agg(F.min(member).alias("r"))
+    reps = named.select("c1", "c2", "n_shingles", F.monotonically_increasing_id().alias("node"), "r.doc_id", "r.text_key", "r.bands", "r.sig")
+    reps = written(reps, "minhash-classes")
 
     buckets = reps.select("node", F.explode("bands").alias("bucket"))
     # one order of the nodes for all bands: a group's buckets agree on few leaders
@@ -315,17 +322,26 @@ def find_groups(
     links = compare.verified(near)
     more = compare.across(member, components(links))
     labels = components(links.unionByName(more))
-    named = reps.select("c1", "c2", "n_shingles", "node").join(labels.hint("merge"), "node", "left")
-    named = written(named.select("c1", "c2", "n_shingles", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id")), "minhash-named")
-    linked = some.select("doc_id", "text_key", "n_shingles", "c1", "c2").join(named.hint("merge"), ["c1", "c2", "n_shingles"], "left")
-    alone = features.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    out = linked.select("doc_id", "text_key", "n_shingles", "class_id", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = reps.select("c1", "c2", "n_shingles", "node", "doc_id", "text_key").join(labels.hint("merge"), "node", "left")
+    named = written(named.withColumn("component", F.coalesce("component", "node")).drop("node"), "minhash-named")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    stays = written(named.groupBy("component").agg(first), "minhash-stays")
+    named = named.withColumnRenamed("doc_id", "class_id").drop("text_key").join(stays.hint("merge"), "component")
+    named = named.select("c1", "c2", "n_shingles", "class_id", "first")
+    linked = some.select("doc_id", "text_key", "n_shingles", "c1", "c2").join(named.hint("merge"), ["c1", "c2", "n_shingles"])
+    stay = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    linked = linked.select("doc_id", "text_key", "n_shingles", "class_id", F.col("first.doc_id").alias("component_id"), stay.alias("kept"))
+    own = [F.col("doc_id").alias(c) for c in ("class_id", "component_id")]
+    alone = features.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", *own, F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one with the smallest doc_id."""
     found = find_groups(docs, id_col=id_col, text_col=text_col, **options)
     gone = found.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    gone = written(gone, "minhash-gone")
     same = docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(text_of(docs[text_col])) == gone["__key"])
-    return docs.join(gone.hint("merge"), same, "left_anti")
+    kept = docs.join(gone.hint("merge"), same, "left_anti")
+    nameless = docs[id_col].isNull() & F.coalesce(F.regexp_like(docs[text_col], F.lit(WORD_PATTERN)), F.lit(False))
+    return kept.filter(~nameless).unionByName(kept.filter(nameless).dropDuplicates([text_col]))
