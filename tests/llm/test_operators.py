@@ -92,6 +92,13 @@ def test_language(spark):
     assert all(out[i].lang_pred == p and abs(out[i].score - s) < 1e-6 for i, (p, s) in one.items())
 
 
+def test_every_label_is_learned(spark):
+    name = lambda i: "".join(chr(97 + int(x)) for x in f"{i * 7919 % 100000:05d}")
+    data = [(i, f"{name(i % 270)} " * 8, f"l{i % 270:03d}") for i in range(1080)]
+    model = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3))
+    assert model.languages == sorted({x for _, _, x in data})
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.identify(df).collect()] == [("und", 0.0)]

@@ -15,7 +15,7 @@ rows is no larger a group than any other. Prediction reads whole texts.
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
 rejected; null labels are not learned from; repeated rows get the same prediction;
 with no labelled training row everything is ``und``; extra columns are ignored.
-At most ``max_languages`` labels are learned, the most frequent first.
+Every label is learned; the model grows by 256 KiB for each.
 """
 
 from __future__ import annotations
@@ -143,15 +143,15 @@ def _fit_language(idf: np.ndarray, k: int):
 _FITTED = pa.schema([("lang", pa.string()), ("centroid", pa.binary()), ("low", pa.list_(pa.float64()))])
 
 
-def fit(train: DataFrame, per_language: int = 1_000, centroids: int = 4, max_languages: int = 256) -> Model | None:
+def fit(train: DataFrame, per_language: int = 1_000, centroids: int = 4) -> Model | None:
     """Learn from ``train``(doc_id, text, lang); None if nothing is labelled.
 
     To the driver come: label counts, DIMS document frequencies, and the centroids
-    (max_languages * centroids rows of 64 KiB at most).
+    (``centroids`` rows of 64 KiB a label at most).
     """
     ship(train.sparkSession)
     train = train.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & has_letter("text"))
-    labels = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    labels = train.groupBy("lang").count().collect()
     if not labels:
         return None
     pairs = train.select("text").mapInArrow(_document_frequencies, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
@@ -159,9 +159,9 @@ def fit(train: DataFrame, per_language: int = 1_000, centroids: int = 4, max_lan
     df = np.zeros(DIMS)
     df[[r["gram"] for r in pairs]] = [r["n"] for r in pairs]
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
-    share = F.create_map(*[x for r in labels for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
+    share = train.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in labels], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = train.filter(draw < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)))
+    sample = train.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("doc_id", "text", "lang")
     fitted = sample.groupBy("lang").applyInArrow(_fit_language(idf, centroids), "lang string, centroid binary, low array<double>").collect()
     fitted.sort(key=lambda r: (r["lang"], r["centroid"]))
     languages = sorted({r["lang"] for r in fitted})
