@@ -66,3 +66,8 @@ def test_case_and_plurals(spark):
 def test_changes_and_ages(spark):
     r = spark.range(1).select(dp.change(F.lit(0.0), F.lit(3.0)), dp.change_arrow(F.lit(-1.0)), dp.change_arrow(F.lit(0.5)), dp.human_age(F.lit(15 * 86400)), dp.human_age(F.lit(5)), dp.human_age(F.lit(3 * 86400)), dp.shown(F.lit(True), F.lit(0)), dp.shortened(F.lit("abcdef"), 4)).first()
     assert list(r) == [0.0, "↓", "→", "2w", "today", "3d", "curated, never shown", "abc…"]
+
+
+def test_function_words_are_whole():
+    assert len(set(tx.FUNCTION_WORDS.split())) == 318 and len(tx.stopword_set()) == 322
+    assert {"four", "seventh", "toward", "wouldn't", "out-of"} <= set(tx.stopword_set())
