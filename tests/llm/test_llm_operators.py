@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wordtide.llm import chat, exact, langid, merkle, minhash, mixing, packing, pii, sharding, suffix
 
@@ -375,10 +377,98 @@ def test_national_phones_with_dots_and_failing_cards(spark):
     found = pii.candidates(df)
     out = {r.doc_id: [(c.kind, c.start, c.end, c.base) for c in r.found] for r in found.collect()}
     assert out == {0: [("phone_national", 5, 19, False)], 1: [("phone_national", 4, 16, False)], 2: [("card_like", 5, 24, False)], 3: [("card", 5, 24, True)]}
-    judged = lambda bias: {r.doc_id: (r.b, r.s) for r in pii.classify(found, pii.Labeling(0.5, {}, bias, {})).select("doc_id", pii.spelled("base").alias("b"), pii.spelled("spans").alias("s")).collect()}
+    judged = lambda bias: {r.doc_id: (r.b, r.s) for r in pii.classify(found, pii.Labeling(bias=dict.fromkeys(pii.KINDS, bias))).select("doc_id", pii.spelled("base").alias("b"), pii.spelled("spans").alias("s")).collect()}
     assert judged(1.0)[2] == ("", "card_like:5:24") and judged(-1.0)[2] == ("", "") and judged(-1.0)[3] == ("card:5:24", "card:5:24")
 
 
+def test_running_goes_on_over_blocks(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 2, 3, 9, 40)]
+    own = pii._running(F.col("x"), pii._add, F.lit(0), block=3)
+    for x, s in spark.createDataFrame(rows, "x array<int>").select("x", own).collect():
+        assert s == [sum(x[:i]) for i in range(len(x))]
+
+
+def test_long_values_and_many_matches(spark):
+    secret = "a1" * 120
+    texts = [f'api_key = "{secret}"', "write to " + "b" * 60 + " [at] " + "host" * 15 + " [dot] " + "org" * 9, "x 1.2.3.4 " * 20_000 + "é a@b.c"]
+    t0 = time.monotonic()
+    got = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert time.monotonic() - t0 < 60
+    found = {r.doc_id: [(c.kind, c.start, c.end) for c in r.found] for r in got}
+    assert found[0] == [("secret", 0, len(texts[0]))] and found[1] == [("email_spelled", 9, len(texts[1]))]
+    ips = [c for c in found[2] if c[0] == "ip"]
+    assert ips == [("ip", 10 * i + 2, 10 * i + 9) for i in range(20_000)] and found[2][0] == ("email", 200_002, 200_007)
+
+
+def test_added_spans_overlap_nothing(spark):
+    def span(start, end, kind, base):
+        return (start, pii.KINDS.index(kind), kind, end, base, *[0] * (len(pii.LABELERS) + len(pii.FEATURES)))
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(200):
+        spans = []
+        for kind in ("email", "card", "account", "secret", "card_like"):
+            at = 0
+            for _ in range(rng.randint(0, 5)):
+                at += rng.randint(0, 12)
+                spans.append(span(at, at + (n := rng.randint(1, 9)), kind, kind in pii.BASE))
+                at += n
+        rows.append((i, spans))
+    fields = ", ".join(["start: int, rank: int, kind: string, end: int, base: boolean", *[f"{k}: int" for k in (*pii.LABELERS, *pii.FEATURES)]])
+    found = spark.createDataFrame(rows, f"doc_id long, found array<struct<{fields}>>")
+    out = {r.doc_id: [(s.start, s.rank, s.end) for s in r.spans] for r in pii.classify(found, pii.Labeling(bias=dict.fromkeys(pii.KINDS, 1.0))).collect()}
+    for i, spans in rows:
+        base = [s for s in spans if s[4]]
+        want, at = [(s[0], s[1], s[3]) for s in base], 0
+        for s in sorted(s for s in spans if not s[4] and not any(b[0] < s[3] and s[0] < b[3] for b in base)):
+            if s[0] >= at:
+                want.append((s[0], s[1], s[3]))
+                at = s[3]
+        assert out[i] == sorted(want)
+
+
+def test_em_finds_the_reliabilities_of_labelers():
+    rng = random.Random(13)
+    # (vote for, vote against) on true spans, then on false ones
+    rates = {"email": [((0.9, 0.05), (0.2, 0.6)), ((0.8, 0.1), (0.1, 0.8)), ((0.6, 0.0), (0.1, 0.0)), ((0.0, 0.05), (0.0, 0.4)), ((0.95, 0.05), (0.5, 0.5)), ((0.5, 0.1), (0.2, 0.5))]}
+    rates["account"] = [rates["email"][1], rates["email"][0], *rates["email"][2:]]
+    share = {"email": 0.7, "account": 0.3}
+    counts, truth = Counter(), Counter()
+    for kind, table in rates.items():
+        for _ in range(6_000):
+            true = rng.random() < share[kind]
+            votes = []
+            for row in table:
+                up, down = row[0] if true else row[1]
+                x = rng.random()
+                votes.append(1 if x < up else -1 if x < up + down else 0)
+            counts[kind, tuple(votes)] += 1
+            truth[kind, tuple(votes)] += true
+    m = pii.aggregate_votes(sorted(counts.items()))
+    for kind, table in rates.items():
+        assert abs(m.prior[kind] - share[kind]) < 0.05
+        for name, (yes, no) in zip(pii.LABELERS, table, strict=True):
+            got = m.vote[kind][name]
+            assert all(abs(got[v][side] - want) < 0.06 for side, (up, down) in enumerate((yes, no)) for v, want in ((1, up), (-1, down)))
+    right = sum(truth[p] if m.posterior[p] > 0.5 else n - truth[p] for p, n in counts.items())
+    assert right > 0.93 * sum(counts.values())
+
+
+def test_classifier_precision_and_recall(spark):
+    rng = random.Random(14)
+    texts, personal = [], []
+    for i in range(400):
+        area, mid, end = rng.randint(200, 999), rng.randint(200, 999), rng.randint(0, 9_999)
+        if i % 2:
+            texts.append(rng.choice(["please call {} today", "my phone is {} at home", "tel {}.", "fax ({}) now"]).format(f"{area}-{mid}-{end:04d}"))
+            personal.append(i)
+        else:
+            texts.append(rng.choice(["order {}a shipped", "version {}x is out", "item x{} of ten", "invoice #{}b paid"]).format(f"{area % 200:03d}-{mid % 200:03d}-{end:04d}"))
+    out = {r.doc_id for r in _spans(spark, texts) if "phone_national" in r.spans}
+    assert len(out & set(personal)) >= 0.95 * len(personal) and len(out - set(personal)) <= 0.05 * len(personal)
+
+
 # ---- chat
 
 

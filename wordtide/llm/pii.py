@@ -1,19 +1,31 @@
-"""Personal data by weak supervision: labelers vote, EM weighs them, a classifier decides.
+"""Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides.
 
 Candidates are spans that one of the patterns finds. Four are the base kinds (email,
 ip, card, phone); valid base spans are always kept. Wider patterns propose more:
 spelled-out addresses, national phone numbers, card-like numbers that fail their
-check digit, account numbers and secrets. Five labelers vote on every candidate: the
-strict pattern, validity (check digits, octets, a list of top-level domains), cue
-words before it, shape of its surroundings, and a list of reserved or issued values.
-Their votes are counted by pattern of votes over all documents (at most kinds * 3**5
-rows, the only thing that comes to the driver), expectation-maximisation estimates
-each labeler's reliability and the posterior of each pattern, and a logistic
-classifier trained on the posteriors scores spans.
+check digit, account numbers and secrets. Six labelers vote on every candidate, for
+(1), against (-1) or not (0):
+
+``strict``  a narrower pattern of the kind        ``valid``  check digits, octets, lengths
+``cue``     words before it that announce it      ``rival``  words that announce other numbers
+``shape``   what stands next to it                ``listed`` lists of issued and reserved values
+
+Votes are counted by kind and pattern of votes over all documents (at most kinds *
+3**6 rows). Expectation-maximisation estimates, for every kind, how often each
+labeler votes so on true and on false spans; kinds with few candidates lean on the
+rates of all kinds together. The posteriors are the soft labels of a logistic
+classifier of spans, whose features are not the votes but the kind, length, share
+of digits, letter cases, breaks, neighbours and nearest cue; it is fitted on counts by
+pattern of features (at most ``MOST_FEATURES`` rows). These counts are all that
+comes to the driver. A span that the classifier takes and that overlaps no base span
+is added; of added spans that overlap each other the leftmost stays.
 
 Only column functions touch texts: positions come from splitting a text by a
-pattern, and are in code points, end exclusive. The patterns start at run borders
-and use possessive repeats, so that long runs of one character class stay linear.
+pattern, and are in code points, end exclusive. Running sums go in blocks, and
+context is read from the pieces between matches, so that a long text with very many
+matches stays near linear. The patterns start at run borders and use possessive
+repeats, so that long runs of one character class stay linear; no repeat has an upper
+bound but those that the format itself has.
 
 Defined cases: null is the empty text; a text without candidates has the digest of
 the empty string; repeated rows are treated alike; an empty table gives an empty
@@ -24,7 +36,8 @@ ignored.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +54,10 @@ BASE = {
 }
 #: Patterns that propose more spans.
 WIDER = {
-    "email_spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,40}+\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,40}+(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?[A-Za-z0-9-]{2,20}+)+",
-    "phone_national": r"(?<![0-9+(])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])",
+    "email_spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?[A-Za-z0-9-]{2,}+)+",
+    "phone_national": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])",
     "account": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9-])",
-    "secret": r"(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20{0,3}[=:]\x20{0,3}\x22[^\x22\n]{8,200}+\x22",
+    "secret": r"(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20*+[=:]\x20*+\x22[^\x22\n]{8,}+\x22",
 }
 #: A cheap test that a text can hold a match at all.
 NEEDS = {
@@ -64,33 +77,102 @@ IMPLIED = {
 #: Matches of the card pattern that fail their check digit: no base span, but the classifier judges them.
 CARD_LIKE = "card_like"
 KINDS = [*BASE, *WIDER, CARD_LIKE]
-LABELERS = ("strict", "valid", "cue", "shape", "listed")
-#: Words that announce personal data, and top-level domains that addresses end with.
-CUES = (
-    "account address call card contact credit email fax host iban ip key mail mobile number password "
-    "phone reach secret server ssn tel telephone token visa write"
-)
-DOMAINS = "com org net edu gov info io dev co uk de fr es it nl eu ch at us ca"
+LABELERS = ("strict", "valid", "cue", "rival", "shape", "listed")
+_PATTERNS = BASE | WIDER
+
+_GROUPED = r"^[0-9]{12,19}$|^[0-9]{4}([\x20-])(?:[0-9]{4}\1){2}[0-9]{4}$|^[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{5}$"
+#: The narrower pattern of each kind.
+STRICT = {
+    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9][A-Za-z0-9-]*+\.)+[A-Za-z]{2,}$",
+    "ip": r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$",
+    "card": _GROUPED,
+    "phone": r"^\+[1-9][0-9]*+(?:[\x20.-]?+\(?+[0-9]++\)?+)*+$",
+    "email_spelled": r"(?:dot|DOT)\x20?[\])]\x20?[A-Za-z]{2,6}$",
+    "phone_national": r"^\(?[2-9][0-9]{2}[).\x20-]+[2-9]",
+    "account": r"^[0-9]|(?:[^0-9]*+[0-9]){10}",
+    "secret": r"\x22(?=[^\x22]*[0-9])(?=[^\x22]*[A-Za-z])[^\x22\x20]{16,}\x22$",
+}
+#: Words that announce personal data of a kind, and words that announce numbers of other sorts.
+CUES = {
+    "email": "address contact email mail reach write",
+    "ip": "address client host ip server",
+    "card": "card charge credit debit pay visa",
+    "phone": "call contact fax mobile number phone reach tel telephone",
+    "email_spelled": "address contact email mail reach write",
+    "phone_national": "call contact fax mobile number phone reach tel telephone",
+    "account": "account bank iban ssn security social transfer",
+    "secret": "config credentials env export key let set var",
+}
+RIVALS = "chapter figure invoice isbn item line order page part release section total version"
+#: Values that are listed: endings of domains, issuers, country codes; and values that are nobody's.
+LISTED = {
+    "email": r"(?i)\.(?:com|org|net|edu|gov|info|io|dev|co|uk|de|fr|es|it|nl|eu|ch|at|us|ca)$",
+    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
+    "phone": r"^\+(?:1|7|20|27|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
+    "email_spelled": r"(?i)[\x20)\]](?:com|org|net|edu|gov|info|io|dev|co|uk|de|fr|es|it|nl|eu|ch|at|us|ca)$",
+    "account": r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
+}
+UNLISTED = {
+    "email": r"(?i)@example\.",
+    "ip": r"^(?:0+|10|127|255)\.|^192\.168\.",
+    "card": r"^[01789]",
+    "phone_national": r"555[-.]01",
+    "account": r"^(?:000|666|9[0-9]{2})-|-00-|-0000$",
+    "secret": r"(?i)\x22(?:change|example|password|placeholder|x{4}|your|<)",
+}
 CONTEXT = 24
+#: Features of a span with the number of their values.
+FEATURES = {"length": 6, "digits": 4, "cases": 3, "breaks": 2, "left": 3, "right": 3, "near": 3}
+MOST_FEATURES = len(KINDS) * math.prod(FEATURES.values())
+#: Chance of each vote on true and on false spans, as far as a kind's own candidates do not tell.
+BELIEF = {-1: (0.15, 0.45), 0: (0.4, 0.4), 1: (0.45, 0.15)}
+
 
+# ---- positions
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column], zero: Column, block: int = 128) -> Column:
+    """For each place of an array of ints, ``op`` (associative) over the values before it.
+
+    A list that grows is copied at each step, so the array is cut into blocks: within a
+    block, and over the blocks' totals, lists stay short.
+    """
+    none = F.array().cast("array<int>")
 
-def _hits(text: Column, kind: str, pattern: str) -> Column:
-    """array<struct<start, end, value, before, after>> of the matches of a pattern."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("cast(array() as array<struct<start:int,value:string>>)")
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("hits"))
+    def listed(items: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), none.alias("out"))
+        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(items, begin, step, lambda acc: acc["out"])
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["pieces"])
-        hit = F.struct(start.alias("start"), pair["found"].alias("value"))
-        return F.struct((start + F.length(pair["found"])).alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
+    numbers = F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / block).cast("int"))
+    parts = F.transform(numbers, lambda b: F.slice(values, b * block + 1, F.lit(block)))
+    totals = F.transform(parts, lambda p: F.aggregate(p, zero, op))
+    return F.flatten(F.zip_with(parts, listed(totals, zero), listed))
 
-    pairs = F.filter(F.arrays_zip(pieces.alias("pieces"), found.alias("found")), lambda p: p["found"].isNotNull())
-    at = F.aggregate(pairs, begin, step, lambda acc: acc["hits"])
-    may = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
-    if kind in IMPLIED:
-        may = may & text.rlike(IMPLIED[kind])
-    return F.when(may, at).otherwise(empty)
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _matches(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """Adds, for each kind, the matches (``f_kind``), the pieces between them (``p_``) and the matches' starts (``s_``)."""
+    none = F.array().cast("array<string>")
+    found, pieces, starts = {}, {}, {}
+    for k in kinds:
+        may = F.contains("text", F.lit(NEEDS[k])) if k in NEEDS else F.lit(True)
+        if k in IMPLIED:
+            may = may & F.col("text").rlike(IMPLIED[k])
+        found[f"f_{k}"] = F.when(may, F.regexp_extract_all("text", F.lit(_PATTERNS[k]), F.lit(0))).otherwise(none)
+        some = F.size(f"f_{k}") > 0
+        pieces[f"p_{k}"] = F.when(some, F.split("text", _PATTERNS[k], -1)).otherwise(none)
+        # a piece and the match before it: the sum up to and with it is where its match starts
+        width = F.zip_with(f"p_{k}", f"f_{k}", lambda p, f: F.length(p) + F.coalesce(F.length(f), F.lit(0)))
+        own = F.zip_with(_running(width, _add, F.lit(0)), f"p_{k}", lambda at, p: at + F.length(p))
+        starts[f"s_{k}"] = F.when(some, own).otherwise(F.array().cast("array<int>"))
+    return rows.withColumns(found).withColumns(pieces).withColumns(starts)
+
+
+# ---- labelers and features
 
 
 def _digits(value: Column) -> Column:
@@ -98,7 +180,7 @@ def _digits(value: Column) -> Column:
 
 
 def _valid(kind: str, value: Column) -> Column:
-    """Whether a match of a base kind passes its check; for other kinds, their own rule."""
+    """Whether a match passes the check of its kind; null where the kind has none."""
     if kind == "ip":
         part = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
         return value.rlike(rf"^{part}(?:\.{part}){{3}}$")
@@ -106,135 +188,209 @@ def _valid(kind: str, value: Column) -> Column:
         return F.call_function("luhn_check", _digits(value))
     if kind == "phone":
         return F.length(_digits(value)).between(9, 15)
-    if kind == "phone_national":
-        return F.length(_digits(value)) == 10
-    if kind == "secret":
-        return value.rlike(r"\x22(?=[^\x22]*[0-9])(?=[^\x22]*[A-Za-z])[^\x22\x20]{16,}\x22$")
-    return F.lit(True)
+    return F.lit(None).cast("boolean")
 
 
-def _listed(kind: str, value: Column) -> Column:
-    """1, 0 or -1 by lists of values: known endings, issued prefixes, addresses that are no host's."""
-    if kind in ("email", "email_spelled"):
-        return F.when(F.lower(value).rlike(rf"[.\x20)\]](?:{'|'.join(DOMAINS.split())})$"), 1).otherwise(0)
-    if kind == "ip":
-        return F.when(value.rlike(r"^0+\."), -1).otherwise(0)
-    if kind == "card":
-        return F.when(_digits(value).rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"), 1).otherwise(0)
-    if kind == "account":
-        return F.when(value.rlike(r"^(?:000|666|9)|-00-|-0000$"), -1).otherwise(0)
-    return F.lit(0)
+def _class(c: Column) -> Column:
+    """0: nothing or a blank, 1: a letter or digit, 2: another sign."""
+    return F.when(c.rlike(r"[\p{L}0-9]"), 1).when(c.rlike(r"\S"), 2).otherwise(0)
 
 
-def _candidates(text: Column, kind: str) -> Column:
-    """array<struct<start, rank, kind, end, base, votes...>> of one kind."""
-    base = kind in BASE
+def _said(words: str, before: Column) -> Column:
+    return before.rlike(rf"(?:^|[^a-z])(?:{'|'.join(words.split())})[^a-z]")
 
-    def judged(hit: Column) -> Column:
-        value, start = hit["value"], hit["start"]
-        end = start + F.length(value)
-        before = F.lower(F.substring(text, F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT))))
-        sides = F.concat(F.substring(text, start, F.when(start > 0, 1).otherwise(0)), F.substring(text, end + 1, F.lit(1)))
-        ok = _valid(kind, value)
-        named = lambda f: F.when(ok, F.lit(f(kind))).otherwise(F.lit(f(CARD_LIKE))) if kind == "card" else F.lit(f(kind))
-        cue = before.rlike(rf"(?:^|[^a-z])(?:{'|'.join(CUES.split())})[^a-z]")
-        votes = {
-            "strict": F.lit(1 if base or kind == "secret" else 0),
-            "valid": F.when(ok, 1).otherwise(-1),
-            "cue": F.when(cue | F.lit(kind == "secret"), 1).otherwise(0),
-            "shape": F.when(sides.rlike("[A-Za-z0-9]"), -1).otherwise(1),
-            "listed": _listed(kind, value),
-        }
-        return F.struct(
-            start.alias("start"),
-            named(KINDS.index).alias("rank"),
-            named(str).alias("kind"),
-            end.alias("end"),
-            (ok if base else F.lit(False)).alias("base"),
-            *[v.cast("int").alias(k) for k, v in votes.items()],
-        )
-
-    return F.transform(_hits(text, kind, (BASE | WIDER)[kind]), judged)
+
+def _judged(kind: str, value: Column, start: Column, before: Column, after: Column) -> Column:
+    """struct<start, rank, kind, end, base, votes, features> of one match and what stands around it."""
+    base = kind in BASE
+    valid = _valid(kind, value)
+    ok = F.coalesce(valid, F.lit(True))
+    named = lambda f: F.when(ok, F.lit(f(kind))).otherwise(F.lit(f(CARD_LIKE))) if kind == "card" else F.lit(f(kind))
+    low = F.lower(before)
+    left, right = F.right(before, F.lit(1)), F.substring(after, 1, 1)
+    cue, rival = _said(CUES[kind], low), _said(RIVALS, low)
+    issued = _digits(value) if kind == "card" else value
+    votes = {
+        "strict": F.when(value.rlike(STRICT[kind]), 1).otherwise(-1),
+        "valid": F.when(valid.isNull(), 0).when(valid, 1).otherwise(-1),
+        "cue": F.when(cue, 1).otherwise(0),
+        "rival": F.when(rival, -1).otherwise(0),
+        "shape": F.when(left.rlike("[A-Za-z0-9]") | right.rlike("[A-Za-z0-9]"), -1).otherwise(1),
+        "listed": F.when(issued.rlike(UNLISTED[kind]) if kind in UNLISTED else F.lit(False), -1)
+        .when(issued.rlike(LISTED[kind]) if kind in LISTED else F.lit(False), 1)
+        .otherwise(0),
+    }
+    upper, lower = value.rlike("[A-Z]"), value.rlike("[a-z]")
+    features = {
+        "length": F.least(F.floor(F.log2(F.length(value).cast("double"))), F.lit(7)).cast("int") - 2,
+        "digits": F.floor(F.length(_digits(value)) * 3 / F.length(value)).cast("int"),
+        "cases": upper.cast("int") + lower.cast("int"),
+        "breaks": value.rlike(r"[\x20-]").cast("int"),
+        "left": _class(left),
+        "right": _class(right),
+        "near": F.when(_said(CUES[kind], F.right(low, F.lit(10))), 2).when(cue, 1).otherwise(0),
+    }
+    return F.struct(
+        start.alias("start"),
+        named(KINDS.index).alias("rank"),
+        named(str).alias("kind"),
+        (start + F.length(value)).alias("end"),
+        (ok if base else F.lit(False)).alias("base"),
+        *[v.cast("int").alias(k) for k, v in votes.items()],
+        *[F.least(F.greatest(v, F.lit(0)), F.lit(FEATURES[k] - 1)).cast("int").alias(k) for k, v in features.items()],
+    )
+
+
+def _candidates(kind: str) -> Column:
+    found, pieces, starts = f"f_{kind}", f"p_{kind}", f"s_{kind}"
+    text = lambda column, i: F.coalesce(F.get(column, i), F.lit(""))
+
+    def judged(value: Column, i: Column) -> Column:
+        # what stands around a match: the pieces beside it, and the matches beyond where these are short
+        before = F.right(F.concat(F.right(text(found, i - 1), F.lit(CONTEXT)), text(pieces, i)), F.lit(CONTEXT))
+        after = F.concat(F.left(text(pieces, i + 1), F.lit(1)), F.left(text(found, i + 1), F.lit(1)))
+        return _judged(kind, value, F.get(starts, i), before, after)
+
+    return F.transform(found, judged)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``found``: all candidates of the whole text with their votes."""
+    """doc_id and ``found``: all candidates of the whole text with their votes and features."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.select("doc_id", F.concat(*[_candidates(F.col("text"), k) for k in BASE | WIDER]).alias("found"))
+    rows = _matches(rows, list(_PATTERNS))
+    return rows.select("doc_id", F.concat(*[_candidates(k) for k in _PATTERNS]).alias("found"))
+
+
+# ---- reliabilities and the classifier
+
+Pattern = tuple[str, tuple[int, ...]]
 
 
 @dataclass
 class Labeling:
-    """Reliabilities by labeler (chance of each vote for true and false spans) and classifier weights."""
+    """Reliabilities by kind and labeler (chance of each vote on true and on false spans), posteriors of the patterns of votes, and classifier weights."""
 
-    prior: float
-    vote: dict[str, dict[int, tuple[float, float]]]
-    bias: float
-    weights: dict[tuple[str, int], float]
+    prior: dict[str, float] = field(default_factory=dict)
+    vote: dict[str, dict[str, dict[int, tuple[float, float]]]] = field(default_factory=dict)
+    posterior: dict[Pattern, float] = field(default_factory=dict)
+    bias: dict[str, float] = field(default_factory=dict)
+    weights: dict[str, list[float]] = field(default_factory=dict)
 
 
-def aggregate_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> Labeling:
-    """EM over counted patterns of votes, then a logistic classifier on the posteriors.
+def aggregate_votes(patterns: list[tuple[Pattern, int]], rounds: int = 60, lean: float = 20.0) -> Labeling:
+    """EM over counted patterns of votes ((kind, votes), count): one set of reliabilities a kind.
 
-    Votes are taken as independent given the truth; labelers start out as better than chance.
+    Votes are taken as independent given the truth. ``lean`` counts as so many true and as
+    many false candidates on which labelers vote by ``BELIEF``.
+    """
+    m = Labeling(posterior={p: 1 / (1 + math.exp(-1.5 * sum(p[1]))) for p, _ in patterns})
+    by_kind: dict[str, list[tuple[tuple[int, ...], int]]] = {}
+    for (kind, votes), n in patterns:
+        by_kind.setdefault(kind, []).append((votes, n))
+    for kind, own in sorted(by_kind.items()):
+        total = sum(n for _, n in own)
+        for _ in range(rounds):
+            true = sum(m.posterior[kind, v] * n for v, n in own)
+            m.prior[kind] = (true + 1) / (total + 2)
+            table: dict[str, dict[int, tuple[float, float]]] = {}
+            for j, name in enumerate(LABELERS):
+                table[name] = {}
+                for vote, (a, b) in BELIEF.items():
+                    yes = sum(m.posterior[kind, v] * n for v, n in own if v[j] == vote)
+                    no = sum((1 - m.posterior[kind, v]) * n for v, n in own if v[j] == vote)
+                    table[name][vote] = ((yes + a * lean) / (true + lean), (no + b * lean) / (total - true + lean))
+            m.vote[kind] = table
+            odds = math.log(m.prior[kind] / (1 - m.prior[kind]))
+            for v, _ in own:
+                z = odds + sum(math.log(table[name][x][0] / table[name][x][1]) for name, x in zip(LABELERS, v, strict=True))
+                m.posterior[kind, v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    return m
+
+
+def train_classifier(m: Labeling, rows: list[tuple[str, tuple[int, ...], float, float]], rounds: int = 300, decay: float = 1e-3) -> None:
+    """Logistic regression of the soft labels on one-hot features: ``rows`` of (kind, features, candidates, sum of posteriors).
+
+    Each kind starts from its own share of true spans; kinds without candidates are never asked.
     """
-    total = sum(n for _, n in patterns)
-    if not total:
-        return Labeling(0.5, {}, -1.0, {})
-    posterior = [1 / (1 + math.exp(-1.5 * sum(v))) for v, _ in patterns]
-    prior, table = 0.5, []
+    total = sum(n for *_, n, _ in rows) or 1.0
+    m.bias = dict.fromkeys(KINDS, 0.0)
+    for kind in {k for k, *_ in rows}:
+        n, true = (sum(r[i] for r in rows if r[0] == kind) for i in (2, 3))
+        m.bias[kind] = math.log((true + 0.5) / (n - true + 0.5))
+    m.weights = {f: [0.0] * n for f, n in FEATURES.items()}
     for _ in range(rounds):
-        prior = (sum(p * n for p, (_, n) in zip(posterior, patterns, strict=True)) + 1) / (total + 2)
-        table = []
-        for j in range(len(LABELERS)):
-            row = {}
-            for vote in (-1, 0, 1):
-                yes = sum(p * n for p, (v, n) in zip(posterior, patterns, strict=True) if v[j] == vote)
-                no = sum((1 - p) * n for p, (v, n) in zip(posterior, patterns, strict=True) if v[j] == vote)
-                row[vote] = ((yes + 1) / (prior * total + 3), (no + 1) / ((1 - prior) * total + 3))
-            table.append(row)
-        odds = math.log(prior / (1 - prior))
-        posterior = [
-            1 / (1 + math.exp(-max(-30.0, min(30.0, odds + sum(math.log(table[j][x][0] / table[j][x][1]) for j, x in enumerate(v)))))) for v, _ in patterns
-        ]
-    weights = {(k, x): 0.0 for k in LABELERS for x in (-1, 1)}
-    bias, rate = 0.0, 1.0
-    for _ in range(400):
-        grad, down = dict.fromkeys(weights, 0.0), 0.0
-        for p, (v, n) in zip(posterior, patterns, strict=True):
-            z = bias + sum(weights[k, x] for k, x in zip(LABELERS, v, strict=True) if x)
-            miss = (p - 1 / (1 + math.exp(-z))) * n / total
-            down += miss
-            for k, x in zip(LABELERS, v, strict=True):
-                if x:
-                    grad[k, x] += miss
-        bias += rate * down
-        for key, g in grad.items():
-            weights[key] += rate * (g - 1e-4 * weights[key])
-    return Labeling(prior, dict(zip(LABELERS, table, strict=True)), bias, weights)
+        down, grad = dict.fromkeys(m.bias, 0.0), {f: [0.0] * n for f, n in FEATURES.items()}
+        for kind, values, n, true in rows:
+            z = m.bias[kind] + sum(m.weights[f][v] for f, v in zip(FEATURES, values, strict=True))
+            miss = (true - n / (1 + math.exp(-z))) / total
+            down[kind] += miss
+            for f, v in zip(FEATURES, values, strict=True):
+                grad[f][v] += miss
+        for k, g in down.items():
+            m.bias[k] += g
+        for f, gs in grad.items():
+            m.weights[f] = [w + g - decay * w for w, g in zip(m.weights[f], gs, strict=True)]
 
 
 def learn(found: DataFrame) -> Labeling:
-    votes = [F.col(f"c.{k}").alias(k) for k in LABELERS]
-    counted = found.select(F.explode("found").alias("c")).select(*votes).groupBy(*LABELERS).count()
-    patterns = sorted(((tuple(r[k] for k in LABELERS), r["count"]) for r in counted.collect()))
-    return aggregate_votes(patterns)
+    """Reliabilities and classifier from all candidates; two aggregations, each with a proven bound, come to the driver."""
+    each = found.select(F.explode("found").alias("c")).select("c.*")
+    counted = each.groupBy("kind", *LABELERS).count().collect()
+    patterns = sorted(((r["kind"], tuple(r[k] for k in LABELERS)), r["count"]) for r in counted)
+    m = aggregate_votes(patterns)
+    if not patterns:
+        train_classifier(m, [])
+        return m
+    table = [(k, *votes, p) for (k, votes), p in m.posterior.items()]
+    soft = found.sparkSession.createDataFrame(table, ", ".join(["kind string", *[f"{k} int" for k in LABELERS], "p double"]))
+    by = each.join(F.broadcast(soft), ["kind", *LABELERS]).groupBy("kind", *FEATURES).agg(F.count("*").alias("n"), F.sum("p").alias("true"))
+    rows = sorted((r["kind"], tuple(r[f] for f in FEATURES), float(r["n"]), r["true"]) for r in by.collect())
+    train_classifier(m, rows)
+    return m
 
 
-def classify(found: DataFrame, model: Labeling) -> DataFrame:
-    """doc_id and ``spans``: base spans, and the others that the classifier takes and that overlap no base span."""
+# ---- decisions
+
 
-    def score(c: Column) -> Column:
-        z = F.lit(model.bias)
-        for (k, vote), w in sorted(model.weights.items()):
-            z = z + F.when(c[k] == vote, F.lit(w)).otherwise(0.0)
-        return z
+def _score(m: Labeling, c: Column) -> Column:
+    listed = lambda ws: F.array(*[F.lit(float(w)) for w in ws])
+    z = F.get(listed([m.bias[k] for k in KINDS]), c["rank"])
+    for f, ws in m.weights.items():
+        z = z + F.get(listed(ws), c[f])
+    return z
 
+
+def _free(spans: Column) -> Column:
+    """Of spans in order of start: those of base kinds, and the others that overlap none of them."""
+    last = _running(F.transform(spans, lambda s: F.when(s["base"], s["end"]).otherwise(0)), lambda a, b: F.greatest(a, b), F.lit(0))
+    back = F.reverse(F.transform(spans, lambda s: F.when(s["base"], -s["start"]).otherwise(F.lit(-(2**31) + 1))))
+    following = F.reverse(_running(back, lambda a, b: F.greatest(a, b), F.lit(-(2**31) + 1)))
+    pairs = F.zip_with(spans, F.zip_with(last, following, lambda a, b: F.struct(a.alias("last"), b.alias("next"))), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+    stay = F.filter(pairs, lambda x: x["s"]["base"] | ((x["e"]["last"] <= x["s"]["start"]) & (-x["e"]["next"] >= x["s"]["end"])))
+    return F.transform(stay, lambda x: x["s"])
+
+
+def _leftmost(spans: Column) -> Column:
+    """Of spans in order of start: base spans, and of the others the leftmost of those that overlap."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("keep"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fits = ~s["base"] & (s["start"] >= acc["at"])
+        return F.struct(F.when(fits, s["end"]).otherwise(acc["at"]).alias("at"), F.concat(acc["keep"], F.when(fits | s["base"], "1").otherwise("0")).alias("keep"))
+
+    # one character a span, so that the growing list stays small
+    keep = F.split(F.aggregate(spans, begin, step, lambda acc: acc["keep"]), "")
+    return F.transform(F.filter(F.arrays_zip(spans.alias("s"), keep.alias("k")), lambda x: x["k"] == "1"), lambda x: x["s"])
+
+
+def classify(found: DataFrame, model: Labeling) -> DataFrame:
+    """doc_id, ``base``: base spans, and ``spans``: these and the others that the classifier takes, in order."""
     base = F.filter("found", lambda c: c["base"])
-    more = F.filter("found", lambda c: ~c["base"] & (score(c) > 0) & (c["rank"] >= len(BASE)))
-    rows = found.select("doc_id", base.alias("base"), more.alias("more"))
-    free = F.filter("more", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return rows.select("doc_id", "base", F.array_sort(F.concat("base", free)).alias("spans"))
+    more = F.filter("found", lambda c: ~c["base"] & (c["rank"] >= len(BASE)) & (_score(model, c) > 0))
+    rows = found.select("doc_id", F.array_sort(base).alias("base"), more.alias("more"))
+    rows = rows.withColumn("all", F.array_sort(F.concat("base", "more")))
+    rows = rows.withColumn("open", F.when((F.size("more") > 0) & (F.size("base") > 0), _free(F.col("all"))).otherwise(F.col("all")))
+    return rows.select("doc_id", "base", F.when(F.size("more") > 1, _leftmost(F.col("open"))).otherwise(F.col("open")).alias("spans"))
 
 
 def find(docs: DataFrame, **options) -> DataFrame:
