@@ -504,12 +504,40 @@ def test_chat_detects_rewritten_history(spark):
 # ---- fingerprints
 
 
+def _tree(t):
+    """Sections, paragraphs and pieces of a text, as the texts themselves."""
+    lines = t.split("\n")
+    pieces = [[m[0] for m in re.finditer(merkle.PIECE_PATTERN.replace(r"\z", r"\Z"), line)] for line in lines]
+    assert all("".join(p) == line for p, line in zip(pieces, lines, strict=True))
+    return [tuple(lines[i : i + 8]) for i in range(0, len(lines), 8)], lines, pieces
+
+
+def _walk(a, b):
+    (sa, pa_, la), (sb, pb, lb) = _tree(a), _tree(b)
+
+    def front(x, y):
+        return next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))  # noqa: B905
+
+    head = front(sa, sb)
+    tail = front(sa[head:][::-1], sb[head:][::-1])
+    ea, eb = ((len(s) - tail) * 8 if tail else len(p) for s, p in ((sa, pa_), (sb, pb)))
+    skip = min(head * 8, ea, eb)
+    first = skip + front(pa_[skip:ea], pb[skip:eb])
+    back = front(pa_[first:ea][::-1], pb[first:eb][::-1])
+    flat = lambda ls: [x for leaf in ls for x in leaf]
+    ma, mb = flat(la[first : ea - back]), flat(lb[first : eb - back])
+    size = lambda xs: sum(map(len, xs))
+    every, differ, both = size(flat(la)) + size(flat(lb)), size(ma) + size(mb), size(set(ma)) + size(set(mb))
+    near = 1.0 if a == b else (every - differ + (2 * size(set(ma) & set(mb)) / both * differ if both else 0)) / every if every else 0.0
+    return first, ea - back - first, eb - back - first, near
+
+
 def test_fingerprints(spark):
     rng = random.Random(6)
     data = [(i * 3, "\n".join(_text(rng.randint(1, 30)) for _ in range(rng.randint(1, 20)))) for i in range(50)]
-    data += [(200, None), (201, ""), (202, data[0][1]), (203, "x"), (204, "😀" * 501)]
+    data += [(200, None), (201, ""), (202, data[0][1]), (203, "x"), (204, "😀" * 501), (205, "a" * 30_000), (206, "." * 500), (207, data[1][1] + data[2][1])]
     df = spark.createDataFrame([(*r, "e") for r in data], "doc_id long, text string, edited string").repartition(4)
-    out = {r.doc_id: r for r in merkle.compare_with_next(df).select("*", merkle.as_string("own_tree").alias("fp"), merkle.likeness("own_tree", "edited_tree").alias("near"), merkle.likeness("own_tree", "next_tree").alias("next_near")).collect()}
+    out = {r.doc_id: r for r in merkle.compare_with_next(df).select("*", merkle.as_string("own_tree").alias("fp")).collect()}
     ids = sorted(d for d, _ in data)
     text = {d: t or "" for d, t in data}
     for i, d in enumerate(ids):
@@ -517,16 +545,47 @@ def test_fingerprints(spark):
         half = len(text[d]) // 2
         edited = text[d][: len(text[d]) - half] + following[:half]
         assert out[d].n_chars == len(text[d]) and out[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= out[d].near <= 1 and (len(text[d]) < 600 or out[d].near > out[d].next_near)
+        for got, other in ((out[d].to_edited, edited), (out[d].to_next, following)):
+            *place, near = _walk(text[d], other)
+            assert list(got)[:3] == place and abs(got.likeness - near) < 1e-9
+        assert len(text[d]) < 600 or d > 203 or out[d].to_edited.likeness > out[d].to_next.likeness
     assert out[0].fp == out[202].fp and out[200].fp == out[201].fp and len({r.fp for r in out.values()}) == len({*text.values()})
 
 
+@pytest.mark.parametrize("block_rows", [2, 7, 2_000])
+def test_next_over_blocks(spark, block_rows):
+    rng = random.Random(block_rows)
+    ids = [*rng.sample(range(-50, 10**12), 60), *range(10**15, 10**15 + 60), 5, 5, 5]
+    data = [(d, f"t{i}") for i, d in enumerate(ids)]
+    nameless = [(None, f"n{i % 20}") for i in range(25)]
+    for rows in (data, data + nameless, nameless, data[:1]):
+        got = merkle.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_rows=block_rows).collect()
+        assert Counter(r[:2] for r in got) == Counter(rows) and Counter(r.next for r in got) == Counter(t for _, t in rows)
+        ordered = sorted((r for r in rows if r[0] is not None))
+        want = {a[0:2]: b[1] for a, b in zip(ordered, ordered[1:], strict=False)}
+        assert all(r.next == want[r.doc_id, r.text] for r in got if (r.doc_id, r.text) in want)
+        if not any(d is None for d, _ in rows):
+            assert next(r.next for r in got if r[:2] == ordered[-1]) == ordered[0][1]
+
+
 def test_differing_branches_locate_edits(spark):
     lines = [f"paragraph {i} says {i * i}." for i in range(40)]
     other = [*lines[:17], "an edit.", *lines[18:33], "another.", *lines[34:]]
-    df = spark.createDataFrame([("\n".join(lines), "\n".join(other))], "a string, b string")
-    df = merkle.fingerprint(merkle.fingerprint(df, "a", "x"), "b", "y")
+    more = [*lines[:11], "put in.", "twice.", *lines[11:]]
+    df = spark.createDataFrame([("\n".join(lines), "\n".join(other), "\n".join(more))], "a string, b string, c string")
+    for text, tree in (("a", "x"), ("b", "y"), ("c", "z")):
+        df = merkle.fingerprint(df, text, tree)
     assert df.select(merkle.edited_paragraphs("x", "y")).first()[0] == [17, 33]
+    r = merkle.walk(merkle.walk(df, "x", "y", "xy"), "x", "z", "xz").select("xy", "xz").first()
+    assert list(r.xy)[:3] == [17, 17, 17] and list(r.xz)[:3] == [11, 0, 2] and r.xz.likeness > 0.97
+
+
+def test_pieces_are_the_same_again_after_a_shift(spark):
+    rng = random.Random(15)
+    words = " ".join("".join(rng.choices("abdelnorstuy", k=rng.randint(2, 9))) for _ in range(200))
+    df = spark.createDataFrame([(words, "put in " + words)], "a string, b string")
+    df = merkle.walk(merkle.fingerprint(merkle.fingerprint(df, "a", "x"), "b", "y"), "x", "y", "w")
+    assert df.select("w.likeness").first()[0] > 0.9
 
 
 # ---- packing

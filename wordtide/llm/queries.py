@@ -122,8 +122,8 @@ def op9_merkle_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_sha256",
         merkle.as_string("own_tree").alias("fingerprint"),
         merkle.as_string("edited_tree").alias("edited_fingerprint"),
-        merkle.likeness("own_tree", "edited_tree").alias("near_edited"),
-        merkle.likeness("own_tree", "next_tree").alias("near_next"),
+        F.col("to_edited.likeness").alias("near_edited"),
+        F.col("to_next.likeness").alias("near_next"),
     )
 
 
