@@ -279,6 +279,45 @@ def test_near_chains_and_hot_group(spark):
     assert out == {d: c for d, (_, c) in _components(data, 2).items()}
 
 
+def test_bucket_of_documents_alike_below_the_threshold(spark, monkeypatch):
+    rng = random.Random(16)
+    base = [f"w{i}" for i in range(200)]
+    data = []
+    for i in range(160):  # each differs from the base in its own places: pairs are alike at about 0.7
+        w = list(base)
+        for p in rng.sample(range(0, 200, 4), 9):
+            w[p] = f"v{i}x{p}"
+        data.append((i, " ".join(w)))
+    data += [(200 + i, data[i][1] + " end") for i in range(5)]
+    made = defaultdict(list)
+
+    def keep(df, purpose, real=minhash.written):
+        out = real(df, purpose)
+        made[purpose].append(out)
+        return out
+
+    monkeypatch.setattr(minhash, "written", keep)
+    across = minhash._Links.across
+    monkeypatch.setattr(minhash._Links, "across", lambda self, m, labels: across(self, m, labels, block=40))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.component_id for r in minhash.find_groups(df, words=2).collect()}
+    want = _components(data, 2)
+    assert out == {d: c for d, (_, c) in want.items()} and len(set(out.values())) > 100
+    # blocks name each document once a row or column of blocks, and only verified links come out of them
+    involved, links = made["minhash-involved"][0], made["minhash-across"][0]
+    assert {t for _, t in involved.dtypes} == {"bigint", "boolean", "binary", "array<bigint>"}
+    assert 0 < involved.count() <= 32 * len(data) * 2 * 5 and links.count() <= len(data)
+
+
+def test_signature_of_a_long_document_does_not_depend_on_its_turns():
+    rng = np.random.default_rng(3)
+    own, tail = rng.integers(0, 2**63, 150_000).astype(np.uint64), rng.integers(0, 2**63, 50).astype(np.uint64)
+    both = minhash.superminhash(np.concatenate([own, tail]), np.array([0, 150_000, 150_050]), 160)
+    assert (both[1] == minhash.superminhash(tail, np.array([0, 50]), 160)[0]).all()
+    parts = [minhash.superminhash(own[i : i + 7_000], np.array([0, len(own[i : i + 7_000])]), 160)[0] for i in range(0, 150_000, 7_000)]
+    assert (both[0] == np.min(parts, axis=0)).all()
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.default_rng(1)
     errors = []

@@ -11,10 +11,12 @@ is cut into bands; representatives that agree on a band share a bucket. Every me
 of a bucket is compared with the bucket's leader; pairs that the signatures put far
 below the threshold are dropped and the rest is verified on full sets. Components of
 the verified links are found. What matters then are pairs of a bucket that no component
-joins yet: signatures are compared in blocks of 2,048 by 2,048, a pair in the first
-band it shares only, and those alike enough are verified on full sets within their
-block, until a document is linked to the other's component. So no partner is capped,
-no bucket left out, and no group's pairs are listed as rows.
+joins yet: signatures are compared in blocks of at most 2,048 by 2,048, a pair in the
+first band it shares only; the full sets of those that are alike enough to some other
+come to their block, and pairs are verified there until a document is linked to the
+other's component. A block returns verified links and nothing else: no partner is
+capped, no bucket left out, and no pairs are listed. Blocks are smaller where sets are
+large, so that the sets of a block stay under about 64 MB each way, or are one set.
 
 A pair at the threshold of 0.8 shares none of 32 bands of 5 with probability 3e-6,
 and less above it.
@@ -79,12 +81,13 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.n
 def superminhash(elements: np.ndarray, offsets: np.ndarray, places: int) -> np.ndarray:
     """Signatures (one row per set): rank << 32 | fraction of the least element at each place; empty sets are all _TOP."""
     n = len(offsets) - 1
+    # elements are taken in turns of bounded size, also those of one long document: a place keeps the least over all turns
     sig = np.full((n, places), _TOP, dtype=np.int64)
     flat = sig.reshape(-1)
     doc = np.repeat(np.arange(n), np.diff(offsets))
     kind = np.uint8 if places <= 256 else np.uint16
-    for lo, hi in chunks(offsets, 60_000):
-        own, d = elements[offsets[lo] : offsets[hi]], doc[offsets[lo] : offsets[hi]]
+    for at in range(0, len(elements), 60_000):
+        own, d = elements[at : at + 60_000], doc[at : at + 60_000]
         order = np.tile(np.arange(places, dtype=kind), (len(own), 1))
         rows = np.arange(len(own))
         for j in range(places):
@@ -184,38 +187,44 @@ def _verify(percent: int):
     return run
 
 
-_BLOCK = "bucket long, row long, column long, node long, label long, partners array<long>"
+_BLOCK = "bucket long, row long, column long, asks boolean, node long, label long, sig binary, bands array<long>"
 
 
-def _plausible(least: float):
-    """Of one block of a bucket: the documents with partners in other components that the signatures
-    allow, with those partners, the most alike first. A pair belongs to the first band it shares."""
-    names = [c.split()[0] for c in _BLOCK.split(", ")]
+def _plausible(table: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one block of a bucket: places of the asking documents with the places of those that their signatures
+    allow, in other components, the most alike first. A pair belongs to the first band it shares."""
+    asks, bucket = table.column("asks").to_numpy(), table.column("bucket")[0].as_py()
+    node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+    sig = utf8(table.column("sig"))[0].copy().view("<u2").reshape(len(node), -1)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    members = np.flatnonzero(~asks)
+    if not len(members):
+        return
+    for i in np.flatnonzero(asks).tolist():
+        alike = (sig[members] == sig[i]).mean(axis=1)
+        c = np.flatnonzero((alike >= least) & (label[members] != label[i]))
+        shared = (bands[members[c]] == bands[i]).argmax(axis=1)
+        c = c[bands[i][shared] == bucket]
+        if len(c):
+            yield i, members[c][np.lexsort((node[members[c]], -alike[c]))]
+
+
+def _involved(least: float):
+    """Of one block: the rows that some pair needs."""
 
     def run(table: pa.Table) -> pa.Table:
-        asks, bucket = table.column("asks").to_numpy(), table.column("bucket").to_numpy()
-        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
-        sig = utf8(table.column("sig"))[0].copy().view("<u2").reshape(len(node), -1)
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
-        partners: dict[int, np.ndarray] = {}
-        for i in q.tolist() if len(m) else ():
-            alike = (sig[m] == sig[i]).mean(axis=1)
-            c = np.flatnonzero((alike >= least) & (label[m] != label[i]))
-            shared = (bands[m[c]] == bands[i]).argmax(axis=1)
-            c = c[bands[i][shared] == bucket[0]]
-            if len(c):
-                partners[int(node[i])] = node[m[c]][np.lexsort((node[m[c]], -alike[c]))]
-        met = np.unique(np.concatenate([np.zeros(0, np.int64), *partners.values(), np.fromiter(partners, np.int64)]))
-        of = dict(zip(node.tolist(), label.tolist(), strict=True))
-        n = len(met)
-        fixed = [pa.array(np.full(n, table.column(c)[0].as_py(), dtype=np.int64)) for c in ("bucket", "row", "column")]
-        lists = pa.array([partners.get(x, np.zeros(0, np.int64)) for x in met.tolist()], pa.list_(pa.int64()))
-        return pa.table([*fixed, pa.array(met), pa.array([of[x] for x in met.tolist()], pa.int64()), lists], names=names)
+        needed = np.zeros(len(table), dtype=bool)
+        for i, partners in _plausible(table, least):
+            needed[i] = True
+            needed[partners] = True
+        return table.select(_BLOCK_NAMES).filter(pa.array(needed))
 
     return run
 
 
+_BLOCK_NAMES = [c.split()[0] for c in _BLOCK.split(", ")]
+
+
 def _alike_sets(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     if min(len(s), len(t)) * 100 < percent * max(len(s), len(t)):
         return False
@@ -223,20 +232,19 @@ def _alike_sets(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(s) + len(t) - shared)
 
 
-def _verify_blocks(percent: int):
+def _verify_blocks(percent: int, least: float):
     """Of one block: one verified link of each asking document to each other component that has one."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = {r["node"]: r for r in table.select(["node", "label", "items", "partners"]).to_pylist()}
-        sets = {x: np.frombuffer(r["items"], dtype=np.uint64) for x, r in rows.items()}
+        node, label, items = table.column("node").to_pylist(), table.column("label").to_pylist(), table.column("items")
+        one = lambda i: np.frombuffer(items[i].as_buffer(), dtype=np.uint64)
         out = []
-        for x, r in rows.items():
-            linked = set()
-            for y in r["partners"]:
-                to = rows[y]["label"] if y in rows else None
-                if to is not None and to not in linked and _alike_sets(sets[x], sets[y], percent):
-                    linked.add(to)
-                    out.append((min(x, y), max(x, y)))
+        for i, partners in _plausible(table, least):
+            linked, own = set(), one(i)
+            for j in partners.tolist():
+                if label[j] not in linked and _alike_sets(own, one(j), percent):
+                    linked.add(label[j])
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
         return pa.table([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
@@ -268,25 +276,28 @@ class _Links:
         both = both.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")).hint("merge"), "a")
         return written(both.mapInArrow(_verify(self.percent), "a long, b long"), "minhash-links")
 
-    def across(self, member: DataFrame, labels: DataFrame, block: int = 2_048) -> DataFrame:
+    def across(self, member: DataFrame, labels: DataFrame, block: int = 2_048, block_bytes: int = 64 << 20) -> DataFrame:
         """Verified links (a, b) between components that share buckets: all that matter for components."""
         own = member.filter("n > 2").join(labels.withColumnRenamed("component", "label").hint("merge"), "node", "left")
-        own = written(own.select("bucket", "node", F.coalesce("label", "node").alias("label")), "minhash-labels")
-        sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-        main = main.filter("most < n").withColumn("rows", F.ceil(F.col("n") / block)).withColumn("columns", F.ceil((F.col("n") - F.col("most")) / block))
+        own = own.select("bucket", "node", F.coalesce("label", "node").alias("label"), (F.col("n_shingles") * 8).alias("bytes"))
+        own = written(own, "minhash-labels")
+        sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+        # rows of blocks hold all members of a bucket, columns those outside its largest component
+        main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("bytes").alias("bytes"))
+        parts = lambda n: F.greatest(F.ceil(n / block), F.ceil(n / F.col("n") * F.col("bytes") / block_bytes))
+        main = main.filter("most < n").withColumn("rows", parts(F.col("n"))).withColumn("columns", parts(F.col("n") - F.col("most")))
         main = written(main.select("bucket", "main", "rows", "columns"), "minhash-main")
-        mixed = own.join(main.hint("merge"), "bucket").join(self.reps.select("node", "sig", "bands").hint("merge"), "node")
+        mixed = own.drop("bytes").join(main.hint("merge"), "bucket").join(self.reps.select("node", "sig", "bands").hint("merge"), "node")
         mixed = written(mixed, "minhash-mixed")
         place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         members = mixed.withColumn("row", place("rows")).withColumn("column", every("columns")).withColumn("asks", F.lit(False))
         asking = mixed.filter("label <> main").withColumn("row", every("rows")).withColumn("column", place("columns")).withColumn("asks", F.lit(True))
         keys = ["bucket", "row", "column"]
-        blocks = members.unionByName(asking).select(*keys, "asks", "node", "label", "sig", "bands")
-        met = written(blocks.groupBy(*keys).applyInArrow(_plausible(self.least), _BLOCK), "minhash-plausible")
+        blocks = members.unionByName(asking).select(*_BLOCK_NAMES)
+        met = written(blocks.groupBy(*keys).applyInArrow(_involved(self.least), _BLOCK), "minhash-involved")
         sets = self.sets(met.select("node"))
-        found = met.join(sets.hint("merge"), "node").groupBy(*keys).applyInArrow(_verify_blocks(self.percent), "a long, b long")
+        found = met.join(sets.hint("merge"), "node").groupBy(*keys).applyInArrow(_verify_blocks(self.percent, self.least), "a long, b long")
         return written(found.distinct(), "minhash-across")
 
 
@@ -311,7 +322,7 @@ def find_groups(
     reps = named.select("c1", "c2", "n_shingles", F.monotonically_increasing_id().alias("node"), "r.doc_id", "r.text_key", "r.bands", "r.sig")
     reps = written(reps, "minhash-classes")
 
-    buckets = reps.select("node", F.explode("bands").alias("bucket"))
+    buckets = reps.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     # one order of the nodes for all bands: a group's buckets agree on few leaders
     first = F.min(F.struct(F.xxhash64("node").alias("d"), "node"))["node"]
     counted = buckets.groupBy("bucket").agg(F.count("*").alias("n"), first.alias("leader"))
