@@ -154,19 +154,57 @@ def test_repeats(spark, length):
         assert bytes(out[d].kept) == kept and out[d].n_spans == spans and out[d].kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+def test_strings_of_a_run_part_by_the_steps_they_cover():
+    rng = np.random.default_rng(17)
+    line = rng.integers(97, 123, 60).astype(np.uint8)
+    seen = defaultdict(set)
+    for _ in range(40):
+        buf = np.concatenate([rng.integers(97, 123, 70).astype(np.uint8), line, rng.integers(97, 123, 70).astype(np.uint8)])
+        first, last, h, place = suffix.anchor_runs(buf, np.array([0, len(buf)]), 50)
+        assert all((f <= a) & (a + suffix.GRAM <= z + 50) for f, z, a in zip(first, last, place, strict=True))
+        run, start, final, begin, end = suffix.by_steps(first, last, place, 50)
+        assert (final - start + 1).sum() == (last - first + 1).sum() == len(buf) - 49
+        assert (begin >= final - suffix.STEP).all() and (begin >= start).all() and (end <= start + 50).all() and (end - begin >= 50 - 2 * suffix.STEP).all()
+        for s, f, b, e in zip(start, final, begin, end, strict=True):
+            for w in range(s, f + 1):
+                seen[buf[w : w + 50].tobytes()].add(buf[b:e].tobytes())
+    assert all(len(keys) == 1 for keys in seen.values())
+
+
 def test_repeats_long_and_hot(spark, monkeypatch):
     rng = random.Random(5)
     line = "".join(rng.choices("abcdefgh ", k=120))
     long = "".join(rng.choices("abcdefghij", k=1_900_000))
-    data = [(i, f"{rng.random()}{line}{rng.random()}") for i in range(80)] + [(90, long), (91, "q" + long[950_000:951_000])]
+    data = [(i, f"{rng.random()}{line}{rng.choice('xy')}{rng.random()}") for i in range(80)] + [(90, long), (91, "q" + long[950_000:951_000])]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
-    monkeypatch.setattr(suffix.math, "ceil", lambda x: int(-(-x // 1)))
-    out = {r.doc_id: r for r in suffix.remove_repeats(df, hot_keys=1).collect()}
+    monkeypatch.setattr(suffix, "HOT", 3)
+    made = []
+    monkeypatch.setattr(suffix, "written", lambda d, purpose, real=suffix.written: made.append(out := real(d, purpose)) or out)
+    out = {r.doc_id: r for r in suffix.remove_repeats(df).collect()}
+    assert made[0].filter("hot").count() > 0
     assert out[91].n_removed == 1_000 and out[90].n_removed == 0
     want = _kept(data[:80], 50)
     assert all(bytes(out[d].kept) == want[d][0] for d in range(80))
 
 
+def test_repeats_without_ids(spark):
+    rng = random.Random(18)
+    block = ["".join(rng.choices("abc é", k=60)) for _ in range(3)]
+    texts = [*["".join(rng.choices(block, k=2)) for _ in range(6)], None, "", "alone " * 3]
+    data = [(None, t) for t in texts] + [(i, "".join(rng.choices(block, k=3)) + str(i)) for i in range(6)]
+    out = suffix.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(3), task_bytes=100).collect()
+    assert len(out) == len(data)
+    # rows without an id come first, in some order of their texts: of equal passages one keeps all
+    nameless = [r for r in out if r.doc_id is None]
+    assert sum(r.n_bytes - r.n_removed for r in nameless) >= len("".join(block).encode()) // 2 and any(r.n_removed for r in nameless)
+    seen = {b[p : p + 50] for t in texts for b in [(t or "").encode()] for p in range(len(b) - 49)}
+    for r in out:
+        if r.doc_id == 0:
+            b = data[len(texts)][1].encode()
+            gone = {q for p in range(len(b) - 49) if b[p : p + 50] in seen for q in range(p, p + 50)}
+            assert r.n_removed == len(gone)
+
+
 # ---- copies
 
 

@@ -16,14 +16,17 @@ with a smaller id. Work is dealt so that equal strings meet in one task:
 
 Copies within one batch of rows are told apart before any shuffle: of equal contexts
 only those of the smallest id are sent, the others are marked at once, so a passage
-that very many documents hold adds one context for each batch. Anchors in very many
-batches (at most ``hot_keys`` of them, a proven bound for what is broadcast) are dealt
-by each string's own hash instead.
+that very many documents hold adds one context for each batch. Where an anchor has very
+many holders, as the edges of a very common line have, a run is cut further: strings
+go to tasks by the eight-byte steps around the anchor that they cover, so contexts part
+where the texts around the line do. At most ``hot_keys`` anchors can have so many
+holders, since all documents together hold no more anchors than bytes; that bounds what
+is broadcast.
 
 Defined cases: null is empty; texts shorter than ``length`` keep everything; rows with
-one id never remove from each other; null ids count as smaller than all others;
-repeated rows get equal results; an empty table gives an empty result; extra columns
-are ignored.
+one id never remove from each other; null ids count as smaller than all others and are
+told apart by a hash of their text; repeated rows get equal results; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +49,10 @@ _MASK = (1 << 64) - 1
 _LOW48 = np.uint64((1 << 48) - 1)
 _POSITION = np.uint64((1 << 20) - 1)
 GRAM = 16
-FIRST_ID = -(1 << 63)
+#: Rows without an id get numbers from here down, by a hash of their text.
+NAMELESS = -(1 << 62)
+#: Steps by which strings of a hot anchor part, and holders that make an anchor hot.
+STEP, HOT = 8, 16_384
 
 
 # ---- suffix arrays
@@ -172,8 +178,8 @@ def _gram_hashes(buf: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchor_runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last start of each run of strings with one anchor, and the anchor's hash."""
+def anchor_runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last start of each run of strings with one anchor, the anchor's hash and its place."""
     found = []
     for i, j in chunks(offsets, 900_000):
         lo, hi = int(offsets[i]), int(offsets[j])
@@ -200,12 +206,30 @@ def anchor_runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
             new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
             first = np.flatnonzero(new)
             final = np.append(first[1:], len(start)) - 1
-            found.append((start[first] + at, start[final] + at, h[anchor[first]]))
+            found.append((start[first] + at, start[final] + at, h[anchor[first]], anchor[first] + at))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def by_steps(first: np.ndarray, last: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts runs where their strings cover other eight-byte steps around the anchor.
+
+    Returns the run, first and last start of each part, and begin and end of the bytes that all its strings
+    cover. Equal strings hold the anchor at one place, so they cover equal bytes.
+    """
+    n = last - first + 1
+    run = np.repeat(np.arange(len(first)), n)
+    start = ranges(first, n)
+    place = anchor[run]
+    left, right = (place - start) // STEP, (start + length - place - GRAM) // STEP
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (run[1:] != run[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+    at = np.flatnonzero(new)
+    final = np.append(at[1:], len(start)) - 1
+    return run[at], start[at], start[final], place[at] - left[at] * STEP, place[at] + GRAM + right[at] * STEP
+
+
 # ---- blocks of numbers in binary columns
 
 
@@ -225,18 +249,18 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]]) if len(sorted_keys) else np.zeros(1, np.int64)
 
 
-_ANCHORS = "part long, own boolean, doc_id long, grams binary, docs binary"
+_ANCHORS = "part long, own boolean, doc_id long, grams binary, docs binary, times binary"
 
 
 def _find_anchors(length: int, parts: int, kind: str, several_docs: int):
     """Of each batch: its anchors by part of the hash range (unique in the batch, with their document
-    or ``several_docs``), and by document the anchors that several documents of the batch have."""
+    or ``several_docs`` and how many hold it), and by document the anchors that several documents of the batch have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             buf, offsets = utf8(batch.column(1))
-            first, _, h = anchor_runs(buf, offsets, length)
+            first, _, h, _ = anchor_runs(buf, offsets, length)
             if not len(h):
                 continue
             doc = np.searchsorted(offsets, first, side="right") - 1
@@ -249,7 +273,9 @@ def _find_anchors(length: int, parts: int, kind: str, several_docs: int):
             part = ((one >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             by = _runs(part)
             grams = one.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            yield _block(part[by[:-1]], None, _blobs(grams, by), _blobs(holder, by))
+            times = np.diff(cuts)[several].astype("<u4")
+            by_times = np.concatenate([[0], np.cumsum(several)])[by]
+            yield _block(part[by[:-1]], None, _blobs(grams, by), _blobs(holder, by), _blobs(times, by_times))
             known = np.repeat(several, np.diff(cuts))
             doc, h = doc[known], h[known] & _LOW48
             order = np.lexsort((h, doc))
@@ -257,9 +283,9 @@ def _find_anchors(length: int, parts: int, kind: str, several_docs: int):
             by = _runs(doc)
             if len(by) > 1:
                 own = ids[doc[by[:-1]]]
-                yield _block(own % parts, own, _blobs(h, by), None)
+                yield _block(own % parts, own, _blobs(h, by), None, None)
 
-    def _block(part, own, grams, docs) -> pa.RecordBatch:
+    def _block(part, own, grams, docs, times) -> pa.RecordBatch:
         n = len(part)
         columns = [
             pa.array(part.astype(np.int64)),
@@ -267,8 +293,9 @@ def _find_anchors(length: int, parts: int, kind: str, several_docs: int):
             pa.nulls(n, pa.int64()) if own is None else pa.array(own),
             grams,
             pa.nulls(n, pa.binary()) if docs is None else docs,
+            pa.nulls(n, pa.binary()) if times is None else times,
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "own", "doc_id", "grams", "docs"])
+        return pa.RecordBatch.from_arrays(columns, names=["part", "own", "doc_id", "grams", "docs", "times"])
 
     return run
 
@@ -290,19 +317,21 @@ def _shared_anchors(kind: str, several_docs: int, hot_above: int):
             h[:, :6] = raw
             h = h.view("<u8").reshape(-1)
             docs = _joined(rest.column("docs"), kind)
+            held = np.ones(len(docs), dtype=np.int64)
+            held[docs == several_docs] = _joined(rest.column("times"), "<u4")
             order = np.argsort(h, kind="stable")
-            h, docs = h[order], docs[order]
+            h, docs, held = h[order], docs[order], held[order]
             cuts = _runs(h)
             times = np.diff(cuts)
             hit = (times > 1) | np.logical_or.reduceat(docs == several_docs, cuts[:-1])
-            hot = h[cuts[:-1]][times > hot_above]
+            hot = h[cuts[:-1]][np.add.reduceat(held, cuts[:-1]) > hot_above]
             keep = np.repeat(hit, times) & (docs != several_docs)
             h, docs = h[keep], docs[keep].astype(np.int64)
             n = len(h)  # a row for each anchor: rows by document and part would grow with their product
             if n:
                 out.append(pa.table([pa.array(docs), _blobs(h, np.arange(n + 1)), pa.array(np.zeros(n, bool))], schema=schema))
             if len(hot):
-                out.append(pa.table([pa.nulls(len(hot), pa.int64()), _blobs(hot, np.arange(len(hot) + 1)), pa.array(np.ones(len(hot), bool))], schema=schema))
+                out.append(pa.table([pa.nulls(1, pa.int64()), _blobs(hot, np.array([0, len(hot)])), pa.array([True])], schema=schema))
         return pa.concat_tables(out)
 
     return run
@@ -382,7 +411,7 @@ def _cut_contexts(length: int, parts: int, shared):
             rows = batch.column("__row").to_numpy(zero_copy_only=False)
             buf, offsets = utf8(batch.column("text"))
             lists = batch.column("grams")
-            first, last, h = anchor_runs(buf, offsets, length)
+            first, last, h, anchor = anchor_runs(buf, offsets, length)
             if not len(h):
                 continue
             h &= _LOW48
@@ -396,15 +425,14 @@ def _cut_contexts(length: int, parts: int, shared):
                 a, b = at[places[d] - places[0]], at[places[d + 1] - places[0]]
                 if hi > lo and b > a:
                     keep[lo:hi] = np.isin(h[lo:hi], data[a:b].view("<u8"))
-            first, last, h, doc = first[keep], last[keep], h[keep], doc[keep]
+            first, last, h, doc, anchor = first[keep], last[keep], h[keep], doc[keep], anchor[keep]
             if len(hot) and len(h):
                 wide = np.isin(h, hot)
-                if wide.any():  # one string at a time, dealt by its own hash
-                    n = (last - first + 1)[wide]
-                    one = ranges(first[wide], n)
-                    own = span_hashes_blocked(buf, one, one + length, _TABLE) & _LOW48
-                    first, last = np.concatenate([first[~wide], one]), np.concatenate([last[~wide], one])
-                    h, doc = np.concatenate([h[~wide], own]), np.concatenate([doc[~wide], np.repeat(doc[wide], n)])
+                if wide.any():
+                    run, start, final, begin, end = by_steps(first[wide], last[wide], anchor[wide], length)
+                    own = span_hashes_blocked(buf, begin, end, _TABLE) & _LOW48
+                    first, last = np.concatenate([first[~wide], start]), np.concatenate([last[~wide], final])
+                    h, doc = np.concatenate([h[~wide], own]), np.concatenate([doc[~wide], doc[wide][run]])
             if not len(h):
                 continue
             sizes = last - first + length
@@ -522,14 +550,15 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, hot_keys: int = 100_000, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 3 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, hot_keys: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 3 << 20, task_bytes: int = 96 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes): one row per document."""
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    own = own.withColumn("__id", F.coalesce("doc_id", F.lit(FIRST_ID)))
+    nameless = F.lit(NAMELESS) - F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    own = own.select(F.coalesce("doc_id", nameless).alias("__id"), "text")
     size, low, high = own.agg(F.sum(F.octet_length("text").cast("long")), F.min("__id"), F.max("__id")).first()
     size = size or 0
     parts = max(partitions(spark), min(1 << 22, math.ceil(size / part_bytes)))
@@ -537,19 +566,22 @@ def remove_repeats(docs: DataFrame, length: int = 50, hot_keys: int = 100_000, i
     kind, several = ("<u4", 2**32 - 1) if narrow else ("<i8", -(1 << 63) + 1)
 
     anchors = own.select("__id", "text").mapInArrow(_find_anchors(length, parts, kind, several), _ANCHORS)
-    # at most hot_keys anchors can be in more than this many batches
-    hot_above = max(1_024, math.ceil(size / 8 / hot_keys))
-    found = written(anchors.groupBy("part").applyInArrow(_shared_anchors(kind, several, hot_above), _CANDIDATES), "suffix-anchors")
-    hot = found.filter("hot").select("grams").limit(hot_keys).collect()
+    # at most hot_keys anchors can have more holders than this
+    hot_above = max(HOT, math.ceil(size / hot_keys))
+    # tasks of a bounded size: beyond what the session's number of partitions is made for, more of them
+    tasks = math.ceil(size / task_bytes)
+    dealt = lambda df: df.repartition(tasks, "part") if tasks > partitions(spark) else df
+    found = written(dealt(anchors).groupBy("part").applyInArrow(_shared_anchors(kind, several, hot_above), _CANDIDATES), "suffix-anchors")
+    hot = found.filter("hot").select("grams").collect()
     hot = np.unique(np.frombuffer(b"".join(bytes(r[0]) for r in hot), dtype="<u8"))
     shared = spark.sparkContext.broadcast(hot)
 
     asked = found.filter("not hot").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("grams").alias("grams"))
     wanted = own.select("text", "__id").hint("merge").join(asked, "__id").select("__id", F.xxhash64("__id", "text").alias("__row"), "text", "grams")
     contexts = wanted.mapInArrow(_cut_contexts(length, parts, shared), _CONTEXTS)
-    marks = contexts.groupBy("part").applyInArrow(_mark(length), "doc_id long, row_id long, spans binary")
+    marks = dealt(contexts).groupBy("part").applyInArrow(_mark(length), "doc_id long, row_id long, spans binary")
     marks = marks.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("row_id", "spans")).alias("found"))
     # the same two columns by the same key as above: the texts are shuffled once
-    own_id = F.when(F.col("__id") != FIRST_ID, F.col("__id")).alias("doc_id")
+    own_id = F.when(F.col("__id") > NAMELESS, F.col("__id")).alias("doc_id")
     last = own.select("text", "__id").hint("merge").join(marks, "__id", "left").select(own_id, F.xxhash64("__id", "text").alias("__row"), "text", "found")
     return last.mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
