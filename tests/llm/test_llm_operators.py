@@ -574,10 +574,29 @@ def test_chat_detects_rewritten_history(spark):
 
     seen = chat.Renderer(hides).render([("user", "hello"), ("assistant", "hi"), ("user", "bye")])
     assert seen.rewritten_at == 1
+    def forgets(turns):  # beyond 70 turns the first one goes
+        return chat.marked_turns(turns[1:] if len(turns) > 70 else turns)
+
+    many = [("user", str(i)) for i in range(90)]
+    assert chat.Renderer(forgets).render(many).rewritten_at == chat.Renderer(forgets, block=8).render(many).rewritten_at == 70
+
+    def once(turns):  # only at one length the template writes otherwise
+        return chat.marked_turns([("user", "?"), *turns[1:]] if len(turns) == 71 else turns)
+
+    assert chat.Renderer(once).render(many).rewritten_at == 70
     whole = chat.Renderer(begins, block=2).render([("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")])
     assert whole.rewritten_at is None and [whole.text[s:e] for s, e in whole.contents] == ["a", "b", "c", "d"]
 
 
+def test_chat_long_conversation(spark):
+    said = {t: f"turn {t} <|im_end|>" for t in range(3_000)} | {77: "é<|" * 300_000}
+    data = [(1, t, "assistant" if t % 2 else "user", x) for t, x in said.items()]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(4)
+    r = chat.digests(chat.format_conversations(df, block=64)).first()
+    loss = "".join(x for t, x in said.items() if t % 2)
+    assert (r.n_turns, r.loss_chars, r.rewritten_at) == (3_000, len(loss), None) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
 # ---- fingerprints
 
 

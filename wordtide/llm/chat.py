@@ -7,9 +7,11 @@ rewrites history, which is reported with the turn that showed it. Where a turn's
 text lies in its span is found with probe texts, so nothing is assumed of the
 template. The loss mask covers the texts of the trained role.
 
-Prefixes of long conversations are rendered in blocks of ``block`` turns, and one
-render of the whole conversation checks the result; a template for which the blocks
-do not add up is rendered prefix by prefix.
+Every prefix is rendered, which costs the square of a conversation's turns. For a template
+that is known to render a turn without regard to turns far before it, a ``block`` of turns
+can be given: prefixes then begin at the block, and what the blocks add up to is compared
+with the whole conversation and with its prefixes of once, twice, four times ... the block;
+where one differs, all prefixes are rendered after all.
 
 Rows of a conversation come together by its id and are read in order of turn. One
 conversation is one document and one value of the result, so the longest sets the
@@ -82,7 +84,7 @@ class Rendered:
 class Renderer:
     """Renders conversations with one template and remembers the frames of its roles."""
 
-    def __init__(self, template: Template, block: int = 64):
+    def __init__(self, template: Template, block: int | None = None):
         self.template, self.block = template, block
         self.frames: dict[str, tuple[str, str]] = {}
 
@@ -132,12 +134,23 @@ class Renderer:
         out.text = "?"
         return out
 
+    def _adds_up(self, turns: list[Turn], whole: str) -> bool:
+        parts, at = "", 0
+        while at < len(turns):
+            upto = max(2 * at, self.block)
+            parts += "".join(self.template(turns[i : i + self.block]) for i in range(at, min(upto, len(turns)), self.block))
+            if upto < len(turns) and parts != self.template(turns[:upto]):
+                return False
+            at = upto
+        return parts == whole
+
     def render(self, turns: list[Turn]) -> Rendered:
         whole = self.template(turns)
-        out = self._prefixes(turns, self.block)
-        if len(turns) > self.block:
-            parts = "".join(self.template(turns[i : i + self.block]) for i in range(0, len(turns), self.block))
-            if out.rewritten_at is not None or parts != whole:
+        if self.block is None or len(turns) <= self.block:
+            out = self._prefixes(turns, max(1, len(turns)))
+        else:
+            out = self._prefixes(turns, self.block)
+            if out.rewritten_at is not None or not self._adds_up(turns, whole):
                 out = self._prefixes(turns, len(turns))
         out.text = whole
         return out
@@ -148,7 +161,7 @@ _PAIRS = pa.list_(pa.list_(pa.int64()))
 _ARROW = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("roles", pa.list_(pa.string())), ("spans", _PAIRS), ("loss", _PAIRS), ("rewritten_at", pa.int32())])
 
 
-def _format(template: Template, trained: str, block: int):
+def _format(template: Template, trained: str, block: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         renderer = Renderer(template, block)
         rows: list[tuple] = []
@@ -182,7 +195,7 @@ def _format(template: Template, trained: str, block: int):
     return run
 
 
-def format_conversations(conversations: DataFrame, template: Template = marked_turns, trained: str = "assistant", block: int = 64) -> DataFrame:
+def format_conversations(conversations: DataFrame, template: Template = marked_turns, trained: str = "assistant", block: int | None = None) -> DataFrame:
     """One row per conversation: its formatted text, the role and span of each turn, the loss mask
     (code points), and the turn at which the template rewrote history (else null; then the mask is empty)."""
     ship(conversations.sparkSession)
