@@ -72,7 +72,21 @@ def test_shards(docs, rows):
     for s, n in sizes.items():
         assert sorted(r.slot for r in out if r.shard == s) == list(range(n))
     place = lambda rs: sorted((r.shard, r.slot, str(r.doc_id), r.text or "") for r in rs)
-    assert place(out) == place(again)
+    assert place(out) == place(again) and out[0].bucket == 4
+
+
+def test_rows_that_repeat_very_often_are_spread(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(sharding, "_shuffle_buckets", lambda seed, real=sharding._shuffle_buckets: held.append(seed) or real(seed))
+    data = [(1, "same", "a")] * 700 + [(1, "same", "b")] * 50 + [(i, f"t{i}", "c") for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(5)
+    run = lambda: sharding.external_shuffle(df, shards=4, most_repeats=64).collect()
+    out = run()
+    assert Counter(r[:3] for r in out) == Counter(data) and sorted(map(str, out)) == sorted(map(str, run()))
+    sizes = Counter(r.shard for r in out)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    numbered = sharding._numbered(df.withColumn("__hash", F.xxhash64("doc_id", "text")), 64).filter("doc_id = 1 and text = 'same'").collect()
+    assert Counter((r.lang, r["__copy"]) for r in numbered) == Counter([*(("a", i) for i in range(700)), *(("b", i) for i in range(50))])
 
 
 # ---- language
@@ -221,9 +235,23 @@ def test_exact(docs, rows):
     assert {r.text or "" for r in kept} == set(groups) and len({(r.doc_id, r.text) for r in kept}) == len(groups)
 
 
+def test_copies_are_found_through_the_directory(docs, rows, monkeypatch):
+    want = sorted(exact.find_copies(docs, capacity=4).collect(), key=str)
+
+    def without_cells(keys, capacity, real=exact.directory):
+        cells, depth = real(keys, capacity)
+        return cells.filter("cell % 2 = 0"), depth
+
+    monkeypatch.setattr(exact, "directory", without_cells)
+    got = sorted(exact.find_copies(docs, capacity=4).collect(), key=str)
+    lost = [r for r in got if r not in want]
+    assert lost and all(r.group_size == 1 and r.keep_id == r.doc_id for r in lost)
+
+
 def test_chains_lie_with_the_owner_of_their_bucket(docs, rows, monkeypatch):
     made = {}
     monkeypatch.setattr(exact, "written", lambda df, purpose, real=exact.written: made.setdefault(purpose, real(df, purpose)))
+    monkeypatch.setattr(exact, "discard", lambda *tables: None)
     exact.find_copies(docs, capacity=4).collect()
     files = defaultdict(set)
     for r in made["exact-chains"].select("*", "_metadata.file_path").collect():
@@ -335,6 +363,7 @@ def test_bucket_of_documents_alike_below_the_threshold(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(minhash, "written", keep)
+    monkeypatch.setattr(minhash, "discard", lambda *tables: None)
     across = minhash._Links.across
     monkeypatch.setattr(minhash._Links, "across", lambda self, m, labels: across(self, m, labels, block=40))
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
@@ -392,6 +421,14 @@ def test_mixing(docs, rows):
     assert mixing.mix(docs).count() == sum(r.copies for r in plan)
 
 
+def test_mixing_draws(spark):
+    none = spark.createDataFrame([(None, f"word{i}", "s") for i in range(400)], "doc_id long, text string, source string")
+    copies = Counter(r.copies for r in mixing.mixing_plan(none, share=1.5, max_repeat=2.5).collect())
+    assert 140 < copies[1] < 260 and copies[1] + copies[2] == 400
+    copies = Counter(r.copies for r in mixing.mixing_plan(none, share=9.0, max_repeat=2.5).collect())
+    assert 140 < copies[2] < 260 and copies[2] + copies[3] == 400
+
+
 # ---- personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

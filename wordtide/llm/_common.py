@@ -36,7 +36,18 @@ def written(df: DataFrame, purpose: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing still to be computed reads."""
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            sc = df.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ship(spark: SparkSession) -> None:

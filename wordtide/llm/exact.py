@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_of, written
+from ._common import discard, text_of, written
 
 
 def _prefix(key: Column, depth: int) -> Column:
@@ -55,6 +55,7 @@ def directory(keys: DataFrame, capacity: int, max_depth: int = 48) -> tuple[Data
         fits = fits.filter((F.col("n") <= capacity) | (F.lit(local) == depth)).select("bucket")
         level = at.join(fits, "bucket", "left_semi").select("cell", F.lit(local).alias("local_depth"), "bucket")
         found = level if found is None else found.unionByName(level)
+    # a cell lies in the widest bucket that holds its keys: its local depth
     one = found.groupBy("cell").agg(F.min(F.struct("local_depth", "bucket")).alias("b"))
     return one.select("cell", "b.bucket", "b.local_depth"), depth
 
@@ -71,7 +72,7 @@ def _chains(members: DataFrame) -> DataFrame:
     return links.repartition(*cell).groupBy(*cell, "key").agg(F.array_sort(F.collect_list(link)).alias("chain"))
 
 
-def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=None, capacity: int = 65_536) -> DataFrame:
+def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=None, capacity: int = 2_048) -> DataFrame:
     """doc_id, keep_id (the largest doc_id of equal texts), group_size, kept, text_sha256."""
     normal = (normalise or (lambda c: c))(text_of(text_col))
     texts = docs.select(F.col(id_col).alias("doc_id"), normal.alias("text")).withColumn("key", F.xxhash64("text"))
@@ -98,6 +99,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     chained = members.filter("bucket is not null")
     chains = written(_chains(chained), "exact-chains")
+    discard(counts, index)
     at = chained.join(chains.hint("merge"), ["local_depth", "bucket", "key"])
     # bytes are compared: a row belongs to the link of its chain that has its text
     link = F.filter("chain", lambda c: c["text"] == F.col("text"))[0]

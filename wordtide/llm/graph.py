@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ship, written
+from ._common import discard, ship, written
 
 
 class UnionFind:
@@ -73,4 +73,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large.distinct(), "stars")
         low = large.groupBy("v").agg(F.min("u").alias("low"))
         small = large.join(low, "v").filter("u <> low").select(F.col("u").alias("v"), F.col("low").alias("u"))
-        e = written(small.unionByName(low.select("v", F.col("low").alias("u"))).distinct(), "stars")
+        after = written(small.unionByName(low.select("v", F.col("low").alias("u"))).distinct(), "stars")
+        discard(e, large)
+        e = after

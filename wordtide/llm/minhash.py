@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import byte_table, chunks, mix, span_hashes, utf8, word_spans
-from ._common import WORD_PATTERN, ship, text_of, written
+from ._common import WORD_PATTERN, discard, ship, text_of, written
 from .graph import components
 
 _WORDS = byte_table(29, lower=True)
@@ -274,7 +274,9 @@ class _Links:
         sets = self.sets(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))))
         both = near.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")).hint("merge"), "b")
         both = both.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")).hint("merge"), "a")
-        return written(both.mapInArrow(_verify(self.percent), "a long, b long"), "minhash-links")
+        links = written(both.mapInArrow(_verify(self.percent), "a long, b long"), "minhash-links")
+        discard(near, sets)
+        return links
 
     def across(self, member: DataFrame, labels: DataFrame, block: int = 2_048, block_bytes: int = 64 << 20) -> DataFrame:
         """Verified links (a, b) between components that share buckets: all that matter for components."""
@@ -298,7 +300,9 @@ class _Links:
         met = written(blocks.groupBy(*keys).applyInArrow(_involved(self.least), _BLOCK), "minhash-involved")
         sets = self.sets(met.select("node"))
         found = met.join(sets.hint("merge"), "node").groupBy(*keys).applyInArrow(_verify_blocks(self.percent, self.least), "a long, b long")
-        return written(found.distinct(), "minhash-across")
+        links = written(found.distinct(), "minhash-across")
+        discard(own, main, mixed, met, sets)
+        return links
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -337,6 +341,7 @@ def find_groups(
     named = written(named.withColumn("component", F.coalesce("component", "node")).drop("node"), "minhash-named")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
     stays = written(named.groupBy("component").agg(first), "minhash-stays")
+    discard(reps, full, member, links, more)
     named = named.withColumnRenamed("doc_id", "class_id").drop("text_key").join(stays.hint("merge"), "component")
     named = named.select("c1", "c2", "n_shingles", "class_id", "first")
     linked = some.select("doc_id", "text_key", "n_shingles", "c1", "c2").join(named.hint("merge"), ["c1", "c2", "n_shingles"])

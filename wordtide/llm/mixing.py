@@ -6,13 +6,15 @@ and each document is emitted floor(rate) times plus one copy that a hash-seeded
 Bernoulli draw grants with probability equal to the fraction of the rate.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the
-last in order; repeated rows are documents of their own and share their draw;
+last in order; repeated rows are documents of their own and share their draw; rows
+without an id draw by a hash of their text;
 an empty table gives an empty result; columns of the input that are named like a
 result column are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,7 +59,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max
 
 def bernoulli(key: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone (12 hex digits of an MD5)."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(2**48))
 
 
@@ -70,22 +72,25 @@ def mixing_plan(
     size: Column | None = None,
     id_col: str = "doc_id",
     source_col: str = "source",
+    text_col: str = "text",
 ) -> DataFrame:
     """The input's rows with ``size``, ``source_size``, ``target``, ``rate`` and ``copies``.
 
     The per-source table joins back on the source; a source with a third of all
     rows is a skewed probe side, which adaptive execution splits, and the other
-    side has one row per source. ``copies`` never exceeds ``max_repeat``.
+    side has one row per source. ``copies`` never exceeds ``max_repeat``, or the next whole
+    number where that is a fraction.
     """
-    size = word_count("text") if size is None else size
+    size = word_count(text_col) if size is None else size
     extra = ("size", "source_size", "target", "rate", "copies")
     base = docs.drop(*[c for c in extra if c in docs.columns]).withColumn("size", size)
     sums = base.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
     targets = source_targets(sums, weights, share, max_repeat).drop("weight").withColumnRenamed("source", "__source")
     out = base.join(targets, base[source_col].eqNullSafe(targets["__source"]), "left").drop("__source")
     whole = F.floor("rate")
-    extra_copy = (bernoulli(F.col(id_col), seed) < F.col("rate") - whole).cast("long")
-    return out.withColumn("copies", F.least(whole + extra_copy, F.lit(int(max_repeat))).cast("long"))
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(text_of(text_col))))
+    extra_copy = (bernoulli(key, seed) < F.col("rate") - whole).cast("long")
+    return out.withColumn("copies", F.least(whole + extra_copy, F.lit(math.ceil(max_repeat))).cast("long"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -61,7 +61,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -77,7 +77,7 @@ WITH d AS (
          CASE WHEN source_size > 0 THEN coalesce(least(cap, weight * water), cap) / source_size ELSE 0 END AS rate FROM v
 )
 SELECT d.doc_id, d.size, t.source_size, t.target,
-       CAST(d.size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('17:' || d.doc_id), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(d.size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('17:' || d.key), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
 

@@ -7,12 +7,14 @@ buckets, one after the other, are a random permutation of the corpus; shards are
 equal stretches of it, so their row counts differ by one at most (law ``rows``),
 and a task writes to one or two shards.
 
-Copies of a text are records like any other and spread over the shards.
-
-Defined cases: null texts count one byte; null ids, repeated ids and repeated rows
-are spread by id and text together, so only identical rows meet in a bucket; an
-empty table gives an empty result; columns of the input named ``shard``, ``slot``
-or ``bucket`` are replaced. Reruns and recomputed tasks give the same shards.
+Copies of a text are records like any other and spread over the shards. Records are
+dealt by id and text together. Of rows that repeat both more than ``most_repeats`` times,
+equal ones are counted and their copies numbered, and they are dealt by number as well;
+so no bucket fills with one row's copies.
+
+Defined cases: null texts count one byte; null and repeated ids are told apart by their
+text; an empty table gives an empty result; columns of the input named ``shard`` or
+``slot`` are replaced. Reruns and recomputed tasks give the same shards.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import partitions, shared_dir, ship, text_of
+from ._common import discard, partitions, shared_dir, ship, text_of, written
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -61,8 +63,26 @@ def _shuffle_buckets(seed: int):
     return run
 
 
+def _numbered(hashed: DataFrame, most_repeats: int) -> DataFrame:
+    """Adds ``__copy``: 0, but for rows that repeat id and text very often the number of the copy among equal rows."""
+    spark, columns = hashed.sparkSession, hashed.columns
+    often = written(hashed.groupBy("__hash").agg(F.count("*").alias("n")).filter(F.col("n") > most_repeats).select("__hash"), "shard-repeats")
+    plain = F.lit(0).cast("long")
+    if often.isEmpty():
+        discard(often)
+        return hashed.withColumn("__copy", plain)
+    rest = hashed.join(often, "__hash", "left_anti").select(*[f"`{c}`" for c in columns]).withColumn("__copy", plain)
+    many = hashed.join(often, "__hash", "left_semi").groupBy(*[f"`{c}`" for c in columns]).agg(F.count("*").alias("__n"))
+    # numbered in two steps, so that one row's copies are made by many tasks
+    step = most_repeats
+    many = many.withColumn("__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(step).cast("long"))))
+    many = many.repartition(partitions(spark), "__hash", "__first")
+    last = F.least(F.col("__first") + step, F.col("__n")) - 1
+    return rest.unionByName(many.withColumn("__copy", F.explode(F.sequence("__first", last))).drop("__n", "__first"))
+
+
 def external_shuffle(
-    docs: DataFrame, shards: int = 16, seed: int = 41, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shards: int = 16, seed: int = 41, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", most_repeats: int = 1_000
 ) -> DataFrame:
     """The rows of ``docs`` with ``shard`` and ``slot`` (gapless in its shard), in shuffled order.
 
@@ -71,11 +91,13 @@ def external_shuffle(
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop(*[c for c in ("shard", "slot", "bucket") if c in docs.columns])
+    docs = docs.drop(*[c for c in ("shard", "slot") if c in docs.columns])
     hashed = docs.withColumn("__text_hash", F.xxhash64(F.lit(seed), text_of(text_col)))
     hashed = hashed.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(id_col), F.col("__text_hash"))).withColumn("__id", F.col(id_col))
     size = docs.agg(F.sum(F.octet_length(text_of(text_col)) + 64)).first()[0] or 0
     n = max(partitions(spark), math.ceil(size / bucket_bytes))
+    hashed = _numbered(hashed, most_repeats)
+    hashed = hashed.withColumn("__hash", F.when(F.col("__copy") > 0, F.xxhash64("__hash", "__copy")).otherwise(F.col("__hash")))
     hashed = hashed.withColumn("__bucket", F.pmod("__hash", F.lit(n)).cast("long"))
 
     counts = hashed.groupBy("__bucket").agg(F.count("*").alias("n"))
