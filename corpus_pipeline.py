@@ -17,10 +17,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; ``lang`` stays as it was labelled."""
+    """Documents that the classifier rejects go; of those that stay ``lang`` becomes the language that was found."""
     own = docs.select(*COLUMNS)
     model = langid.fit(own.filter(~langid.held_out()))
-    return langid.predict(own, model).filter(~F.col("rejected")).select(*COLUMNS)
+    found = langid.predict(own, model).filter(~F.col("rejected"))
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
