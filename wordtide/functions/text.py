@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,8 +18,7 @@ SENTENCE_END = r"[.!?;\n]"
 WORD = r"([\p{L}'-]+)"
 TRIMMED = "-'"
 
-#: Default function words, the 318 of the reference (MIT License, Copyright (c) 2026 Justin Stimatze);
-#: the list is a parameter of everything that keeps tokens.
+#: The default function words. The list is a parameter of everything that keeps tokens.
 FUNCTION_WORDS = """
 a about above across actually after again against all along already also always am among an and
 another any are aren aren't around as at back bad be because been before behind being below beneath
@@ -42,6 +41,11 @@ within without won won't would wouldn wouldn't yeah yes yet you you're you've yo
 """
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once: lambdas would evaluate a captured expression per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lemma_of(word: str) -> str:
     """Python twin of :func:`lemma`; lengths are in bytes."""
     w = word.removesuffix("'s").removesuffix("'")

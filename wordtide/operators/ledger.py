@@ -6,7 +6,7 @@ injections(at, lemma).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the most suggestions for the curated list.
@@ -17,7 +17,7 @@ def fold(report_log: DataFrame, refresh_log: DataFrame, injections: DataFrame |
     """One row per lemma ever reported: first and last seen and rate, refreshes, faded, faded_at, injected.
 
     A lemma has faded if a refresh came after its last report; an empty refresh fades all.
-    Times of refreshes are few; the time of fading comes from the refresh after each one.
+    Refreshes are a few a day, so one window orders their times; the time of fading is that of the refresh after the last report.
     """
     own = report_log.groupBy("lemma").agg(
         F.min("refresh_at").alias("first_flagged"),
@@ -29,8 +29,7 @@ def fold(report_log: DataFrame, refresh_log: DataFrame, injections: DataFrame |
         F.count_distinct("refresh_at").alias("refreshes"),
     )
     times = refresh_log.select("refresh_at").distinct()
-    following = F.array_sort(F.collect_list("refresh_at"))
-    after = times.agg(following.alias("t")).select(F.posexplode("t").alias("i", "last_seen"), "t").select("last_seen", F.get("t", F.col("i") + 1).alias("faded_at"))
+    after = times.select(F.col("refresh_at").alias("last_seen"), F.lead("refresh_at").over(Window.orderBy("refresh_at")).alias("faded_at"))
     out = own.join(after, "last_seen", "left").withColumn("faded", F.col("faded_at").isNotNull())
     if injections is None:
         return out.withColumn("injected", F.lit(0).cast("long"))

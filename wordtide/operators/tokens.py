@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -49,9 +50,22 @@ def stored(sents: DataFrame) -> DataFrame:
     return first.select("s.turn_id", "s.sent_no", "s.project", "tokens", "s.raw")
 
 
+#: Turns of a block of corpus order.
+BLOCK = 65_536
+
+
 def index(store: DataFrame) -> DataFrame:
-    """lemma, turn_id, sent_no, tokens, raw: each stored sentence once for each of its lemmas."""
-    return store.select(F.explode(F.array_distinct("tokens")).alias("lemma"), "turn_id", "sent_no", "tokens", "raw")
+    """lemma, turn_id, sent_no: each stored sentence once for each of its lemmas."""
+    return store.select(F.explode(F.array_distinct("tokens")).alias("lemma"), "turn_id", "sent_no")
+
+
+def _block(rows: DataFrame) -> Column:
+    """Stretches of corpus order. A turn_id is a number, or a struct (path, place) of a line of a file."""
+    kind = rows.schema["turn_id"].dataType
+    if not isinstance(kind, T.StructType):
+        return F.expr(f"turn_id div {BLOCK}")
+    *keys, place = kind.names
+    return F.struct(*[F.col(f"turn_id.{k}").alias(k) for k in keys], F.expr(f"turn_id.{place} div {BLOCK}").alias(place))
 
 
 def strided(rank: Column, n: Column, most: int) -> Column:
@@ -60,43 +74,62 @@ def strided(rank: Column, n: Column, most: int) -> Column:
     return (n <= most) | ((i < most) & (F.floor(i * n / most) == rank)) if most > 0 else F.lit(True)
 
 
+def _sampled(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """``rows``(by..., turn_id, sent_no) of the systematic sample of each group, with ``use_rank``.
+
+    Ranks come without one task for a group: blocks of corpus order are counted, the counts
+    of a group are summed up (one row for each block), and only blocks that hold a row of the
+    sample are numbered, each in a window of its own.
+    """
+    own = rows.withColumn("block", _block(rows))
+    counts = own.groupBy(*by, "block").agg(F.count("*").alias("c"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn("n", F.sum("c").over(group))
+    if most > 0:
+        i = F.ceil(F.col("start") * most / F.col("n"))
+        first = F.floor(i * F.col("n") / most)
+        counts = counts.filter((F.col("n") <= most) | ((i < most) & (first < F.col("start") + F.col("c"))))
+    inside = F.row_number().over(Window.partitionBy(*by, "block").orderBy("turn_id", "sent_no")) - 1
+    ranked = own.join(counts.drop("c"), [*by, "block"]).withColumn("use_rank", F.col("start") + inside)
+    return ranked.filter(strided(F.col("use_rank"), F.col("n"), most)).drop("block", "start", "n")
+
+
 def uses(store: DataFrame, lemmas: DataFrame, most: int) -> DataFrame:
     """A systematic sample of at most ``most`` stored sentences for each of ``lemmas``(lemma), with ``use_no``.
 
-    The window runs per lemma asked for; only these reach it.
+    Only ids are ranked; texts join what was sampled.
     """
     own = index(store).join(lemmas.select("lemma").distinct(), "lemma")
-    by = Window.partitionBy("lemma")
-    rank = F.row_number().over(by.orderBy("turn_id", "sent_no")) - 1
-    out = own.withColumn("use_rank", rank).withColumn("n", F.count("*").over(by))
-    out = out.filter(strided(F.col("use_rank"), F.col("n"), most))
-    return out.withColumn("use_no", F.row_number().over(by.orderBy("use_rank"))).drop("use_rank", "n")
+    out = _sampled(own, ["lemma"], most)
+    out = out.withColumn("use_no", F.row_number().over(Window.partitionBy("lemma").orderBy("use_rank"))).drop("use_rank")
+    return out.join(store.select("turn_id", "sent_no", "tokens", "raw"), ["turn_id", "sent_no"]).select("lemma", "turn_id", "sent_no", "tokens", "raw", "use_no")
 
 
 def sample(store: DataFrame, most: int) -> DataFrame:
-    """A systematic sample over all stored sentences in corpus order.
-
-    Ranks come without one partition for all rows: counts per turn block are summed up
-    (one row per block), and a sentence's rank is its block's start plus its place in it.
-    """
-    blocks = store.withColumn("block", F.expr("turn_id div 1024"))
-    counts = blocks.groupBy("block").agg(F.count("*").alias("c"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("block", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    inside = F.row_number().over(Window.partitionBy("block").orderBy("turn_id", "sent_no")) - 1
-    ranked = blocks.withColumn("inside", inside).join(starts, "block").withColumn("rank", F.col("start") + F.col("inside"))
-    return ranked.filter(strided(F.col("rank"), F.col("n"), most)).drop("block", "inside", "start", "rank", "n")
+    """A systematic sample over all stored sentences in corpus order."""
+    out = _sampled(store.select("turn_id", "sent_no"), [], most).drop("use_rank")
+    return store.join(out, ["turn_id", "sent_no"], "left_semi")
 
 
 def frame_fraction(store: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
-    """lemma, uses, framed, frame_frac: share of a lemma's stored sentences with "<determiner> lemma of" (each once)."""
-    hits = index(store) if lemmas is None else index(store).join(lemmas.select("lemma").distinct(), "lemma")
+    """lemma, uses, framed, frame_frac: share of a lemma's stored sentences with "<determiner> lemma of" (each once).
+
+    The framed lemmas of a sentence are found once; what is exploded is a lemma and whether it is one of them.
+    """
     opens = DETERMINERS.split()
-    word = tx.words(F.col("raw"))
-    middle = F.when(F.size("w") > 2, F.slice("w", 2, F.size("w") - 2)).otherwise(F.array().cast("array<string>"))
-    framed = F.transform(middle, lambda x, i: F.when((F.get("w", i + 2) == "of") & F.get("w", i).isin(opens), tx.lemma(x)))
-    marked = hits.withColumn("w", word).withColumn("framed", F.array_contains(F.filter(framed, lambda x: x.isNotNull()), F.col("lemma")))
-    out = marked.groupBy("lemma").agg(F.count("*").alias("uses"), F.count_if("framed").alias("framed"))
+
+    def inside(words: Column) -> Column:
+        at = F.when(F.size(words) > 2, F.sequence(F.lit(1), F.size(words) - 2)).otherwise(F.array().cast("array<int>"))
+        hit = F.filter(at, lambda i: (F.get(words, i + 1) == "of") & F.get(words, i - 1).isin(opens))
+        return F.transform(hit, lambda i: tx.lemma(F.get(words, i)))
+
+    framed = tx.let(F.when(F.col("raw").contains("of"), tx.words(F.col("raw"))).otherwise(F.array().cast("array<string>")), inside)
+    each = lambda found: F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("lemma"), F.array_contains(found, t).alias("framed")))
+    hits = store.select(F.explode(tx.let(framed, each)).alias("h")).select("h.lemma", "h.framed")
+    out = hits.groupBy("lemma").agg(F.count("*").alias("uses"), F.count_if("framed").alias("framed"))
+    if lemmas is not None:
+        out = out.join(lemmas.select("lemma").distinct(), "lemma")
     return out.withColumn("frame_frac", F.col("framed") / F.col("uses"))
 
 

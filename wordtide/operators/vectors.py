@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.text import let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,11 +22,6 @@ def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x.cast("double") + y.cast("double"))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is evaluated once: lambdas would evaluate a captured expression per element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def total(vs: Column) -> Column:
     """Sum of an array of vectors; null if there is none."""
 

@@ -10,7 +10,6 @@ from ..operators.thesaurus import Thesaurus
 
 #: File suffixes and their part-of-speech letters.
 FILES = {"noun": "n", "verb": "v", "adj": "a", "adv": "r"}
-MAX_POINTERS = 1_000
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -24,7 +23,7 @@ def data_file(spark: SparkSession, path: str, pos: str) -> DataFrame:
     n = F.conv(F.get("f", F.lit(3)), 16, 10).try_cast("int")
     rows = rows.filter(F.get("f", F.lit(3)).rlike("^[0-9A-Fa-f]+$")).withColumn("n", n).filter("n > 0 AND size(f) >= 5 + 2 * n")
     rows = rows.withColumn("words", F.expr("transform(sequence(0, n - 1), i -> get(f, 4 + 2 * i))"))
-    rows = rows.withColumn("p", F.expr("try_cast(get(f, 4 + 2 * n) as int)")).filter(f"p >= 0 AND p <= {MAX_POINTERS} AND size(f) >= 5 + 2 * n + 4 * p")
+    rows = rows.withColumn("p", F.expr("try_cast(get(f, 4 + 2 * n) as int)")).filter("p >= 0 AND size(f) >= 5 + 2 * n + 4L * p")
     quads = F.expr(
         "CASE WHEN p > 0 THEN transform(sequence(0, p - 1), i -> struct(get(f, 5 + 2 * n + 4 * i) as sym, get(f, 6 + 2 * n + 4 * i) as offset, get(f, 7 + 2 * n + 4 * i) as pos)) "
         "ELSE cast(array() as array<struct<sym:string,offset:string,pos:string>>) END"

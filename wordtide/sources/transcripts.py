@@ -37,7 +37,8 @@ def read_turns(spark: SparkSession, root: str, since: datetime) -> DataFrame:
     line order: the rank of the file (one row per file) and the place in its split.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
-    raw = reader.option("modifiedAfter", since.strftime("%Y-%m-%dT%H:%M:%S")).text(root)
+    # a filter on file metadata prunes files before they are opened
+    raw = reader.text(root).filter(F.col("_metadata.file_modification_time") >= F.lit(since))
     jvm = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(jvm).toUri().getPath()
     path = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))

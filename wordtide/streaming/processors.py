@@ -72,7 +72,7 @@ class ClaimProcessor(StatefulProcessor):
 
 def stream_swaps(deltas: DataFrame, swaps: dict[str, str]) -> DataFrame:
     """Streaming ``deltas``(session_id, message_id, batch_seq, delta) -> swapped text and counts."""
-    return deltas.groupBy("session_id").transformWithStateInPandas(SwapProcessor(swaps), DELTAS_OUT, "Append", "processingTime")
+    return deltas.groupBy("session_id").transformWithStateInPandas(SwapProcessor(swaps), DELTAS_OUT, "Append", "None")
 
 
 def stream_claims(prompts: DataFrame) -> DataFrame:
