@@ -10,9 +10,9 @@ STATUSES = ("reported", "never fires", "read as name", "term of art", "below cut
 
 
 def run(curated: DataFrame, uses: DataFrame, full_total: DataFrame, ranks: DataFrame, names: DataFrame, terms: DataFrame) -> DataFrame:
-    """curated(term, is_phrase), uses(term, project), full_total(full_total), ranks(term, rank), names(lemma), terms(word)
+    """curated(term, is_phrase), uses(term, project, n), full_total(full_total), ranks(term, rank), names(lemma), terms(word)
     -> term, is_phrase, hits, projects, rate, rank, status; most hits first."""
-    counts = uses.groupBy("term").agg(F.count("*").alias("hits"), F.count_distinct("project").alias("projects"))
+    counts = uses.groupBy("term").agg(F.sum("n").alias("hits"), F.count_distinct("project").alias("projects"))
     out = curated.join(counts, "term", "left").join(ranks.groupBy("term").agg(F.max("rank").alias("rank")), "term", "left")
     out = out.join(names.select(F.col("lemma").alias("term"), F.lit(True).alias("is_name")).distinct(), "term", "left")
     out = out.join(terms.select(F.col("word").alias("term"), F.lit(True).alias("is_term")).distinct(), "term", "left")

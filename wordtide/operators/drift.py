@@ -115,11 +115,14 @@ def first_last(trended: DataFrame) -> DataFrame:
     )
 
 
-def phrase_entries(matches: DataFrame, full_total: int | Column, o: Options = REPORT) -> DataFrame:
-    """phrase, count, projects, rate: the most used phrases over the floor; ``phrase_top`` 0 gives none."""
+def phrase_entries(matches: DataFrame, full_total: DataFrame, o: Options = REPORT) -> DataFrame:
+    """phrase, count, projects, rate: the most used phrases over the floor; ``phrase_top`` 0 gives none.
+
+    ``full_total``(full_total) is one row, so joining it is a broadcast of one row.
+    """
     out = matches.groupBy("phrase").agg(F.count("*").alias("count"), F.count_distinct("project").alias("projects"))
-    total = F.lit(full_total) if isinstance(full_total, int) else full_total
-    out = out.filter(F.col("count") >= o.phrase_min).withColumn("rate", F.when(total > 0, F.col("count") / total * 1000).otherwise(0.0))
+    out = out.filter(F.col("count") >= o.phrase_min).crossJoin(F.broadcast(full_total.select("full_total"))).filter("full_total > 0")
+    out = out.select("phrase", "count", "projects", (F.col("count") / F.col("full_total") * 1000).alias("rate"))
     return out.orderBy(F.desc("count"), "phrase").limit(o.phrase_top)
 
 

@@ -29,6 +29,11 @@ def tokens(turns: DataFrame, stopwords: list[str]) -> DataFrame:
     return turns.select("turn_id", "project", "ts", F.explode(kept).alias("lemma"))
 
 
+def of_sentences(sents: DataFrame) -> DataFrame:
+    """The tokens of sentences that are cut already: the same stream as that of their turns."""
+    return sents.select("turn_id", "project", "ts", F.explode("tokens").alias("lemma"))
+
+
 def name_counts(turns: DataFrame, stopwords: list[str]) -> DataFrame:
     """lemma, mid, capped: uses after a sentence's first word, and how many of them have a capital."""
     cut = turns.select(F.explode(tx.sentences(tx.clean(F.col("text")))).alias("s"))

@@ -78,8 +78,10 @@ def report(
     before budgets are spent. What several branches need is written to the shared folder once.
     """
     spark = turns.sparkSession
-    toks = tokens.tokens(turns, stopwords)
-    store = cut(tokens.stored(tokens.sentences(turns, stopwords)), "sentences")
+    # the corpus is cleaned and cut into sentences once; every branch reads what is written here
+    sents = cut(tokens.sentences(turns, stopwords), "report-sentences")
+    toks = tokens.of_sentences(sents)
+    store = cut(tokens.stored(sents), "sentences")
     lemmas = cut(drift.lemma_counts(drift.lemma_project_counts(toks, now, o)), "lemmas")
     full_total = drift.totals(lemmas).select("full_total")
     rising = cut(drift.risers(lemmas, o).select("lemma", "recent", "projects", "recent_rate", "ratio", "score"), "risers")
@@ -89,47 +91,65 @@ def report(
     uses_all = cut(tokens.uses(store, asked, o.max_uses), "uses")
     often = uses_all.groupBy("lemma").count().filter(F.col("count") >= o.min_uses)
     enough = cut(often.join(cands_all.select("lemma").distinct(), "lemma").select("lemma"), "enough")
-    rising = cut(rising.join(enough, "lemma"), "prepared")
+    frames = cut(tokens.frame_fraction(store, enough).select("lemma", "frame_frac"), "frames")
+    rising = cut(rising.join(enough, "lemma").join(frames, "lemma", "left"), "prepared")
     pool = pool.join(rising, "lemma", "left_anti").join(enough, "lemma")
-    pool = thesaurus.word_ic(pool, t, "lemma").join(tokens.frame_fraction(store, pool).select("lemma", "frame_frac"), "lemma", "left")
+    pool = thesaurus.word_ic(pool, t, "lemma").join(frames, "lemma", "left")
     known = F.col("lemma").isin([tx.lemma_of(w.lower()) for w in curated_words])
     pool = cut(pool.withColumn("known", known).withColumn("frame_frac", F.coalesce("frame_frac", F.lit(0.0))), "chronic")
 
     names = tokens.name_counts(turns, stopwords).filter(tx.is_name(F.col("mid"), F.col("capped"))).select("lemma")
     listed = spark.createDataFrame([(tx.lemma_of(w.lower()),) for w in proper_nouns], "lemma string")
     barred = cut(names.union(listed).distinct(), "names")
-    found = tokens.report_phrases(turns, list(phrases), stopwords)
-    said = found.groupBy("phrase").agg(F.count("*").alias("count"), F.count_distinct("project").alias("projects")).filter(F.col("count") >= o.phrase_min)
-    said = said.crossJoin(F.broadcast(full_total)).withColumn("rate", F.when(F.col("full_total") > 0, F.col("count") / F.col("full_total") * 1000).otherwise(0.0))
-    said = cut(said.orderBy(F.desc("count"), "phrase").limit(o.phrase_top), "phrases")
-    shape = "kind string, reason string, lemma string, count long, projects long, rate double, ratio double, frame_frac double, word_ic double, incongruity double, known boolean, words array<string>, demote_to string, judge_note string, lane int, place double"
+    found = tokens.phrase_matches(sents.select("project", "raw"), "raw", list(phrases))
+    said = cut(drift.phrase_entries(found, full_total, o), "phrases")
+    shape = (
+        "kind string, reason string, lemma string, count long, projects long, rate double, ratio double, frame_frac double, rarity double, "
+        "incongruity double, cluster_delta double, uses long, known boolean, ladder array<struct<word:string,ic:double,clean:long,total:long>>, "
+        "demote_to string, judge_note string, lane int, place double"
+    )
     empty = spark.createDataFrame([], shape)
     blank = lambda **c: [c.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema]
-    phrase_rows = said.select(*blank(kind=F.lit("phrase"), reason=F.lit("phrase"), lemma=F.col("phrase"), count=F.col("count"), projects=F.col("projects"), rate=F.col("rate"), known=F.lit(True), words=F.array(), lane=F.lit(4), place=-F.col("count")))
+    phrase_rows = said.select(*blank(kind=F.lit("phrase"), reason=F.lit("phrase"), lemma=F.col("phrase"), count=F.col("count"), projects=F.col("projects"), rate=F.col("rate"), known=F.lit(True), ladder=F.array(), lane=F.lit(4), place=-F.col("count")))
 
-    if enough.isEmpty():  # no word needs vectors: phrases only, and the vector table is not read
+    routes = cut(drift.cascade(pool, o), "routes")
+    # the marked route looks at what no route took; its gate is a score that needs vectors
+    rare = pool.join(routes, "lemma", "left_anti").filter((F.octet_length("lemma") >= o.rarity_bytes) & (F.col("word_ic") >= o.rarity_floor))
+    rare = cut(rare if o.marked_top > 0 else rare.limit(0), "rare")
+    if rising.isEmpty() and routes.isEmpty() and rare.isEmpty():  # phrases only, and the vector table is not read
         body = phrase_rows
     else:
-        vocabulary = vectors.vocabulary(uses_all, cands_all)
+        sampled = cut(tokens.sample(store, o.max_uses).select("turn_id", "sent_no", "tokens"), "sample")
+        drawn = sampled.select(F.lit("").alias("lemma"), F.row_number().over(Window.orderBy("turn_id", "sent_no")).alias("use_no"), "tokens")
+        mine = lambda df: df.join(jobs, "lemma", "left_semi")
+        jobs = cut(rising.select("lemma").union(routes.select("lemma")).union(rare.select("lemma")), "jobs")
+        uses, cands = cut(mine(uses_all), "job-uses"), mine(cands_all)
+        vocabulary = vectors.vocabulary(uses, cands).union(drawn.select(F.explode("tokens"))).distinct()
         table = cut(load_vectors(vocabulary), "vectors")
-        rare = pool.filter((F.octet_length("lemma") >= o.rarity_bytes) & (F.col("word_ic") >= o.rarity_floor))
-        odd = cut(vectors.incongruity(uses_all.join(rare.select("lemma"), "lemma", "left_semi"), table).filter(F.col("incongruity") > o.incongruity_floor), "marked")
-        subs = cut(vectors.ranked(vectors.substitutes(uses_all, cands_all, table, o.threshold)), "substitutes")
-        null = lambda kind: F.lit(None).cast(kind)
-        routes = cut(drift.cascade(pool, o.but(chronic_top=1 << 30)), "routes")
-        chosen = rising.select("lemma", F.lit("riser").alias("kind"), F.lit("riser").alias("reason"), F.lit(1).alias("lane"), (-F.col("score")).alias("place"), F.col("recent").alias("count"), "projects", F.col("recent_rate").alias("rate"), "ratio", null("double").alias("frame_frac"), null("double").alias("word_ic"), null("double").alias("incongruity"), F.lit(False).alias("known"))
-        chronic = routes.select("lemma", F.lit("chronic").alias("kind"), F.col("route").alias("reason"), F.lit(2).alias("lane"), (-F.col("rate")).alias("place"), F.col("full").alias("count"), "projects", "rate", null("double").alias("ratio"), "frame_frac", "word_ic", null("double").alias("incongruity"), "known")
-        marked = odd.join(rare, "lemma").join(routes, "lemma", "left_anti").select("lemma", F.lit("chronic").alias("kind"), F.lit("marked").alias("reason"), F.lit(3).alias("lane"), (-F.col("incongruity")).alias("place"), F.col("full").alias("count"), "projects", "rate", null("double").alias("ratio"), "frame_frac", "word_ic", "incongruity", "known")
-        chosen = chosen.unionByName(chronic).unionByName(marked)
+        odd = vectors.incongruity(mine(uses).join(rare.select("lemma"), "lemma", "left_semi"), table)
+        odd = cut(odd.filter(F.col("incongruity") > o.incongruity_floor), "marked")
+        subs = cut(vectors.ranked(vectors.substitutes(uses, cands, table, o.threshold)), "substitutes")
+        over_all = vectors.spread(vectors.use_bags(drawn), table, []).select(F.col("clustered").alias("base"))
+        spread = vectors.spread(vectors.use_bags(uses), table, ["lemma"]).crossJoin(F.broadcast(over_all))
+        spread = cut(spread.select("lemma", (F.col("clustered") - F.coalesce("base", F.lit(0.0))).alias("cluster_delta"), "uses"), "spread")
+        chosen = rising.select(*blank(kind=F.lit("riser"), reason=F.lit("riser"), lemma=F.col("lemma"), count=F.col("recent"), projects=F.col("projects"), rate=F.col("recent_rate"), ratio=F.col("ratio"), frame_frac=F.col("frame_frac"), known=F.lit(False), lane=F.lit(1), place=-F.col("score")))
+        steady = lambda df, reason, lane, place, incong: df.select(*blank(kind=F.lit("chronic"), reason=reason, lemma=F.col("lemma"), count=F.col("full"), projects=F.col("projects"), rate=F.col("rate"), frame_frac=F.col("frame_frac"), rarity=F.when(reason.isin("rarity", "marked"), F.col("word_ic")), incongruity=incong, known=F.col("known"), lane=F.lit(lane), place=-place))
+        chosen = chosen.unionByName(steady(routes, F.col("route"), 2, F.col("rate"), F.lit(None)))
+        chosen = chosen.unionByName(steady(odd.join(rare, "lemma"), F.lit("marked"), 3, F.col("incongruity"), F.col("incongruity")))
+        # a curated word is marked as known only by the known route
+        chosen = chosen.withColumn("known", F.col("reason") == "known").drop("ladder", "cluster_delta", "uses", "demote_to", "judge_note")
         chosen = cut(chosen, "chosen")
         rungs = cut(_gate(subs, chosen, o), "rungs")
         selves = cands_all.groupBy("lemma").agg(F.first("self_ic").alias("self_ic"))
-        steps = rungs.select("lemma", F.struct(F.col("ic").alias("ic"), F.lit(0).alias("is_self"), F.col("rank").alias("rank"), F.col("word").alias("word")).alias("s"))
-        own = rungs.select("lemma").distinct().join(selves, "lemma").select("lemma", F.struct(F.col("self_ic").alias("ic"), F.lit(1).alias("is_self"), F.lit(0).alias("rank"), F.col("lemma").alias("word")).alias("s"))
-        assembled = steps.unionByName(own).groupBy("lemma").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["word"]).alias("words"))
-        live = chosen.join(assembled, "lemma").join(barred, "lemma", "left_anti")
+        rung = lambda ic, own, rank, word, clean, total: F.struct(ic.alias("ic"), F.lit(own).alias("is_self"), rank.alias("rank"), word.alias("word"), clean.alias("clean"), total.alias("total")).alias("s")
+        steps = rungs.select("lemma", rung(F.col("ic"), 0, F.col("rank"), F.col("word"), F.col("clean"), F.col("total")))
+        no = F.lit(None).cast("long")
+        own = rungs.select("lemma").distinct().join(selves, "lemma").select("lemma", rung(F.col("self_ic"), 1, F.lit(0), F.col("lemma"), no, no))
+        ordered = F.transform(F.array_sort(F.collect_list("s")), lambda s: F.struct(s["word"].alias("word"), s["ic"].alias("ic"), s["clean"].alias("clean"), s["total"].alias("total")))
+        assembled = steps.unionByName(own).groupBy("lemma").agg(ordered.alias("ladder"))
+        live = chosen.join(assembled, "lemma").join(spread, "lemma", "left").join(barred, "lemma", "left_anti")
         if judgments is None:
-            live = live.withColumns({"demote_to": null("string"), "judge_note": null("string")})
+            live = live.withColumns({"demote_to": F.lit(None).cast("string"), "judge_note": F.lit(None).cast("string")})
         else:
             said_of = judgments.select(F.col("word").alias("lemma"), "role", "demote_to", F.col("note").alias("judge_note"))
             live = live.join(said_of, "lemma", "left").filter(F.coalesce("role", F.lit("")) != "term_of_art").drop("role")
@@ -138,11 +158,12 @@ def report(
         used = F.row_number().over(Window.partitionBy("budget").orderBy("place", "lemma"))
         most = F.when(F.col("budget") == "riser", 1 << 30).when(F.col("budget") == "marked", o.marked_top).otherwise(o.chronic_top)
         live = live.withColumn("used", used).filter(F.col("used") <= most)
-        body = live.select(*[f.name for f in empty.schema]).unionByName(phrase_rows)
+        body = live.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema]).unionByName(phrase_rows)
     body = cut(body, "body")
     line = drift.series(drift.trend(toks, body.filter("kind <> 'phrase'").select("lemma"), now, o.spark_weeks))
     line = line.select("lemma", F.transform("rates", lambda r: F.coalesce(r, F.lit(-1.0))).alias("spark"))
     out = body.join(line, "lemma", "left").withColumn("spark", F.coalesce("spark", F.array().cast("array<double>")))
+    out = out.withColumn("words", F.transform("ladder", lambda s: s["word"]))
     return out.withColumn("entry_ord", F.row_number().over(Window.orderBy("lane", "place", "lemma"))).drop("lane", "place")
 
 
@@ -152,10 +173,14 @@ def audit(turns: DataFrame, curated_words: Sequence[str], phrases: Sequence[str]
     words = list(dict.fromkeys(tx.lemma_of(w.lower()) for w in curated_words))
     curated = spark.createDataFrame([(w, False) for w in words] + [(p, True) for p in dict.fromkeys(phrases)], "term string, is_phrase boolean")
     toks = tokens.tokens(turns, stopwords)
-    uses = toks.filter(F.col("lemma").isin(words)).select(F.col("lemma").alias("term"), "project")
-    uses = uses.unionByName(tokens.audit_phrases(turns, list(phrases)).select(F.col("phrase").alias("term"), "project"))
+    # one pass for the words and their total: counts by term and project, other lemmas by project alone
+    term = F.when(F.col("lemma").isin(words), F.col("lemma"))
+    counted = cut(toks.groupBy(term.alias("term"), "project").agg(F.count("*").alias("n")), "audit-words")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("full_total"))
+    said = tokens.audit_phrases(turns, list(phrases)).groupBy(F.col("phrase").alias("term"), "project").agg(F.count("*").alias("n"))
+    uses = counted.filter("term is not null").unionByName(said)
     names = tokens.name_counts(turns, stopwords).filter(tx.is_name(F.col("mid"), F.col("capped"))).select("lemma")
     names = names.union(spark.createDataFrame([(tx.lemma_of(w.lower()),) for w in proper_nouns], "lemma string")).distinct()
     terms = spark.createDataFrame([], "word string") if log is None else verdicts.latest(log).filter("role = 'term_of_art'").select("word")
     ranks = entries.select(F.lower("lemma").alias("term"), F.col("entry_ord").alias("rank"))
-    return au.run(curated, uses, toks.agg(F.count("*").alias("full_total")), ranks, names, terms)
+    return au.run(curated, uses, total, ranks, names, terms)

@@ -263,7 +263,7 @@ SELECT phrase, count(*) AS "count", count(DISTINCT project) AS projects, round(c
 )
 def phrase_entries(spark: SparkSession, d: str) -> DataFrame:
     found = tokens.report_phrases(turns(spark, d), PHRASES, STOP)
-    total = _common(spark, d).count()
+    total = _common(spark, d).agg(F.count("*").alias("full_total"))
     return _rounded(drift.phrase_entries(found, total), "rate")
 
 
