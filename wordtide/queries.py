@@ -67,7 +67,7 @@ def _tokens(x: str) -> str:
 _TURNS = """turns AS (
   SELECT doc_id AS turn_id, source AS project, coalesce(text, '') AS text,
          TIMESTAMP '2024-03-04 00:00:00' - to_days(CAST(doc_id % 63 AS INT)) - to_hours(CAST(doc_id % 24 AS INT)) AS ts
-  FROM documents WHERE lang = 'en')"""
+  FROM documents)"""
 _SENTS = f"""cleaned AS (SELECT *, list_filter(string_split_regex({_clean("text")}, '[.!?;\\n]'), lambda s: s <> '') AS parts FROM turns),
 cut AS (SELECT turn_id, project, ts, unnest(parts) AS cased, unnest(range(len(parts))) AS sent_no FROM cleaned),
 sents AS (SELECT *, trim(lower(cased), ' ') AS raw FROM (SELECT *, {_tokens("cased")} AS tokens FROM cut) WHERE len(tokens) > 0)"""

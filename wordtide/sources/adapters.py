@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents as turns; days and hours before NOW follow from the id."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "source", "text")
+    """All documents as turns; days and hours before NOW follow from the id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     cores = spark.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < cores:  # one small file is one task: deal it out; large tables have splits enough
         docs = docs.repartition(cores)
