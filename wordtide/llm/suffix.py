@@ -52,7 +52,7 @@ GRAM = 16
 #: Rows without an id get numbers from here down, by a hash of their text.
 NAMELESS = -(1 << 62)
 #: Steps by which strings of a hot anchor part, and holders that make an anchor hot.
-STEP, HOT = 8, 16_384
+STEP, HOT = 8, 131_072
 
 
 # ---- suffix arrays
