@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +79,11 @@ def apply_swaps(texts: DataFrame, column: str, swaps: dict[str, str]) -> DataFra
     return out.select(*texts.columns, "__s.swapped", "__s.swap_counts")
 
 
+def is_fence(line: Column) -> Column:
+    """Whether a line opens or closes a fence."""
+    return line.rlike(FENCE_LINE.pattern)
+
+
 def fence_state(lines: DataFrame) -> DataFrame:
     """``lines``(session_id, message_id, ord, is_fence) with ``in_fence`` before the line: parity of the fences
     of its message so far. A message's lines are one window; sessions are many."""

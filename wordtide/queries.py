@@ -14,6 +14,7 @@ from .operators import drift, ledger, report, swaps, thesaurus, tokens, vectors,
 from .options import REPORT, SCAN
 from .plans import commands
 from .sources import adapters as ad
+from .sources import files
 from .sources.adapters import NOW, table, turns
 from .work import cut
 
@@ -375,6 +376,48 @@ def demote_window(spark: SparkSession, d: str) -> DataFrame:
     return w.select("lemma", show(thesaurus.trimmed(F.col("ws"), F.col("lemma"))).alias("shown"), show(thesaurus.demote_options(F.col("ws"), F.col("lemma"))).alias("options"))
 
 
+_PARTS = """WITH pt AS (SELECT p_partkey, translate(lower(p_name), ' ', '_') AS lemma, lower(p_brand) AS brand, CASE p_partkey % 3 WHEN 0 THEN 'a' ELSE 'n' END AS pos FROM part),
+se AS (SELECT *, row_number() OVER (PARTITION BY lemma, pos ORDER BY p_partkey) - 1 AS sense_ord FROM pt),
+fq AS (SELECT brand AS w, count(*) AS n FROM pt GROUP BY brand), ft AS (SELECT sum(n) AS t FROM fq),
+rungs AS (SELECT lemma, pos, sense_ord, lemma AS word, 'self' AS source, 0 AS o FROM se
+  UNION ALL SELECT lemma, pos, sense_ord, replace(lemma, '_', ' '), 'synonym', 1 FROM se
+  UNION ALL SELECT lemma, pos, sense_ord, brand, CASE pos WHEN 'a' THEN 'similar' ELSE 'hypernym' END, 2 FROM se),
+fi AS (SELECT * FROM rungs QUALIFY row_number() OVER (PARTITION BY lemma, pos, sense_ord, word ORDER BY o) = 1),
+wi AS (SELECT fi.*, -ln((coalesce(fq.n, 0) + 0.5::DOUBLE) / t) AS word_ic FROM fi LEFT JOIN fq ON fq.w = translate(lower(word), ' ', '_'), ft),
+lad AS (SELECT *, row_number() OVER (PARTITION BY lemma, pos, sense_ord ORDER BY word_ic, o)::INT AS rung_ord, count(*) OVER (PARTITION BY lemma, pos, sense_ord) AS rungs FROM wi)"""
+
+
+def _part_ladders(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as senses of their name, every third an adjective; brands are hypernyms of nouns and similar to adjectives."""
+    part = table(spark, d, "part")
+    pos = F.when(F.col("p_partkey") % 3 == 0, "a").otherwise("n")
+    own = part.select("p_partkey", F.translate(F.lower("p_name"), " ", "_").alias("w"), F.lower("p_brand").alias("brand"), pos.alias("pos"))
+    own = own.withColumn("key", F.concat(F.lit("p"), "p_partkey", "pos")).withColumn("up", F.concat(F.lit("b"), "brand"))
+    by = Window.partitionBy("w", "pos").orderBy("p_partkey")
+    index = own.select("pos", F.col("w").alias("lemma"), (F.row_number().over(by) - 1).alias("sense_ord"), "key")
+    brands = own.select(F.col("up").alias("key"), "brand").distinct()
+    synset = own.select("key", "pos", F.lit("").alias("gloss")).unionByName(brands.select("key", F.lit("n").alias("pos"), F.lit("").alias("gloss")))
+    words_ = own.select("key", F.lit(0).alias("ord"), F.col("w").alias("word")).unionByName(brands.select("key", F.lit(0).alias("ord"), F.col("brand").alias("word")))
+    up = own.select("key", F.lit(0).alias("ord"), F.when(F.col("pos") == "a", "&").otherwise("@").alias("sym"), F.col("up").alias("target"))
+    freq = own.groupBy(F.col("brand").alias("lemma")).agg(F.count("*").alias("n"))
+    t = thesaurus.Thesaurus(index, synset, words_, up, spark.createDataFrame([], "key string, ic double"), freq)
+    return thesaurus.ladders(t, index.select("lemma"))
+
+
+@_query(f"{_PARTS} SELECT lemma, pos, sense_ord::INT AS sense_ord, word, source, round(word_ic, 6) AS word_ic, rung_ord FROM lad WHERE rungs > 1")
+def sense_ladders(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_part_ladders(spark, d).select("lemma", "pos", "sense_ord", "word", "source", "word_ic", "rung_ord"), "word_ic")
+
+
+@_query(
+    f"""{_PARTS}, c AS (SELECT lemma, word, word_ic, row_number() OVER (PARTITION BY lemma, word ORDER BY CASE pos WHEN 'n' THEN 1 ELSE 3 END, sense_ord, rung_ord) AS r FROM lad
+  WHERE rungs > 1 AND word <> lemma AND NOT list_contains(string_split_regex(word, '\\s+'), lemma))
+SELECT lemma, word, round(word_ic, 6) AS ic FROM c WHERE r = 1"""
+)
+def sense_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(thesaurus.candidates(_part_ladders(spark, d)).select("lemma", "word", "ic"), "ic")
+
+
 # ---- vectors
 
 _VECS = """rk AS (SELECT lemma, row_number() OVER (ORDER BY count(*) DESC, lemma) AS r FROM (SELECT unnest(tokens) AS lemma FROM sents) GROUP BY lemma),
@@ -507,24 +550,41 @@ def verdict_churn(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CUR = [tx.lemma_of(w) for w in CURATED]
+#: Curated besides: the three most used lemmas and the two that are most often names. The report has the second
+#: most used lemma and one phrase, and the log of verdicts calls the most used one a term of art.
+_AUDIT = f"""{_TOK}, {_sql_phrases("turns", "text")}, wl AS (SELECT unnest(list_slice(w, 2, len(w))) AS word FROM (SELECT {_words("cased")} AS w FROM cut)),
+w2 AS (SELECT {_lemma("lower(word)")} AS lemma, upper(left(word, 1)) = left(word, 1) AND lower(left(word, 1)) <> left(word, 1) AND upper(word) <> word AS capped FROM wl),
+nm AS (SELECT lemma, count(*) AS mid FROM w2 WHERE strlen(lemma) >= 3 AND lemma NOT IN ({_QUOTED}) GROUP BY lemma HAVING count(*) >= 20 AND count(*) FILTER (WHERE capped) / count(*) >= 0.5),
+top AS (SELECT lemma, row_number() OVER (ORDER BY count(*) DESC, lemma) AS r FROM tok GROUP BY lemma),
+cur AS (SELECT term, bool_or(is_phrase) AS is_phrase FROM (VALUES {", ".join([f"('{w}', false)" for w in _CUR] + [f"('{p}', true)" for p in PHRASES])}) v(term, is_phrase) GROUP BY term
+  UNION SELECT lemma, false FROM top WHERE r <= 3 UNION SELECT lemma, false FROM (SELECT lemma FROM nm ORDER BY mid DESC, lemma LIMIT 2)),
+us AS (SELECT lemma AS term, project FROM tok UNION ALL SELECT phrase, project FROM hits), n AS (SELECT count(*) AS ft FROM tok),
+rk AS (SELECT 'of the' AS term, 1 AS rank UNION ALL SELECT lemma, 2 FROM top WHERE r = 2),
+a AS (SELECT term, is_phrase, count(us.project) AS hits, count(DISTINCT us.project) AS projects FROM cur LEFT JOIN us USING (term) GROUP BY ALL),
+au AS (SELECT term, is_phrase, hits, projects, hits / ft * 1000 AS rate, CASE WHEN rank > 0 THEN 'reported' WHEN hits = 0 THEN 'never fires' WHEN NOT is_phrase AND term IN (SELECT lemma FROM nm) THEN 'read as name'
+  WHEN term IN (SELECT lemma FROM top WHERE r = 1) THEN 'term of art' ELSE 'below cutoff' END AS status FROM a LEFT JOIN rk USING (term), n)"""
 
 
-@_query(
-    f"""{_TOK}, {_sql_phrases("turns", "text")}, cur(term, is_phrase) AS (VALUES {", ".join([f"('{w}', false)" for w in _CUR] + [f"('{p}', true)" for p in PHRASES])}),
-us AS (SELECT lemma AS term, project FROM tok UNION ALL SELECT phrase, project FROM hits), n AS (SELECT count(*) AS ft FROM tok),
-a AS (SELECT term, is_phrase, count(us.project) AS hits, count(DISTINCT us.project) AS projects FROM cur LEFT JOIN us USING (term) GROUP BY ALL)
-SELECT term, is_phrase, hits, projects, round(hits / ft * 1000, 6) AS rate, CASE WHEN hits = 0 THEN 'never fires' ELSE 'below cutoff' END AS status FROM a, n"""
-)
+def _audited(spark: SparkSession, d: str) -> DataFrame:
+    first, second, third = (r.lemma for r in _top(spark, d, 3).orderBy("r").collect())
+    names = tokens.name_counts(turns(spark, d), STOP).filter(tx.is_name(F.col("mid"), F.col("capped")))
+    named = [r.lemma for r in names.orderBy(F.desc("mid"), "lemma").limit(2).collect()]
+    entries = spark.createDataFrame([("of the", 1), (second, 2)], "lemma string, entry_ord int")
+    log = spark.createDataFrame([(1, first, "h", "m", 1, "term_of_art", "", "", True, True, "2024-03-01T00:00:00Z")], f"seq long, {files.VERDICTS}")
+    return commands.audit(turns(spark, d), [*CURATED, first, second, third, *named], PHRASES, entries, STOP, log)
+
+
+@_query(f"{_AUDIT} SELECT term, is_phrase, hits, projects, round(rate, 6) AS rate, status FROM au")
 def curated_audit(spark: SparkSession, d: str) -> DataFrame:
-    entries = spark.createDataFrame([], "lemma string, entry_ord int")
-    out = commands.audit(turns(spark, d), CURATED, PHRASES, entries, STOP)
-    return _rounded(out.drop("rank"), "rate")
+    return _rounded(_audited(spark, d).drop("rank"), "rate")
 
 
-@_query(None)
+@_query(
+    f"""{_AUDIT} SELECT count(*) FILTER (WHERE status = 'reported') AS reported, count(*) FILTER (WHERE status = 'never fires') AS never_fires, count(*) FILTER (WHERE status = 'read as name') AS read_as_name,
+count(*) FILTER (WHERE status = 'term of art') AS term_of_art, count(*) FILTER (WHERE status = 'below cutoff') AS below_cutoff, count(*) FILTER (WHERE projects = 1 AND hits <= 2) AS self_cited FROM au"""
+)
 def audit_tallies(spark: SparkSession, d: str) -> DataFrame:
-    entries = spark.createDataFrame([("of the", 1)], "lemma string, entry_ord int")
-    return au.tallies(commands.audit(turns(spark, d), CURATED, PHRASES, entries, STOP))
+    return au.tallies(_audited(spark, d))
 
 
 @_query(
@@ -562,15 +622,52 @@ def injection_claims(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("session_id").agg(F.count("*").alias("events"), F.count_if("fires").alias("fired"), F.max(F.when(F.col("fires"), F.col("at"))).cast("timestamp_ntz").alias("last_fired"))
 
 
+#: Some lines are made to open or close a fence: three or four signs after up to four blanks (four are too many).
+_FENCED = r"""l AS (SELECT conv_id, turn, unnest(p) AS said, unnest(range(len(p))) AS ord FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS p FROM conversations)),
+m AS (SELECT conv_id, turn, ord, CASE length(said) % 7 WHEN 0 THEN repeat(' ', length(said) % 5) || '```' || said WHEN 3 THEN '~~~~' ELSE said END AS line FROM l),
+f AS (SELECT *, regexp_matches(line, '^\s{0,3}(```+|~~~+)') AS is_fence FROM m),
+g AS (SELECT *, coalesce(sum(is_fence::INT) OVER (PARTITION BY conv_id, turn ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS in_fence FROM f)"""
+
+
+def _fenced(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("ord", "said"))
+    kind = F.length("said") % 7
+    opened = F.concat(F.repeat(F.lit(" "), F.length("said") % 5), F.lit("```"), "said")
+    return c.withColumn("line", F.when(kind == 0, opened).when(kind == 3, "~~~~").otherwise(F.col("said")))
+
+
+@_query(f"WITH {_FENCED} SELECT conv_id, turn, ord::INT AS ord, is_fence, in_fence FROM g")
+def fence_state(spark: SparkSession, d: str) -> DataFrame:
+    c = _fenced(spark, d).select(F.col("conv_id").alias("session_id"), F.col("turn").alias("message_id"), "ord", swaps.is_fence(F.col("line")).alias("is_fence"))
+    return swaps.fence_state(c).select(F.col("session_id").alias("conv_id"), F.col("message_id").alias("turn"), "ord", "is_fence", "in_fence")
+
+
+def _sql_case(word: str, to: str) -> str:
+    return f"""CASE WHEN length({word}) > 1 AND upper({word}) = {word} AND lower({word}) <> {word} THEN upper({to})
+  WHEN upper(left({word}, 1)) = left({word}, 1) AND lower(left({word}, 1)) <> left({word}, 1) THEN upper(left({to}, 1)) || substr({to}, 2) ELSE {to} END"""
+
+
+def _sql_swapped(word: str) -> str:
+    """SQL: a word exchanged by SWAPS, exactly or by its lemma (then with its possessive ending or as a plural)."""
+    exact = " ".join(f"WHEN '{w}' THEN {_sql_case(word, repr(r))}" for w, r in SWAPS.items())
+    rest = lambda w: f"substr(lower({word}), {len(w) + 1})"
+    owned = lambda w, r: f"('{r}' || {rest(w)})"
+    by_lemma = " ".join(
+        f"WHEN '{w}' THEN CASE WHEN {rest(w)} IN (chr(39), chr(39) || 's') THEN {_sql_case(word, owned(w, r))} ELSE {_sql_case(word, repr(dp.plural_of(r)))} END" for w, r in SWAPS.items()
+    )
+    return f"CASE lower({word}) {exact} ELSE CASE {_lemma(f'lower({word})')} {by_lemma} ELSE {word} END END"
+
+
 @_query(
-    r"""WITH l AS (SELECT conv_id, turn, unnest(p) AS line, unnest(range(len(p))) AS ord FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS p FROM conversations)),
-f AS (SELECT conv_id, turn, ord, length(line) % 7 = 0 AS is_fence FROM l)
-SELECT conv_id, turn, ord::INT AS ord, is_fence, coalesce(sum(is_fence::INT) OVER (PARTITION BY conv_id, turn ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS in_fence FROM f"""
+    rf"""WITH {_FENCED}, w AS (SELECT conv_id, turn, ord, is_fence OR in_fence AS stays, line, regexp_extract_all(line, '[\p{{L}}][\p{{L}}''-]*|[^\p{{L}}]+') AS parts FROM g),
+r AS (SELECT conv_id, turn, ord, CASE WHEN stays THEN line ELSE array_to_string(list_transform(parts, lambda x: {_sql_swapped("x")}), '') END AS line FROM w)
+SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY ord) AS swapped FROM r GROUP BY conv_id, turn"""
 )
-def fence_state(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line"))
-    lines = c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("message_id"), "ord", (F.length("line") % 7 == 0).alias("is_fence"))
-    return swaps.fence_state(lines).select(F.col("session_id").alias("conv_id"), F.col("message_id").alias("turn"), "ord", "is_fence", "in_fence")
+def swapped_text(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.array_sort(F.collect_list(F.struct("ord", "line")))
+    text = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+    said = _fenced(spark, d).groupBy("conv_id", "turn").agg(text.alias("text"))
+    return swaps.apply_swaps(said, "text", SWAPS).select("conv_id", "turn", "swapped")
 
 
 @_query(None)
