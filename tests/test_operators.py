@@ -250,3 +250,51 @@ def test_report_admits_a_riser(spark, files_dir, tmp_path):
     o = REPORT.but(min_count=3, min_ratio=1.5, min_uses=2, threshold=0.9)
     out = commands.report(turns, NOW, STOP, t, lambda v: files.read_vectors(spark, str(tmp_path / "v.txt"), v), o=o).collect()
     assert [(r.kind, r.lemma) for r in out] == [("riser", "oak")] and out[0].words == ["tree", "oak", "plant"] and len(out[0].spark) == 8
+
+
+def test_refresh_hook_and_ledger(spark, tmp_path):
+    from wordtide.plans import hook
+
+    state, at = str(tmp_path / "state"), lambda **k: NOW + timedelta(**k)
+    cols = "entry_ord int, kind string, reason string, lemma string, known boolean, rate double, words array<string>, judge_note string"
+    entries = lambda *rows: (lambda: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], cols))
+    honor, spine = ("riser", "riser", "honor", False, 1.5, ["keep", "honor"], None), ("chronic", "frame", "spine", False, 2.0, ["core", "spine"], "Vague. More.")
+    assert hook.shown(spark, state, NOW) == ("", []) and hook.last_report(spark, state) is None
+    fails = lambda: 1 / 0
+    assert hook.refresh(spark, state, fails, NOW, "1") == "error"
+    assert hook.refresh(spark, state, fails, at(minutes=5), "1", automatic=True) == "paused"
+    assert hook.refresh(spark, state, entries(honor, spine), at(minutes=20), "1", automatic=True) == "ok"
+    assert hook.refresh(spark, state, fails, at(minutes=30), "2") == "fresh"
+    fs, lock = hook._place(spark, f"{state}/refresh.lock")
+    fs.createNewFile(lock)
+    assert hook.refresh(spark, state, fails, datetime.now(), "2") == "busy"
+    fs.setTimes(lock, 0, 0)
+    assert hook.refresh(spark, state, entries(spine), at(days=6, minutes=20), "2") == "ok" and not fs.exists(lock)
+    later = at(days=7)
+    text, lemmas = hook.shown(spark, state, later)
+    assert text == "spine (frame): core < [spine] — Vague.\n" and lemmas == ["spine"]
+    prompts = spark.createDataFrame([("a", later), ("a", later + timedelta(hours=1)), ("a", later + timedelta(hours=5)), ("b", later), ("../x", later)], "session_id string, at timestamp")
+    assert sorted((r.session_id, r.at - later) for r in hook.hook(prompts, state, later).collect()) == [("a", timedelta()), ("a", timedelta(hours=5)), ("b", timedelta())]
+    rows = {r.lemma: r for r in hook.history(spark, state).collect()}
+    assert (rows["spine"].refreshes, rows["spine"].injected, rows["spine"].faded) == (2, 3, False) and rows["honor"].faded_at == at(days=6, minutes=20)
+    shown = ledger.render(hook.history(spark, state), at(days=20))
+    assert shown.splitlines()[0] == "still flagged:" and "since 2024-03-04 (2w, 2 refreshes)" in shown and "shown 3×" in shown and "→ gone 2024-03-10" in shown
+    old = hook.shown(spark, state, at(days=30))
+    assert old[1] == [] and old[0].startswith("word report is 23d old") and "division by zero" in old[0]
+    assert ledger.render(hook.history(spark, str(tmp_path / "none")), NOW) == "nothing recorded yet\n"
+
+
+def test_console_and_churn_text(spark):
+    from wordtide.functions import console
+
+    out = spark.createDataFrame([("honor", 12, 3, 0.55555)], "term string, hits long, projects long, rate double").withColumn("status", F.lit("below cutoff"))
+    assert console.table(out, console.AUDIT).splitlines() == ["TERM   HITS  PROJECTS  RATE/1K  STATUS", "honor  12    3         0.556    below cutoff"]
+    toks = _turns(spark, [("a", 0, ""), ("a", 7, "")]).withColumn("lemma", F.lit("w"))
+    assert console.trend_table(drift.trend(toks, ["w"], NOW, 3)).splitlines()[1:] == ["0     0k      -", "1     0k      1000.00", "2     0k      1000.00"]
+    cols = "seq long, word string, ladder_hash string, model string, schema_version int, role string, demote_to string, note string, well_formed boolean, safe boolean, at string"
+    row = lambda i, w, h, s, role, to: (i, w, h, "m", s, role, to, "", True, True, f"t{i}")
+    log = spark.createDataFrame([row(1, "x", "a", 1, "tic", "p"), row(2, "x", "b", 1, "term_of_art", ""), row(3, "y", "a", 1, "tic", "p"), row(4, "y", "b", 2, "mixed", "p"), row(5, "z", "a", 1, "tic", "p"), row(6, "v", "a", 1, "tic", "p"), row(7, "v", "b", 1, "tic", "q")], cols)
+    text = verdicts.render_churn(verdicts.churn(log))
+    assert [x.split()[:2] for x in text.splitlines()[1:3]] == [["!", "x"], ["v", "2"]] and "changed only across schemas:\n  y" in text.replace("   ", "  ")
+    assert text.endswith("2 of 3 words on two ladders or more changed, 1 of them into or out of term of art\n")
+    assert verdicts.render_churn(verdicts.churn(log.filter("word = 'z'"))) == "1 judged, none on more than one ladder\n"

@@ -6,9 +6,14 @@ injections(at, lemma).
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import display as dp
+from ..functions.console import aligned
+
 #: Fixed value: the most suggestions for the curated list.
 SHORTLIST = 5
 
@@ -49,3 +54,36 @@ def live(ledger: DataFrame) -> DataFrame:
 
 def faded(ledger: DataFrame) -> DataFrame:
     return ledger.filter("faded").orderBy(F.desc("faded_at"), "lemma")
+
+
+def render(ledger: DataFrame, now: datetime) -> str:
+    """The ledger as text: words still flagged, the oldest first; how many were never shown; faded ones, the latest first.
+
+    A ledger has a row for each word ever flagged, some hundreds.
+    """
+    pct = dp.change(F.col("first_rate"), F.col("last_rate"))
+    own = ledger.withColumns(
+        {
+            "move": F.concat(dp.change_arrow(pct), F.format_string("%.0f%%", F.abs(pct))),
+            "age": dp.human_age(F.unix_timestamp(F.lit(now)) - F.unix_timestamp("first_flagged")),
+            "tally": dp.shown(F.col("known"), F.col("injected")),
+            "since": F.date_format("first_flagged", "yyyy-MM-dd"),
+            "gone": F.date_format("faded_at", "yyyy-MM-dd"),
+        }
+    )
+    stay, went = live(own).collect(), faded(own).collect()
+    if not stay and not went:
+        return "nothing recorded yet\n"
+    out = []
+    if stay:
+        out.append("still flagged:\n")
+        out.append(aligned([[r.lemma, f"since {r.since} ({r.age}, {r.refreshes} refresh{'' if r.refreshes == 1 else 'es'})", f"{r.first_rate:.2f} → {r.last_rate:.2f}/1k", r.move, r.kind, r.tally] for r in stay]))
+        unseen = sum(r.injected == 0 for r in stay)
+        if unseen:
+            out.append(f"{unseen} of {len(stay)} still flagged were never shown\n")
+            steady = curation_candidates(ledger).collect()
+            out.append("".join(f"  {r.lemma}: {r.last_rate:.2f}/1k over {r.refreshes} refreshes, not on the list\n" for r in steady))
+    if went:
+        out.append("faded:\n")
+        out.append(aligned([[r.lemma, f"{r.since} → gone {r.gone}", f"{r.first_rate:.2f} → {r.last_rate:.2f}/1k", r.move, r.kind] for r in went]))
+    return "".join(out)

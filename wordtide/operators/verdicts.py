@@ -8,6 +8,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.console import aligned
+
 #: The roles of a verdict and the option of no demotion.
 ROLES = ("tic", "mixed", "term_of_art")
 NONE = "none"
@@ -96,13 +98,13 @@ def churn(log: DataFrame) -> DataFrame:
         F.count_if(~F.col("ok")).alias("refused"),
         F.array_sort(F.collect_set("schema_version")).alias("schemas"),
     )
-    within = rows.filter("ok").groupBy("word", "schema_version").agg(F.count_distinct("role").alias("r"), F.max(F.col("role") == "term_of_art").alias("toa"))
-    flips = within.groupBy("word").agg(F.max(F.col("r") > 1).alias("flips_within"), F.max((F.col("r") > 1) & F.col("toa")).alias("crosses_within"))
+    within = rows.filter("ok").groupBy("word", "schema_version").agg(F.count_distinct("role").alias("r"), F.count_distinct("rung").alias("g"), F.max(F.col("role") == "term_of_art").alias("toa"))
+    flips = within.groupBy("word").agg(F.max(F.col("r") > 1).alias("flips_within"), F.max(F.col("g") > 1).alias("rungs_within"), F.max((F.col("r") > 1) & F.col("toa")).alias("crosses_within"))
     out = counts.join(seen("role"), "word", "left").join(seen("rung"), "word", "left").join(flips, "word", "left")
     empty = F.array().cast("array<string>")
     out = out.withColumns({"roles": F.coalesce("roles", empty), "rungs": F.coalesce("rungs", empty)})
     no = F.lit(False)
-    out = out.withColumns({"flips_within": F.coalesce("flips_within", no), "crosses_within": F.coalesce("crosses_within", no)})
+    out = out.withColumns({c: F.coalesce(c, no) for c in ("flips_within", "rungs_within", "crosses_within")})
     crosses = (F.size("roles") > 1) & F.array_contains("roles", "term_of_art")
     unstable = (F.size("roles") > 1) | (F.size("rungs") > 1)
     return out.withColumns({"crosses_term_of_art": crosses, "unstable": unstable})
@@ -118,3 +120,26 @@ def churn_order(churned: DataFrame) -> DataFrame:
 
 def last_by(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return log.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))).filter("__r = 1").drop("__r")
+
+
+def render_churn(churned: DataFrame) -> str:
+    """Words that were judged on two ladders or more and changed their answer: first under one schema, then across schemas."""
+    rows = churn_order(churned).collect()
+    judged = churned.count()
+    if not rows:
+        return f"{judged} judged, none on more than one ladder\n" if judged else "no verdicts yet\n"
+    live = [r for r in rows if r.flips_within or r.rungs_within]
+    across = [r for r in rows if r.unstable and r not in live]
+
+    def lines(own: list, mark: bool) -> str:
+        cells = [["!" if mark and r.crosses_within else " ", r.word, f"{r.ladders} ladders", f"role: {'/'.join(r.roles)}", f"rung: {'/'.join(r.rungs)}", f"({r.refused} refused)" if r.refused else "", f"schema {'/'.join(map(str, r.schemas))}" if len(r.schemas) > 1 else ""] for r in own]
+        return aligned(cells)
+
+    out = []
+    if live:
+        out.append("changed under one schema:\n" + lines(live, True))
+    if across:
+        out.append("changed only across schemas:\n" + lines(across, False))
+    crossed = sum(r.crosses_within for r in live)
+    out.append(f"{len(live)} of {len(rows)} words on two ladders or more changed" + (f", {crossed} of them into or out of term of art" if crossed else "") + "\n")
+    return "".join(out)

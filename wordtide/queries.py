@@ -496,11 +496,12 @@ def incongruity(spark: SparkSession, d: str) -> DataFrame:
 f AS (SELECT DISTINCT refresh_at FROM r), l AS (SELECT lemma, min(refresh_at) AS first_flagged, arg_min(rate, refresh_at) AS first_rate, max(refresh_at) AS last_seen, arg_max(rate, refresh_at) AS last_rate,
 arg_max(kind, refresh_at) AS kind, arg_max(known, refresh_at) AS known, count(DISTINCT refresh_at) AS refreshes FROM r GROUP BY lemma)
 SELECT lemma, first_flagged, round(first_rate, 6) AS first_rate, last_seen, round(last_rate, 6) AS last_rate, kind, known, refreshes, (SELECT min(refresh_at) FROM f WHERE refresh_at > last_seen) AS faded_at,
-last_seen < (SELECT max(refresh_at) FROM f) AS faded FROM l"""
+(SELECT count(*) FROM events WHERE event_id % 3 = 0 AND 'w' || (user_id + event_id % 2) = l.lemma) AS injected, last_seen < (SELECT max(refresh_at) FROM f) AS faded FROM l"""
 )
 def ledger_fold(spark: SparkSession, d: str) -> DataFrame:
     rows = _report_log(spark, d)
-    return _rounded(ledger.fold(rows, rows.select("refresh_at")).drop("injected"), "first_rate", "last_rate")
+    shown = table(spark, d, "events").filter("event_id % 3 = 0").select(F.col("ts").alias("at"), F.concat(F.lit("w"), F.col("user_id") + F.col("event_id") % 2).alias("lemma"))
+    return _rounded(ledger.fold(rows, rows.select("refresh_at"), shown), "first_rate", "last_rate")
 
 
 def _report_log(spark: SparkSession, d: str) -> DataFrame:
@@ -538,15 +539,15 @@ def verdict_latest(spark: SparkSession, d: str) -> DataFrame:
     f"""{_LOG}, g AS (SELECT *, wf AND sf AS ok, CASE WHEN demote_to = '' THEN '-' ELSE demote_to END AS rung FROM e),
 ro AS (SELECT word, string_agg(role, ',' ORDER BY s) AS roles FROM (SELECT word, role, min(seq) AS s FROM g WHERE ok GROUP BY ALL) GROUP BY word),
 ru AS (SELECT word, string_agg(rung, ',' ORDER BY s) AS rungs FROM (SELECT word, rung, min(seq) AS s FROM g WHERE ok GROUP BY ALL) GROUP BY word),
-wi AS (SELECT word, max(r > 1) AS flips, max(r > 1 AND toa) AS crosses FROM (SELECT word, schema_version, count(DISTINCT role) AS r, max(role = 'term_of_art') AS toa FROM g WHERE ok GROUP BY ALL) GROUP BY word)
+wi AS (SELECT word, max(r > 1) AS flips, max(g > 1) AS rungf, max(r > 1 AND toa) AS crosses FROM (SELECT word, schema_version, count(DISTINCT role) AS r, count(DISTINCT rung) AS g, max(role = 'term_of_art') AS toa FROM g WHERE ok GROUP BY ALL) GROUP BY word)
 SELECT g.word, count(DISTINCT ladder_hash) AS ladders, count(*) FILTER (WHERE ok) AS accepted, count(*) FILTER (WHERE NOT ok) AS refused, array_to_string(list_sort(list(DISTINCT schema_version)), ',') AS schemas,
-coalesce(max(roles), '') AS roles, coalesce(max(rungs), '') AS rungs, coalesce(max(flips), false) AS flips_within, coalesce(max(crosses), false) AS crosses_within
+coalesce(max(roles), '') AS roles, coalesce(max(rungs), '') AS rungs, coalesce(max(flips), false) AS flips_within, coalesce(max(rungf), false) AS rungs_within, coalesce(max(crosses), false) AS crosses_within
 FROM g LEFT JOIN ro USING (word) LEFT JOIN ru USING (word) LEFT JOIN wi USING (word) GROUP BY g.word"""
 )
 def verdict_churn(spark: SparkSession, d: str) -> DataFrame:
     c = verdicts.churn(_verdict_log(spark, d))
     text = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",").alias(x)
-    return c.select("word", "ladders", "accepted", "refused", text("schemas"), text("roles"), text("rungs"), "flips_within", "crosses_within")
+    return c.select("word", "ladders", "accepted", "refused", text("schemas"), text("roles"), text("rungs"), "flips_within", "rungs_within", "crosses_within")
 
 
 _CUR = [tx.lemma_of(w) for w in CURATED]
