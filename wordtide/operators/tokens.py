@@ -36,8 +36,12 @@ def of_sentences(sents: DataFrame) -> DataFrame:
 
 def name_counts(turns: DataFrame, stopwords: list[str]) -> DataFrame:
     """lemma, mid, capped: uses after a sentence's first word, and how many of them have a capital."""
-    cut = turns.select(F.explode(tx.sentences(tx.clean(F.col("text")))).alias("s"))
-    word = cut.select(F.posexplode(tx.words(F.col("s"))).alias("at", "word")).filter("at > 0")
+    return names_of(turns.select(F.explode(tx.sentences(tx.clean(F.col("text")))).alias("cased")), stopwords)
+
+
+def names_of(sents: DataFrame, stopwords: list[str]) -> DataFrame:
+    """``name_counts`` of sentences that are cut already; those without a kept token would add nothing."""
+    word = sents.select(F.posexplode(tx.words(F.col("cased"))).alias("at", "word")).filter("at > 0")
     first = F.substring("word", 1, 1)
     capped = (F.upper(first) == first) & (F.lower(first) != first) & (F.upper("word") != F.col("word"))
     own = word.select(tx.lemma(F.lower("word")).alias("lemma"), capped.alias("capped"))

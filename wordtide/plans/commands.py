@@ -98,7 +98,7 @@ def report(
     known = F.col("lemma").isin([tx.lemma_of(w.lower()) for w in curated_words])
     pool = cut(pool.withColumn("known", known).withColumn("frame_frac", F.coalesce("frame_frac", F.lit(0.0))), "chronic")
 
-    names = tokens.name_counts(turns, stopwords).filter(tx.is_name(F.col("mid"), F.col("capped"))).select("lemma")
+    names = tokens.names_of(sents, stopwords).filter(tx.is_name(F.col("mid"), F.col("capped"))).select("lemma")
     listed = spark.createDataFrame([(tx.lemma_of(w.lower()),) for w in proper_nouns], "lemma string")
     barred = cut(names.union(listed).distinct(), "names")
     found = tokens.phrase_matches(sents.select("project", "raw"), "raw", list(phrases))
@@ -172,14 +172,15 @@ def audit(turns: DataFrame, curated_words: Sequence[str], phrases: Sequence[str]
     spark = turns.sparkSession
     words = list(dict.fromkeys(tx.lemma_of(w.lower()) for w in curated_words))
     curated = spark.createDataFrame([(w, False) for w in words] + [(p, True) for p in dict.fromkeys(phrases)], "term string, is_phrase boolean")
-    toks = tokens.tokens(turns, stopwords)
+    sents = cut(tokens.sentences(turns, stopwords).select("turn_id", "project", "ts", "tokens", "cased"), "audit-sentences")
+    toks = tokens.of_sentences(sents)
     # one pass for the words and their total: counts by term and project, other lemmas by project alone
     term = F.when(F.col("lemma").isin(words), F.col("lemma"))
     counted = cut(toks.groupBy(term.alias("term"), "project").agg(F.count("*").alias("n")), "audit-words")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("full_total"))
     said = tokens.audit_phrases(turns, list(phrases)).groupBy(F.col("phrase").alias("term"), "project").agg(F.count("*").alias("n"))
     uses = counted.filter("term is not null").unionByName(said)
-    names = tokens.name_counts(turns, stopwords).filter(tx.is_name(F.col("mid"), F.col("capped"))).select("lemma")
+    names = tokens.names_of(sents, stopwords).filter(tx.is_name(F.col("mid"), F.col("capped"))).select("lemma")
     names = names.union(spark.createDataFrame([(tx.lemma_of(w.lower()),) for w in proper_nouns], "lemma string")).distinct()
     terms = spark.createDataFrame([], "word string") if log is None else verdicts.latest(log).filter("role = 'term_of_art'").select("word")
     ranks = entries.select(F.lower("lemma").alias("term"), F.col("entry_ord").alias("rank"))

@@ -94,13 +94,18 @@ def _common(spark: SparkSession, d: str) -> DataFrame:
     return tokens.tokens(turns(spark, d), STOP)
 
 
-def _lemmas(spark: SparkSession, d: str) -> DataFrame:
-    return drift.lemma_counts(drift.lemma_project_counts(_common(spark, d), NOW, REPORT))
+def _lemmas(toks: DataFrame) -> DataFrame:
+    return drift.lemma_counts(drift.lemma_project_counts(toks, NOW, REPORT))
 
 
-def _top(spark: SparkSession, d: str, n: int) -> DataFrame:
+def _sents(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences, written once for the branches of a query."""
+    return cut(tokens.sentences(turns(spark, d), STOP).drop("cased"), "query-sentences")
+
+
+def _top(toks: DataFrame, n: int) -> DataFrame:
     """The n most used lemmas, with their rank r."""
-    counted = _common(spark, d).groupBy("lemma").agg(F.count("*").alias("n"))
+    counted = toks.groupBy("lemma").agg(F.count("*").alias("n"))
     best = counted.orderBy(F.desc("n"), "lemma").limit(n)
     return best.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "lemma")))
 
@@ -164,7 +169,7 @@ def inflections(spark: SparkSession, d: str) -> DataFrame:
 (SELECT count(*) FROM turns WHERE {_BASELINE}) AS baseline_turns, (SELECT count(*) FROM turns) AS full_turns FROM tt"""
 )
 def window_totals(spark: SparkSession, d: str) -> DataFrame:
-    return drift.totals(_lemmas(spark, d)).crossJoin(drift.turn_totals(turns(spark, d), NOW))
+    return drift.totals(_lemmas(_common(spark, d))).crossJoin(drift.turn_totals(turns(spark, d), NOW))
 
 
 @_query(
@@ -184,7 +189,8 @@ tr AS (SELECT a.lemma, b.bucket::INT AS bucket, coalesce(ev.tokens, 0) AS tokens
 
 @_query(f"{_TREND} SELECT lemma, bucket, tokens, n, round(rate, 6) AS rate FROM tr")
 def weekly_trend(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(drift.trend(_common(spark, d), _top(spark, d, 20), NOW), "rate")
+    toks = tokens.of_sentences(_sents(spark, d))
+    return _rounded(drift.trend(toks, _top(toks, 20), NOW), "rate")
 
 
 @_query(
@@ -194,7 +200,8 @@ SELECT lemma, array_to_string(list_transform(r, lambda v: CASE WHEN v IS NULL TH
   CASE WHEN l > f THEN '↑' WHEN l < f THEN '↓' ELSE '→' END AS arrow, round(f, 6) AS first_rate, round(l, 6) AS last_rate FROM s"""
 )
 def sparkline(spark: SparkSession, d: str) -> DataFrame:
-    t = drift.trend(_common(spark, d), _top(spark, d, 20), NOW)
+    toks = tokens.of_sentences(_sents(spark, d))
+    t = cut(drift.trend(toks, _top(toks, 20), NOW), "trend")
     out = drift.series(t).join(drift.first_last(t), "lemma")
     return _rounded(out.select("lemma", dp.sparkline(F.col("rates")).alias("line"), dp.trend_arrow(F.col("rates")).alias("arrow"), "first_rate", "last_rate"), "first_rate", "last_rate")
 
@@ -215,11 +222,11 @@ uses AS (SELECT lemma, turn_id, sent_no, tokens, row_number() OVER (PARTITION BY
 
 @_query(f"{_USES} SELECT lemma, turn_id, sent_no::INT AS sent_no, use_no::INT AS use_no FROM uses")
 def uses_sample(spark: SparkSession, d: str) -> DataFrame:
-    return _uses(spark, d).select("lemma", "turn_id", "sent_no", "use_no")
+    return _uses(_sents(spark, d)).select("lemma", "turn_id", "sent_no", "use_no")
 
 
-def _uses(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.uses(tokens.stored(tokens.sentences(turns(spark, d), STOP)), _top(spark, d, 40), 50)
+def _uses(sents: DataFrame) -> DataFrame:
+    return tokens.uses(tokens.stored(sents), _top(tokens.of_sentences(sents), 40), 50)
 
 
 @_query(
@@ -263,8 +270,9 @@ def phrase_counts(spark: SparkSession, d: str) -> DataFrame:
 SELECT phrase, count(*) AS "count", count(DISTINCT project) AS projects, round(count(*) / max(n) * 1000, 6) AS rate FROM hits, t GROUP BY phrase HAVING count(*) >= 5 ORDER BY count(*) DESC, phrase LIMIT 4"""
 )
 def phrase_entries(spark: SparkSession, d: str) -> DataFrame:
-    found = tokens.report_phrases(turns(spark, d), PHRASES, STOP)
-    total = _common(spark, d).agg(F.count("*").alias("full_total"))
+    sents = _sents(spark, d)
+    found = tokens.phrase_matches(sents.select("project", "raw"), "raw", PHRASES)
+    total = tokens.of_sentences(sents).agg(F.count("*").alias("full_total"))
     return _rounded(drift.phrase_entries(found, total), "rate")
 
 
@@ -276,7 +284,7 @@ _POOL = f"""{_COUNTS}, pool AS (SELECT lemma, "full", projects, "full" / ft * 10
 
 @_query(f"""{_POOL} SELECT lemma, "full", projects, round(rate, 6) AS rate FROM pool""")
 def chronic_pool(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(drift.chronic_pool(_lemmas(spark, d), None), "rate")
+    return _rounded(drift.chronic_pool(_lemmas(_common(spark, d)), None), "rate")
 
 
 _WORDIC = f"""{_TOK}, fq AS (SELECT lemma, count(*) AS n FROM tok GROUP BY lemma), al AS (SELECT count(*) AS t FROM tok)"""
@@ -299,10 +307,11 @@ c3 AS (SELECT * REPLACE (coalesce(route, CASE WHEN strlen(lemma) >= 4 AND ic >=
 
 
 def _cascade(spark: SparkSession, d: str) -> DataFrame:
-    lemmas = _lemmas(spark, d)
-    pool = drift.chronic_pool(lemmas, None)
+    sents = _sents(spark, d)
+    lemmas = cut(_lemmas(tokens.of_sentences(sents)), "lemmas")
+    pool = cut(drift.chronic_pool(lemmas, None), "pool")
     freq = lemmas.select("lemma", F.col("full").alias("n"))
-    frames = tokens.frame_fraction(tokens.stored(tokens.sentences(turns(spark, d), STOP))).select("lemma", "frame_frac")
+    frames = tokens.frame_fraction(tokens.stored(sents), pool).select("lemma", "frame_frac")
     pool = thesaurus.word_ic(pool, thesaurus.Thesaurus(*[None] * 5, freq), "lemma").join(frames, "lemma", "left")
     pool = pool.withColumn("known", F.col("lemma").startswith("th")).withColumn("frame_frac", F.coalesce("frame_frac", F.lit(0.0)))
     return drift.cascade(pool, REPORT.but(rarity_floor=6.0))
@@ -432,9 +441,9 @@ def _unit_sum(keys: str, source: str) -> str:
   SELECT {k}list(x ORDER BY i) AS s FROM (SELECT {k}i, sum(x) AS x FROM (SELECT {k}unnest(v)::DOUBLE AS x, unnest(range(len(v))) AS i FROM {source}) GROUP BY {k}i) {g}) WHERE list_dot_product(s, s) > 0)"""
 
 
-def _table(spark: SparkSession, d: str) -> DataFrame:
+def _table(spark: SparkSession, d: str, toks: DataFrame) -> DataFrame:
     n = table(spark, d, "embeddings").count()
-    return ad.vectors(spark, d, _top(spark, d, n))
+    return cut(ad.vectors(spark, d, _top(toks, n)), "query-vectors")
 
 
 @_query(
@@ -443,8 +452,9 @@ m AS {_unit_sum("turn_id, sent_no", "(SELECT turn_id, sent_no, v FROM b JOIN vec
 SELECT turn_id, sent_no::INT AS sent_no, coalesce(known, 0)::INT AS known, round(mean[1]::DOUBLE, 4) AS x, round(mean[2]::DOUBLE, 4) AS y FROM store LEFT JOIN kn USING (turn_id, sent_no) LEFT JOIN m USING (turn_id, sent_no)"""
 )
 def vec_mean(spark: SparkSession, d: str) -> DataFrame:
-    store = tokens.stored(tokens.sentences(turns(spark, d), STOP)).select("turn_id", "sent_no", F.col("tokens").alias("words"))
-    m = vectors.means(store, ["turn_id", "sent_no"], _table(spark, d))
+    sents = _sents(spark, d)
+    store = tokens.stored(sents).select("turn_id", "sent_no", F.col("tokens").alias("words"))
+    m = vectors.means(store, ["turn_id", "sent_no"], _table(spark, d, tokens.of_sentences(sents)))
     at = lambda i: F.round(F.get("mean", F.lit(i)).cast("double"), 4)
     return m.select("turn_id", "sent_no", "known", at(0).alias("x"), at(1).alias("y"))
 
@@ -456,7 +466,8 @@ p AS (SELECT a.lemma, avg(list_dot_product(a.mean::DOUBLE[], c.mean::DOUBLE[]))
 SELECT lemma, count(*)::INT AS uses, round(coalesce(max(clustered), 0), 4) AS clustered FROM m LEFT JOIN p USING (lemma) GROUP BY lemma"""
 )
 def use_clustering(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(vectors.spread(vectors.use_bags(_uses(spark, d)), _table(spark, d), ["lemma"]), "clustered", places=4)
+    sents = _sents(spark, d)
+    return _rounded(vectors.spread(vectors.use_bags(_uses(sents)), _table(spark, d, tokens.of_sentences(sents)), ["lemma"]), "clustered", places=4)
 
 
 _SUBS = f"""{_USES}, {_VECS}, cand AS (SELECT a.lemma, c.lemma AS word, c.r AS cand_ord FROM rk a JOIN rk c ON c.r BETWEEN a.r + 1 AND a.r + 5 WHERE a.r <= 40),
@@ -466,8 +477,8 @@ sw AS {_unit_sum("lemma, use_no, cand", "(SELECT bv.lemma, use_no, cand.word AS
 cs AS (SELECT sw.lemma, cand AS word, list_dot_product(own.mean::DOUBLE[], sw.mean::DOUBLE[]) AS cos FROM sw JOIN own USING (lemma, use_no) WHERE cand IN (SELECT word FROM vec))"""
 
 
-def _cands(spark: SparkSession, d: str) -> DataFrame:
-    top = _top(spark, d, 45)
+def _cands(toks: DataFrame) -> DataFrame:
+    top = cut(_top(toks, 45), "top")
     a, c = top.filter("r <= 40").select("lemma", F.col("r").alias("ra")), top.select(F.col("lemma").alias("word"), F.col("r").alias("cand_ord"))
     near = a.withColumn("cand_ord", F.explode(F.sequence(F.col("ra") + 1, F.col("ra") + 5)))
     return near.join(c, "cand_ord").select("lemma", "word", F.lit(1.0).alias("ic"), "cand_ord")
@@ -475,7 +486,9 @@ def _cands(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"""{_SUBS} SELECT lemma, word, count(*) FILTER (WHERE cos >= 0.8) AS clean, count(*) AS total, round(avg(cos), 4) AS mean_cos FROM cs GROUP BY lemma, word""")
 def substitutes(spark: SparkSession, d: str) -> DataFrame:
-    s = vectors.substitutes(_uses(spark, d), _cands(spark, d), _table(spark, d), 0.8)
+    sents = _sents(spark, d)
+    toks = tokens.of_sentences(sents)
+    s = vectors.substitutes(cut(_uses(sents), "uses"), cut(_cands(toks), "candidates"), _table(spark, d, toks), 0.8)
     return _rounded(s.select("lemma", "word", "clean", "total", "mean_cos"), "mean_cos", places=4)
 
 
@@ -485,7 +498,8 @@ m AS {_unit_sum("lemma", "(SELECT lemma, v FROM b JOIN vec USING (word))")}
 SELECT m.lemma, round(1 - list_dot_product(v::DOUBLE[], mean::DOUBLE[]), 4) AS incongruity FROM m JOIN vec ON vec.word = m.lemma"""
 )
 def incongruity(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(vectors.incongruity(_uses(spark, d), _table(spark, d)), "incongruity", places=4)
+    sents = _sents(spark, d)
+    return _rounded(vectors.incongruity(cut(_uses(sents), "uses"), _table(spark, d, tokens.of_sentences(sents))), "incongruity", places=4)
 
 
 # ---- logs
@@ -567,8 +581,9 @@ au AS (SELECT term, is_phrase, hits, projects, hits / ft * 1000 AS rate, CASE WH
 
 
 def _audited(spark: SparkSession, d: str) -> DataFrame:
-    first, second, third = (r.lemma for r in _top(spark, d, 3).orderBy("r").collect())
-    names = tokens.name_counts(turns(spark, d), STOP).filter(tx.is_name(F.col("mid"), F.col("capped")))
+    sents = cut(tokens.sentences(turns(spark, d), STOP), "query-sentences")
+    first, second, third = (r.lemma for r in _top(tokens.of_sentences(sents), 3).orderBy("r").collect())
+    names = tokens.names_of(sents, STOP).filter(tx.is_name(F.col("mid"), F.col("capped")))
     named = [r.lemma for r in names.orderBy(F.desc("mid"), "lemma").limit(2).collect()]
     entries = spark.createDataFrame([("of the", 1), (second, 2)], "lemma string, entry_ord int")
     log = spark.createDataFrame([(1, first, "h", "m", 1, "term_of_art", "", "", True, True, "2024-03-01T00:00:00Z")], f"seq long, {files.VERDICTS}")
@@ -674,7 +689,8 @@ def swapped_text(spark: SparkSession, d: str) -> DataFrame:
 @_query(None)
 def report_document(spark: SparkSession, d: str) -> DataFrame:
     """The whole report; words of a made-up thesaurus, in which a lemma's hypernyms are the ones ranked around it."""
-    top = cut(_top(spark, d, 1_000), "top")
+    toks = _common(spark, d)
+    top = cut(_top(toks, 1_000), "top")
     key = F.concat(F.lit("k"), "r")
     synset = top.select(key.alias("key"), F.lit("n").alias("pos"), F.lit("").alias("gloss"))
     words_ = top.select(key.alias("key"), F.lit(0).alias("ord"), F.col("lemma").alias("word"))
@@ -682,7 +698,7 @@ def report_document(spark: SparkSession, d: str) -> DataFrame:
     index = top.select(F.lit("n").alias("pos"), "lemma", F.lit(0).alias("sense_ord"), key.alias("key"))
     none = spark.createDataFrame([], "key string, ic double")
     t = thesaurus.Thesaurus(index, synset, words_, up, none, top.select("lemma", "n"))
-    out = commands.report(turns(spark, d), NOW, STOP, t, lambda v: _table(spark, d).join(v, "word", "left_semi"), CURATED, PHRASES, (), None, REPORT.but(threshold=0.6, rarity_floor=6.0))
+    out = commands.report(turns(spark, d), NOW, STOP, t, lambda v: _table(spark, d, toks).join(v, "word", "left_semi"), CURATED, PHRASES, (), None, REPORT.but(threshold=0.6, rarity_floor=6.0, incongruity_floor=0.5))
     return _rounded(out.withColumn("words", F.array_join("words", " < ")).withColumn("spark", F.transform("spark", lambda x: F.round(x, 6))), "rate", "ratio")
 
 
