@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,9 +15,10 @@ from .operators import drift, ledger, report, swaps, thesaurus, tokens, vectors,
 from .options import REPORT, SCAN
 from .plans import commands
 from .sources import adapters as ad
-from .sources import files
+from .sources import files, transcripts
+from .sources import thesaurus as thesaurus_files
 from .sources.adapters import NOW, table, turns
-from .work import cut
+from .work import cut, place, rename_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 STOP = tx.stopword_set()
@@ -555,13 +557,14 @@ ro AS (SELECT word, string_agg(role, ',' ORDER BY s) AS roles FROM (SELECT word,
 ru AS (SELECT word, string_agg(rung, ',' ORDER BY s) AS rungs FROM (SELECT word, rung, min(seq) AS s FROM g WHERE ok GROUP BY ALL) GROUP BY word),
 wi AS (SELECT word, max(r > 1) AS flips, max(g > 1) AS rungf, max(r > 1 AND toa) AS crosses FROM (SELECT word, schema_version, count(DISTINCT role) AS r, count(DISTINCT rung) AS g, max(role = 'term_of_art') AS toa FROM g WHERE ok GROUP BY ALL) GROUP BY word)
 SELECT g.word, count(DISTINCT ladder_hash) AS ladders, count(*) FILTER (WHERE ok) AS accepted, count(*) FILTER (WHERE NOT ok) AS refused, array_to_string(list_sort(list(DISTINCT schema_version)), ',') AS schemas,
-coalesce(max(roles), '') AS roles, coalesce(max(rungs), '') AS rungs, coalesce(max(flips), false) AS flips_within, coalesce(max(rungf), false) AS rungs_within, coalesce(max(crosses), false) AS crosses_within
+coalesce(max(roles), '') AS roles, coalesce(max(rungs), '') AS rungs, coalesce(max(flips), false) AS flips_within, coalesce(max(rungf), false) AS rungs_within, coalesce(max(crosses), false) AS crosses_within,
+coalesce(max(roles) LIKE '%,%' AND max(roles) LIKE '%term_of_art%', false) AS crosses_term_of_art, coalesce(max(roles) LIKE '%,%' OR max(rungs) LIKE '%,%', false) AS unstable
 FROM g LEFT JOIN ro USING (word) LEFT JOIN ru USING (word) LEFT JOIN wi USING (word) GROUP BY g.word"""
 )
 def verdict_churn(spark: SparkSession, d: str) -> DataFrame:
     c = verdicts.churn(_verdict_log(spark, d))
     text = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",").alias(x)
-    return c.select("word", "ladders", "accepted", "refused", text("schemas"), text("roles"), text("rungs"), "flips_within", "rungs_within", "crosses_within")
+    return c.select("word", "ladders", "accepted", "refused", text("schemas"), text("roles"), text("rungs"), "flips_within", "rungs_within", "crosses_within", "crosses_term_of_art", "unstable")
 
 
 _CUR = [tx.lemma_of(w) for w in CURATED]
@@ -686,6 +689,157 @@ def swapped_text(spark: SparkSession, d: str) -> DataFrame:
     return swaps.apply_swaps(said, "text", SWAPS).select("conv_id", "turn", "swapped")
 
 
+# ---- sources: what the driver's tables hold, written in each source's format and read back
+
+
+def _lines(df: DataFrame, name: str) -> str:
+    """``df``(value) as lines of text files; returns their folder."""
+    path = place(df.sparkSession, name)
+    df.select("value").write.text(path)
+    return path
+
+
+_SINCE = "TIMESTAMP '2024-02-10 00:00:00'"
+
+
+@_query(
+    rf"""WITH c AS (SELECT *, TIMESTAMP '2024-03-04 00:00:00' - to_days(CAST(conv_id % 40 AS INT)) AS ts FROM conversations)
+SELECT 'p' || conv_id % 3 AS project, conv_id, turn, ts, text || chr(10) || 'turn ' || turn AS text FROM c WHERE role = 'assistant' AND text <> '' AND conv_id % 5 <> 0 AND conv_id % 7 <> 0 AND conv_id % 11 <> 0 AND ts >= {_SINCE}"""
+)
+def transcript_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as transcripts: other roles, side chains, plain strings and torn lines are no turns."""
+    c, i = table(spark, d, "conversations"), F.col("conv_id")
+    ts = F.date_format(F.lit(NOW) - F.make_dt_interval(i % 40), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    blocks = F.array(block("text", F.col("text")), block("thinking", F.lit("no")), block("text", F.lit("")), block("text", F.concat(F.lit("turn "), "turn")))
+    line = lambda content: F.to_json(F.struct(F.col("role").alias("type"), (i % 5 == 0).alias("isSidechain"), ts.alias("timestamp"), F.struct(content.alias("content")).alias("message"), i.alias("conv"), F.col("turn")))
+    value = F.when(i % 7 == 0, line(F.col("text"))).when(i % 11 == 0, F.left(line(blocks), F.lit(40))).otherwise(line(blocks))
+    root = place(spark, "transcripts")
+    for p in range(3):  # a session's file must end in .jsonl
+        c.filter(i % 3 == p).select(F.concat(F.lit("conv"), i % 2).alias("session"), value.alias("value")).write.partitionBy("session").text(f"{root}/p{p}")
+    rename_files(spark, root, ".txt", ".jsonl")
+    turns_ = transcripts.read_turns(spark, root, datetime(2024, 2, 10))
+    said = c.select("conv_id", "turn", F.concat_ws("\n", "text", F.concat(F.lit("turn "), "turn")).alias("text"))
+    # the lines carry no ids of conversations: they come back by the text
+    return turns_.join(said.distinct(), "text").select("project", "conv_id", "turn", F.col("ts").cast("timestamp_ntz").alias("ts"), "text")
+
+
+@_query(
+    """SELECT 'v' || vec_id AS word, round((embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 4) AS first,
+round((embedding[-1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 4) AS last FROM embeddings WHERE vec_id % 11 <> 5 AND vec_id % 13 <> 6 AND vec_id % 2 = 0"""
+)
+def vector_file(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as a text table: lines that are too short or hold no numbers are dropped, and words not asked for."""
+    e, i = table(spark, d, "embeddings"), F.col("vec_id")
+    numbers = F.transform("embedding", lambda x: x.cast("string"))
+    numbers = F.when(i % 11 == 5, F.slice(numbers, 2, 5)).when(i % 13 == 6, F.concat(F.slice(numbers, 1, 3), F.array(F.lit("x")))).otherwise(numbers)
+    path = _lines(e.select(F.concat(F.lit("v"), i, F.lit(" "), F.array_join(numbers, " ")).alias("value")).orderBy(i), "vectors")
+    asked = e.filter(i % 2 == 0).select(F.concat(F.lit("v"), i).alias("word"))
+    v = files.read_vectors(spark, path, asked)
+    at = lambda n: F.round(F.element_at("v", n).cast("double"), 4)
+    return v.select("word", at(1).alias("first"), at(-1).alias("last"))
+
+
+@_query(
+    """WITH p AS (SELECT p_partkey, printf('%08d', p_partkey) AS o, replace(p_name, ' ', '_') AS w, lower(p_brand) AS brand, CASE p_partkey % 3 WHEN 0 THEN 'adj' ELSE 'noun' END AS f FROM part),
+roots AS (SELECT f, sum(p_partkey) AS t FROM p WHERE p_partkey % 10 = 1 GROUP BY f), tag AS (SELECT brand, sum(p_partkey % 4)::BIGINT AS n FROM p WHERE p_partkey % 6 <> 0 GROUP BY brand)
+SELECT o || f[1] AS key, f[1] AS pos, w AS word, brand AS second, 'about ' || brand AS gloss, printf('%08d', p_partkey // 2) || f[1] AS target, round(-ln(p_partkey / t), 6) AS ic, tag.n AS tags
+FROM p JOIN roots USING (f) JOIN tag USING (brand) WHERE p_partkey % 8 <> 3 AND p_partkey > 0"""
+)
+def thesaurus_text(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as thesaurus files; lines with a wrong count of words are passed over."""
+    i = F.col("p_partkey")
+    p = table(spark, d, "part").select(i, F.format_string("%08d", i).alias("o"), F.translate("p_name", " ", "_").alias("w"), F.lower("p_brand").alias("brand"), F.when(i % 3 == 0, "adj").otherwise("noun").alias("f"))
+    root = place(spark, "dict")
+    pos = F.left("f", F.lit(1))
+    count = F.when(i % 8 == 3, "zz").otherwise("02")
+    data = F.concat_ws(" ", "o", F.lit("03"), pos, count, "w", F.lit("0"), "brand", F.lit("0"), F.lit("001"), F.lit("@"), F.format_string("%08d", F.expr("p_partkey div 2")), pos, F.lit("0000"), F.lit("|"), F.lit("about"), "brand")
+    index = F.concat_ws(" ", F.lower("w"), pos, F.lit("1 1 @ 1 0"), "o")
+    for name in thesaurus_files.FILES:
+        own = p.filter(F.col("f") == name)
+        own.select(data.alias("value")).write.text(f"{root}/data.{name}")
+        own.select(index.alias("value")).write.text(f"{root}/index.{name}")
+    tags = F.concat_ws(" ", F.concat("brand", F.lit("%1:00")), "o", F.lit("1"), (i % 4).cast("string"))
+    p.select(F.when(i % 6 == 0, F.concat(tags, F.lit(" odd"))).otherwise(tags).alias("value")).write.text(f"{root}/index.sense")
+    ic = F.concat_ws(" ", F.concat(i.cast("string"), pos), i.cast("string"), F.when(i % 10 == 1, "ROOT"))
+    p.select(ic.alias("value")).write.text(f"{root}/ic")
+    t = thesaurus_files.read(spark, root, f"{root}/ic")
+    word = lambda n, name: t.synset_word.filter(F.col("ord") == n).select("key", F.col("word").alias(name))
+    out = t.synset.join(word(0, "word"), "key").join(word(1, "second"), "key").join(t.synset_ptr.select("key", "target"), "key").join(t.ic, "key")
+    out = out.join(t.word_freq.select(F.col("lemma").alias("second"), F.col("n").alias("tags")), "second")
+    return _rounded(out.select("key", "pos", "word", "second", "gloss", "target", "ic", "tags"), "ic")
+
+
+@_query(
+    """WITH l AS (SELECT event_id, ts, event_type AS w, 'r' || user_id % 4 AS "to", 1 + event_id % 3 AS n FROM events WHERE event_id % 9 <> 0 AND event_id % 10 <> 0)
+SELECT w AS lemma, count(*) AS rows, sum(n)::BIGINT AS total, count(DISTINCT "to") AS replacements, date_trunc('second', min(ts)) AS first_at FROM l GROUP BY w"""
+)
+def swap_log(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a log of swaps in JSON lines; torn lines and rows without a word are passed over."""
+    i = F.col("event_id")
+    row = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"), F.when(i % 10 == 0, "").otherwise(F.col("event_type")).alias("w"), F.concat(F.lit("r"), F.col("user_id") % 4).alias("to"), (1 + i % 3).alias("n")))
+    path = _lines(table(spark, d, "events").select(F.when(i % 9 == 0, F.left(row, F.lit(20))).otherwise(row).alias("value")), "swap-log")
+    out = files.swap_log(spark, path).groupBy("lemma").agg(F.count("*").alias("rows"), F.sum("n").alias("total"), F.count_distinct("to").alias("replacements"), F.min("t").cast("timestamp_ntz").alias("first_at"))
+    return out
+
+
+@_query(
+    """SELECT 'w' || user_id AS word, role, count(*) AS n, count(*) FILTER (WHERE event_id % 7 <> 0) AS well_formed FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'tic' WHEN 1 THEN 'mixed' ELSE 'term_of_art' END AS role FROM events WHERE event_id % 9 <> 0) GROUP BY ALL"""
+)
+def verdict_file(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a log of verdicts in JSON lines, appended in two writes."""
+    i = F.col("event_id")
+    role = F.when(i % 3 == 0, "tic").when(i % 3 == 1, "mixed").otherwise("term_of_art")
+    row = F.to_json(F.struct(F.concat(F.lit("w"), "user_id").alias("word"), F.lit("h").alias("ladder_hash"), F.lit("m").alias("model"), F.lit(1).alias("schema_version"), role.alias("role"), F.lit("").alias("demote_to"), F.lit("").alias("note"), (i % 7 != 0).alias("well_formed"), F.lit(True).alias("safe"), F.lit("t").alias("at")))
+    e = table(spark, d, "events").select(F.when(i % 9 == 0, F.left(row, F.lit(30))).otherwise(row).alias("value"), i)
+    path = _lines(e.filter(i % 2 == 0), "verdict-log")
+    e.filter(i % 2 == 1).select("value").write.mode("append").text(path)
+    return files.verdict_log(spark, path).groupBy("word", "role").agg(F.count("*").alias("n"), F.count_if("well_formed").alias("well_formed"))
+
+
+# ---- what is shown
+
+
+@_query(
+    r"""WITH c AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'See e.g. ' || text WHEN 1 THEN replace(text, '.', '.")') ELSE text END AS note FROM conversations),
+m AS (SELECT *, regexp_extract(note, '^((?:.|\n)*?)[.!?]["'')\]]*\s+["''A-Z(]', 1) AS head, regexp_extract(note, '^(?:.|\n)*?([.!?]["'')\]]*)\s+["''A-Z(]', 1) AS mark FROM c)
+SELECT conv_id, turn, CASE WHEN mark = '' OR head LIKE '%e.g' OR head LIKE '%i.e' THEN note ELSE head || mark END AS first FROM m"""
+)
+def first_sentences(spark: SparkSession, d: str) -> DataFrame:
+    text = F.col("text")
+    note = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("See e.g. "), text)).when(F.col("turn") % 3 == 1, F.replace(text, F.lit("."), F.lit('.")'))).otherwise(text)
+    return table(spark, d, "conversations").select("conv_id", "turn", dp.first_sentence(note).alias("first"))
+
+
+@_query(
+    """WITH c AS (SELECT event_id, value, event_type, coalesce(round((value - 50) / 50 * 100, 6), 0) AS pct, event_id % 3 AS injected, event_id % 40 AS days FROM events)
+SELECT event_id, pct AS change, CASE WHEN pct <= -1 THEN '↓' WHEN pct >= 1 THEN '↑' ELSE '→' END AS arrow, CASE WHEN days >= 14 THEN days // 7 || 'w' WHEN days <= 0 THEN 'today' ELSE days || 'd' END AS age,
+CASE WHEN event_id % 2 = 0 THEN 'curated, ' ELSE '' END || CASE injected WHEN 0 THEN 'never shown' ELSE 'shown ' || injected || '×' END AS tally,
+CASE WHEN length(event_type) > 5 THEN left(event_type, 4) || '…' ELSE event_type END AS short,
+CASE event_id % 3 WHEN 0 THEN 'BRANCH' WHEN 1 THEN 'Branch' ELSE 'branch' END AS cased FROM c"""
+)
+def display_cells(spark: SparkSession, d: str) -> DataFrame:
+    i, kind = F.col("event_id"), F.col("event_type")
+    pct = F.round(dp.change(F.lit(50.0), F.col("value")), 6)
+    word = F.when(i % 3 == 0, F.upper(kind)).when(i % 3 == 1, F.initcap(kind)).otherwise(F.lower(kind))
+    return table(spark, d, "events").select(
+        "event_id", pct.alias("change"), dp.change_arrow(pct).alias("arrow"), dp.human_age((i % 40) * 86_400 + 3_600).alias("age"), dp.shown(i % 2 == 0, i % 3).alias("tally"),
+        dp.shortened(kind, 5).alias("short"), dp.match_case(word, F.lit("branch")).alias("cased"),
+    )
+
+
+@_query(
+    """WITH e AS (SELECT event_type || user_id % 5 AS lemma, 'riser' AS kind, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN event_type || user_id % 5 ELSE 'to' || user_id % 5 END AS demote_to, event_id % 2 = 0 AS known, event_id FROM events)
+SELECT lemma, max(replacement) AS replacement FROM (SELECT lemma, demote_to AS replacement FROM e WHERE known AND demote_to <> '' AND lower(lemma) <> lower(demote_to) AND lemma <> 'extra' UNION ALL SELECT 'extra', 'given') GROUP BY lemma"""
+)
+def swap_table(spark: SparkSession, d: str) -> DataFrame:
+    """Curated entries with a demotion, and pairs that are given."""
+    i, lemma = F.col("event_id"), F.concat("event_type", F.col("user_id") % 5)
+    to = F.when(i % 4 == 0, "").when(i % 4 == 1, F.upper(lemma)).otherwise(F.concat(F.lit("to"), F.col("user_id") % 5))
+    entries = table(spark, d, "events").select(F.lit("riser").alias("kind"), lemma.alias("lemma"), to.alias("demote_to"), (i % 2 == 0).alias("known"))
+    return swaps.swap_table(entries, {"extra": "given"})
+
+
 @_query(None)
 def report_document(spark: SparkSession, d: str) -> DataFrame:
     """The whole report; words of a made-up thesaurus, in which a lemma's hypernyms are the ones ranked around it."""
