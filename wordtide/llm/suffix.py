@@ -557,7 +557,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, hot_keys: int = 4_000_000,
     spark = docs.sparkSession
     ship(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    nameless = F.lit(NAMELESS) - F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    # never null for the planner, or the joins below would shuffle texts twice
+    nameless = F.lit(NAMELESS) - F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
     own = own.select(F.coalesce("doc_id", nameless).alias("__id"), "text")
     size, low, high = own.agg(F.sum(F.octet_length("text").cast("long")), F.min("__id"), F.max("__id")).first()
     size = size or 0
