@@ -550,7 +550,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, hot_keys: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 3 << 20, task_bytes: int = 96 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, hot_keys: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 3 << 20, task_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes): one row per document."""
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
