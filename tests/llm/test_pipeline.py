@@ -86,7 +86,7 @@ def test_pipeline(spark, rows, sf_dir, monkeypatch):
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
-@pytest.mark.parametrize(("name", "sql"), [("op4_extendible_hash", queries.OP4_SQL), ("op6_mixing", queries.OP6_SQL)])
+@pytest.mark.parametrize(("name", "sql"), [("op3_suffix_array", queries.OP3_SQL), ("op4_extendible_hash", queries.OP4_SQL), ("op5_superminhash", queries.OP5_SQL), ("op6_mixing", queries.OP6_SQL)])
 def test_queries_equal_their_sql(spark, rows, sf_dir, name, sql):
     key = lambda r: [round(v, 6) if isinstance(v, float) else v for _, v in sorted(r.items())]
     got = sorted((key(r.asDict()) for r in queries.llm_queries()[name](spark, sf_dir).collect()), key=str)

@@ -38,6 +38,29 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir, "doc_id", "text")).drop("kept")
 
 
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents
+), p AS (
+  SELECT doc_id, h, unnest(range(octet_length(h))) AS pos FROM d
+), w AS (
+  SELECT doc_id, pos, hex(array_slice(h, pos + 1, pos + 1)) AS b, CASE WHEN pos + 50 <= octet_length(h) THEN hash(array_slice(h, pos + 1, pos + 50)) END AS s FROM p
+), f AS (
+  SELECT s, min(doc_id) AS first FROM w WHERE s IS NOT NULL GROUP BY s
+), m AS (
+  SELECT w.doc_id, pos, b, coalesce(first < w.doc_id, false) AS hit FROM w LEFT JOIN f USING (s)
+), r AS (
+  SELECT doc_id, pos, b, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m
+), g AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM r
+), k AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(b, '' ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id
+)
+SELECT doc_id, octet_length(h) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op4_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.find_copies(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -54,6 +77,35 @@ def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS items FROM w
+), c AS (
+  SELECT doc_id, len(items) AS n, CASE WHEN len(items) > 0 THEN md5(array_to_string(list_sort(items), chr(10))) ELSE doc_id::VARCHAR END AS k, items FROM s
+), class AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY k) AS class_id FROM c
+), rep AS (
+  SELECT doc_id, n, items FROM class WHERE doc_id = class_id AND n > 0
+), e AS (
+  SELECT doc_id, n, hash(unnest(items)) AS item FROM rep
+), pair AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS shared FROM e a JOIN e b ON a.item = b.item AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL
+), link AS (
+  SELECT x, y FROM pair WHERE 100 * shared >= 80 * (nx + ny - shared)
+), edge AS (
+  SELECT x, y FROM link UNION SELECT y, x FROM link
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM rep UNION SELECT r.a, edge.y FROM reach r JOIN edge ON edge.x = r.b
+), comp AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT class.doc_id, n AS n_shingles, coalesce(component_id, class.doc_id) AS component_id, coalesce(component_id, class.doc_id) = class.doc_id AS kept, class_id
+FROM class LEFT JOIN comp ON comp.a = class.class_id
+"""
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mixing_plan(documents(spark, sf_dir, "doc_id", "text", "source"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -149,4 +201,10 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op4_extendible_hash": OP4_SQL, "op6_mixing": OP6_SQL, "op8_incremental_rendering": OP8_SQL}
+    return {
+        "op3_suffix_array": OP3_SQL,
+        "op4_extendible_hash": OP4_SQL,
+        "op5_superminhash": OP5_SQL,
+        "op6_mixing": OP6_SQL,
+        "op8_incremental_rendering": OP8_SQL,
+    }
