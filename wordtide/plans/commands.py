@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..operators import audit as au
 from ..operators import drift, thesaurus, tokens, vectors, verdicts
 from ..options import REPORT, SCAN, VET, Options
-from ..work import cut
+from ..work import cut, discard
 
 VectorLoader = Callable[[DataFrame], DataFrame]
 
@@ -78,31 +78,37 @@ def report(
     before budgets are spent. What several branches need is written to the shared folder once.
     """
     spark = turns.sparkSession
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(cut(df, name))
+        return made[-1]
+
     # the corpus is cleaned and cut into sentences once; every branch reads what is written here
-    sents = cut(tokens.sentences(turns, stopwords), "report-sentences")
+    sents = kept(tokens.sentences(turns, stopwords), "report-sentences")
     toks = tokens.of_sentences(sents)
-    store = cut(tokens.stored(sents), "sentences")
-    lemmas = cut(drift.lemma_counts(drift.lemma_project_counts(toks, now, o)), "lemmas")
+    store = kept(tokens.stored(sents), "sentences")
+    lemmas = kept(drift.lemma_counts(drift.lemma_project_counts(toks, now, o)), "lemmas")
     full_total = drift.totals(lemmas).select("full_total")
-    rising = cut(drift.risers(lemmas, o).select("lemma", "recent", "projects", "recent_rate", "ratio", "score"), "risers")
-    pool = cut(drift.chronic_pool(lemmas, None, o), "pool")
-    asked = cut(rising.select("lemma").union(pool.select("lemma")).distinct(), "asked")
-    cands_all = cut(thesaurus.candidates(cut(thesaurus.ladders(t, asked), "ladders")), "candidates")
-    uses_all = cut(tokens.uses(store, asked, o.max_uses), "uses")
+    rising = kept(drift.risers(lemmas, o).select("lemma", "recent", "projects", "recent_rate", "ratio", "score"), "risers")
+    pool = kept(drift.chronic_pool(lemmas, None, o), "pool")
+    asked = kept(rising.select("lemma").union(pool.select("lemma")).distinct(), "asked")
+    cands_all = kept(thesaurus.candidates(kept(thesaurus.ladders(t, asked), "ladders")), "candidates")
+    uses_all = kept(tokens.uses(store, asked, o.max_uses), "uses")
     often = uses_all.groupBy("lemma").count().filter(F.col("count") >= o.min_uses)
-    enough = cut(often.join(cands_all.select("lemma").distinct(), "lemma").select("lemma"), "enough")
-    frames = cut(tokens.frame_fraction(store, enough).select("lemma", "frame_frac"), "frames")
-    rising = cut(rising.join(enough, "lemma").join(frames, "lemma", "left"), "prepared")
+    enough = kept(often.join(cands_all.select("lemma").distinct(), "lemma").select("lemma"), "enough")
+    frames = kept(tokens.frame_fraction(store, enough).select("lemma", "frame_frac"), "frames")
+    rising = kept(rising.join(enough, "lemma").join(frames, "lemma", "left"), "prepared")
     pool = pool.join(rising, "lemma", "left_anti").join(enough, "lemma")
     pool = thesaurus.word_ic(pool, t, "lemma").join(frames, "lemma", "left")
     known = F.col("lemma").isin([tx.lemma_of(w.lower()) for w in curated_words])
-    pool = cut(pool.withColumn("known", known).withColumn("frame_frac", F.coalesce("frame_frac", F.lit(0.0))), "chronic")
+    pool = kept(pool.withColumn("known", known).withColumn("frame_frac", F.coalesce("frame_frac", F.lit(0.0))), "chronic")
 
     names = tokens.names_of(sents, stopwords).filter(tx.is_name(F.col("mid"), F.col("capped"))).select("lemma")
     listed = spark.createDataFrame([(tx.lemma_of(w.lower()),) for w in proper_nouns], "lemma string")
-    barred = cut(names.union(listed).distinct(), "names")
+    barred = kept(names.union(listed).distinct(), "names")
     found = tokens.phrase_matches(sents.select("project", "raw"), "raw", list(phrases))
-    said = cut(drift.phrase_entries(found, full_total, o), "phrases")
+    said = kept(drift.phrase_entries(found, full_total, o), "phrases")
     shape = (
         "kind string, reason string, lemma string, count long, projects long, rate double, ratio double, frame_frac double, rarity double, "
         "incongruity double, cluster_delta double, uses long, known boolean, ladder array<struct<word:string,ic:double,clean:long,total:long>>, "
@@ -112,34 +118,34 @@ def report(
     blank = lambda **c: [c.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema]
     phrase_rows = said.select(*blank(kind=F.lit("phrase"), reason=F.lit("phrase"), lemma=F.col("phrase"), count=F.col("count"), projects=F.col("projects"), rate=F.col("rate"), known=F.lit(True), ladder=F.array(), lane=F.lit(4), place=-F.col("count")))
 
-    routes = cut(drift.cascade(pool, o), "routes")
+    routes = kept(drift.cascade(pool, o), "routes")
     # the marked route looks at what no route took; its gate is a score that needs vectors
     rare = pool.join(routes, "lemma", "left_anti").filter((F.octet_length("lemma") >= o.rarity_bytes) & (F.col("word_ic") >= o.rarity_floor))
-    rare = cut(rare if o.marked_top > 0 else rare.limit(0), "rare")
+    rare = kept(rare if o.marked_top > 0 else rare.limit(0), "rare")
     if rising.isEmpty() and routes.isEmpty() and rare.isEmpty():  # phrases only, and the vector table is not read
         body = phrase_rows
     else:
-        sampled = cut(tokens.sample(store, o.max_uses).select("turn_id", "sent_no", "tokens"), "sample")
+        sampled = kept(tokens.sample(store, o.max_uses).select("turn_id", "sent_no", "tokens"), "sample")
         drawn = sampled.select(F.lit("").alias("lemma"), F.row_number().over(Window.orderBy("turn_id", "sent_no")).alias("use_no"), "tokens")
         mine = lambda df: df.join(jobs, "lemma", "left_semi")
-        jobs = cut(rising.select("lemma").union(routes.select("lemma")).union(rare.select("lemma")), "jobs")
-        uses, cands = cut(mine(uses_all), "job-uses"), mine(cands_all)
+        jobs = kept(rising.select("lemma").union(routes.select("lemma")).union(rare.select("lemma")), "jobs")
+        uses, cands = kept(mine(uses_all), "job-uses"), mine(cands_all)
         vocabulary = vectors.vocabulary(uses, cands).union(drawn.select(F.explode("tokens"))).distinct()
-        table = cut(load_vectors(vocabulary), "vectors")
+        table = kept(load_vectors(vocabulary), "vectors")
         odd = vectors.incongruity(mine(uses).join(rare.select("lemma"), "lemma", "left_semi"), table)
-        odd = cut(odd.filter(F.col("incongruity") > o.incongruity_floor), "marked")
-        subs = cut(vectors.ranked(vectors.substitutes(uses, cands, table, o.threshold)), "substitutes")
+        odd = kept(odd.filter(F.col("incongruity") > o.incongruity_floor), "marked")
+        subs = kept(vectors.ranked(vectors.substitutes(uses, cands, table, o.threshold)), "substitutes")
         over_all = vectors.spread(vectors.use_bags(drawn), table, []).select(F.col("clustered").alias("base"))
         spread = vectors.spread(vectors.use_bags(uses), table, ["lemma"]).crossJoin(F.broadcast(over_all))
-        spread = cut(spread.select("lemma", (F.col("clustered") - F.coalesce("base", F.lit(0.0))).alias("cluster_delta"), "uses"), "spread")
+        spread = kept(spread.select("lemma", (F.col("clustered") - F.coalesce("base", F.lit(0.0))).alias("cluster_delta"), "uses"), "spread")
         chosen = rising.select(*blank(kind=F.lit("riser"), reason=F.lit("riser"), lemma=F.col("lemma"), count=F.col("recent"), projects=F.col("projects"), rate=F.col("recent_rate"), ratio=F.col("ratio"), frame_frac=F.col("frame_frac"), known=F.lit(False), lane=F.lit(1), place=-F.col("score")))
         steady = lambda df, reason, lane, place, incong: df.select(*blank(kind=F.lit("chronic"), reason=reason, lemma=F.col("lemma"), count=F.col("full"), projects=F.col("projects"), rate=F.col("rate"), frame_frac=F.col("frame_frac"), rarity=F.when(reason.isin("rarity", "marked"), F.col("word_ic")), incongruity=incong, known=F.col("known"), lane=F.lit(lane), place=-place))
         chosen = chosen.unionByName(steady(routes, F.col("route"), 2, F.col("rate"), F.lit(None)))
         chosen = chosen.unionByName(steady(odd.join(rare, "lemma"), F.lit("marked"), 3, F.col("incongruity"), F.col("incongruity")))
         # a curated word is marked as known only by the known route
         chosen = chosen.withColumn("known", F.col("reason") == "known").drop("ladder", "cluster_delta", "uses", "demote_to", "judge_note")
-        chosen = cut(chosen, "chosen")
-        rungs = cut(_gate(subs, chosen, o), "rungs")
+        chosen = kept(chosen, "chosen")
+        rungs = kept(_gate(subs, chosen, o), "rungs")
         selves = cands_all.groupBy("lemma").agg(F.first("self_ic").alias("self_ic"))
         rung = lambda ic, own, rank, word, clean, total: F.struct(ic.alias("ic"), F.lit(own).alias("is_self"), rank.alias("rank"), word.alias("word"), clean.alias("clean"), total.alias("total")).alias("s")
         steps = rungs.select("lemma", rung(F.col("ic"), 0, F.col("rank"), F.col("word"), F.col("clean"), F.col("total")))
@@ -161,7 +167,8 @@ def report(
         body = live.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema]).unionByName(phrase_rows)
     body = cut(body, "body")
     line = drift.series(drift.trend(toks, body.filter("kind <> 'phrase'").select("lemma"), now, o.spark_weeks))
-    line = line.select("lemma", F.transform("rates", lambda r: F.coalesce(r, F.lit(-1.0))).alias("spark"))
+    line = cut(line.select("lemma", F.transform("rates", lambda r: F.coalesce(r, F.lit(-1.0))).alias("spark")), "lines")
+    discard(*made)  # the entries and their series are all that is read from here on
     out = body.join(line, "lemma", "left").withColumn("spark", F.coalesce("spark", F.array().cast("array<double>")))
     out = out.withColumn("words", F.transform("ladder", lambda s: s["word"]))
     return out.withColumn("entry_ord", F.row_number().over(Window.orderBy("lane", "place", "lemma"))).drop("lane", "place")

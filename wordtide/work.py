@@ -39,4 +39,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = place(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing still to be computed reads."""
+    for df in tables:
+        if path := getattr(df, "_cut_to", None):
+            spark = df.sparkSession
+            top = spark._jvm.org.apache.hadoop.fs.Path(path)
+            top.getFileSystem(spark._jsc.hadoopConfiguration()).delete(top, True)
