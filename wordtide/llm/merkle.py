@@ -177,6 +177,9 @@ def with_next(docs: DataFrame, block_rows: int = 2_000) -> DataFrame:
     same = dealt["doc_id"].eqNullSafe(firsts["__id"]) & (dealt["__hash"] == firsts["__h"])
     ghosts = dealt.join(F.broadcast(firsts), same).select("doc_id", "text", "__hash", F.col("__to").alias("__block"), F.lit(1).alias("__ghost"))
     rows = dealt.withColumn("__ghost", F.lit(0)).unionByName(ghosts, allowMissingColumns=True)
+    # beyond what the session's number of partitions is made for, a task for every two blocks
+    tasks = blocks // 2
+    rows = rows.repartition(tasks, "__block") if tasks > partitions(docs.sparkSession) else rows
     order = Window.partitionBy("__block").orderBy("__ghost", F.col("doc_id").asc_nulls_first(), "__hash", "text")
     return rows.withColumn("next", F.lead("text").over(order)).filter("__ghost = 0").drop("__block", "__ghost", "__hash")
 
