@@ -507,23 +507,31 @@ def incongruity(spark: SparkSession, d: str) -> DataFrame:
 # ---- logs
 
 
-@_query(
-    """WITH r AS (SELECT date_trunc('day', ts) AS refresh_at, 'w' || user_id AS lemma, avg(value) AS rate, min(event_type) AS kind, count(*) > 1 AS known FROM events GROUP BY ALL),
+_LEDGER = """WITH r AS (SELECT date_trunc('day', ts) AS refresh_at, 'w' || user_id AS lemma, avg(value) AS rate, CASE WHEN user_id % 3 = 0 THEN 'riser' ELSE 'chronic' END AS kind, count(*) % 2 = 0 AS known FROM events GROUP BY ALL),
 f AS (SELECT DISTINCT refresh_at FROM r), l AS (SELECT lemma, min(refresh_at) AS first_flagged, arg_min(rate, refresh_at) AS first_rate, max(refresh_at) AS last_seen, arg_max(rate, refresh_at) AS last_rate,
-arg_max(kind, refresh_at) AS kind, arg_max(known, refresh_at) AS known, count(DISTINCT refresh_at) AS refreshes FROM r GROUP BY lemma)
-SELECT lemma, first_flagged, round(first_rate, 6) AS first_rate, last_seen, round(last_rate, 6) AS last_rate, kind, known, refreshes, (SELECT min(refresh_at) FROM f WHERE refresh_at > last_seen) AS faded_at,
-(SELECT count(*) FROM events WHERE event_id % 3 = 0 AND 'w' || (user_id + event_id % 2) = l.lemma) AS injected, last_seen < (SELECT max(refresh_at) FROM f) AS faded FROM l"""
-)
-def ledger_fold(spark: SparkSession, d: str) -> DataFrame:
-    rows = _report_log(spark, d)
-    shown = table(spark, d, "events").filter("event_id % 3 = 0").select(F.col("ts").alias("at"), F.concat(F.lit("w"), F.col("user_id") + F.col("event_id") % 2).alias("lemma"))
-    return _rounded(ledger.fold(rows, rows.select("refresh_at"), shown), "first_rate", "last_rate")
+arg_max(kind, refresh_at) AS kind, arg_max(known, refresh_at) AS known, count(DISTINCT refresh_at) AS refreshes FROM r GROUP BY lemma),
+i AS (SELECT CASE event_id % 5 WHEN 0 THEN 'stray' ELSE 'w' || user_id END AS lemma, count(*) AS injected FROM events WHERE event_id % 3 = 0 AND user_id % 4 <> 1 GROUP BY ALL),
+g AS (SELECT lemma, first_flagged, first_rate, last_seen, last_rate, kind, known, refreshes, (SELECT min(refresh_at) FROM f WHERE refresh_at > last_seen) AS faded_at,
+coalesce(injected, 0) AS injected, last_seen < (SELECT max(refresh_at) FROM f) AS faded FROM l LEFT JOIN i USING (lemma))"""
 
 
-def _report_log(spark: SparkSession, d: str) -> DataFrame:
+def _ledger(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    keys = [F.date_trunc("day", "ts").cast("timestamp_ntz").alias("refresh_at"), F.concat(F.lit("w"), "user_id").alias("lemma")]
-    return e.groupBy(*keys).agg(F.avg("value").alias("rate"), F.min("event_type").alias("kind"), (F.count("*") > 1).alias("known"))
+    keys = [F.date_trunc("day", "ts").cast("timestamp_ntz").alias("refresh_at"), F.concat(F.lit("w"), "user_id").alias("lemma"), F.when(F.col("user_id") % 3 == 0, "riser").otherwise("chronic").alias("kind")]
+    rows = e.groupBy(*keys).agg(F.avg("value").alias("rate"), (F.count("*") % 2 == 0).alias("known"))
+    lemma = F.when(F.col("event_id") % 5 == 0, "stray").otherwise(F.concat(F.lit("w"), "user_id"))
+    shown = e.filter("event_id % 3 = 0 AND user_id % 4 <> 1").select(F.col("ts").alias("at"), lemma.alias("lemma"))
+    return ledger.fold(rows, rows.select("refresh_at"), shown)
+
+
+@_query(f"{_LEDGER} SELECT * REPLACE (round(first_rate, 6) AS first_rate, round(last_rate, 6) AS last_rate) FROM g")
+def ledger_fold(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_ledger(spark, d), "first_rate", "last_rate")
+
+
+@_query(f"{_LEDGER} SELECT lemma, round(last_rate, 6) AS last_rate, refreshes FROM g WHERE NOT faded AND NOT known AND injected = 0 AND kind = 'chronic' AND refreshes >= 2 ORDER BY last_rate DESC, first_flagged, lemma LIMIT 5")
+def curation_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(ledger.curation_candidates(_ledger(spark, d)).select("lemma", "last_rate", "refreshes"), "last_rate")
 
 
 _LOG = """WITH e AS (SELECT event_id AS seq, 'w' || user_id % 50 AS word, 'h' || CAST(json_extract_string(props, '$.k') AS INT) % 3 AS ladder_hash, 'm' AS model, 1 + event_id // 5000 AS schema_version,
@@ -598,6 +606,11 @@ def curated_audit(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_audited(spark, d).drop("rank"), "rate")
 
 
+@_query(f"{_AUDIT} SELECT term, is_phrase FROM au WHERE status = 'never fires'")
+def audit_never(spark: SparkSession, d: str) -> DataFrame:
+    return au.never(_audited(spark, d)).select("term", "is_phrase")
+
+
 @_query(
     f"""{_AUDIT} SELECT count(*) FILTER (WHERE status = 'reported') AS reported, count(*) FILTER (WHERE status = 'never fires') AS never_fires, count(*) FILTER (WHERE status = 'read as name') AS read_as_name,
 count(*) FILTER (WHERE status = 'term of art') AS term_of_art, count(*) FILTER (WHERE status = 'below cutoff') AS below_cutoff, count(*) FILTER (WHERE projects = 1 AND hits <= 2) AS self_cited FROM au"""
