@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD_PATTERN, text_of
+from ._common import WORD_PATTERN, text_of, written
 
 
 def word_count(text: str | Column) -> Column:
@@ -73,24 +73,28 @@ def mixing_plan(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    broadcast_bytes: int = 16 << 20,
 ) -> DataFrame:
     """The input's rows with ``size``, ``source_size``, ``target``, ``rate`` and ``copies``.
 
-    The per-source table joins back on the source; a source with a third of all
-    rows is a skewed probe side, which adaptive execution splits, and the other
-    side has one row per source. ``copies`` never exceeds ``max_repeat``, or the next whole
+    The per-source table is written and joins back on the source. It is broadcast if
+    its rows take at most ``broadcast_bytes``; beyond that both sides are shuffled, where a
+    source with a third of all rows is a skewed probe side that adaptive execution splits. ``copies`` never exceeds ``max_repeat``, or the next whole
     number where that is a fraction.
     """
     size = word_count(text_col) if size is None else size
     extra = ("size", "source_size", "target", "rate", "copies")
-    base = docs.drop(*[c for c in extra if c in docs.columns]).withColumn("size", size)
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(text_of(text_col))))
+    base = docs.drop(*[c for c in extra if c in docs.columns]).withColumns({"size": size, "__draw": bernoulli(key, seed)})
     sums = base.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
     targets = source_targets(sums, weights, share, max_repeat).drop("weight").withColumnRenamed("source", "__source")
+    targets = written(targets, "mixing-targets")
+    held = targets.agg(F.sum(F.coalesce(F.octet_length("__source"), F.lit(0)) + 64)).first()[0] or 0
+    targets = F.broadcast(targets) if held <= broadcast_bytes else targets
     out = base.join(targets, base[source_col].eqNullSafe(targets["__source"]), "left").drop("__source")
     whole = F.floor("rate")
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(text_of(text_col))))
-    extra_copy = (bernoulli(key, seed) < F.col("rate") - whole).cast("long")
-    return out.withColumn("copies", F.least(whole + extra_copy, F.lit(math.ceil(max_repeat))).cast("long"))
+    extra_copy = (F.col("__draw") < F.col("rate") - whole).cast("long")
+    return out.withColumn("copies", F.least(whole + extra_copy, F.lit(math.ceil(max_repeat))).cast("long")).drop("__draw")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
