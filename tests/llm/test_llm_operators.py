@@ -108,6 +108,17 @@ def test_language(spark):
     assert all(out[i].lang_pred == p and abs(out[i].score - s) < 1e-6 for i, (p, s) in one.items())
 
 
+def test_long_texts_are_counted_in_stretches():
+    rng = random.Random(19)
+    for _ in range(60):
+        text = "".join(rng.choices("aB É3ß \n日", k=rng.randint(0, 400))).encode()
+        buf = np.frombuffer(text, np.uint8)
+        whole = langid.count_ngrams(buf, np.array([0, len(buf)]))
+        assert (langid.count_long(buf, step=rng.randint(1, 50)) == whole).all()
+        low = re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", b" ", text.decode().replace("É", "é").lower().encode())
+        assert whole.sum() == sum(max(0, len(low) - n + 1) for n in (1, 2, 3))
+
+
 def test_every_label_is_learned(spark):
     name = lambda i: "".join(chr(97 + int(x)) for x in f"{i * 7919 % 100000:05d}")
     data = [(i, f"{name(i % 270)} " * 8, f"l{i % 270:03d}") for i in range(1080)]
@@ -345,6 +356,16 @@ def test_near_chains_and_hot_group(spark):
     assert out == {d: c for d, (_, c) in _components(data, 2).items()}
 
 
+def test_near_copies_of_a_very_long_text(spark):
+    rng = random.Random(20)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(120_000)]
+    texts = [" ".join(words), " ".join([*words[:60_000], "other", *words[60_001:]]), " ".join(words[:50_000])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.find_groups(df, words=5).collect()}
+    want = [len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for w in map(str.split, texts)]
+    assert out == {0: (want[0], 0), 1: (want[1], 0), 2: (want[2], 2)}
+
+
 def test_bucket_of_documents_alike_below_the_threshold(spark, monkeypatch):
     rng = random.Random(16)
     base = [f"w{i}" for i in range(200)]
@@ -421,6 +442,11 @@ def test_mixing(docs, rows):
     assert mixing.mix(docs).count() == sum(r.copies for r in plan)
 
 
+def test_mixing_beyond_the_broadcast(docs):
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(mixing.mixing_plan(docs)) == rows(mixing.mixing_plan(docs, broadcast_bytes=0))
+
+
 def test_mixing_draws(spark):
     none = spark.createDataFrame([(None, f"word{i}", "s") for i in range(400)], "doc_id long, text string, source string")
     copies = Counter(r.copies for r in mixing.mixing_plan(none, share=1.5, max_repeat=2.5).collect())

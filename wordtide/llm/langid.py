@@ -53,31 +53,71 @@ def _letters() -> np.ndarray:
 _LETTERS = _letters()
 
 
-def count_ngrams(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Counts of hashed n-grams, a row of DIMS for each text. No n-gram crosses texts."""
-    n = len(offsets) - 1
+def count_long(buf: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Counts of one text, as ``count_ngrams`` gives them, read in stretches of ``step`` bytes."""
+    total = np.zeros(DIMS, dtype=np.int64)
+    at, carry = 0, np.zeros(0, dtype=np.uint8)
+    while at < len(buf):
+        end = min(len(buf), at + step)
+        while end < len(buf) and buf[end] & 0xC0 == 0x80:  # no character is split
+            end += 1
+        x = _normal(buf[at:end], np.zeros(1, np.int64), carry[-1:])
+        held, x = len(carry), np.concatenate([carry, x])
+        for order in (1, 2, 3):
+            if len(x) >= order:
+                total += np.bincount(_gram_hashes(x.astype(np.uint32), order)[max(0, held - order + 1) :], minlength=DIMS)
+        carry, at = x[-2:], end
+    return total[None, :]
+
+
+def _normal(buf: np.ndarray, starts: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Letters in lower case, runs of others as one blank; ``before`` is what the first text goes on from."""
+    b = _lowered(buf)
+    keep = _kept(b, starts)
+    if len(b) and len(before) and b[0] == before[-1] == 0x20:
+        keep[0] = False
+    return b[keep]
+
+
+def _lowered(buf: np.ndarray) -> np.ndarray:
     b = _LETTERS[buf]
     lead = np.flatnonzero(buf[:-1] == 0xC3) if len(buf) else np.zeros(0, np.int64)
     second = b[lead + 1]
     b[lead[(second >= 0x80) & (second <= 0x9E)] + 1] += 0x20
-    doc = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
+    return b
+
+
+def _kept(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """All but blanks after a blank of the same text."""
     keep = np.ones(len(b), dtype=bool)
     if len(b) > 1:
-        keep[1:] = ~((b[1:] == 0x20) & (b[:-1] == 0x20) & (doc[1:] == doc[:-1]))
-    x, doc = b[keep].astype(np.uint32), doc[keep] * DIMS
-    keys = []
+        keep[1:] = (b[1:] != 0x20) | (b[:-1] != 0x20)
+    keep[starts[starts < len(b)]] = True
+    return keep
+
+
+def _gram_hashes(x: np.ndarray, order: int) -> np.ndarray:
+    m = len(x) - order + 1
+    h = x[:m] + np.uint32(order << 24)
+    for i in range(1, order):
+        h = h * np.uint32(0x01000193) + x[i : i + m]
+    return (h * np.uint32(0x9E3779B1)) >> np.uint32(18)
+
+
+def count_ngrams(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Counts of hashed n-grams, a row of DIMS for each text. No n-gram crosses texts."""
+    n = len(offsets) - 1
+    b = _lowered(buf)
+    keep = _kept(b, offsets[:-1])
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))[keep]
+    x = b[keep].astype(np.uint32)
+    total = np.zeros(n * DIMS, dtype=np.int64)
     for order in (1, 2, 3):
-        if len(x) < order:
-            break
-        m = len(x) - order + 1
-        h = x[:m] + np.uint32(order << 24)
-        for i in range(1, order):
-            h = h * np.uint32(0x01000193) + x[i : i + m]
-        h *= np.uint32(0x9E3779B1)
-        at = (h >> np.uint32(18)).astype(np.int64) + doc[:m]
-        inside = doc[:m] == doc[order - 1 :]
-        keys.append(at if order == 1 else at[inside])
-    return np.bincount(np.concatenate(keys) if keys else np.zeros(0, np.int64), minlength=n * DIMS).reshape(n, DIMS)
+        if len(x) >= order:
+            inside = doc[: len(x) - order + 1] == doc[order - 1 :]
+            at = _gram_hashes(x, order)[inside].astype(np.int64) + doc[: len(inside)][inside].astype(np.int64) * DIMS
+            total += np.bincount(at, minlength=n * DIMS)
+    return total.reshape(n, DIMS)
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -95,6 +135,9 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
 
     buf, offsets = utf8(column)
     for i, j in chunks(offsets, 1 << 20):
+        if j - i == 1 and offsets[j] - offsets[i] > 1 << 20:
+            yield i, j, count_long(buf[offsets[i] : offsets[j]])
+            continue
         for k in range(i, j, 128):
             e = min(j, k + 128)
             yield k, e, count_ngrams(buf[offsets[k] : offsets[e]], offsets[k : e + 1] - offsets[k])
@@ -129,9 +172,10 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
 def _fit_language(idf: np.ndarray, k: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        counts = [c for _, _, c in _blocks(table.column("text"))]
-        x = np.vstack([vectors(c, idf) for c in counts])
-        sizes = np.concatenate([length_class(c) for c in counts])
+        # counts are let go block by block
+        made = [(vectors(c, idf), length_class(c)) for _, _, c in _blocks(table.column("text"))]
+        x, sizes = np.vstack([v for v, _ in made]), np.concatenate([s for _, s in made])
+        del made
         c, cos = spherical_kmeans(x, k)
         low = [float(cos[sizes == s].min()) if (sizes == s).any() else None for s in range(LENGTH_CLASSES)]
         lang = table.column("lang")[0].as_py()
