@@ -174,12 +174,13 @@ def report(
     return out.withColumn("entry_ord", F.row_number().over(Window.orderBy("lane", "place", "lemma"))).drop("lane", "place")
 
 
-def audit(turns: DataFrame, curated_words: Sequence[str], phrases: Sequence[str], entries: DataFrame, stopwords: list[str], log: DataFrame | None = None, proper_nouns: Sequence[str] = ()) -> DataFrame:
-    """Every curated entry with its uses, its place in the report and why it is not in it."""
+def audit(turns: DataFrame, curated_words: Sequence[str], phrases: Sequence[str], entries: DataFrame, stopwords: list[str], log: DataFrame | None = None, proper_nouns: Sequence[str] = (), sents: DataFrame | None = None) -> DataFrame:
+    """Every curated entry with its uses, its place in the report and why it is not in it. ``sents`` are the turns' sentences where they are cut already."""
     spark = turns.sparkSession
     words = list(dict.fromkeys(tx.lemma_of(w.lower()) for w in curated_words))
     curated = spark.createDataFrame([(w, False) for w in words] + [(p, True) for p in dict.fromkeys(phrases)], "term string, is_phrase boolean")
-    sents = cut(tokens.sentences(turns, stopwords).select("turn_id", "project", "ts", "tokens", "cased"), "audit-sentences")
+    if sents is None:
+        sents = cut(tokens.sentences(turns, stopwords).select("turn_id", "project", "ts", "tokens", "cased"), "audit-sentences")
     toks = tokens.of_sentences(sents)
     # one pass for the words and their total: counts by term and project, other lemmas by project alone
     term = F.when(F.col("lemma").isin(words), F.col("lemma"))

@@ -598,7 +598,7 @@ def _audited(spark: SparkSession, d: str) -> DataFrame:
     named = [r.lemma for r in names.orderBy(F.desc("mid"), "lemma").limit(2).collect()]
     entries = spark.createDataFrame([("of the", 1), (second, 2)], "lemma string, entry_ord int")
     log = spark.createDataFrame([(1, first, "h", "m", 1, "term_of_art", "", "", True, True, "2024-03-01T00:00:00Z")], f"seq long, {files.VERDICTS}")
-    return commands.audit(turns(spark, d), [*CURATED, first, second, third, *named], PHRASES, entries, STOP, log)
+    return commands.audit(turns(spark, d), [*CURATED, first, second, third, *named], PHRASES, entries, STOP, log, sents=sents)
 
 
 @_query(f"{_AUDIT} SELECT term, is_phrase, hits, projects, round(rate, 6) AS rate, status FROM au")
