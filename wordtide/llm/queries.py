@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, merkle, minhash, mixing, packing, pii, sharding, suffix
+from . import chat, exact, langid, merkle, minhash, mixing, negatives, packing, pii, sharding, suffix
 from ._common import documents, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,6 +185,31 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_radix_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), anchor=F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_external_shuffle": op1_external_shuffle,
@@ -197,6 +222,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_incremental_rendering": op8_incremental_rendering,
         "op9_merkle_tree": op9_merkle_tree,
         "op10_harmonic_packing": op10_harmonic_packing,
+        "op13_radix_selection": op13_radix_selection,
     }
 
 
@@ -207,4 +233,5 @@ def llm_oracle_sql() -> dict[str, str]:
         "op5_superminhash": OP5_SQL,
         "op6_mixing": OP6_SQL,
         "op8_incremental_rendering": OP8_SQL,
+        "op13_radix_selection": OP13_SQL,
     }
