@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, merkle, minhash, mixing, negatives, packing, pii, sharding, suffix
+from . import bestfit, chat, exact, langid, merkle, minhash, mixing, negatives, packing, pii, sharding, suffix
 from ._common import documents, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,6 +185,11 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bestfit.pack(documents(spark, sf_dir, "doc_id", "text"), content=F.crc32("ids"))
+    return pieces.select("doc_id", "piece", "start", "length", F.col("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op13_radix_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -222,6 +227,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_incremental_rendering": op8_incremental_rendering,
         "op9_merkle_tree": op9_merkle_tree,
         "op10_harmonic_packing": op10_harmonic_packing,
+        "op12_sum_of_squares": op12_sum_of_squares,
         "op13_radix_selection": op13_radix_selection,
     }
 
