@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, chat, exact, langid, merkle, minhash, mixing, negatives, packing, pii, sharding, suffix
+from . import bestfit, chat, exact, langid, merkle, minhash, mixing, negatives, packing, phrases, pii, sharding, suffix
 from ._common import documents, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,6 +185,42 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(documents(spark, sf_dir, "text", "lang"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM d
+), w AS (
+  SELECT lang, ws FROM p WHERE len(ws) > 0
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, range(1, 6) t(k) WHERE len(ws) >= k
+), f AS (
+  SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100
+), n AS (
+  SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM f WHERE k > 1
+), s AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, CAST(n.n AS BIGINT) AS n, CAST((1000::HUGEINT * c.a * n.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM c JOIN n USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1 : c.cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.cut + 1 : c.k], ' ')
+), best AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT DISTINCT lang, k, ws, a FROM c), range(2, 5) t(m), range(1, 5) u(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+QUALIFY rank <= 2000
+"""
+
+
 def op12_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = bestfit.pack(documents(spark, sf_dir, "doc_id", "text"), content=F.crc32("ids"))
     return pieces.select("doc_id", "piece", "start", "length", F.col("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -227,6 +263,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_incremental_rendering": op8_incremental_rendering,
         "op9_merkle_tree": op9_merkle_tree,
         "op10_harmonic_packing": op10_harmonic_packing,
+        "op11_perfect_hash": op11_perfect_hash,
         "op12_sum_of_squares": op12_sum_of_squares,
         "op13_radix_selection": op13_radix_selection,
     }
@@ -239,5 +276,6 @@ def llm_oracle_sql() -> dict[str, str]:
         "op5_superminhash": OP5_SQL,
         "op6_mixing": OP6_SQL,
         "op8_incremental_rendering": OP8_SQL,
+        "op11_perfect_hash": OP11_SQL,
         "op13_radix_selection": OP13_SQL,
     }
