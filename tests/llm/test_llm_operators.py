@@ -609,6 +609,21 @@ def test_classifier_precision_and_recall(spark):
     assert len(out & set(personal)) >= 0.95 * len(personal) and len(out - set(personal)) <= 0.05 * len(personal)
 
 
+# ---- repeated rows
+
+
+def test_rows_that_repeat_id_and_text_leave_one(spark):
+    long_ = " ".join(f"w{i}" for i in range(60))
+    other = long_.replace("w30", "changed")
+    data = [(1, "x"), (1, "x"), (2, "y"), (3, long_), (3, long_), (4, other), (4, other), (5, None), (5, ""), (None, "z"), (None, "z"), (None, None), *[(6, "again and again")] * 300]
+    df = spark.createDataFrame([(*r, "s", True, 1) for r in data], "doc_id long, text string, source string, kept boolean, __rows long").drop("__rows").repartition(5)
+    kept = Counter((r.doc_id, r.text or "") for r in exact.drop_copies(df).collect())
+    assert kept == Counter({(1, "x"): 1, (2, "y"): 1, (3, long_): 1, (4, other): 1, (5, ""): 1, (None, "z"): 1, (6, "again and again"): 1})
+    near = Counter((r.doc_id, r.text or "") for r in minhash.drop_near_copies(df).collect())
+    assert near == Counter({(1, "x"): 1, (2, "y"): 1, (3, long_): 1, (5, ""): 1, (None, "z"): 1, (None, ""): 1, (6, "again and again"): 1})
+    assert minhash.drop_near_copies(df).columns == exact.drop_copies(df).columns == df.columns
+
+
 # ---- chat
 
 
@@ -641,21 +656,33 @@ def test_chat_detects_rewritten_history(spark):
         return chat.marked_turns(turns[1:] if len(turns) > 70 else turns)
 
     many = [("user", str(i)) for i in range(90)]
-    assert chat.Renderer(forgets).render(many).rewritten_at == chat.Renderer(forgets, block=8).render(many).rewritten_at == 70
+    assert chat.Renderer(forgets).render(many).rewritten_at == 70
 
     def once(turns):  # only at one length the template writes otherwise
         return chat.marked_turns([("user", "?"), *turns[1:]] if len(turns) == 71 else turns)
 
     assert chat.Renderer(once).render(many).rewritten_at == 70
-    whole = chat.Renderer(begins, block=2).render([("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")])
+    whole = chat.Renderer(begins).render([("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")])
     assert whole.rewritten_at is None and [whole.text[s:e] for s, e in whole.contents] == ["a", "b", "c", "d"]
 
 
+@pytest.mark.parametrize(("first", "last"), [(70, 100), (130, 131), (64, 65)])
+def test_chat_detects_rewriting_at_some_lengths_only(spark, first, last):
+    def sometimes(turns):
+        return chat.marked_turns([("system", "short"), *turns[1:]] if first <= len(turns) < last else turns)
+
+    rows = spark.createDataFrame([(c, t, "assistant" if t % 2 else "user", f"turn {t}") for c, n in ((1, 200), (2, first - 1)) for t in range(n)], "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r for r in chat.format_conversations(rows, template=sometimes).collect()}
+    assert out[1].rewritten_at == first - 1 and out[1].loss == []
+    assert out[2].rewritten_at is None and len(out[2].loss) == (first - 1) // 2
+    assert out[1].formatted == chat.marked_turns([("assistant" if t % 2 else "user", f"turn {t}") for t in range(200)])
+
+
 def test_chat_long_conversation(spark):
     said = {t: f"turn {t} <|im_end|>" for t in range(3_000)} | {77: "é<|" * 300_000}
     data = [(1, t, "assistant" if t % 2 else "user", x) for t, x in said.items()]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(4)
-    r = chat.digests(chat.format_conversations(df, block=64)).first()
+    r = chat.digests(chat.format_conversations(df)).first()
     loss = "".join(x for t, x in said.items() if t % 2)
     assert (r.n_turns, r.loss_chars, r.rewritten_at) == (3_000, len(loss), None) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 

@@ -7,11 +7,9 @@ rewrites history, which is reported with the turn that showed it. Where a turn's
 text lies in its span is found with probe texts, so nothing is assumed of the
 template. The loss mask covers the texts of the trained role.
 
-Every prefix is rendered, which costs the square of a conversation's turns. For a template
-that is known to render a turn without regard to turns far before it, a ``block`` of turns
-can be given: prefixes then begin at the block, and what the blocks add up to is compared
-with the whole conversation and with its prefixes of once, twice, four times ... the block;
-where one differs, all prefixes are rendered after all.
+Every prefix of every conversation is rendered. The template is called once a turn and the
+comparison with the output before is one pass over bytes; the default template keeps the
+escaped form of its last short turns, so a longer prefix costs a copy of what was there.
 
 Rows of a conversation come together by its id and are read in order of turn. One
 conversation is one document and one value of the result, so the longest sets the
@@ -29,6 +27,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,9 +58,16 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role, flags=re.DOTALL)
 
 
+def _marked(role: str, text: str) -> str:
+    return f"{START}{escape_role(role)}\n{escape(text)}{END}\n"
+
+
+_marked_short = lru_cache(1 << 14)(_marked)
+
+
 def marked_turns(turns: list[Turn]) -> str:
     """The default template: every turn between a start mark with its role and an end mark."""
-    return "".join(f"{START}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
+    return "".join([(_marked_short if len(text) < 4_096 else _marked)(role, text) for role, text in turns])
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -84,8 +90,8 @@ class Rendered:
 class Renderer:
     """Renders conversations with one template and remembers the frames of its roles."""
 
-    def __init__(self, template: Template, block: int | None = None):
-        self.template, self.block = template, block
+    def __init__(self, template: Template):
+        self.template = template
         self.frames: dict[str, tuple[str, str]] = {}
 
     def _shared(self, a: str, b: str) -> int:
@@ -114,45 +120,20 @@ class Renderer:
                 return len(head), len(added) - len(tail)
         return None
 
-    def _prefixes(self, turns: list[Turn], block: int) -> Rendered:
+    def render(self, turns: list[Turn]) -> Rendered:
+        """Renders one turn more each time; what is new is the turn's span, unless what was there has changed."""
         out = Rendered("")
-        base, context = 0, ""
         for i, turn in enumerate(turns):
-            if i % block == 0:
-                base, context = base + len(context), ""
-            first = i - i % block
-            now = self.template(turns[first : i + 1])
-            if not now.startswith(context):
-                out.rewritten_at = i
+            now = self.template(turns[: i + 1])
+            at = len(out.text)
+            if not now.startswith(out.text):
+                out.rewritten_at, out.text = i, self.template(turns)
                 return out
-            added = now[len(context) :]
-            found = self._content(turns[first:i], turn, context, added)
-            at = base + len(context)
+            added = now[at:]
+            found = self._content(turns[:i], turn, out.text, added)
             out.spans.append((at, at + len(added)))
             out.contents.append(found and (at + found[0], at + found[1]))
-            context = now
-        out.text = "?"
-        return out
-
-    def _adds_up(self, turns: list[Turn], whole: str) -> bool:
-        parts, at = "", 0
-        while at < len(turns):
-            upto = max(2 * at, self.block)
-            parts += "".join(self.template(turns[i : i + self.block]) for i in range(at, min(upto, len(turns)), self.block))
-            if upto < len(turns) and parts != self.template(turns[:upto]):
-                return False
-            at = upto
-        return parts == whole
-
-    def render(self, turns: list[Turn]) -> Rendered:
-        whole = self.template(turns)
-        if self.block is None or len(turns) <= self.block:
-            out = self._prefixes(turns, max(1, len(turns)))
-        else:
-            out = self._prefixes(turns, self.block)
-            if out.rewritten_at is not None or not self._adds_up(turns, whole):
-                out = self._prefixes(turns, len(turns))
-        out.text = whole
+            out.text = now
         return out
 
 
@@ -161,9 +142,9 @@ _PAIRS = pa.list_(pa.list_(pa.int64()))
 _ARROW = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("roles", pa.list_(pa.string())), ("spans", _PAIRS), ("loss", _PAIRS), ("rewritten_at", pa.int32())])
 
 
-def _format(template: Template, trained: str, block: int | None):
+def _format(template: Template, trained: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        renderer = Renderer(template, block)
+        renderer = Renderer(template)
         rows: list[tuple] = []
 
         def finish(conv_id: int | None, turns: list[Turn]) -> None:
@@ -195,13 +176,13 @@ def _format(template: Template, trained: str, block: int | None):
     return run
 
 
-def format_conversations(conversations: DataFrame, template: Template = marked_turns, trained: str = "assistant", block: int | None = None) -> DataFrame:
+def format_conversations(conversations: DataFrame, template: Template = marked_turns, trained: str = "assistant") -> DataFrame:
     """One row per conversation: its formatted text, the role and span of each turn, the loss mask
     (code points), and the turn at which the template rewrote history (else null; then the mask is empty)."""
     ship(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(_format(template, trained, block), _FORMATTED)
+    return rows.select("conv_id", "role", "text").mapInArrow(_format(template, trained), _FORMATTED)
 
 
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten_at int"

@@ -109,9 +109,17 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=None, **options) -> DataFrame:
-    """The rows whose text stays; of rows that repeat doc_id and text, all stay."""
+    """The rows whose text stays: one for each text.
+
+    Of rows that repeat both doc_id and text one stays; only those go through the second
+    aggregation, which sums them up before they are shuffled.
+    """
     found = find_copies(docs, id_col=id_col, text_col=text_col, normalise=normalise, **options)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows"))
+    marks = written(marks.filter("not __kept or __rows > 1"), "exact-marks")
     text = (normalise or (lambda c: c))(text_of(docs[text_col]))
-    same = docs[id_col].eqNullSafe(gone["__id"]) & (F.sha2(text, 256) == gone["__sha"])
-    return docs.join(gone.hint("merge"), same, "left_anti")
+    same = docs[id_col].eqNullSafe(marks["__id"]) & (F.sha2(text, 256) == marks["__sha"])
+    rows = docs.join(marks.hint("merge"), same, "left")
+    once = rows.filter("__kept is null").select(*[docs[c] for c in docs.columns])
+    again = rows.filter("__kept").dropDuplicates(["__id", "__sha"]).select(*[docs[c] for c in docs.columns])
+    return once.unionByName(again)

@@ -3,9 +3,10 @@
 A text is cut into paragraphs (lines) and a paragraph into pieces: sentences, and within
 a sentence after a word whose last letter says so. Cuts depend on what stands there and
 not on where it stands, so pieces after an edit are the old ones again; only stretches
-without such a word are cut by length. A piece's node is a hash of its text, a
-paragraph's node a hash of its text and its pieces' nodes, a section's (eight
-paragraphs) of its paragraphs', the root of its sections'. Equal roots mean equal texts.
+without such a word are cut by length. A paragraph's node is an MD5 digest of its text, a
+section's (eight paragraphs) one of its paragraphs' nodes, the root one of its sections':
+128 bits each, so equal roots mean equal texts. A piece's node is a short hash of its text with its length;
+pieces only measure likeness where paragraphs differ.
 
 Two trees are compared from the root down. Equal sections at both ends are passed
 over, then equal paragraphs at both ends of what is left: what remains are the
@@ -50,6 +51,15 @@ def _piece(text: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(text), 16).bitwiseAND(F.lit(~_LENGTH_BITS).cast("long")).bitwiseOR(F.length(text).cast("long"))
 
 
+def _node(content: Column) -> Column:
+    """128 bits over a paragraph's text or over the nodes below."""
+    return F.unhex(F.md5(content))
+
+
+def _joined(nodes: Column) -> Column:
+    return F.array_join(F.transform(nodes, F.hex), "")
+
+
 def _pieces(paragraph: Column) -> Column:
     return F.transform(F.regexp_extract_all(paragraph, F.lit(PIECE_PATTERN), F.lit(0)), _piece)
 
@@ -57,10 +67,10 @@ def _pieces(paragraph: Column) -> Column:
 def fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds the tree of column ``text`` as struct ``name``(root, sections, paragraphs, leaves: the pieces of each paragraph)."""
     df = df.withColumn("__lines", F.split(text_of(text), "\n", -1)).withColumn("__pieces", F.transform("__lines", _pieces))
-    df = df.withColumn("__paragraphs", F.zip_with("__lines", "__pieces", lambda line, p: F.xxhash64(line, p)))
+    df = df.withColumn("__paragraphs", F.transform("__lines", _node))
     starts = F.sequence(F.lit(1), F.size("__paragraphs"), F.lit(SECTION))
-    df = df.withColumn("__sections", F.transform(starts, lambda i: F.xxhash64(F.slice("__paragraphs", i, SECTION))))
-    root = F.concat(*[F.lpad(F.lower(F.hex(F.xxhash64(F.lit(s), F.col("__sections")))), 16, "0") for s in (1, 2)])
+    df = df.withColumn("__sections", F.transform(starts, lambda i: _node(_joined(F.slice("__paragraphs", i, SECTION)))))
+    root = F.lower(F.hex(_node(_joined(F.col("__sections")))))
     tree = F.struct(root.alias("root"), F.col("__sections").alias("sections"), F.col("__paragraphs").alias("paragraphs"), F.col("__pieces").alias("leaves"))
     return df.withColumn(name, tree).drop("__lines", "__pieces", "__paragraphs", "__sections")
 

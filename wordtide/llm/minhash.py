@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import byte_table, chunks, mix, span_hashes, utf8, word_spans
-from ._common import WORD_PATTERN, discard, ship, text_of, written
+from ._common import discard, ship, text_of, written
 from .graph import components
 
 _WORDS = byte_table(29, lower=True)
@@ -353,11 +353,15 @@ def find_groups(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one with the smallest doc_id."""
+    """The rows of ``docs`` that stay: of each group the one with the smallest doc_id.
+
+    Of rows that repeat both doc_id and text one stays, and so of rows without an id that repeat their text.
+    """
     found = find_groups(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    gone = written(gone, "minhash-gone")
-    same = docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(text_of(docs[text_col])) == gone["__key"])
-    kept = docs.join(gone.hint("merge"), same, "left_anti")
-    nameless = docs[id_col].isNull() & F.coalesce(F.regexp_like(docs[text_col], F.lit(WORD_PATTERN)), F.lit(False))
-    return kept.filter(~nameless).unionByName(kept.filter(nameless).dropDuplicates([text_col]))
+    marks = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows"))
+    marks = written(marks.filter("not __kept or __rows > 1"), "minhash-marks")
+    same = docs[id_col].cast("long").eqNullSafe(marks["__id"]) & (F.xxhash64(text_of(docs[text_col])) == marks["__key"])
+    rows = docs.join(marks.hint("merge"), same, "left")
+    once = rows.filter("__kept is null").select(*[docs[c] for c in docs.columns])
+    again = rows.filter("__kept").withColumn("__text", text_of(docs[text_col])).dropDuplicates(["__id", "__text"]).select(*[docs[c] for c in docs.columns])
+    return once.unionByName(again)
