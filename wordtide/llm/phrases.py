@@ -306,7 +306,8 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, block_bytes: int
     """
     ship(docs.sparkSession)
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
-    blocks = first = written(own.mapInArrow(_read(block_bytes, 4 * block_bytes), FIRST), "phrase-words")
+    first = written(own.mapInArrow(_read(block_bytes, 2 * block_bytes), FIRST), "phrase-words")
+    blocks = first.select("lang", "block", "gaps", "words", "named")
     many = first.agg(F.sum("named")).first()[0] or 0
     segments = max(1, math.ceil(many / segment_rows))
     dealt = first.select("lang", "block", "list", "counts").mapInArrow(_deal_words(segments), STEP)
@@ -348,7 +349,7 @@ def mine(
     longest: int = 5,
     top: int = 2000,
     absorb_percent: int = 100,
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 4 << 20,
     segment_rows: int = 1 << 20,
     lang_col: str = "lang",
     text_col: str = "text",
