@@ -215,22 +215,6 @@ def test_lists_and_documents(spark, tmp_path):
     assert files.verdict_log(spark, str(tmp_path / "absent.jsonl")).count() == 0
 
 
-def test_streaming_twins(spark, tmp_path):
-    from wordtide.streaming import processors
-
-    src = tmp_path / "in"
-    src.mkdir()
-    rows = [("s", "m", 1, "arm\n```\narm"), ("s", "m", 2, "arm\n```\narm"), ("t", "m", 1, "arm")]
-    for i, part in enumerate((rows[:1], rows[1:])):
-        (src / f"{i}.json").write_text("".join(json.dumps(dict(zip(("session_id", "message_id", "batch_seq", "delta"), r, strict=True))) + "\n" for r in part))
-    stream = spark.readStream.schema("session_id string, message_id string, batch_seq long, delta string").option("maxFilesPerTrigger", 1).json(str(src))
-    q = processors.stream_swaps(stream, {"arm": "branch"}).writeStream.format("memory").queryName("swapped").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    assert q.awaitTermination(300)
-    assert q.isActive is False
-    got = {(r.session_id, r.batch_seq): r.swapped for r in spark.table("swapped").collect()}
-    assert got == {("s", 1): "branch\n```\narm", ("s", 2): "arm\n```\nbranch", ("t", 1): "branch"}
-
-
 def test_report_without_words_never_reads_vectors(spark, files_dir):
     t = thesaurus_files.read(spark, str(files_dir))
 

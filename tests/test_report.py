@@ -1,20 +1,24 @@
 """The whole report against a plain Python version of it, on made-up prose in which every route admits words."""
 
+import json
 import math
 import random
+import sys
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from wordtide.functions import text as tx
-from wordtide.operators import thesaurus, tokens
+from wordtide.operators import gate, thesaurus, tokens
 from wordtide.operators.vectors import normalized
 from wordtide.options import REPORT
 from wordtide.plans import commands
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NOW = datetime(2024, 3, 4)
 STOP = tx.stopword_set()
 O = REPORT.but(top=3, min_count=4, min_ratio=1.5, min_uses=3, max_uses=6, threshold=0.9, chronic_top=2, marked_top=2, min_chronic_rate=4.0, rarity_floor=5.0, incongruity_floor=0.3, phrase_min=2, phrase_top=2)
@@ -58,8 +62,8 @@ def _unit(v):
 class Plain:
     """The same definitions, one after the other over lists."""
 
-    def __init__(self, turns, cands, freq, table, curated):
-        self.table, self.cands, self.freq, self.curated = table, cands, freq, curated
+    def __init__(self, turns, cands, freq, table, curated, judge=None):
+        self.table, self.cands, self.freq, self.curated, self.judge = table, cands, freq, curated, judge
         self.sents = []
         for t, p, ts, text in turns:
             for no, s in enumerate(x for x in text.split(".") if x):
@@ -176,14 +180,15 @@ class Plain:
             if not rungs or (mid[w] >= 20 and capped[w] / mid[w] >= 0.5):
                 continue
             steps = sorted([(r[4], r[3]) for r in rungs] + [(self.cands[w][1], w)], key=lambda x: x[0])
+            if self.judge and (said := self.judge(w, [x for _, x in steps], uses[w])) and said[0] == "term_of_art":
+                continue
             n, clustered = self.spread([[x for x in u if x != w] for u in uses[w]])
             added[budget] += 1
             out.append((kind, reason, w, rate, ratio, self.frame(w), n, clustered - base_spread, [x for _, x in steps]))
         return out
 
 
-@pytest.mark.parametrize("seed", [3, 8])
-def test_report_equals_the_plain_version(spark, seed):
+def _world(spark, seed):
     rng = random.Random(seed)
     vocab = _words(rng, 40)
     turns = _corpus(rng, vocab)
@@ -203,13 +208,19 @@ def test_report_equals_the_plain_version(spark, seed):
     near = np.array([1.0, 1.0, 1.0])
     raw = [(w, (near + np.array([rng.gauss(0, 0.9 if i % 5 == 0 else 0.35) for _ in range(3)])).astype(np.float32).tolist()) for i, w in enumerate(dict.fromkeys([*vocab, *general]))]
     table = normalized(make(raw, "word string, v array<float>"))
-    curated = vocab[12:15]
-    got = commands.report(frame, NOW, STOP, t, lambda v: table.join(v, "word", "left_semi"), curated, PHRASES, o=O).orderBy("entry_ord").collect()
-
     cands = defaultdict(lambda: ([], None))
     for r in thesaurus.candidates(thesaurus.ladders(t, make([(w,) for w in vocab], "lemma string"))).orderBy("lemma", "cand_ord").collect():
         cands[r.lemma] = ([*cands[r.lemma][0], (r.word, r.ic)], r.self_ic)
-    want = Plain(turns, cands, dict(freq), {r.word: np.array(r.v, dtype=float) for r in table.collect()}, curated).report()
+    return vocab, turns, frame, t, table, cands, dict(freq), {r.word: np.array(r.v, dtype=float) for r in table.collect()}
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+def test_report_equals_the_plain_version(spark, seed):
+    vocab, turns, frame, t, table, cands, freq, vectors = _world(spark, seed)
+    curated = vocab[12:15]
+    got = commands.report(frame, NOW, STOP, t, lambda v: table.join(v, "word", "left_semi"), curated, PHRASES, o=O).orderBy("entry_ord").collect()
+
+    want = Plain(turns, cands, freq, vectors, curated).report()
     assert [(r.kind, r.reason, r.lemma, r.words) for r in got if r.kind != "phrase"] == [(k, why, w, ladder) for k, why, w, *_, ladder in want]
     for r, (*_, rate, ratio, frac, n, delta, _) in zip(got, want, strict=False):
         assert math.isclose(r.rate, rate) and (ratio is None or math.isclose(r.ratio, ratio)) and math.isclose(r.frame_frac, frac)
@@ -219,3 +230,49 @@ def test_report_equals_the_plain_version(spark, seed):
     said = [(r.lemma, r["count"]) for r in got if r.kind == "phrase"]
     found = Counter(r.phrase for r in tokens.report_phrases(frame, PHRASES, STOP).select(F.col("phrase")).collect())
     assert said == sorted(((p, n) for p, n in found.items() if n >= 2), key=lambda x: (-x[1], x[0]))[:2]
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+def test_report_asks_the_judge_what_the_plain_version_asks(spark, seed, tmp_path):
+    vocab, turns, frame, t, table, cands, freq, vectors = _world(spark, seed)
+    curated, asked = vocab[10:22], {}
+
+    def role(word):
+        return ["term_of_art", "tic", "none at all", "fails", "mixed", "term_of_art"][(len(word) + ord(word[0]) + seed) % 6]
+
+    def plain(word, ladder, uses):
+        at = ladder.index(word)
+        asked[word] = (ladder[max(0, at - 4) : at], uses)
+        return (role(word),)
+
+    want = Plain(turns, cands, freq, vectors, curated, plain).report()
+    where = tmp_path / "calls"
+    where.mkdir()
+    folder = str(where)
+
+    def ask(word, ladder, samples):
+        kind = ["term_of_art", "tic", "none at all", "fails", "mixed", "term_of_art"][(len(word) + ord(word[0]) + seed) % 6]
+        with open(f"{folder}/{word}", "a") as f:
+            f.write(json.dumps([ladder, samples]) + "\n")
+        if kind == "fails":
+            raise TimeoutError
+        return json.dumps({"role": kind, "demote_to": ladder[-1] if ladder and kind == "tic" else "none", "note": f"about {word}"})
+
+    g = gate.Gate(ask, str(tmp_path / "log"), "m", 1, batch=2)
+    run = lambda: commands.report(frame, NOW, STOP, t, lambda v: table.join(v, "word", "left_semi"), curated, PHRASES, o=O, judge=g).orderBy("entry_ord").collect()
+    got = run()
+    assert [(r.kind, r.reason, r.lemma, r.words) for r in got if r.kind != "phrase"] == [(k, why, w, ladder) for k, why, w, *_, ladder in want]
+    calls = {f.name: [json.loads(x) for x in f.read_text().splitlines()] for f in where.iterdir()}
+    assert {w: (x[0][0], x[0][1]) for w, x in calls.items()} == {w: (o, [list(u) for u in uses]) for w, (o, uses) in asked.items()}
+    assert any(role(w) == "term_of_art" for w in calls) and all(role(r.lemma) != "term_of_art" for r in got if r.kind != "phrase")
+    for r in got:
+        if r.kind != "phrase":
+            offered = asked[r.lemma][0]
+            judged = role(r.lemma) in ("tic", "mixed")
+            assert r.judge_note == (f"about {r.lemma}" if judged else None)
+            assert r.demote_to == (None if not judged else offered[-1] if role(r.lemma) == "tic" and offered else "")
+    again = run()
+    assert [r.asDict() for r in again] == [r.asDict() for r in got]
+    # what was accepted is never asked again; what failed or was refused is
+    for f in where.iterdir():
+        assert len(f.read_text().splitlines()) == (1 if role(f.name) in ("term_of_art", "tic", "mixed") else 2)

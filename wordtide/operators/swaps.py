@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import display as dp
+from ..functions.console import aligned
 from ..functions.text import lemma_of
 
 FENCE_LINE = re.compile(r"^\s{0,3}(?:`{3,}|~{3,})")
@@ -66,16 +68,18 @@ def rewrite(delta: str, in_fence: bool, swaps: dict[str, str]) -> tuple[str, boo
     return "\n".join(lines), in_fence, counts
 
 
-def apply_swaps(texts: DataFrame, column: str, swaps: dict[str, str]) -> DataFrame:
-    """Adds ``swapped`` and ``swap_counts`` (array of lemma, n): whole texts, Arrow batches."""
+def apply_swaps(texts: DataFrame, column: str, swaps: dict[str, str], fence: str | None = None) -> DataFrame:
+    """Adds ``swapped`` and ``swap_counts`` (array of lemma, n): whole texts, Arrow batches. ``fence`` names the
+    column that says whether a text begins inside one."""
     kind = T.StructType([T.StructField("swapped", T.StringType()), T.StructField("swap_counts", T.ArrayType(T.StructType([T.StructField("lemma", T.StringType()), T.StructField("n", T.LongType())])))])
 
     @F.pandas_udf(kind)
-    def udf(values: pd.Series) -> pd.DataFrame:
-        done = [rewrite(v or "", False, swaps) for v in values]
+    def udf(values: pd.Series, inside: pd.Series) -> pd.DataFrame:
+        done = [rewrite(v or "", bool(f), swaps) for v, f in zip(values, inside, strict=True)]
         return pd.DataFrame({"swapped": [d[0] for d in done], "swap_counts": [[{"lemma": k, "n": n} for k, n in sorted(d[2].items())] for d in done]})
 
-    out = texts.withColumn("__s", udf(F.col(column)))
+    begins = F.coalesce(F.col(fence), F.lit(False)) if fence else F.lit(False)
+    out = texts.withColumn("__s", udf(F.col(column), begins))
     return out.select(*texts.columns, "__s.swapped", "__s.swap_counts")
 
 
@@ -104,6 +108,18 @@ def swap_totals(log: DataFrame) -> DataFrame:
     return out.withColumn("per_day", F.col("total") / days).orderBy(F.desc("total"), "lemma")
 
 
+def render_totals(totals: DataFrame, now: datetime) -> str:
+    """Swaps as text: words by how often they were replaced, then all of them by day. One row per replaced word."""
+    rows = totals.collect()
+    if not rows:
+        return "nothing replaced yet\n"
+    n, first = sum(r.total for r in rows), min(r.first_at for r in rows)
+    days = int((now - min(first, now)).total_seconds() // 86_400) + 1
+    also = lambda r: " (and others)" if r.replacements > 1 else ""
+    cells = [[f"{r.lemma} → {r.last_to}{also(r)}", f"{r.total}×", f"last {r.last_at:%Y-%m-%d}"] for r in rows]
+    return "replaced on screen, not in what was written:\n" + aligned(cells) + f"{n} replacement{'' if n == 1 else 's'} in {days} day{'' if days == 1 else 's'}, {n / days:.1f} a day\n"
+
+
 def _claims(hours: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         session, fired = object(), None

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,12 +15,6 @@ NONE = "none"
 KEY = ["word", "ladder_hash", "model", "schema_version"]
 
 
-class Judger(Protocol):
-    """Given a word, its ladder and samples of its use: a verdict (role, demote_to, note), or None for no verdict."""
-
-    def __call__(self, word: str, ladder: list[str], samples: list[list[str]]) -> dict | None: ...
-
-
 def schema(ladder: list[str]) -> dict:
     """The shape a judge must answer in."""
     return {
@@ -43,6 +36,7 @@ def parsed(answer: str, ladder: list[str]) -> dict | None:
 
 
 def payload(word: str, ladder: list[str], samples: list[list[str]]) -> str:
+    """What a judge is told about one word."""
     lines = [f"word: {word}", f"ladder: {' < '.join(ladder)}", *(f"- {' '.join(s)}" for s in samples)]
     return "\n".join(lines)
 

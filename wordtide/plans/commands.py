@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import audit as au
-from ..operators import drift, thesaurus, tokens, vectors, verdicts
+from ..operators import drift, gate, thesaurus, tokens, vectors, verdicts
 from ..options import REPORT, SCAN, VET, Options
 from ..work import cut, discard
 
@@ -70,12 +70,14 @@ def report(
     proper_nouns: Sequence[str] = (),
     judgments: DataFrame | None = None,
     o: Options = REPORT,
+    judge: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The report's entries in order: risers, chronic words by route, figurative ones, phrases.
 
     ``load_vectors`` gets the vocabulary that is asked for and returns its vectors; it is not
     called if no word needs them. ``judgments``(word, role, demote_to, note) drop terms of art
-    before budgets are spent. What several branches need is written to the shared folder once.
+    before budgets are spent; a ``judge`` (operators.gate) is asked about the words that the budgets
+    admit, with the rungs that a reader would see below the word and its uses. What several branches need is written to the shared folder once.
     """
     spark = turns.sparkSession
     made: list[DataFrame] = []
@@ -161,8 +163,14 @@ def report(
             live = live.join(said_of, "lemma", "left").filter(F.coalesce("role", F.lit("")) != "term_of_art").drop("role")
         budget = F.when(F.col("reason").isin("frame", "rarity"), "spread").otherwise(F.col("reason"))
         live = live.withColumn("budget", budget)
-        used = F.row_number().over(Window.partitionBy("budget").orderBy("place", "lemma"))
         most = F.when(F.col("budget") == "riser", 1 << 30).when(F.col("budget") == "marked", o.marked_top).otherwise(o.chronic_top)
+        if judge is not None:
+            told = uses.groupBy("lemma").agg(F.array_sort(F.collect_list(F.struct("use_no", "tokens"))).alias("told"))
+            offered = thesaurus.demote_options(F.transform("ladder", lambda s: s["word"]), F.col("lemma"))
+            asking = live.drop("demote_to", "judge_note").join(told, "lemma", "left").withColumns({"options": offered, "samples": F.transform("told", lambda x: x["tokens"])})
+            live, _ = gate.within_budget(kept(asking.drop("told"), "candidates-of-budgets"), judge, most)
+            live = live.withColumnRenamed("note", "judge_note")
+        used = F.row_number().over(Window.partitionBy("budget").orderBy("place", "lemma"))
         live = live.withColumn("used", used).filter(F.col("used") <= most)
         body = live.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema]).unionByName(phrase_rows)
     body = cut(body, "body")

@@ -19,7 +19,7 @@ from ..operators import ledger, report, swaps
 #: Age from which a lock may be taken over, pause between automatic attempts, age of a report that is no longer shown.
 LOCK_AGE, PAUSE, TOO_OLD = timedelta(hours=1), timedelta(minutes=15), timedelta(days=7)
 REFRESHES = "at timestamp, outcome string, reason string, note string, version string, list_modified timestamp"
-REPORTED = "generated_at timestamp, entry_ord int, kind string, lemma string, known boolean, rate double, reason string, words array<string>, judge_note string"
+REPORTED = "generated_at timestamp, entry_ord int, kind string, lemma string, known boolean, rate double, reason string, words array<string>, judge_note string, demote_to string"
 INJECTIONS = "at timestamp, session_id string, lemma string"
 
 
@@ -44,6 +44,14 @@ def last_report(spark: SparkSession, state: str) -> dict | None:
     return row.asDict() if row else None
 
 
+def entries_of_last(spark: SparkSession, state: str, now: datetime, max_age: timedelta = TOO_OLD) -> DataFrame:
+    """The entries of the newest report; none where there is none or it is older than ``max_age``."""
+    last = last_report(spark, state)
+    if last is None or now - last["generated_at"] > max_age:
+        return spark.createDataFrame([], REPORTED)
+    return _table(spark, state, "reports", REPORTED).filter(F.col("generated_at") == F.lit(last["generated_at"]))
+
+
 def _locked(spark: SparkSession, state: str, now: datetime) -> bool:
     fs, lock = _place(spark, f"{state}/refresh.lock")
     if fs.exists(lock):
@@ -71,7 +79,8 @@ def refresh(spark: SparkSession, state: str, build: Callable[[], DataFrame], now
     try:
         entries = build().withColumn("generated_at", F.lit(now))
         fields = [f.strip().split(" ") for f in REPORTED.split(", ")]
-        _append(entries.select(*[F.col(n).cast(t).alias(n) for n, t in fields]), state, "reports")
+        own = lambda n: F.col(n) if n in entries.columns else F.lit(None)
+        _append(entries.select(*[own(n).cast(t).alias(n) for n, t in fields]), state, "reports")
     except Exception as e:  # noqa: BLE001 - the flow must go on whatever a build does
         outcome, note = "error", str(e).splitlines()[0][:500] if str(e) else type(e).__name__
     finally:

@@ -65,12 +65,18 @@ def proper_nouns(*paths: str) -> list[str]:
     return list(out)
 
 
+#: Order of a log's rows: time and name of the file, place in it.
+SEQ = "struct<written:timestamp,file:string,place:bigint>"
+
+
 def _log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with ``seq`` in file order; malformed lines are skipped, an absent log is empty."""
+    """JSON lines of a file, or of all files of a folder, with ``seq`` in the order in which they were
+    written; malformed lines are skipped, an absent log is empty."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], f"{schema}, seq long")
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq"))
+        return spark.createDataFrame([], f"{schema}, seq {SEQ}")
+    seq = F.struct(F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    rows = spark.read.option("recursiveFileLookup", True).text(path).select("value", seq.alias("seq"))
     parsed = rows.select(F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("v"), "seq")
     return parsed.filter("v is not null AND v._corrupt is null").select("v.*", "seq").drop("_corrupt")
 
@@ -83,8 +89,15 @@ def swap_log(spark: SparkSession, path: str) -> DataFrame:
     return _log(spark, path, SWAPS).filter("coalesce(w, '') <> ''").withColumnRenamed("w", "lemma")
 
 
-def append_log(rows: DataFrame, path: str, order: str | None = None) -> None:
-    (rows.orderBy(order) if order else rows).write.mode("append").json(path)
+def append_batch(rows: DataFrame, path: str, batch: str, kind: str = "json") -> bool:
+    """Adds rows to a log as the batch of that name; a batch that is already whole is left as it is, half a one is replaced."""
+    spark = rows.sparkSession
+    target = f"{path.rstrip('/')}/batch-{batch}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return False
+    rows.write.mode("overwrite").format(kind).save(target)
+    return True
 
 
 def read_report(path: str) -> dict | None:
