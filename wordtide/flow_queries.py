@@ -6,13 +6,16 @@ Each runs its flow more than once, as it would be over days, and returns what it
 from __future__ import annotations
 
 import json
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import gate, thesaurus
-from .queries import _LADDER, _ladders, _query
+from .operators import gate, ledger, thesaurus
+from .plans import display
+from .queries import _FENCED, _LADDER, _LEDGER, SWAPS, _lemma, _ladders, _query, _rounded
 from .sources import files
+from .sources.adapters import table
 from .work import cut, place
 
 
@@ -45,3 +48,55 @@ def judge_gate(spark: SparkSession, d: str) -> DataFrame:
     logged = files.verdict_log(spark, judge.log).groupBy("word").agg(F.count("*").alias("logged"))
     out = asks.select("word").join(said, "word", "left").join(logged, "word", "left")
     return out.select("word", "role", "demote_to", "origin", F.coalesce("logged", F.lit(0)).alias("logged"))
+
+
+@_query(f"{_LEDGER} SELECT * REPLACE (round(first_rate, 6) AS first_rate, round(last_rate, 6) AS last_rate) FROM g")
+def ledger_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger from partials of four groups of refreshes and three of injections, merged out of order and compacted once."""
+    e = table(spark, d, "events")
+    keys = [F.date_trunc("day", "ts").cast("timestamp_ntz").alias("refresh_at"), F.concat(F.lit("w"), "user_id").alias("lemma"), F.when(F.col("user_id") % 3 == 0, "riser").otherwise("chronic").alias("kind")]
+    rows = e.groupBy(*keys).agg(F.avg("value").alias("rate"), (F.count("*") % 2 == 0).alias("known"))
+    lemma = F.when(F.col("event_id") % 5 == 0, "stray").otherwise(F.concat(F.lit("w"), "user_id"))
+    shown = e.filter("event_id % 3 = 0 AND user_id % 4 <> 1").select("event_id", lemma.alias("lemma"))
+    of = lambda g: ledger.partial(rows.filter(F.dayofyear("refresh_at") % 4 == g), shown.filter(F.col("event_id") % 7 % 3 == g) if g < 3 else None)
+    base = cut(ledger.merged(of(2), of(0)), "query-ledger")
+    return _rounded(ledger.of_partial(ledger.merged(of(3), base, of(1)), rows.select("refresh_at")), "first_rate", "last_rate")
+
+
+_RUN = r"""x AS (SELECT conv_id, turn, ord, line, regexp_matches(line, '^\s{0,3}(```+|~~~+)') AS is_fence FROM m),
+p AS (SELECT *, coalesce(sum(is_fence::INT) OVER (PARTITION BY conv_id ORDER BY turn, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS in_fence FROM x)"""
+
+
+@_query(
+    rf"""WITH {_FENCED}, {_RUN}, b AS (SELECT conv_id, turn, bool_or(in_fence) FILTER (WHERE ord = 0) AS in_fence FROM p GROUP BY ALL),
+w AS (SELECT conv_id, turn, lower(unnest(regexp_extract_all(line, '[\p{{L}}][\p{{L}}''-]*'))) AS x FROM p WHERE NOT is_fence AND NOT in_fence),
+n AS (SELECT conv_id, turn, count(*) FILTER (WHERE CASE WHEN x IN ('the', 'des', 'die') THEN x ELSE {_lemma("x")} END IN ('the', 'des', 'die')) AS n FROM w GROUP BY ALL)
+SELECT 'c' || conv_id AS session_id, turn + 1 AS batch_seq, coalesce(n, 0) AS n_swaps, coalesce(n, 0) AS logged FROM b LEFT JOIN n USING (conv_id, turn)"""
+)
+def display_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as one message each, their turns as deltas that arrive in any order in three micro-batches: what was shown, and what the log says of it."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("ord", "said"))
+    kind = F.length("said") % 7
+    opened = F.concat(F.repeat(F.lit(" "), F.length("said") % 5), F.lit("```"), "said")
+    lines = c.withColumn("line", F.when(kind == 0, opened).when(kind == 3, "~~~~").otherwise(F.col("said")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
+    deltas = lines.groupBy("conv_id", "turn").agg(text.alias("delta"))
+    deltas = deltas.select(F.concat(F.lit("c"), "conv_id").alias("session_id"), F.lit("m").alias("message_id"), (F.col("turn") + 1).alias("batch_seq"), "delta")
+    source, out, log = (place(spark, f"query-{x}") for x in ("deltas", "shown", "swaps"))
+    deltas.repartition(3, F.xxhash64("session_id", "batch_seq")).write.json(source)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(deltas.schema).option("maxFilesPerTrigger", 1).json(source)
+        run = display.display(stream, place(spark, "query-state"), out, place(spark, "query-checkpoint"), log, SWAPS, wait_ms=None, clock=lambda: datetime(2024, 3, 4)).trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    shown = display.shown(spark, out)
+    n = F.aggregate("swaps", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    # the log has no session; its rows are set against what was shown by micro-batch and lemma, so all of them must agree
+    logged = files.swap_log(spark, log).groupBy("lemma", "to").agg(F.sum("n").alias("all"))
+    said = shown.select(F.explode("swaps").alias("s")).groupBy(F.col("s.lemma").alias("lemma"), F.col("s.to").alias("to")).agg(F.sum("s.n").alias("seen"))
+    off = said.join(logged, ["lemma", "to"], "full").agg(F.coalesce(F.sum(F.abs(F.coalesce("seen", F.lit(0)) - F.coalesce("all", F.lit(0)))), F.lit(0)).alias("off"))
+    return shown.crossJoin(F.broadcast(off)).select("session_id", "batch_seq", n.alias("n_swaps"), (n + F.col("off")).alias("logged"))

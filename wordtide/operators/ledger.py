@@ -18,12 +18,13 @@ from ..functions.console import aligned
 SHORTLIST = 5
 
 
-def fold(report_log: DataFrame, refresh_log: DataFrame, injections: DataFrame | None = None) -> DataFrame:
-    """One row per lemma ever reported: first and last seen and rate, refreshes, faded, faded_at, injected.
+#: What is kept of a word: a partial that merges with others in any order. A word that was shown and
+#: never reported has no first_flagged.
+PARTIAL = "lemma string, first_flagged timestamp, first_rate double, last_seen timestamp, last_rate double, kind string, known boolean, refreshes long, injected long"
 
-    A lemma has faded if a refresh came after its last report; an empty refresh fades all.
-    Refreshes are a few a day, so one window orders their times; the time of fading is that of the refresh after the last report.
-    """
+
+def partial(report_log: DataFrame, injections: DataFrame | None = None) -> DataFrame:
+    """Rows of some refreshes and some injections, summed up by word. A refresh belongs to one partial."""
     own = report_log.groupBy("lemma").agg(
         F.min("refresh_at").alias("first_flagged"),
         F.min_by("rate", "refresh_at").alias("first_rate"),
@@ -33,13 +34,45 @@ def fold(report_log: DataFrame, refresh_log: DataFrame, injections: DataFrame |
         F.max_by("known", "refresh_at").alias("known"),
         F.count_distinct("refresh_at").alias("refreshes"),
     )
-    times = refresh_log.select("refresh_at").distinct()
-    after = times.select(F.col("refresh_at").alias("last_seen"), F.lead("refresh_at").over(Window.orderBy("refresh_at")).alias("faded_at"))
-    out = own.join(after, "last_seen", "left").withColumn("faded", F.col("faded_at").isNotNull())
     if injections is None:
-        return out.withColumn("injected", F.lit(0).cast("long"))
+        return own.withColumn("injected", F.lit(0).cast("long"))
     shown = injections.groupBy("lemma").agg(F.count("*").alias("injected"))
-    return out.join(shown, "lemma", "left").withColumn("injected", F.coalesce("injected", F.lit(0)))
+    out = own.join(shown, "lemma", "full")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("refreshes", "injected")})
+
+
+def merged(*partials: DataFrame) -> DataFrame:
+    """Partials of disjoint refreshes and injections as one, whatever their order."""
+    rows = partials[0]
+    for p in partials[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("lemma").agg(
+        F.min("first_flagged").alias("first_flagged"),
+        F.min_by("first_rate", "first_flagged").alias("first_rate"),
+        F.max("last_seen").alias("last_seen"),
+        F.max_by("last_rate", "last_seen").alias("last_rate"),
+        F.max_by("kind", "last_seen").alias("kind"),
+        F.max_by("known", "last_seen").alias("known"),
+        F.sum("refreshes").alias("refreshes"),
+        F.sum("injected").alias("injected"),
+    )
+
+
+def of_partial(state: DataFrame, refresh_log: DataFrame) -> DataFrame:
+    """The ledger of a merged partial and the times of all refreshes.
+
+    A lemma has faded if a refresh came after its last report; an empty refresh fades all. Refreshes are
+    a few a day, so one window orders their times; the time of fading is that of the refresh after the last report.
+    """
+    times = refresh_log.select("refresh_at").distinct()
+    after = times.select(F.col("refresh_at").alias("last_seen"), F.lead("refresh_at").over(Window.orderBy("refresh_at")).alias("faded_at"))
+    out = state.filter("first_flagged is not null").join(after, "last_seen", "left")
+    return out.withColumn("faded", F.col("faded_at").isNotNull())
+
+
+def fold(report_log: DataFrame, refresh_log: DataFrame, injections: DataFrame | None = None) -> DataFrame:
+    """One row per lemma ever reported: first and last seen and rate, refreshes, faded, faded_at, injected."""
+    return of_partial(partial(report_log, injections), refresh_log)
 
 
 def curation_candidates(ledger: DataFrame) -> DataFrame:

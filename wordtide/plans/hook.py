@@ -1,13 +1,16 @@
 """What happens at a prompt and around it: refresh of a stale report, selection, claims, and the log of what was shown.
 
-State lies in one folder that driver and executors share, as tables that only grow:
-``reports`` (entries with generated_at), ``refreshes`` (every attempt: at, outcome,
+State lies in one folder that driver and executors share, as tables that grow by whole
+batches: ``reports`` (entries with generated_at), ``refreshes`` (every attempt: at, outcome,
 reason, note, version, list_modified) and ``injections`` (at, session_id, lemma). The
-ledger is folded from them. A lock file keeps refreshes single.
+ledger is a compacted partial of the batches up to some time and those that came since. A lease keeps refreshes
+single: who takes over an old one takes it from its owner, who then publishes nothing.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -15,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger, report, swaps
+from ..sources import files
+from ..work import cut, discard
 
 #: Age from which a lock may be taken over, pause between automatic attempts, age of a report that is no longer shown.
 LOCK_AGE, PAUSE, TOO_OLD = timedelta(hours=1), timedelta(minutes=15), timedelta(days=7)
@@ -28,13 +33,27 @@ def _place(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _table(spark: SparkSession, state: str, name: str, schema: str) -> DataFrame:
+#: Batches that the ledger reads one by one before they are compacted.
+MOST_PENDING = 8
+
+
+def _batches(spark: SparkSession, state: str, name: str) -> list[str]:
+    """Names of a table's whole batches, oldest first."""
     fs, place = _place(spark, f"{state}/{name}")
-    return spark.read.schema(schema).parquet(f"{state}/{name}") if fs.exists(place) else spark.createDataFrame([], schema)
+    if not fs.exists(place):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(place)]
+    return sorted(n for n in names if n.startswith("batch-") and fs.exists(_place(spark, f"{state}/{name}/{n}/_SUCCESS")[1]))
+
 
+def _table(spark: SparkSession, state: str, name: str, schema: str, batches: list[str] | None = None) -> DataFrame:
+    """A table's batches, or some of them."""
+    batches = _batches(spark, state, name) if batches is None else batches
+    return spark.read.schema(schema).parquet(*[f"{state}/{name}/{b}" for b in batches]) if batches else spark.createDataFrame([], schema)
 
-def _append(df: DataFrame, state: str, name: str) -> None:
-    df.coalesce(1).write.mode("append").parquet(f"{state}/{name}")
+
+def _append(df: DataFrame, state: str, name: str, at: datetime) -> None:
+    files.append_batch(df.coalesce(1), f"{state}/{name}", f"{int(at.timestamp() * 1e6):020d}-{uuid.uuid4().hex[:8]}", "parquet")
 
 
 def last_report(spark: SparkSession, state: str) -> dict | None:
@@ -45,24 +64,64 @@ def last_report(spark: SparkSession, state: str) -> dict | None:
 
 
 def entries_of_last(spark: SparkSession, state: str, now: datetime, max_age: timedelta = TOO_OLD) -> DataFrame:
-    """The entries of the newest report; none where there is none or it is older than ``max_age``."""
+    """The entries of the newest report; none where there is none or it is older than ``max_age``. Only its own batch is read."""
     last = last_report(spark, state)
     if last is None or now - last["generated_at"] > max_age:
         return spark.createDataFrame([], REPORTED)
-    return _table(spark, state, "reports", REPORTED).filter(F.col("generated_at") == F.lit(last["generated_at"]))
-
-
-def _locked(spark: SparkSession, state: str, now: datetime) -> bool:
-    fs, lock = _place(spark, f"{state}/refresh.lock")
-    if fs.exists(lock):
-        if now.timestamp() - fs.getFileStatus(lock).getModificationTime() / 1000 < LOCK_AGE.total_seconds():
+    own = f"batch-{int(last['generated_at'].timestamp() * 1e6):020d}-"
+    batches = [b for b in _batches(spark, state, "reports") if b.startswith(own)]
+    return _table(spark, state, "reports", REPORTED, batches).filter(F.col("generated_at") == F.lit(last["generated_at"]))
+
+
+class Lease:
+    """A file that names its owner. Taking over an old one is a rename, which only one of several can do."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.token = spark, path, uuid.uuid4().hex
+
+    def _age(self, fs, place, now: datetime) -> float:
+        return now.timestamp() - fs.getFileStatus(place).getModificationTime() / 1000
+
+    def take(self, now: datetime) -> bool:
+        fs, lock = _place(self.spark, self.path)
+        if fs.exists(lock):
+            _, old = _place(self.spark, f"{self.path}.old-{self.token}")
+            try:
+                if self._age(fs, lock, now) < LOCK_AGE.total_seconds() or not fs.rename(lock, old):
+                    return False
+                if self._age(fs, old, now) < LOCK_AGE.total_seconds():  # another one had taken it over in between
+                    fs.rename(old, lock)
+                    return False
+            except Exception:  # noqa: BLE001 - it is gone: another one has it
+                return False
+            fs.delete(old, False)
+        fs.mkdirs(lock.getParent())
+        if not fs.createNewFile(lock):
+            return False
+        out = fs.create(lock, True)
+        out.write(bytearray(self.token.encode()))
+        out.close()
+        return True
+
+    def held(self) -> bool:
+        """Whether it is still ours."""
+        fs, lock = _place(self.spark, self.path)
+        if not fs.exists(lock):
             return False
-        fs.delete(lock, False)
-    return fs.createNewFile(lock)
+        opened = fs.open(lock)
+        try:
+            return bytes(opened.readAllBytes()).decode() == self.token
+        finally:
+            opened.close()
+
+    def release(self) -> None:
+        if self.held():
+            fs, lock = _place(self.spark, self.path)
+            fs.delete(lock, False)
 
 
 def refresh(spark: SparkSession, state: str, build: Callable[[], DataFrame], now: datetime, version: str, list_modified: datetime | None = None, automatic: bool = False) -> str:
-    """Builds a report if the last one is stale: "fresh", "paused", "busy", "ok" or "error".
+    """Builds a report if the last one is stale: "fresh", "paused", "busy", "lost", "ok" or "error".
 
     ``build`` is the report query. An attempt that fails is logged and raises nothing; the next
     automatic one waits.
@@ -73,20 +132,26 @@ def refresh(spark: SparkSession, state: str, build: Callable[[], DataFrame], now
     tried = _table(spark, state, "refreshes", REFRESHES).agg(F.max("at")).first()[0]
     if automatic and tried is not None and now - tried < PAUSE:
         return "paused"
-    if not _locked(spark, state, now):
+    lease = Lease(spark, f"{state}/refresh.lock")
+    if not lease.take(now):
         return "busy"
     outcome, note = "ok", ""
     try:
         entries = build().withColumn("generated_at", F.lit(now))
         fields = [f.strip().split(" ") for f in REPORTED.split(", ")]
         own = lambda n: F.col(n) if n in entries.columns else F.lit(None)
-        _append(entries.select(*[own(n).cast(t).alias(n) for n, t in fields]), state, "reports")
+        entries = cut(entries.select(*[own(n).cast(t).alias(n) for n, t in fields]), "refresh")
+        if not lease.held():
+            return "lost"
+        _append(entries, state, "reports", now)
+        discard(entries)
     except Exception as e:  # noqa: BLE001 - the flow must go on whatever a build does
         outcome, note = "error", str(e).splitlines()[0][:500] if str(e) else type(e).__name__
     finally:
-        fs, lock = _place(spark, f"{state}/refresh.lock")
-        fs.delete(lock, False)
-    _append(spark.createDataFrame([(now, outcome, reason, note, version, list_modified)], REFRESHES), state, "refreshes")
+        lease.release()
+    _append(spark.createDataFrame([(now, outcome, reason, note, version, list_modified)], REFRESHES), state, "refreshes", now)
+    if outcome == "ok" and len(_pending(spark, state, "reports", _base(spark, state)[1])) >= MOST_PENDING:
+        compact(spark, state)
     return outcome
 
 
@@ -99,7 +164,7 @@ def shown(spark: SparkSession, state: str, now: datetime, words: int = report.HO
         errors = _table(spark, state, "refreshes", REFRESHES).filter("outcome = 'error'").agg(F.max_by("note", "at")).first()[0]
         text = f"word report is {(now - last['generated_at']).days}d old: it is not being refreshed."
         return text + (f" Last error: {errors}" if errors else "") + "\n", []
-    entries = _table(spark, state, "reports", REPORTED).filter(F.col("generated_at") == F.lit(last["generated_at"]))
+    entries = entries_of_last(spark, state, now)
     rows = [r.asDict() for r in report.hook_entries(entries, words, phrases).orderBy("shown_ord").collect()]
     return report.render(rows, hook=True), [r["lemma"] for r in rows]
 
@@ -119,12 +184,52 @@ def hook(prompts: DataFrame, state: str, now: datetime, words: int = report.HOOK
         fired = spark.read.schema("session_id string, at timestamp").parquet(path)
     if lemmas:
         said = F.explode(F.array(*[F.lit(x) for x in lemmas])).alias("lemma")
-        _append(fired.select("at", "session_id", said), state, "injections")
+        _append(fired.select("at", "session_id", said), state, "injections", now)
     return fired.withColumn("text", F.lit(text))
 
 
+# ---- the ledger
+
+
+def _base(spark: SparkSession, state: str) -> tuple[str | None, dict[str, list[str]]]:
+    """The newest compacted partial and the names of the batches in it."""
+    fs, place = _place(spark, f"{state}/ledger")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+    whole = [n for n in names if n.startswith("batch-") and fs.exists(_place(spark, f"{state}/ledger/{n}/_SUCCESS")[1])]
+    if not whole:
+        return None, {}
+    held = spark.read.text(f"{state}/ledger-batches/{whole[-1]}").first()[0]
+    return whole[-1], json.loads(held)
+
+
+def _pending(spark: SparkSession, state: str, name: str, inside: dict[str, list[str]]) -> list[str]:
+    return sorted({*_batches(spark, state, name)} - {*inside.get(name, [])})
+
+
+def _partial(spark: SparkSession, state: str) -> tuple[DataFrame, dict[str, list[str]]]:
+    """The merged partial of everything, and the batches in it: the base and what came since."""
+    base, inside = _base(spark, state)
+    new = {name: _pending(spark, state, name, inside) for name in ("reports", "injections")}
+    entries = _table(spark, state, "reports", REPORTED, new["reports"]).withColumnRenamed("generated_at", "refresh_at")
+    parts = [ledger.partial(entries, _table(spark, state, "injections", INJECTIONS, new["injections"]))]
+    if base is not None:
+        parts.append(spark.read.schema(ledger.PARTIAL).parquet(f"{state}/ledger/{base}"))
+    return ledger.merged(*parts), {name: inside.get(name, []) + new[name] for name in new}
+
+
+def compact(spark: SparkSession, state: str) -> None:
+    """Writes the partial of everything so far; the ledger then reads that and later batches only.
+
+    The list of batches is there before the partial becomes visible, so an attempt that stops in between counts nothing twice.
+    """
+    whole, inside = _partial(spark, state)
+    before = _base(spark, state)[0]
+    name = f"{int(before.removeprefix('batch-')) + 1 if before else 0:08d}"
+    spark.createDataFrame([(json.dumps(inside),)], "value string").coalesce(1).write.mode("overwrite").text(f"{state}/ledger-batches/batch-{name}")
+    files.append_batch(whole, f"{state}/ledger", name, "parquet")
+
+
 def history(spark: SparkSession, state: str) -> DataFrame:
     """The ledger of everything that was ever reported."""
-    entries = _table(spark, state, "reports", REPORTED).withColumnRenamed("generated_at", "refresh_at")
     times = _table(spark, state, "refreshes", REFRESHES).filter("outcome = 'ok'").select(F.col("at").alias("refresh_at"))
-    return ledger.fold(entries, times, _table(spark, state, "injections", INJECTIONS))
+    return ledger.of_partial(_partial(spark, state)[0], times)
