@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import gate, ledger, thesaurus
-from .plans import display
-from .queries import _FENCED, _LADDER, _LEDGER, SWAPS, _lemma, _ladders, _query, _rounded
+from .options import SCAN
+from .plans import display, partials
+from .queries import _FENCED, _LADDER, _LEDGER, ORACLE, STOP, SWAPS, _ladders, _lemma, _query, _rounded
 from .sources import files
-from .sources.adapters import table
-from .work import cut, place
+from .sources.adapters import NOW, table, turns
+from .work import cut, place, rename_files
 
 
 def _scripted(word: str, ladder: list[str], samples: list[list[str]]) -> str:
@@ -100,3 +101,22 @@ def display_stream(spark: SparkSession, d: str) -> DataFrame:
     said = shown.select(F.explode("swaps").alias("s")).groupBy(F.col("s.lemma").alias("lemma"), F.col("s.to").alias("to")).agg(F.sum("s.n").alias("seen"))
     off = said.join(logged, ["lemma", "to"], "full").agg(F.coalesce(F.sum(F.abs(F.coalesce("seen", F.lit(0)) - F.coalesce("all", F.lit(0)))), F.lit(0)).alias("off"))
     return shown.crossJoin(F.broadcast(off)).select("session_id", "batch_seq", n.alias("n_swaps"), (n + F.col("off")).alias("logged"))
+
+
+def _transcripts(df: DataFrame, root: str) -> None:
+    """Turns as transcripts under ``root``, a folder for each project."""
+    said = F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"))
+    line = F.to_json(F.struct(F.lit("assistant").alias("type"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), said.alias("message")))
+    df.select(F.coalesce("project", F.lit("none")).alias("project"), line.alias("value")).write.mode("append").partitionBy("project").text(root)
+    rename_files(df.sparkSession, root, ".txt", ".jsonl")
+
+
+@_query(ORACLE["rising_lemmas"])
+def rising_from_partials(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as transcripts that come in two parts; each is counted when it is there, and the scan reads counts only."""
+    root, state = place(spark, "query-transcripts"), place(spark, "query-partials")
+    docs = turns(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in range(2):
+        _transcripts(docs.filter(F.col("turn_id") % 2 == part), root)
+        partials.update(spark, root, state, partials.EVER, STOP)
+    return _rounded(partials.scan(spark, root, state, NOW, STOP, partials.EVER, SCAN), "recent_rate", "baseline_rate", "ratio", "score")

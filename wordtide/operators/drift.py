@@ -83,17 +83,17 @@ def week_bucket(ts: Column, now: datetime, weeks: int) -> Column:
     return (F.lit(weeks - 1) - (micros / (7 * 86_400 * 1_000_000)).cast("long")).cast("int")
 
 
-def weekly(tokens: DataFrame, now: datetime, weeks: int) -> DataFrame:
-    """lemma, bucket, n; buckets outside the range are left out."""
+def weekly(tokens: DataFrame, now: datetime, weeks: int, n: Column | None = None) -> DataFrame:
+    """lemma, bucket, n; buckets outside the range are left out. ``n`` is what a row counts for (else one)."""
     own = tokens.withColumn("bucket", week_bucket(F.col("ts"), now, weeks)).filter(F.col("bucket").between(0, weeks - 1))
-    return own.groupBy("lemma", "bucket").agg(F.count("*").alias("n"))
+    return own.groupBy("lemma", "bucket").agg((F.count("*") if n is None else F.sum(n)).alias("n"))
 
 
-def trend(tokens: DataFrame, lemmas: Sequence[str] | DataFrame, now: datetime, weeks: int = 8) -> DataFrame:
+def trend(tokens: DataFrame, lemmas: Sequence[str] | DataFrame, now: datetime, weeks: int = 8, n: Column | None = None) -> DataFrame:
     """lemma, bucket, tokens, n, rate per thousand; rate is null where a bucket has no token (a gap)."""
     spark = tokens.sparkSession
     asked = lemmas if isinstance(lemmas, DataFrame) else spark.createDataFrame([(x,) for x in dict.fromkeys(lemmas)], "lemma string")
-    counts = weekly(tokens, now, weeks)
+    counts = weekly(tokens, now, weeks, n)
     every = counts.groupBy("bucket").agg(F.sum("n").alias("tokens"))
     grid = asked.select("lemma").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))))
     out = grid.join(every, "bucket", "left").join(counts, ["lemma", "bucket"], "left")

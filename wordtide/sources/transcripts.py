@@ -29,16 +29,17 @@ def project_of(path: Column, root: Column) -> Column:
     return F.get(F.split(F.ltrim(rest, F.lit("/")), "/"), F.lit(0))
 
 
-def read_turns(spark: SparkSession, root: str, since: datetime) -> DataFrame:
+def read_turns(spark: SparkSession, root: str, since: datetime, opened_from: datetime | None = None) -> DataFrame:
     """turn_id, project, ts, text of assistant turns since a time; a missing root is an error.
 
-    Files older than ``since`` are not opened, lines that are too long or no JSON are
+    Files older than ``since`` (or than ``opened_from``, if that is later) are not opened, lines that are too long or no JSON are
     skipped, and cheap filters come before content is parsed. ``turn_id`` follows path and
     line order: the rank of the file (one row per file) and the place in its split.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
     # a filter on file metadata prunes files before they are opened
-    raw = reader.text(root).filter(F.col("_metadata.file_modification_time") >= F.lit(since))
+    oldest = since if opened_from is None else max(since, opened_from)
+    raw = reader.text(root).filter(F.col("_metadata.file_modification_time") >= F.lit(oldest))
     jvm = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(jvm).toUri().getPath()
     path = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
