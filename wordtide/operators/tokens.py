@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable, Sequence
 
+import ahocorasick
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,26 +154,58 @@ def normal_phrases(phrases: list[str]) -> list[str]:
     return list(dict.fromkeys(s for s in streams if " " in s))
 
 
-def _pattern(phrases: list[str]) -> str:
-    """Longest first, so that a match is the longest phrase at its place; words keep their closing bar as a lookahead."""
-    longest = sorted(phrases, key=lambda p: (-p.count(" "), p))
-    return "(" + "|".join(r"\|" + re.escape(p).replace(r"\ ", r"\|").replace(" ", r"\|") + r"(?=\|)" for p in longest) + ")"
+_BUILT: dict[tuple[str, ...], ahocorasick.Automaton] = {}
+
+
+def automaton(phrases: Sequence[str]) -> ahocorasick.Automaton:
+    """Finds phrases in words between bars ("|a|b|c|"); it grows with the phrases' letters, a text's cost does not."""
+    out = ahocorasick.Automaton()
+    for p in phrases:
+        words = f"|{p.replace(' ', '|')}|"
+        out.add_word(words, (p, len(words)))
+    out.make_automaton()
+    return out
+
+
+def matches(found: ahocorasick.Automaton, words: str) -> list[str]:
+    """Phrases in order of place and length. Left to right: at a place all that begin there count, then it goes on after the longest."""
+    hits = sorted((end - n + 1, n, p) for end, (p, n) in found.iter(words))
+    out, free, at, longest = [], 0, -1, 0
+    for start, n, p in hits:
+        if start != at:
+            free = max(free, at + longest - 1)  # the bar that ends a phrase opens the next one
+            if start < free:
+                continue
+            at = start
+        out.append(p)
+        longest = n
+    return out
+
+
+def _found(shared: Broadcast) -> Callable:
+    @F.pandas_udf("array<string>")
+    def udf(words: pd.Series) -> pd.Series:
+        key = tuple(shared.value)
+        if key not in _BUILT:  # a worker keeps the last one that it built
+            _BUILT.clear()
+            _BUILT[key] = automaton(key)
+        return pd.Series([matches(_BUILT[key], w) if w else [] for w in words])
+
+    return udf
 
 
 def phrase_matches(texts: DataFrame, column: str, phrases: list[str]) -> DataFrame:
     """Explodes ``texts`` into a row for each phrase found in ``column``: ``phrase``.
 
-    The scan goes left to right; at a place every phrase that begins there counts, then it
-    goes on after the longest. The alternation finds the longest; the others at the place
-    are its prefixes, which a literal table of phrases and prefixes supplies.
+    The scan goes left to right; at a place every phrase that begins there counts, then it goes on after the
+    longest. One automaton finds all phrases in one pass over a text's words, so neither the plan nor a text's cost
+    grows with their number. The list is the caller's own and sent to each worker once.
     """
     own = normal_phrases(phrases)
     if not own:
         return texts.withColumn("phrase", F.lit(None).cast("string")).filter(F.lit(False))
-    prefixes = {p: [q for q in own if p == q or p.startswith(q + " ")] for p in own}
-    table = F.create_map(*[x for p, qs in prefixes.items() for x in (F.lit("|" + p.replace(" ", "|")), F.array(*[F.lit(q) for q in qs]))])
-    found = F.regexp_extract_all(tx.encoded_words(F.col(column)), F.lit(_pattern(own)), F.lit(1))
-    return texts.withColumn("phrase", F.explode(F.flatten(F.transform(found, lambda m: F.element_at(table, m)))))
+    shared = texts.sparkSession.sparkContext.broadcast(own)
+    return texts.withColumn("phrase", F.explode(_found(shared)(tx.encoded_words(F.col(column)))))
 
 
 def report_phrases(turns: DataFrame, phrases: list[str], stopwords: list[str]) -> DataFrame:

@@ -251,11 +251,8 @@ def frame_fraction(spark: SparkSession, d: str) -> DataFrame:
 
 def _sql_phrases(source: str, text: str) -> str:
     own = sorted(tokens.normal_phrases(PHRASES), key=lambda p: (-p.count(" "), p))
-    pattern = "|".join(rf"\|{p.replace(' ', chr(92) + '|')}" for p in own)
-    rows = ", ".join(f"('{p}', '|{p.replace(' ', '|')}')" for p in own)
     # words carry a bar on both sides, so that a match always ends at a word's end
     spread = rf"regexp_extract_all('|' || array_to_string({_words(f'lower({text})')}, '||') || '|', '({'|'.join(chr(92) + '|' + p.replace(' ', chr(92) + '|' + chr(92) + '|') + chr(92) + '|' for p in own)})')"
-    del pattern
     rows = ", ".join(f"('{p}', '|{p.replace(' ', '||')}|')" for p in own)
     return f"""found AS (SELECT project, unnest({spread}) AS m FROM {source}), ph(phrase, enc) AS (VALUES {rows}),
 hits AS (SELECT phrase, project FROM found JOIN ph ON starts_with(m, enc))"""

@@ -26,11 +26,12 @@ def read_vectors(spark: SparkSession, path: str, vocabulary: DataFrame | None =
     no number and zero vectors are dropped; of lines for one word the last wins. With a
     vocabulary only its words are parsed.
     """
-    raw = spark.read.text(path).select(F.split(F.trim("value"), " +").alias("f"), F.monotonically_increasing_id().alias("place"))
-    rows = raw.select(F.get("f", F.lit(0)).alias("word"), F.slice("f", F.lit(2), F.greatest(F.size("f") - 1, F.lit(0))).alias("s"), "place")
-    if vocabulary is not None:
+    line = F.trim("value")
+    rows = spark.read.text(path).select(F.substring_index(line, " ", 1).alias("word"), line.alias("line"), F.monotonically_increasing_id().alias("place"))
+    if vocabulary is not None:  # the line is whole until its word is known to be asked for
         rows = rows.join(vocabulary.select("word").distinct(), "word", "left_semi")
-    rows = rows.withColumn("v", F.transform("s", lambda x: x.try_cast("float"))).filter(~F.exists("v", lambda x: x.isNull()) & (F.size("v") > 0))
+    rows = rows.withColumn("f", F.split("line", " +"))
+    rows = rows.select("word", F.slice("f", F.lit(2), F.greatest(F.size("f") - 1, F.lit(0))).alias("s"), "place").withColumn("v", F.transform("s", lambda x: x.try_cast("float"))).filter(~F.exists("v", lambda x: x.isNull()) & (F.size("v") > 0))
     dim = rows.agg(F.min_by(F.size("v"), "place").alias("dim"))
     rows = rows.crossJoin(F.broadcast(dim)).filter(F.size("v") == F.col("dim"))
     last = rows.groupBy("word").agg(F.max_by("v", "place").alias("v"))
