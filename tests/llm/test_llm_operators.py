@@ -108,6 +108,27 @@ def test_language(spark):
     assert all(out[i].lang_pred == p and abs(out[i].score - s) < 1e-6 for i, (p, s) in one.items())
 
 
+def test_language_rejects_what_is_like_no_training_text(spark):
+    rng = random.Random(2)
+    vocab = {"aa": ["kolo", "miro", "vesna", "brat"], "bb": ["chung", "wang", "ting", "hao"]}
+    data = [(i, " ".join(rng.choices(vocab[k], k=rng.randint(10, 40))), k) for i, k in enumerate(rng.choices(list(vocab), k=200))]
+    strange = ["привет мир как дела сегодня хорошо " * 4, "ZXQJ9 xqzj qqzx jxq " * 6, "こんにちは世界これは文章です" * 5]
+    df = spark.createDataFrame([*data, *[(1_000 + i, t, "aa") for i, t in enumerate(strange)]], "doc_id long, text string, lang string")
+    model = langid.fit(df.filter("doc_id < 1000"))
+    out = {r.doc_id: r for r in langid.predict(df.drop("lang"), model).collect()}
+    assert all(out[1_000 + i].rejected for i in range(len(strange)))
+    assert not any(out[i].rejected for i in range(200))
+
+
+def test_the_sample_of_a_language_is_bounded_whatever_its_ids(spark):
+    ids = [(None, "null"), (7, "one id")]
+    df = spark.createDataFrame([(i, f"{what} text number {n}", "aa") for i, what in ids for n in range(4_000)] + [(9, "the same", "aa")] * 4_000, "doc_id long, text string, lang string")
+    n = langid._drawn(df, {"aa": 12_000}, 300).count()
+    assert 120 <= n <= 320
+    repeated = df.filter("doc_id = 9").unionByName(df.filter("doc_id = 7").limit(50))
+    assert len({(r.lang_pred, round(r.score, 6)) for r in langid.identify(repeated).filter("doc_id = 9").collect()}) == 1
+
+
 def test_long_texts_are_counted_in_stretches():
     rng = random.Random(19)
     for _ in range(60):
@@ -504,7 +525,7 @@ def test_cards_grouped_in_ones_and_twos(spark):
 
 
 def test_first_look_loses_no_candidate(spark):
-    texts = ["account GB29 NWBK ABCD EF12 34GH", "account DE12ABCDEFGHIJKL", "ssn 123-45-6789"]
+    texts = ["account GB29 NWBK ABCD EF12 34GH 56", "account DE12ABCDEFGHIJKLMNOPQR", "account NO9386011117947", "ssn 123-45-6789"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii.candidates(df).collect():
         whole = [m.span() for m in re.finditer(pii.WIDER["account"], texts[r.doc_id])]
@@ -568,6 +589,90 @@ def test_added_spans_overlap_nothing(spark):
         assert out[i] == sorted(want)
 
 
+def _iban(rng, country):
+    bban = "".join(rng.choice("0123456789") for _ in range(pii.IBAN_LENGTH[country] - 4))
+    number = int("".join(str(int(c, 36)) for c in f"{bban}{country}00"))
+    return f"{country}{98 - number % 97:02d}{bban}"
+
+
+def test_account_numbers_by_country(spark):
+    rng = random.Random(3)
+    real = [_iban(rng, c) for c in pii.IBAN_LENGTH] + ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NL91ABNA0417164300"]
+    spaced = [" ".join(x[i : i + 4] for i in range(0, len(x), 4)) for x in real]
+    wrong = [x[:6] + str((int(x[6]) + 1) % 10) + x[7:] for x in real if x[6].isdigit()]
+    df = spark.createDataFrame(list(enumerate([f"to {x}, please" for x in [*real, *spaced, *wrong]])), "doc_id long, text string")
+    found = {r.doc_id: [(c.start, c.end, c.valid) for c in r.found if c.kind == "account"] for r in pii.candidates(df).collect()}
+    for i, x in enumerate([*real, *spaced, *wrong]):
+        assert found[i] == [(3, 3 + len(x), 1 if i < 2 * len(real) else -1)], x
+
+
+#: Sentences with a place for a value, by kind: with the value and with something like it that is not personal.
+SAID = {
+    "account": (["please transfer to {}", "my iban is {}", "bank account {} thanks", "{} is the account"], ["part {} shipped", "item {} of the order", "{} in total"]),
+    "secret": (["export {}", "set {} in the config", "the config has {} there", "let {}"], ["the {} page", "section {} ends", "see {} here"]),
+    "phone_national": (["call {} today", "my phone is {}", "tel {} please", "reach me at {} now"], ["order {} shipped", "version {} is out", "invoice {} paid", "item {} of ten"]),
+    "email_spelled": (["write to {}", "contact {} please", "my email is {}", "reach {}"], []),
+}
+
+
+def _made(rng, kind):
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    digits, both = "0123456789", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    if kind == "account":
+        x = _iban(rng, rng.choice(["DE", "FR", "GB", "NO", "NL", "IT", "CH", "ES", "BE"]))
+        good = rng.choice([x, " ".join(x[i : i + 4] for i in range(0, len(x), 4))])
+        return good, x[:5] + str((int(x[5]) + 3) % 10) + x[6:]
+    if kind == "secret":
+        value = pick(both, 18) + "7a"
+        good = rng.choice([f'PASSWORD="{value}"', f"password='{value}'", f"api_key: {value}", f"Bearer {value}", "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "token: ghp_" + pick(both, 36)])
+        return good, rng.choice(["password: required", "token: optional", "secret: forgotten", "Bearer instruments-of-all-sorts"])
+    if kind == "phone_national":
+        good = rng.choice([f"({rng.randint(201, 999)}) {rng.randint(201, 999)}-{pick(digits, 4)}", f"{rng.randint(201, 999)} {rng.randint(201, 999)} {pick(digits, 4)}", f"030 {pick('123456789', 1)}{pick(digits, 6)}", f"01 {pick(digits, 2)} {pick(digits, 2)} {pick(digits, 2)} {pick(digits, 2)}", f"0171-{pick('123456789', 7)}"])
+        return good, rng.choice([f"{rng.randint(100, 199)}.{rng.randint(100, 199)}.{pick(digits, 4)}", f"00 {pick(digits, 2)}", f"{rng.randint(100, 199)} {rng.randint(100, 199)} {pick(digits, 4)}"])
+    name = f"{pick('abcdefgh', 5)} [at] {pick('mnopqr', 6)} [dot] {rng.choice(['com', 'org', 'net', 'de'])}"
+    return name, None
+
+
+@pytest.mark.parametrize("kind", list(SAID))
+def test_precision_and_recall_of_added_kinds(spark, kind):
+    rng = random.Random(41)
+    texts, want = [], {}
+    for i in range(300):
+        good, bad = _made(rng, kind)
+        frames = SAID[kind]
+        value, frame = (bad, rng.choice(frames[1])) if i % 2 and bad else (good, rng.choice(frames[0]))
+        texts.append(frame.format(value))
+        if value is good:
+            want[i] = (frame.index("{}"), frame.index("{}") + len(value))
+    out = {r.doc_id: r for r in _spans(spark, texts)}
+    got = {}
+    for i, r in out.items():
+        spans = [x.split(":") for x in (r.spans or "").split(",") if x]
+        if own := [(int(a), int(b)) for k, a, b in spans if k == kind]:
+            got[i] = own
+    hit = sum(want.get(i) in own for i, own in got.items())
+    assert hit >= 0.9 * len(want), (hit, len(want), [texts[i] for i in want if want[i] not in got.get(i, [])][:8])
+    assert sum(map(len, got.values())) - hit <= 0.1 * hit, [texts[i] for i in got if i not in want][:8]
+
+
+def test_many_added_spans_over_blocks(spark):
+    rng = random.Random(8)
+    spans, at = [], 0
+    for _ in range(700):
+        at += rng.randint(0, 6)
+        spans.append((at, at + rng.randint(1, 9), rng.random() < 0.1))
+    df = spark.createDataFrame([([*spans],)], "x array<struct<start:int,end:int,base:boolean>>")
+    got = [(s.start, s.end, s.base) for s in df.select(pii._leftmost(F.col("x"), block=16).alias("y")).first().y]
+    want, free = [], 0
+    for s in spans:
+        if s[2]:
+            want.append(s)
+        elif s[0] >= free:
+            want.append(s)
+            free = s[1]
+    assert got == want
+
+
 def test_em_finds_the_reliabilities_of_labelers():
     rng = random.Random(13)
     # (vote for, vote against) on true spans, then on false ones

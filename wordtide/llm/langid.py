@@ -9,8 +9,8 @@ texts of its length ever are, by a factor of three in cosine, is rejected.
 
 Document frequencies and label counts cover all training rows. The centroids are
 fitted on a bounded sample: ``per_language`` rows of each language in expectation,
-chosen by a hash of the id (default 1,000), so that a language with a third of all
-rows is no larger a group than any other. Prediction reads whole texts.
+chosen by a hash of id and text (default 1,000), so that a language with a third of all
+rows is no larger a group than any other; rows that repeat both are drawn together, once. Prediction reads whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
 rejected; null labels are not learned from; repeated rows get the same prediction;
@@ -130,23 +130,25 @@ def length_class(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(counts.sum(axis=1), 1)).astype(np.int64), LENGTH_CLASSES - 1)
 
 
-def _blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+def _blocks(column: pa.Array, rows: int = 1_024) -> Iterator[np.ndarray]:
+    """Counts of the texts of a column, some hundred texts at a time."""
     from ._bytes import chunks, utf8
 
-    buf, offsets = utf8(column)
-    for i, j in chunks(offsets, 1 << 20):
-        if j - i == 1 and offsets[j] - offsets[i] > 1 << 20:
-            yield i, j, count_long(buf[offsets[i] : offsets[j]])
-            continue
-        for k in range(i, j, 128):
-            e = min(j, k + 128)
-            yield k, e, count_ngrams(buf[offsets[k] : offsets[e]], offsets[k : e + 1] - offsets[k])
+    for at in range(0, len(column), rows):
+        buf, offsets = utf8(column.slice(at, rows))
+        for i, j in chunks(offsets, 1 << 20):
+            if j - i == 1 and offsets[j] - offsets[i] > 1 << 20:
+                yield count_long(buf[offsets[i] : offsets[j]])
+                continue
+            for k in range(i, j, 128):
+                e = min(j, k + 128)
+                yield count_ngrams(buf[offsets[k] : offsets[e]], offsets[k : e + 1] - offsets[k])
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(DIMS, dtype=np.int64)
     for batch in batches:
-        for _, _, counts in _blocks(batch.column(0)):
+        for counts in _blocks(batch.column(0)):
             total += (counts > 0).sum(axis=0)
     found = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["gram", "n"])
@@ -173,7 +175,7 @@ def _fit_language(idf: np.ndarray, k: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         # counts are let go block by block
-        made = [(vectors(c, idf), length_class(c)) for _, _, c in _blocks(table.column("text"))]
+        made = [(vectors(c, idf), length_class(c)) for c in _blocks(table.column("text"))]
         x, sizes = np.vstack([v for v, _ in made]), np.concatenate([s for _, s in made])
         del made
         c, cos = spherical_kmeans(x, k)
@@ -187,6 +189,13 @@ def _fit_language(idf: np.ndarray, k: int):
 _FITTED = pa.schema([("lang", pa.string()), ("centroid", pa.binary()), ("low", pa.list_(pa.float64()))])
 
 
+def _drawn(train: DataFrame, counts: dict[str, int], per_language: int) -> DataFrame:
+    """About ``per_language`` rows of each language, by a hash of id and text."""
+    share = train.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in counts.items()], "lang string, share double")
+    draw = F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return train.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("doc_id", "text", "lang").distinct()
+
+
 def fit(train: DataFrame, per_language: int = 1_000, centroids: int = 4) -> Model | None:
     """Learn from ``train``(doc_id, text, lang); None if nothing is labelled.
 
@@ -203,9 +212,7 @@ def fit(train: DataFrame, per_language: int = 1_000, centroids: int = 4) -> Mode
     df = np.zeros(DIMS)
     df[[r["gram"] for r in pairs]] = [r["n"] for r in pairs]
     idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
-    share = train.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in labels], "lang string, share double")
-    draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = train.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("doc_id", "text", "lang")
+    sample = _drawn(train, {r["lang"]: r["count"] for r in labels}, per_language)
     fitted = sample.groupBy("lang").applyInArrow(_fit_language(idf, centroids), "lang string, centroid binary, low array<double>").collect()
     fitted.sort(key=lambda r: (r["lang"], r["centroid"]))
     languages = sorted({r["lang"] for r in fitted})
@@ -223,22 +230,23 @@ def has_letter(text: str | Column) -> Column:
     return text_of(text).rlike(r"\p{L}")
 
 
-def _predict(shared):
+def _predict(shared, text_col: str, rows: int = 1_024):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = pa.array(m.languages)
-        for batch in batches:
-            best, score, far = [], [], []
-            for _, _, counts in _blocks(batch.column("__text")):
-                cos = vectors(counts, m.idf) @ m.centroids.T
-                own = cos.argmax(axis=1)
-                top = cos[np.arange(len(own)), own]
-                best.append(m.language_of[own])
-                score.append(np.clip(top.astype(float), 0, 1))
-                far.append(top < m.floor[length_class(counts)])
-            kept = batch.drop_columns(["__text"])
-            cols = [np.concatenate(c) if c else np.zeros(0, kind) for c, kind in ((best, np.int64), (score, float), (far, bool))]
-            yield pa.RecordBatch.from_arrays([*kept.columns, names.take(pa.array(cols[0])), pa.array(cols[1]), pa.array(cols[2])], names=[*kept.schema.names, "__lang", "__score", "__far"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                best, score, far = [], [], []
+                for counts in _blocks(batch.column(text_col)):
+                    cos = vectors(counts, m.idf) @ m.centroids.T
+                    own = cos.argmax(axis=1)
+                    top = cos[np.arange(len(own)), own]
+                    best.append(m.language_of[own])
+                    score.append(np.clip(top.astype(float), 0, 1))
+                    far.append(top < m.floor[length_class(counts)])
+                cols = [np.concatenate(c) if c else np.zeros(0, kind) for c, kind in ((best, np.int64), (score, float), (far, bool))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, names.take(pa.array(cols[0])), pa.array(cols[1]), pa.array(cols[2])], names=[*batch.schema.names, "__lang", "__score", "__far"])
 
     return run
 
@@ -252,8 +260,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = (("__letter", "boolean"), ("__lang", "string"), ("__score", "double"), ("__far", "boolean"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{n} {t}" for n, t in added)])
-    own = docs.withColumn("__letter", has_letter(text_col)).withColumn("__text", text_of(text_col))
-    out = own.mapInArrow(_predict(shared), schema)
+    out = docs.withColumn("__letter", has_letter(text_col)).mapInArrow(_predict(shared, text_col), schema)
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.when(F.col("__letter"), F.col("__lang")).otherwise("und").alias("lang_pred"),

@@ -3,10 +3,10 @@
 Candidates are spans that one of the patterns finds. Four are the base kinds (email,
 ip, card, phone); valid base spans are always kept. Wider patterns propose more:
 spelled-out addresses, national phone numbers, card-like numbers that fail their
-check digit, account numbers and secrets. Six labelers vote on every candidate, for
+check digit, account numbers (by the length of their country) and secrets. Six labelers vote on every candidate, for
 (1), against (-1) or not (0):
 
-``strict``  a narrower pattern of the kind        ``valid``  check digits, octets, lengths
+``strict``  a narrower pattern of the kind        ``valid``  check digits, octets, lengths, variety of signs
 ``cue``     words before it that announce it      ``rival``  words that announce other numbers
 ``shape``   what stands next to it                ``listed`` lists of issued and reserved values
 
@@ -14,8 +14,8 @@ Votes are counted by kind and pattern of votes over all documents (at most kinds
 3**6 rows). Expectation-maximisation estimates, for every kind, how often each
 labeler votes so on true and on false spans; kinds with few candidates lean on the
 rates of all kinds together. The posteriors are the soft labels of a logistic
-classifier of spans, whose features are not the votes but the kind, length, share
-of digits, letter cases, breaks, neighbours and nearest cue; it is fitted on counts by
+classifier of spans, whose features are the span's own: kind, length, share
+of digits, letter cases, breaks, neighbours, nearest cue and check; it is fitted on counts by
 pattern of features (at most ``MOST_FEATURES`` rows). These counts are all that
 comes to the driver. A span that the classifier takes and that overlaps no base span
 is added; of added spans that overlap each other the leftmost stays.
@@ -39,6 +39,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +53,22 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Length of an account number of each country (IBAN).
+IBAN_LENGTH = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28,
+    "IE": 22, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24,
+}
+_IBAN = "|".join(
+    rf"(?:{'|'.join(c for c, n in IBAN_LENGTH.items() if n == length)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}" for length in sorted(set(IBAN_LENGTH.values()))
+)
+_NAMED = r"(?i:token|secret|passw(?:or)?d|passphrase|pwd|(?:api|access|secret|private)[_-]?key)"
+_ISSUED = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+"
 #: Patterns that propose more spans.
 WIDER = {
     "email_spelled": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?[A-Za-z0-9-]{2,}+)+",
-    "phone_national": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])",
-    "account": r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9-])",
-    "secret": r"(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20*+[=:]\x20*+\x22[^\x22\n]{8,}+\x22",
+    "phone_national": r"(?<![0-9+])(?:(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}|\(?0[0-9]{1,4}\)?[\x20/.-][0-9]{2,8}(?:[\x20.-][0-9]{2,4}){0,4})(?![0-9-])",
+    "account": rf"(?<![A-Za-z0-9])(?:{_IBAN}|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})(?![A-Za-z0-9-])",
+    "secret": rf"(?<![A-Za-z])(?:{_NAMED}[\x22']?\x20*+[=:]\x20*+(?:\x22[^\x22\n]{{8,}}+\x22|'[^'\n]{{8,}}+'|(?:(?i:bearer)\x20+)?[A-Za-z0-9_./+=~-]{{8,}}+)|(?i:bearer)\x20+[A-Za-z0-9_./+=~-]{{16,}}+|(?:{_ISSUED})(?![A-Za-z0-9]))",
 }
 #: A cheap test that a text can hold a match at all.
 NEEDS = {
@@ -65,14 +76,14 @@ NEEDS = {
     "phone": "+",
     "ip": ".",
     "email_spelled": "at",
-    "secret": '"',
 }
 #: Patterns that every text with a match of the kind holds as well: a first look that loses nothing.
 IMPLIED = {
     "ip": r"[0-9]\.[0-9]",
     "card": r"[0-9](?:[\x20-]?+[0-9]){11}",
-    "account": r"[A-Z]{2}[0-9]{2}\x20?+[A-Z0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone_national": r"[0-9]{3}[-.][0-9]{4}",
+    "account": r"[A-Z]{2}[0-9]{2}\x20?+[A-Z0-9]|[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "phone_national": r"[0-9]{3}[-.\x20][0-9]{4}|0[0-9]{1,4}\)?+[\x20/.-][0-9]{2}",
+    "secret": r"(?i:token|secret|passw(?:or)?d|passphrase|pwd|key)[\x22']?\x20*+[=:]|(?i:bearer)\x20|AKIA|gh[pousr]_|eyJ",
 }
 #: Matches of the card pattern that fail their check digit: no base span, but the classifier judges them.
 CARD_LIKE = "card_like"
@@ -88,9 +99,9 @@ STRICT = {
     "card": _GROUPED,
     "phone": r"^\+[1-9][0-9]*+(?:[\x20.-]?+\(?+[0-9]++\)?+)*+$",
     "email_spelled": r"(?:dot|DOT)\x20?[\])]\x20?[A-Za-z]{2,6}$",
-    "phone_national": r"^\(?[2-9][0-9]{2}[).\x20-]+[2-9]",
-    "account": r"^[0-9]|(?:[^0-9]*+[0-9]){10}",
-    "secret": r"\x22(?=[^\x22]*[0-9])(?=[^\x22]*[A-Za-z])[^\x22\x20]{16,}\x22$",
+    "phone_national": r"^\(?[2-9][0-9]{2}[).\x20-]+[2-9]|^\(?0[1-9]",
+    "account": r"^[0-9]|^[A-Z]{2}[0-9]{2}(?:[A-Z0-9]*|(?:\x20[A-Z0-9]{4})*\x20[A-Z0-9]{1,4})$",
+    "secret": rf"(?:{_ISSUED})|(?=[^=:]*[=:\x20][^0-9]*[0-9])(?=[^=:]*[=:\x20].*[A-Za-z])[=:\x20][\x22']?[^\x22'\x20]{{12,}}[\x22']?$",
 }
 #: Words that announce personal data of a kind, and words that announce numbers of other sorts.
 CUES = {
@@ -110,7 +121,7 @@ LISTED = {
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6)",
     "phone": r"^\+(?:1|7|20|27|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
     "email_spelled": r"(?i)[\x20)\]](?:com|org|net|edu|gov|info|io|dev|co|uk|de|fr|es|it|nl|eu|ch|at|us|ca)$",
-    "account": r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
+    "account": rf"^(?:{'|'.join(IBAN_LENGTH)})",
 }
 UNLISTED = {
     "email": r"(?i)@example\.",
@@ -118,14 +129,16 @@ UNLISTED = {
     "card": r"^[01789]",
     "phone_national": r"555[-.]01",
     "account": r"^(?:000|666|9[0-9]{2})-|-00-|-0000$",
-    "secret": r"(?i)\x22(?:change|example|password|placeholder|x{4}|your|<)",
+    "secret": r"(?i)[=:\x20\x22'](?:change|example|password|placeholder|x{4}|your|<)",
 }
 CONTEXT = 24
 #: Features of a span with the number of their values.
-FEATURES = {"length": 6, "digits": 4, "cases": 3, "breaks": 2, "left": 3, "right": 3, "near": 3}
+FEATURES = {"length": 6, "digits": 4, "cases": 3, "breaks": 2, "left": 3, "right": 3, "near": 3, "checked": 3}
 MOST_FEATURES = len(KINDS) * math.prod(FEATURES.values())
 #: Chance of each vote on true and on false spans, as far as a kind's own candidates do not tell.
 BELIEF = {-1: (0.15, 0.45), 0: (0.4, 0.4), 1: (0.45, 0.15)}
+#: A check is hard to pass by chance, so its votes also weigh more where the iteration begins.
+CHECKED = {-1: (0.03, 0.7), 0: (0.3, 0.25), 1: (0.67, 0.05)}
 
 
 # ---- positions
@@ -150,6 +163,11 @@ def _running(values: Column, op: Callable[[Column, Column], Column], zero: Colum
     return F.flatten(F.zip_with(parts, listed(totals, zero), listed))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _add(a: Column, b: Column) -> Column:
     return a + b
 
@@ -188,9 +206,27 @@ def _valid(kind: str, value: Column) -> Column:
         return F.call_function("luhn_check", _digits(value))
     if kind == "phone":
         return F.length(_digits(value)).between(9, 15)
+    if kind == "phone_national":  # a length tells against a number, hardly for it
+        return F.when(~F.length(_digits(value)).between(9, 12), False)
+    if kind == "account":
+        return F.when(value.rlike("^[A-Z]"), _mod_97(F.replace(value, F.lit(" "), F.lit(""))) == 1)
+    if kind == "secret":  # of many different characters, as what is drawn at random is
+        said = F.regexp_extract(value, r"(?:[=:]|(?i:bearer)\x20)\x20*[\x22']?(.*)$", 1)
+        said = F.when(said == "", value).otherwise(said)
+        return (F.size(F.array_distinct(F.split(said, ""))) >= 9) & said.rlike("[0-9]") & said.rlike("[A-Za-z]")
     return F.lit(None).cast("boolean")
 
 
+def _mod_97(account: Column) -> Column:
+    """The number that an account number stands for, its first four signs last and letters as 10 to 35, modulo 97."""
+    signs = F.split(F.concat(F.substring(account, F.lit(5), F.length(account)), F.left(account, F.lit(4))), "")
+
+    def step(acc: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), acc * 10 + F.ascii(c) - 48).when(c != "", acc * 100 + F.ascii(c) - 55).otherwise(acc) % 97
+
+    return F.aggregate(signs, F.lit(0), step)
+
+
 def _class(c: Column) -> Column:
     """0: nothing or a blank, 1: a letter or digit, 2: another sign."""
     return F.when(c.rlike(r"[\p{L}0-9]"), 1).when(c.rlike(r"\S"), 2).otherwise(0)
@@ -229,6 +265,7 @@ def _judged(kind: str, value: Column, start: Column, before: Column, after: Colu
         "left": _class(left),
         "right": _class(right),
         "near": F.when(_said(CUES[kind], F.right(low, F.lit(10))), 2).when(cue, 1).otherwise(0),
+        "checked": F.when(valid.isNull(), 0).when(valid, 2).otherwise(1),
     }
     return F.struct(
         start.alias("start"),
@@ -281,9 +318,10 @@ def aggregate_votes(patterns: list[tuple[Pattern, int]], rounds: int = 60, lean:
     """EM over counted patterns of votes ((kind, votes), count): one set of reliabilities a kind.
 
     Votes are taken as independent given the truth. ``lean`` counts as so many true and as
-    many false candidates on which labelers vote by ``BELIEF``.
+    many false candidates on which labelers vote by ``BELIEF``, the check by ``CHECKED``.
     """
-    m = Labeling(posterior={p: 1 / (1 + math.exp(-1.5 * sum(p[1]))) for p, _ in patterns})
+    check = LABELERS.index("valid")
+    m = Labeling(posterior={p: 1 / (1 + math.exp(-1.5 * (sum(p[1]) + 3 * p[1][check]))) for p, _ in patterns})
     by_kind: dict[str, list[tuple[tuple[int, ...], int]]] = {}
     for (kind, votes), n in patterns:
         by_kind.setdefault(kind, []).append((votes, n))
@@ -295,7 +333,7 @@ def aggregate_votes(patterns: list[tuple[Pattern, int]], rounds: int = 60, lean:
             table: dict[str, dict[int, tuple[float, float]]] = {}
             for j, name in enumerate(LABELERS):
                 table[name] = {}
-                for vote, (a, b) in BELIEF.items():
+                for vote, (a, b) in (CHECKED if j == check else BELIEF).items():
                     yes = sum(m.posterior[kind, v] * n for v, n in own if v[j] == vote)
                     no = sum((1 - m.posterior[kind, v]) * n for v, n in own if v[j] == vote)
                     table[name][vote] = ((yes + a * lean) / (true + lean), (no + b * lean) / (total - true + lean))
@@ -312,24 +350,24 @@ def train_classifier(m: Labeling, rows: list[tuple[str, tuple[int, ...], float,
 
     Each kind starts from its own share of true spans; kinds without candidates are never asked.
     """
-    total = sum(n for *_, n, _ in rows) or 1.0
     m.bias = dict.fromkeys(KINDS, 0.0)
-    for kind in {k for k, *_ in rows}:
-        n, true = (sum(r[i] for r in rows if r[0] == kind) for i in (2, 3))
-        m.bias[kind] = math.log((true + 0.5) / (n - true + 0.5))
     m.weights = {f: [0.0] * n for f, n in FEATURES.items()}
+    if not rows:
+        return
+    # one column of a kind, then one of each value of each feature
+    first = len(KINDS) + np.cumsum([0, *FEATURES.values()])[:-1]
+    at = np.array([[KINDS.index(k), *(first + np.array(values))] for k, values, _, _ in rows])
+    n, true = (np.array([r[i] for r in rows], dtype=float) for i in (2, 3))
+    w = np.zeros(len(KINDS) + sum(FEATURES.values()))
+    for k in np.unique(at[:, 0]).tolist():
+        own = at[:, 0] == k
+        w[k] = math.log((true[own].sum() + 0.5) / ((n - true)[own].sum() + 0.5))
+    kept = np.where(np.arange(len(w)) < len(KINDS), 1.0, 1.0 - decay)
     for _ in range(rounds):
-        down, grad = dict.fromkeys(m.bias, 0.0), {f: [0.0] * n for f, n in FEATURES.items()}
-        for kind, values, n, true in rows:
-            z = m.bias[kind] + sum(m.weights[f][v] for f, v in zip(FEATURES, values, strict=True))
-            miss = (true - n / (1 + math.exp(-z))) / total
-            down[kind] += miss
-            for f, v in zip(FEATURES, values, strict=True):
-                grad[f][v] += miss
-        for k, g in down.items():
-            m.bias[k] += g
-        for f, gs in grad.items():
-            m.weights[f] = [w + g - decay * w for w, g in zip(m.weights[f], gs, strict=True)]
+        miss = (true - n / (1 + np.exp(-w[at].sum(axis=1)))) / n.sum()
+        w = w * kept + np.bincount(at.ravel(), weights=np.repeat(miss, at.shape[1]), minlength=len(w))
+    m.bias = {k: float(x) for k, x in zip(KINDS, w, strict=False)}
+    m.weights = {f: w[i : i + size].tolist() for i, (f, size) in zip(first, FEATURES.items(), strict=True)}
 
 
 def learn(found: DataFrame) -> Labeling:
@@ -370,16 +408,22 @@ def _free(spans: Column) -> Column:
     return F.transform(stay, lambda x: x["s"])
 
 
-def _leftmost(spans: Column) -> Column:
+def _leftmost(spans: Column, block: int = 128) -> Column:
     """Of spans in order of start: base spans, and of the others the leftmost of those that overlap."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("keep"))
 
     def step(acc: Column, s: Column) -> Column:
         fits = ~s["base"] & (s["start"] >= acc["at"])
         return F.struct(F.when(fits, s["end"]).otherwise(acc["at"]).alias("at"), F.concat(acc["keep"], F.when(fits | s["base"], "1").otherwise("0")).alias("keep"))
 
-    # one character a span, so that the growing list stays small
-    keep = F.split(F.aggregate(spans, begin, step, lambda acc: acc["keep"]), "")
+    def over(acc: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(acc["at"].alias("at"), F.lit("").alias("keep")), step)
+        # one character a span and one string a block, so that what is copied at each step stays small
+        return let(own, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["keep"], F.array(x["keep"])).alias("keep")))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.greatest(F.size(spans), F.lit(1)) - 1) / block).cast("int"))
+    parts = F.transform(numbers, lambda b: F.slice(spans, b * block + 1, F.lit(block)))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("keep"))
+    keep = F.split(F.array_join(F.aggregate(parts, none, over, lambda acc: acc["keep"]), ""), "")
     return F.transform(F.filter(F.arrays_zip(spans.alias("s"), keep.alias("k")), lambda x: x["k"] == "1"), lambda x: x["s"])
 
 
