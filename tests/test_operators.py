@@ -205,10 +205,10 @@ def test_transcripts(spark, tmp_path):
 
 
 def test_lists_and_documents(spark, tmp_path):
-    words, phrases = files.curated_list(str(tmp_path / "own" / "list.txt"), ["# c", "Flies", "at the end", "at the end", ""])
+    words, phrases = files.curated_list(spark, str(tmp_path / "own" / "list.txt"), ["# c", "Flies", "at the end", "at the end", ""])
     assert (words, phrases) == (["fly"], ["at the end"]) and (tmp_path / "own" / "list.txt").exists()
-    files.write_document({"a": 1}, str(tmp_path / "r.json"))
-    assert files.read_report(str(tmp_path / "r.json")) == {"a": 1} and files.read_report(str(tmp_path / "none")) is None
+    files.write_document(spark, {"a": 1}, str(tmp_path / "r.json"))
+    assert files.read_report(spark, str(tmp_path / "r.json")) == {"a": 1} and files.read_report(spark, str(tmp_path / "none")) is None
     (tmp_path / "swaps.jsonl").write_text('{"t":"2024-01-01T00:00:00Z","w":"a","to":"b","n":2}\n{"t":"2024-01-03T01:00:00Z","w":"a","to":"c","n":3}\n{"w":"torn\n{"w":"","n":1}\n')
     r = swaps.swap_totals(files.swap_log(spark, str(tmp_path / "swaps.jsonl"))).first()
     assert (r.lemma, r.total, r.last_to, r.replacements, r.per_day) == ("a", 5, "c", 2, 5 / 3)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger, report, swaps
-from ..sources import files
+from ..sources import files, store
 from ..work import cut, discard
 
 #: Age from which a lock may be taken over, pause between automatic attempts, age of a report that is no longer shown.
@@ -74,10 +74,10 @@ def entries_of_last(spark: SparkSession, state: str, now: datetime, max_age: tim
 
 
 class Lease:
-    """A file that names its owner. Taking over an old one is a rename, which only one of several can do."""
+    """A folder that names its owner. Taking over an old one is a rename, which only one of several can do."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.token = spark, path, uuid.uuid4().hex
+        self.spark, self.path, self.token = spark, path, None
 
     def _age(self, fs, place, now: datetime) -> float:
         return now.timestamp() - fs.getFileStatus(place).getModificationTime() / 1000
@@ -85,7 +85,7 @@ class Lease:
     def take(self, now: datetime) -> bool:
         fs, lock = _place(self.spark, self.path)
         if fs.exists(lock):
-            _, old = _place(self.spark, f"{self.path}.old-{self.token}")
+            _, old = _place(self.spark, f"{self.path}.old-{uuid.uuid4().hex}")
             try:
                 if self._age(fs, lock, now) < LOCK_AGE.total_seconds() or not fs.rename(lock, old):
                     return False
@@ -94,30 +94,18 @@ class Lease:
                     return False
             except Exception:  # noqa: BLE001 - it is gone: another one has it
                 return False
-            fs.delete(old, False)
-        fs.mkdirs(lock.getParent())
-        if not fs.createNewFile(lock):
-            return False
-        out = fs.create(lock, True)
-        out.write(bytearray(self.token.encode()))
-        out.close()
-        return True
+            fs.delete(old, True)
+        self.token = store.claim(self.spark, self.path, {})
+        return self.token is not None
 
     def held(self) -> bool:
         """Whether it is still ours."""
-        fs, lock = _place(self.spark, self.path)
-        if not fs.exists(lock):
-            return False
-        opened = fs.open(lock)
-        try:
-            return bytes(opened.readAllBytes()).decode() == self.token
-        finally:
-            opened.close()
+        return self.token is not None and store.owner(self.spark, self.path) == self.token
 
     def release(self) -> None:
         if self.held():
             fs, lock = _place(self.spark, self.path)
-            fs.delete(lock, False)
+            fs.delete(lock, True)
 
 
 def refresh(spark: SparkSession, state: str, build: Callable[[], DataFrame], now: datetime, version: str, list_modified: datetime | None = None, automatic: bool = False) -> str:

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import lemma_of
 from ..operators.vectors import normalized
+from . import store
 
 #: Fixed value: largest report document that is read.
 MAX_REPORT_BYTES = 8 << 20
@@ -38,31 +36,27 @@ def read_vectors(spark: SparkSession, path: str, vocabulary: DataFrame | None =
     return normalized(last)
 
 
-def curated_list(path: str, seed: list[str]) -> tuple[list[str], list[str]]:
+def curated_list(spark: SparkSession, path: str, seed: list[str]) -> tuple[list[str], list[str]]:
     """Words (lemmas) and phrases of a list; the first use copies the seed to the path."""
-    p = Path(path)
-    if not p.exists():
-        try:
-            p.parent.mkdir(parents=True, exist_ok=True)
-            p.write_text("\n".join(seed) + "\n", encoding="utf-8")
-        except OSError:
-            pass
     try:
-        lines = p.read_text(encoding="utf-8").splitlines()
-    except OSError:
+        held = store.read_bytes(spark, path)
+        if held is None:
+            held = ("\n".join(seed) + "\n").encode()
+            store.write_bytes(spark, path, held)
+        lines = held.decode("utf-8", "replace").splitlines()
+    except Exception:  # noqa: BLE001 - where the store cannot be read or written the seed serves
         lines = seed
     own = [x.strip().lower() for x in lines]
     own = [x for x in own if x and not x.startswith("#")]
     return list(dict.fromkeys(lemma_of(x) for x in own if " " not in x)), list(dict.fromkeys(x for x in own if " " in x))
 
 
-def proper_nouns(*paths: str) -> list[str]:
+def proper_nouns(spark: SparkSession, *paths: str) -> list[str]:
     out: dict[str, None] = {}
     for path in paths:
-        if os.path.exists(path):
-            for line in Path(path).read_text(encoding="utf-8").splitlines():
-                if (x := line.strip()) and not x.startswith("#"):
-                    out[lemma_of(x.lower())] = None
+        for line in (store.read_bytes(spark, path) or b"").decode("utf-8", "replace").splitlines():
+            if (x := line.strip()) and not x.startswith("#"):
+                out[lemma_of(x.lower())] = None
     return list(out)
 
 
@@ -101,23 +95,12 @@ def append_batch(rows: DataFrame, path: str, batch: str, kind: str = "json") ->
     return True
 
 
-def read_report(path: str) -> dict | None:
-    """The report document; none if absent, refused if a link or too large."""
-    p = Path(path)
-    if p.is_symlink():
-        raise ValueError(f"{path} is a symbolic link")
-    if not p.exists():
-        return None
-    if p.stat().st_size > MAX_REPORT_BYTES:
-        raise ValueError(f"{path} is larger than {MAX_REPORT_BYTES} bytes")
-    return json.loads(p.read_text(encoding="utf-8"))
-
-
-def write_document(document: dict, path: str) -> None:
-    """Atomic: a temporary file beside the target takes its name."""
-    p = Path(path)
-    p.parent.mkdir(parents=True, exist_ok=True)
-    fd, name = tempfile.mkstemp(dir=p.parent, prefix=f".{p.name}-")
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        json.dump(document, f, ensure_ascii=False, default=str)
-    os.replace(name, p)
+def read_report(spark: SparkSession, path: str) -> dict | None:
+    """The newest version of the report document; none if absent, refused if a link or too large."""
+    held = store.latest(spark, path, MAX_REPORT_BYTES)
+    return None if held is None else json.loads(held)
+
+
+def write_document(spark: SparkSession, document: dict, path: str) -> int:
+    """Publishes a version of a document; a reader sees the one before or this one, whole."""
+    return store.publish(spark, path, json.dumps(document, ensure_ascii=False, default=str).encode())
