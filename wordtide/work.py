@@ -16,6 +16,12 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def at_exit(spark: SparkSession, path: str) -> None:
+    """What is still there when the driver ends, also after a failure, goes then."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    top.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(top)
+
+
 def rename_files(spark: SparkSession, root: str, ending: str, to: str) -> None:
     """Gives files under ``root`` another ending, in whatever store they lie."""
     top = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -38,7 +44,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = place(spark, name)
-    df.write.parquet(path)
+    try:
+        df.write.parquet(path)
+    finally:
+        at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_to = path
     return out
