@@ -11,10 +11,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import gate, ledger, thesaurus
+from .operators import gate, ledger, postings, thesaurus, tokens
 from .options import SCAN
 from .plans import display, partials
-from .queries import _FENCED, _LADDER, _LEDGER, ORACLE, STOP, SWAPS, _ladders, _lemma, _query, _rounded
+from .queries import _FENCED, _LADDER, _LEDGER, ORACLE, STOP, SWAPS, _ladders, _lemma, _query, _rounded, _sents, _top
 from .sources import files
 from .sources.adapters import NOW, table, turns
 from .work import cut, place, rename_files
@@ -120,3 +120,12 @@ def rising_from_partials(spark: SparkSession, d: str) -> DataFrame:
         _transcripts(docs.filter(F.col("turn_id") % 2 == part), root)
         partials.update(spark, root, state, partials.EVER, STOP)
     return _rounded(partials.scan(spark, root, state, NOW, STOP, partials.EVER, SCAN), "recent_rate", "baseline_rate", "ratio", "score")
+
+
+@_query(ORACLE["uses_sample"])
+def uses_from_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The sample of the uses of 40 lemmas from the stored index of all."""
+    sents, path = _sents(spark, d), place(spark, "query-postings")
+    postings.write(tokens.stored(sents), path)
+    asked = [r.lemma for r in _top(tokens.of_sentences(sents), 40).collect()]
+    return postings.uses(postings.of_lemmas(spark, path, asked), 50)
