@@ -89,6 +89,17 @@ def test_rows_that_repeat_very_often_are_spread(spark, monkeypatch):
     assert Counter((r.lang, r["__copy"]) for r in numbered) == Counter([*(("a", i) for i in range(700)), *(("b", i) for i in range(50))])
 
 
+def test_rows_of_one_id_and_text_spread_by_their_other_columns(spark):
+    data = [(None, "", f"u{i}", {"k": str(i)}) for i in range(3_000)] + [(i, f"t{i}", "u", None) for i in range(1_000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, url string, more map<string,string>").repartition(4)
+    out = sharding.external_shuffle(df, shards=4, bucket_bytes=4_000)
+    rows = out.collect()
+    assert Counter((r.doc_id, r.text, r.url) for r in rows) == Counter((d, t, u) for d, t, u, _ in data)
+    # an even spread of the rows without id and text over stretches of the permutation, and over the buckets before it
+    per = sharding.external_shuffle(df, shards=20, bucket_bytes=4_000).groupBy("shard").agg(F.count_if(F.col("doc_id").isNull()).alias("n")).collect()
+    assert 110 <= min(r.n for r in per) and max(r.n for r in per) <= 190
+
+
 # ---- language
 
 

@@ -35,7 +35,11 @@ def written(df: DataFrame, purpose: str, codec: str = "zstd") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
-    df.write.option("compression", codec).parquet(path)
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:  # what nobody discards goes when the driver ends, also after a failure
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

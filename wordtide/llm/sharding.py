@@ -8,8 +8,8 @@ equal stretches of it, so their row counts differ by one at most (law ``rows``),
 and a task writes to one or two shards.
 
 Copies of a text are records like any other and spread over the shards. Records are
-dealt by id and text together. Of rows that repeat both more than ``most_repeats`` times,
-equal ones are counted and their copies numbered, and they are dealt by number as well;
+dealt by all their columns. Rows that repeat in all of them more than ``most_repeats`` times
+are counted and their copies numbered, and they are dealt by number as well;
 so no bucket fills with one row's copies.
 
 Defined cases: null texts count one byte; null and repeated ids are told apart by their
@@ -63,8 +63,15 @@ def _shuffle_buckets(seed: int):
     return run
 
 
+def _unhashable(kind: T.DataType) -> bool:
+    """Maps, alone or inside."""
+    if isinstance(kind, T.ArrayType):
+        return _unhashable(kind.elementType)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.StructType) and any(_unhashable(f.dataType) for f in kind)
+
+
 def _numbered(hashed: DataFrame, most_repeats: int) -> DataFrame:
-    """Adds ``__copy``: 0, but for rows that repeat id and text very often the number of the copy among equal rows."""
+    """Adds ``__copy``: 0, but for rows that repeat very often the number of the copy among equal rows."""
     spark, columns = hashed.sparkSession, hashed.columns
     often = written(hashed.groupBy("__hash").agg(F.count("*").alias("n")).filter(F.col("n") > most_repeats).select("__hash"), "shard-repeats")
     plain = F.lit(0).cast("long")
@@ -93,7 +100,8 @@ def external_shuffle(
     ship(spark)
     docs = docs.drop(*[c for c in ("shard", "slot") if c in docs.columns])
     hashed = docs.withColumn("__text_hash", F.xxhash64(F.lit(seed), text_of(text_col)))
-    hashed = hashed.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(id_col), F.col("__text_hash"))).withColumn("__id", F.col(id_col))
+    others = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if _unhashable(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema if f.name not in (id_col, text_col)]
+    hashed = hashed.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(id_col), F.col("__text_hash"), *others)).withColumn("__id", F.col(id_col))
     size = docs.agg(F.sum(F.octet_length(text_of(text_col)) + 64)).first()[0] or 0
     n = max(partitions(spark), math.ceil(size / bucket_bytes))
     hashed = _numbered(hashed, most_repeats)
