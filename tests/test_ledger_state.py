@@ -63,7 +63,7 @@ def test_thirty_refreshes(spark, tmp_path, monkeypatch):
         assert hook.refresh(spark, state, lambda rows=rows: spark.createDataFrame(rows, cols), t, f"v{n}") == "ok"
         if said := [x for x in shown if t <= x[0] < t + timedelta(days=1)]:
             hook._append(spark.createDataFrame(said, SHOWN), state, "injections", t)
-        if n % 4 == 3 or n == 29:
+        if n % 8 == 7 or n == 29:
             read.clear()
             got = held(hook.history(spark, state))
             assert got == plain([r for r in reports if r[0] <= t], times[: n + 1], [x for x in shown if x[0] < t + timedelta(days=1)])
