@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes of text that array code takes at once: its arrays have 8 bytes for each, and workers keep what they once took.
+AT_ONCE = 1 << 18
 #: Bytes 0x20 and 0x09 to 0x0D separate words.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -89,7 +91,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes; a longer text has a range of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,16 @@ def ship(spark: SparkSession) -> None:
     sc._wordtide_shipped = True
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` of batches; what Arrow keeps in reserve goes after the last one, since workers live on beside other stages."""
+
+    def runs(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return runs
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ship, text_of
+from ._common import ship, text_of, tidy
 
 DIMS = 1 << 14
 LENGTH_CLASSES = 24
@@ -132,16 +132,16 @@ def length_class(counts: np.ndarray) -> np.ndarray:
 
 def _blocks(column: pa.Array, rows: int = 1_024) -> Iterator[np.ndarray]:
     """Counts of the texts of a column, some hundred texts at a time."""
-    from ._bytes import chunks, utf8
+    from ._bytes import AT_ONCE, chunks, utf8
 
     for at in range(0, len(column), rows):
         buf, offsets = utf8(column.slice(at, rows))
-        for i, j in chunks(offsets, 1 << 20):
-            if j - i == 1 and offsets[j] - offsets[i] > 1 << 20:
-                yield count_long(buf[offsets[i] : offsets[j]])
+        for i, j in chunks(offsets):
+            if j - i == 1 and offsets[j] - offsets[i] > AT_ONCE:
+                yield count_long(buf[offsets[i] : offsets[j]], AT_ONCE)
                 continue
-            for k in range(i, j, 128):
-                e = min(j, k + 128)
+            for k in range(i, j, 32):
+                e = min(j, k + 32)
                 yield count_ngrams(buf[offsets[k] : offsets[e]], offsets[k : e + 1] - offsets[k])
 
 
@@ -166,18 +166,23 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
         c = np.vstack([c, x[[int(np.searchsorted(np.cumsum(far) / far.sum(), rng.random()).clip(0, len(x) - 1))]]])
     for _ in range(rounds):
         own = (x @ c.T).argmax(axis=1)
-        sums = np.vstack([x[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
+        sums = np.vstack([_sum_of(x, own == j) if (own == j).any() else c[j] for j in range(len(c))])
         c = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
     return c.astype(np.float32), (x @ c.T).max(axis=1)
 
 
+def _sum_of(x: np.ndarray, rows: np.ndarray, columns: int = 1_024) -> np.ndarray:
+    """The sum of some rows, without a copy of all of them."""
+    return np.concatenate([x[rows, i : i + columns].sum(axis=0) for i in range(0, x.shape[1], columns)])
+
+
 def _fit_language(idf: np.ndarray, k: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        # counts are let go block by block
-        made = [(vectors(c, idf), length_class(c)) for c in _blocks(table.column("text"))]
-        x, sizes = np.vstack([v for v, _ in made]), np.concatenate([s for _, s in made])
-        del made
+        x, sizes, at = np.empty((len(table), DIMS), dtype=np.float32), np.empty(len(table), dtype=np.int64), 0
+        for counts in _blocks(table.column("text")):  # counts are let go block by block
+            x[at : at + len(counts)], sizes[at : at + len(counts)] = vectors(counts, idf), length_class(counts)
+            at += len(counts)
         c, cos = spherical_kmeans(x, k)
         low = [float(cos[sizes == s].min()) if (sizes == s).any() else None for s in range(LENGTH_CLASSES)]
         lang = table.column("lang")[0].as_py()
@@ -207,7 +212,7 @@ def fit(train: DataFrame, per_language: int = 1_000, centroids: int = 4) -> Mode
     labels = train.groupBy("lang").count().collect()
     if not labels:
         return None
-    pairs = train.select("text").mapInArrow(_document_frequencies, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    pairs = train.select("text").mapInArrow(tidy(_document_frequencies), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     n = sum(r["count"] for r in labels)
     df = np.zeros(DIMS)
     df[[r["gram"] for r in pairs]] = [r["n"] for r in pairs]
@@ -260,7 +265,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = (("__letter", "boolean"), ("__lang", "string"), ("__score", "double"), ("__far", "boolean"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{n} {t}" for n, t in added)])
-    out = docs.withColumn("__letter", has_letter(text_col)).mapInArrow(_predict(shared, text_col), schema)
+    out = docs.withColumn("__letter", has_letter(text_col)).mapInArrow(tidy(_predict(shared, text_col)), schema)
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.when(F.col("__letter"), F.col("__lang")).otherwise("und").alias("lang_pred"),

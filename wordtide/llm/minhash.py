@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import byte_table, chunks, mix, span_hashes, utf8, word_spans
-from ._common import discard, ship, text_of, written
+from ._common import discard, ship, text_of, tidy, written
 from .graph import components
 
 _WORDS = byte_table(29, lower=True)
@@ -123,7 +123,7 @@ def _features(words: int, places: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = utf8(batch.column(1))
-            for i, j in chunks(offsets, 1 << 20):
+            for i, j in chunks(offsets):
                 sets, at = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 size = np.diff(at)
                 sig = superminhash(sets, at, places)
@@ -154,7 +154,7 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = utf8(batch.column(1))
-            for i, j in chunks(offsets, 1 << 20):
+            for i, j in chunks(offsets):
                 sets, at = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 data, edges = sets.tobytes(), (at * 8).tolist()
                 blobs = pa.array([data[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
@@ -261,20 +261,20 @@ class _Links:
         sig = self.reps.select("node", "sig")
         own = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")).hint("merge"), "a")
         own = own.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")).hint("merge"), "b")
-        return written(own.mapInArrow(_alike(self.least), "a long, b long"), "minhash-near")
+        return written(own.mapInArrow(tidy(_alike(self.least)), "a long, b long"), "minhash-near")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node, items: the full sets of ``nodes``(node)."""
         asked = self.reps.select("node", F.col("doc_id").alias("own"), "text_key").join(nodes.distinct().hint("merge"), "node")
         same = self.texts["doc_id"].eqNullSafe(asked["own"]) & (F.xxhash64(self.texts["text"]) == asked["text_key"])
         texts = self.texts.join(asked.hint("merge"), same).select("node", "text").dropDuplicates(["node"])
-        return written(texts.mapInArrow(_sets(self.words), "node long, items binary"), "minhash-sets")
+        return written(texts.mapInArrow(tidy(_sets(self.words)), "node long, items binary"), "minhash-sets")
 
     def verified(self, near: DataFrame) -> DataFrame:
         sets = self.sets(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))))
         both = near.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")).hint("merge"), "b")
         both = both.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")).hint("merge"), "a")
-        links = written(both.mapInArrow(_verify(self.percent), "a long, b long"), "minhash-links")
+        links = written(both.mapInArrow(tidy(_verify(self.percent)), "a long, b long"), "minhash-links")
         discard(near, sets)
         return links
 
@@ -317,7 +317,7 @@ def find_groups(
     ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     features = written(
-        texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_features(words, bands * rows, bands), "doc_id long, text_key long, n_shingles long, c1 long, c2 long, bands array<long>, sig binary"), "minhash-features"
+        texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(tidy(_features(words, bands * rows, bands)), "doc_id long, text_key long, n_shingles long, c1 long, c2 long, bands array<long>, sig binary"), "minhash-features"
     )
     some = features.filter("n_shingles > 0")
     # a class is a node of its own number; its member with the smallest doc_id, null last, stands for it

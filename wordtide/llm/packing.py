@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ship, written
+from ._common import ship, tidy, written
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema(
@@ -126,7 +126,7 @@ def _first_round(tokenizer: str, end_id: int, capacity: int):
         for batch in batches:
             docs = batch.column(0).to_pylist()
             buf, offsets = utf8(batch.column(1))
-            for i, j in chunks(offsets, 4 << 20):
+            for i, j in chunks(offsets, 1 << 20):
                 ids, first = bpe.encode(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 data, end = ids.astype("<u4").tobytes(), int(end_id).to_bytes(4, "little")
                 edges = first.tolist()
@@ -169,7 +169,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacit
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset."""
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = own.mapInArrow(_first_round(tokenizer or default_tokenizer(), end_id, capacity), f"{PIECES}, klass int, worker long")
+    first = own.mapInArrow(tidy(_first_round(tokenizer or default_tokenizer(), end_id, capacity)), f"{PIECES}, klass int, worker long")
     first = written(first, "packing")
     left = first.filter("sequence_id is null").withColumn("group", F.expr("worker div 64"))
     second = left.groupBy("klass", "group").applyInArrow(_second_round(capacity, 1 << 60), PIECES)
