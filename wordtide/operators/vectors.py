@@ -32,15 +32,15 @@ def total(vs: Column) -> Column:
     return let(vs, fold)
 
 
-def unit(v: Column) -> Column:
-    """Unit length, as floats; null for null or a zero vector."""
-    scaled = lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: (x.cast("double") / s["n"]).cast("float")))
+def unit(v: Column, kind: str = "float") -> Column:
+    """Unit length, as floats or another ``kind``; null for null or a zero vector."""
+    scaled = lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: (x.cast("double") / s["n"]).cast(kind)))
     return let(v, lambda w: let(F.struct(w.alias("v"), F.sqrt(dot(w, w)).alias("n")), scaled))
 
 
-def normalized(raw: DataFrame) -> DataFrame:
+def normalized(raw: DataFrame, kind: str = "float") -> DataFrame:
     """``raw``(word, v) with unit vectors; zero vectors are dropped."""
-    return raw.select("word", unit(F.col("v")).alias("v")).filter("v is not null")
+    return raw.select("word", unit(F.col("v"), kind).alias("v")).filter("v is not null")
 
 
 def means(bags: DataFrame, keys: list[str], vectors: DataFrame) -> DataFrame:

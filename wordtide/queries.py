@@ -745,8 +745,8 @@ def vector_file(spark: SparkSession, d: str) -> DataFrame:
     numbers = F.when(i % 11 == 5, F.slice(numbers, 2, 5)).when(i % 13 == 6, F.concat(F.slice(numbers, 1, 3), F.array(F.lit("x")))).otherwise(numbers)
     path = _lines(e.select(F.concat(F.lit("v"), i, F.lit(" "), F.array_join(numbers, " ")).alias("value")).orderBy(i), "vectors")
     asked = e.filter(i % 2 == 0).select(F.concat(F.lit("v"), i).alias("word"))
-    v = files.read_vectors(spark, path, asked)
-    at = lambda n: F.round(F.element_at("v", n).cast("double"), 4)
+    v = files.read_vectors(spark, path, asked, "double")
+    at = lambda n: F.round(F.element_at("v", n), 4)
     return v.select("word", at(1).alias("first"), at(-1).alias("last"))
 
 
