@@ -1,9 +1,35 @@
 """What only shows on many files, at ties of rounding or in plans: cases that small tables pass over."""
 
+import random
+
+import numpy as np
+
 from wordtide import queries
+from wordtide.operators import tokens, vectors
 from wordtide.sources import files
 
 
+def rows_of(spark, df, node):
+    """Rows that a plan's nodes of a name put out, at most."""
+    df.write.format("noop").mode("overwrite").save()
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    found = []
+
+    def walk(plan):
+        if node in plan.nodeName() and plan.metrics().contains("numOutputRows"):
+            found.append(plan.metrics().apply("numOutputRows").value())
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if hasattr(plan, "plan") and "QueryStage" in plan.nodeName():
+            return walk(plan.plan())
+        for i in range(plan.children().size()):
+            walk(plan.children().apply(i))
+
+    walk(execution.executedPlan())
+    return max(found)
+
+
 def test_lines_of_a_folder_follow_each_other_by_name(spark, tmp_path):
     (tmp_path / "part-0").write_text("first 3 4 0\ntwice 1 0 0\n")
     (tmp_path / "part-1").write_text("short 1 2\n" + "".join(f"w{i} 0 {i + 1} 0\n" for i in range(99)) + "twice 0 0 1\n")
@@ -17,3 +43,32 @@ def test_vectors_are_rounded_once(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r.word: r["first"] for r in queries.vector_file(spark, str(tmp_path)).collect()}
     assert got == {"v0": 0.5215, "v2": 0.6986}
+
+
+def test_means_shuffle_no_vector_for_each_use(spark):
+    words = [f"w{i}" for i in range(50)]
+    table = spark.createDataFrame([(w, [float(i), 1.0, -2.0]) for i, w in enumerate(words)], "word string, v array<float>")
+    rng = random.Random(5)
+    bags = [(i, rng.choices([*words, "unknown"], k=rng.randint(0, 40))) for i in range(3_000)] + [(3_000, None), (3_001, ["w1"] * 40_000)]
+    out = vectors.means(spark.createDataFrame(bags, "id long, words array<string>"), ["id"], table).cache()
+    own = dict(zip(words, np.array([[i, 1, -2] for i in range(50)], float), strict=True))
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == len(bags)
+    for i, bag in bags:
+        known = [own[w] for w in bag or [] if w in own]
+        assert got[i].known == len(known)
+        if known:
+            want = sum(known) / np.linalg.norm(sum(known))
+            assert np.allclose(got[i].mean, want, atol=1e-6)
+        else:
+            assert got[i].mean is None
+    assert rows_of(spark, vectors.means(spark.createDataFrame(bags, "id long, words array<string>"), ["id"], table), "Join") <= 60 * len(words)
+
+
+def test_ranks_are_those_of_one_sort(spark):
+    counts = spark.createDataFrame([(f"w{i % 97}-{i}", i % 7) for i in range(2_000)], "lemma string, n int")
+    want = {w: r for r, (w, n) in enumerate(sorted(((r.lemma, r.n) for r in counts.collect()), key=lambda x: (-x[1], x[0])), 1)}
+    out = tokens.ranked(counts)
+    assert {r.lemma: r.r for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" in plan and "row_number() windowspecdefinition(part" in plan

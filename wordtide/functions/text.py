@@ -15,7 +15,8 @@ URL = r"https?://\S+"
 #: run, so that neither long runs nor many segments backtrack.
 PATH = r"(?:[~/]|(?<![\w.-]))[\w.-]++/(?:[\w.-]++/)*+[\w.-]*"
 SENTENCE_END = r"[.!?;\n]"
-WORD = r"([\p{L}'-]+)"
+#: From a run's first letter to its last one: what is left of a run of letters, hyphens and apostrophes when the latter two are trimmed.
+WORD = r"\p{L}(?:[\p{L}'-]*\p{L})?"
 TRIMMED = "-'"
 
 #: The default function words. The list is a parameter of everything that keeps tokens.
@@ -72,9 +73,13 @@ def stopword_set(listed: str | Iterable[str] | None = None) -> list[str]:
 
 
 def clean(text: Column) -> Column:
-    """Fenced code, inline code, URLs and paths become one blank each, in this order."""
-    for pattern in (FENCE, INLINE_CODE, URL, PATH):
-        text = F.regexp_replace(text, pattern, " ")
+    """Fenced code, inline code, URLs and paths become one blank each, in this order; a pattern runs on texts that hold its signs."""
+
+    def without(pattern: str, sign: str) -> Callable[[Column], Column]:
+        return lambda t: F.when(t.contains(sign), F.regexp_replace(t, pattern, " ")).otherwise(t)
+
+    for pattern, sign in ((FENCE, "```"), (INLINE_CODE, "`"), (URL, "://"), (PATH, "/")):
+        text = let(text, without(pattern, sign))
     return text
 
 
@@ -84,21 +89,30 @@ def sentences(cleaned: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of letters, hyphens and apostrophes, without hyphens and apostrophes at the ends."""
-    runs = F.regexp_extract_all(text, F.lit(WORD), F.lit(1))
-    return F.filter(F.transform(runs, lambda w: F.trim(w, F.lit(TRIMMED))), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def lemma(word: Column) -> Column:
-    w = F.when(word.endswith("'s"), F.left(word, F.length(word) - 2)).otherwise(word)
-    w = F.when(w.endswith("'"), F.left(w, F.length(w) - 1)).otherwise(w)
-    n = F.octet_length(w)
-    cut = lambda k: F.left(w, F.length(w) - k)
-    return (
-        F.when((n > 4) & w.endswith("ies"), F.concat(cut(3), F.lit("y")))
-        .when((n > 4) & (w.endswith("sses") | w.endswith("shes") | w.endswith("ches") | w.endswith("xes")), cut(2))
-        .when((n > 3) & w.endswith("s") & ~(w.endswith("ss") | w.endswith("us") | w.endswith("is")), cut(1))
-        .otherwise(w)
-    )
+    return let(word, stem)
+
+
+def stem(word: Column) -> Column:
+    """The lemma of a word that costs nothing to read again (a lambda's variable). Only words that end in s or an apostrophe change."""
+    owned = lambda w: F.when(w.endswith("'s"), F.left(w, F.length(w) - 2)).otherwise(w)
+    bare = lambda w: F.when(w.endswith("'"), F.left(w, F.length(w) - 1)).otherwise(w)
+
+    def singular(w: Column) -> Column:
+        n = F.octet_length(w)
+        cut = lambda k: F.left(w, F.length(w) - k)
+        return (
+            F.when(~w.endswith("s"), w)
+            .when((n > 4) & w.endswith("ies"), F.concat(cut(3), F.lit("y")))
+            .when((n > 4) & (w.endswith("sses") | w.endswith("shes") | w.endswith("ches") | w.endswith("xes")), cut(2))
+            .when((n > 3) & ~(w.endswith("ss") | w.endswith("us") | w.endswith("is")), cut(1))
+            .otherwise(w)
+        )
+
+    return F.when(word.endswith("s") | word.endswith("'"), let(let(let(word, owned), bare), singular)).otherwise(word)
 
 
 def keep(word: Column, stopwords: list[str]) -> Column:
@@ -107,7 +121,7 @@ def keep(word: Column, stopwords: list[str]) -> Column:
 
 
 def tokens(text: Column, stopwords: list[str]) -> Column:
-    return F.filter(F.transform(words(F.lower(text)), lemma), lambda w: keep(w, stopwords))
+    return F.filter(F.transform(words(F.lower(text)), stem), lambda w: keep(w, stopwords))
 
 
 def contains_word(phrase: Column, word: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..work import cut
 
 #: The words that open a frame "<word> X of".
 DETERMINERS = "the a an this that these those its their your my our his her each every"
@@ -21,9 +22,10 @@ MIN_TOKENS = 5
 
 def sentences(turns: DataFrame, stopwords: list[str]) -> DataFrame:
     """turn_id, project, ts, sent_no, tokens, raw (lower-cased, trimmed), cased: sentences with a kept token."""
-    cut = turns.select("turn_id", "project", "ts", F.posexplode(tx.sentences(tx.clean(F.col("text")))).alias("sent_no", "cased"))
-    out = cut.withColumn("tokens", tx.tokens(F.col("cased"), stopwords)).filter(F.size("tokens") > 0)
-    return out.withColumn("raw", F.trim(F.lower("cased")))
+    # tokens are made before rows are, as the filter would make them a second time
+    each = F.transform(tx.sentences(tx.clean(F.col("text"))), lambda s: F.struct(s.alias("cased"), tx.tokens(s, stopwords).alias("tokens")))
+    cut = turns.select("turn_id", "project", "ts", F.posexplode(each).alias("sent_no", "s")).filter(F.size("s.tokens") > 0)
+    return cut.select("turn_id", "project", "ts", "sent_no", "s.cased", "s.tokens", F.trim(F.lower("s.cased")).alias("raw"))
 
 
 def tokens(turns: DataFrame, stopwords: list[str]) -> DataFrame:
@@ -37,6 +39,19 @@ def of_sentences(sents: DataFrame) -> DataFrame:
     return sents.select("turn_id", "project", "ts", F.explode("tokens").alias("lemma"))
 
 
+def ranked(counts: DataFrame) -> DataFrame:
+    """``counts``(lemma, n) with r, the place by n and then lemma, from 1.
+
+    Ranges of that order are written with their number; their sizes (one row each) say where each begins, and rows are numbered inside.
+    """
+    order = [F.desc("n"), F.asc("lemma")]
+    held = cut(counts.select("lemma", "n").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.groupBy("part").agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return held.join(starts, "part").select("lemma", "n", (F.col("start") + inside).alias("r"))
+
+
 def name_counts(turns: DataFrame, stopwords: list[str]) -> DataFrame:
     """lemma, mid, capped: uses after a sentence's first word, and how many of them have a capital."""
     return names_of(turns.select(F.explode(tx.sentences(tx.clean(F.col("text")))).alias("cased")), stopwords)
@@ -44,31 +59,58 @@ def name_counts(turns: DataFrame, stopwords: list[str]) -> DataFrame:
 
 def names_of(sents: DataFrame, stopwords: list[str]) -> DataFrame:
     """``name_counts`` of sentences that are cut already; those without a kept token would add nothing."""
-    word = sents.select(F.posexplode(tx.words(F.col("cased"))).alias("at", "word")).filter("at > 0")
-    first = F.substring("word", 1, 1)
-    capped = (F.upper(first) == first) & (F.lower(first) != first) & (F.upper("word") != F.col("word"))
-    own = word.select(tx.lemma(F.lower("word")).alias("lemma"), capped.alias("capped"))
-    return own.filter(tx.keep(F.col("lemma"), stopwords)).groupBy("lemma").agg(F.count("*").alias("mid"), F.count_if("capped").alias("capped"))
+    words = sents.select(F.explode(_after_first(F.col("cased"))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    own = words.select(tx.lemma(F.lower("word")).alias("lemma"), _capped(F.col("word")).alias("capped"), "c").filter(tx.keep(F.col("lemma"), stopwords))
+    return own.groupBy("lemma").agg(F.sum("c").alias("mid"), F.sum(F.when(F.col("capped"), F.col("c")).otherwise(0)).alias("capped"))
+
+
+def _after_first(sentence: Column) -> Column:
+    return tx.let(tx.words(sentence), lambda w: F.slice(w, F.lit(2), F.size(w)))
+
+
+def _capped(word: Column) -> Column:
+    first = F.substring(word, 1, 1)
+    return (F.upper(first) == first) & (F.lower(first) != first) & (F.upper(word) != word)
+
+
+def lemma_table(turns: DataFrame, stopwords: list[str]) -> DataFrame:
+    """lemma, project, n, mid, capped: its tokens, and what ``name_counts`` counts, in one pass over the texts.
+
+    Words are counted as they stand; lemmas are made of the distinct ones.
+    """
+
+    def spoken(cleaned: Column) -> Column:
+        every = F.transform(tx.words(F.lower(cleaned)), lambda w: F.struct(w.alias("word"), F.lit(False).alias("inner")))
+        inner = F.flatten(F.transform(tx.sentences(cleaned), _after_first))
+        return F.concat(every, F.transform(inner, lambda w: F.struct(w.alias("word"), F.lit(True).alias("inner"))))
+
+    said = turns.select("project", F.explode(tx.let(tx.clean(F.col("text")), spoken)).alias("w"))
+    words = said.groupBy("w.word", "w.inner", "project").agg(F.count("*").alias("c"))
+    own = words.select(tx.lemma(F.lower("word")).alias("lemma"), "project", "inner", _capped(F.col("word")).alias("capped"), "c").filter(tx.keep(F.col("lemma"), stopwords))
+    of = lambda which: F.sum(F.when(which, F.col("c")).otherwise(0))
+    return own.groupBy("lemma", "project").agg(of(~F.col("inner")).alias("n"), of(F.col("inner")).alias("mid"), of(F.col("inner") & F.col("capped")).alias("capped"))
 
 
 def stored(sents: DataFrame) -> DataFrame:
     """Sentences of at least five tokens; of equal token streams the first in corpus order.
 
     The first is found by a minimum over (turn_id, sent_no) with partial aggregation, so a
-    sentence that very many turns repeat is no hot group.
+    sentence that very many turns repeat is no hot group. Project and text travel only where ``sents`` has them.
     """
     long = sents.filter(F.size("tokens") >= MIN_TOKENS)
-    first = long.groupBy("tokens").agg(F.min(F.struct("turn_id", "sent_no", "project", "raw")).alias("s"))
-    return first.select("s.turn_id", "s.sent_no", "s.project", "tokens", "s.raw")
+    more = [c for c in ("project", "raw") if c in sents.columns]
+    # tokens have no blanks; a text is half as long as an array where it is sorted and shuffled
+    first = long.groupBy(F.array_join("tokens", " ").alias("key")).agg(F.min(F.struct("turn_id", "sent_no", *more)).alias("s"))
+    return first.select("s.turn_id", "s.sent_no", *[f"s.{c}" for c in more if c != "raw"], F.split("key", " ").alias("tokens"), *[f"s.{c}" for c in more if c == "raw"])
 
 
 #: Turns of a block of corpus order.
 BLOCK = 65_536
 
 
-def index(store: DataFrame) -> DataFrame:
-    """lemma, turn_id, sent_no: each stored sentence once for each of its lemmas."""
-    return store.select(F.explode(F.array_distinct("tokens")).alias("lemma"), "turn_id", "sent_no")
+def index(store: DataFrame, *more: str) -> DataFrame:
+    """lemma, turn_id, sent_no and ``more`` columns: each stored sentence once for each of its lemmas."""
+    return store.select(F.explode(F.array_distinct("tokens")).alias("lemma"), "turn_id", "sent_no", *more)
 
 
 def _block(rows: DataFrame) -> Column:

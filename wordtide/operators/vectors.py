@@ -6,8 +6,14 @@ mean is stored as floats again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.text import let
@@ -43,15 +49,70 @@ def normalized(raw: DataFrame, kind: str = "float") -> DataFrame:
     return raw.select("word", unit(F.col("v"), kind).alias("v")).filter("v is not null")
 
 
+#: Most words and bags of a cell of ``means``, and fewest words for which it is worth a cell of its own.
+CELL_WORDS, CELL_BAGS, LEAST_WORDS = 3 << 20, 1 << 18, 1 << 20
+#: Bags and words that are summed at once.
+ROWS, STEP = 1_024, 1 << 14
+
+
 def means(bags: DataFrame, keys: list[str], vectors: DataFrame) -> DataFrame:
     """``bags``(keys..., words array) -> keys..., mean, known: mean of the words in the table, with multiplicity.
 
-    A bag is a sentence, so gathering its vectors is bounded by its length.
+    Bags are dealt into cells of bounded size, and a word's vector goes once to each cell that has the word: neither a
+    vector for each use nor a sum is shuffled. ``keys`` tell bags apart; words have no line breaks.
     """
-    exploded = bags.select(*keys, F.explode("words").alias("word"))
-    found = exploded.join(vectors, "word").groupBy(*keys).agg(F.collect_list("v").alias("vs"))
-    out = bags.select(*keys).join(found, keys, "left")
-    return out.select(*keys, unit(total(F.col("vs"))).alias("mean"), F.coalesce(F.size("vs"), F.lit(0)).alias("known"))
+    bags = bags.select(*keys, "words")
+    n = bags.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words"), F.count("*").alias("bags")).first()
+    most = max(-(-n.words // CELL_WORDS), -(-n.bags // CELL_BAGS), 1)
+    cells = max(most, min(bags.sparkSession.sparkContext.defaultParallelism, -(-n.words // LEAST_WORDS)))
+    cell = F.pmod(F.xxhash64(*keys), F.lit(cells))
+    # which words a cell has is told by short hashes: a vector too many does no harm
+    needed = bags.select(cell.alias("of"), F.explode(F.array_distinct("words")).alias("word")).select("of", F.hash("word").alias("h")).distinct()
+    table = needed.join(vectors.select("word", "v", F.hash("word").alias("h")), "h").select("of", "word", "v")
+    own = bags.select(cell.alias("cell"), *keys, F.array_join("words", "\n").alias("words"))
+    schema = T.StructType([*bags.drop("words").schema, T.StructField("mean", T.ArrayType(T.FloatType())), T.StructField("known", T.IntegerType())])
+    return own.groupBy("cell").cogroup(table.groupBy("of")).applyInArrow(_mean_of(keys), schema)
+
+
+def _mean_of(keys: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def mean(left: pa.Table, right: pa.Table) -> pa.Table:
+        words, n = pc.split_pattern(left["words"].combine_chunks(), "\n"), left.num_rows
+        size = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+        at = pc.fill_null(pc.index_in(pc.list_flatten(words), value_set=right["word"].combine_chunks()), -1).to_numpy()
+        del words
+        of, v = np.repeat(np.arange(n, dtype=np.int32), size)[at >= 0], _matrix(right["v"].combine_chunks())
+        at = at[at >= 0]
+        known, dim = np.bincount(of, minlength=n), v.shape[1]
+        first = np.concatenate([[0], np.cumsum(known)])
+        out, there = np.zeros((n, dim), np.float32), np.zeros(n, bool)
+        for r in range(0, n, ROWS):
+            end = min(r + ROWS, n)
+            sums = np.zeros((end - r, dim))
+            for a in range(first[r], first[end], STEP):
+                b = min(a + STEP, first[end])
+                row = of[a:b] - r
+                starts = np.flatnonzero(np.diff(row, prepend=-1))
+                sums[row[starts]] += np.add.reduceat(v[at[a:b]].astype(np.float64), starts, axis=0)
+            length = np.sqrt((sums * sums).sum(axis=1))
+            there[r:end] = (known[r:end] > 0) & ~(length == 0)
+            out[r:end] = sums / np.where(length == 0, 1, length)[:, None]
+        offsets = np.concatenate([[0], np.cumsum(there * dim)]).astype(np.int32)
+        mean = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out[there].ravel()), mask=pa.array(~there))
+        pa.default_memory_pool().release_unused()
+        return pa.table([*(left[k] for k in keys), mean, pa.array(known.astype(np.int32))], names=[*keys, "mean", "known"])
+
+    return mean
+
+
+def _matrix(v: pa.ListArray) -> np.ndarray:
+    """Vectors as rows; where some are shorter, what they lack is 0."""
+    size = pc.list_value_length(v).to_numpy()
+    flat = pc.list_flatten(v).to_numpy(zero_copy_only=False)
+    if len(size) == 0 or (size == size[0]).all():
+        return flat.reshape(len(size), -1 if len(flat) else 0)
+    out = np.zeros((len(size), size.max()), flat.dtype)
+    out[np.arange(size.max()) < size[:, None]] = flat
+    return out
 
 
 def vocabulary(uses: DataFrame, candidates: DataFrame) -> DataFrame:

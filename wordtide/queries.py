@@ -18,7 +18,7 @@ from .sources import adapters as ad
 from .sources import files, transcripts
 from .sources import thesaurus as thesaurus_files
 from .sources.adapters import NOW, table, turns
-from .work import cut, place, rename_files
+from .work import cut, discard, place, rename_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 STOP = tx.stopword_set()
@@ -441,8 +441,12 @@ def _unit_sum(keys: str, source: str) -> str:
 
 
 def _table(spark: SparkSession, d: str, toks: DataFrame) -> DataFrame:
-    n = table(spark, d, "embeddings").count()
-    return cut(ad.vectors(spark, d, _top(toks, n)), "query-vectors")
+    return _vectors(spark, d, toks.groupBy("lemma").agg(F.count("*").alias("n")))
+
+
+def _vectors(spark: SparkSession, d: str, counts: DataFrame) -> DataFrame:
+    """The embeddings by rank of the lemmas of ``counts``(lemma, n)."""
+    return cut(ad.vectors(spark, d, tokens.ranked(counts)), "query-vectors")
 
 
 @_query(
@@ -451,9 +455,11 @@ m AS {_unit_sum("turn_id, sent_no", "(SELECT turn_id, sent_no, v FROM b JOIN vec
 SELECT turn_id, sent_no::INT AS sent_no, coalesce(known, 0)::INT AS known, round(mean[1]::DOUBLE, 4) AS x, round(mean[2]::DOUBLE, 4) AS y FROM store LEFT JOIN kn USING (turn_id, sent_no) LEFT JOIN m USING (turn_id, sent_no)"""
 )
 def vec_mean(spark: SparkSession, d: str) -> DataFrame:
-    sents = _sents(spark, d)
-    store = tokens.stored(sents).select("turn_id", "sent_no", F.col("tokens").alias("words"))
-    m = vectors.means(store, ["turn_id", "sent_no"], _table(spark, d, tokens.of_sentences(sents)))
+    sents = cut(tokens.sentences(turns(spark, d), STOP).select("turn_id", "sent_no", "tokens"), "query-sentences")
+    table_ = _table(spark, d, sents.select(F.explode("tokens").alias("lemma")))
+    store = cut(tokens.stored(sents).select("turn_id", "sent_no", F.col("tokens").alias("words")), "query-store")
+    discard(sents)
+    m = vectors.means(store, ["turn_id", "sent_no"], table_)
     at = lambda i: F.round(F.get("mean", F.lit(i)).cast("double"), 4)
     return m.select("turn_id", "sent_no", "known", at(0).alias("x"), at(1).alias("y"))
 
