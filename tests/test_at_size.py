@@ -1,13 +1,19 @@
 """What only shows on many files, at ties of rounding or in plans: cases that small tables pass over."""
 
 import random
+from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from wordtide import queries
-from wordtide.operators import tokens, vectors
+from wordtide.functions import text as tx
+from wordtide.operators import postings, tokens, vectors
+from wordtide.plans import commands
 from wordtide.sources import files
 
+STOP = tx.stopword_set()
+
 
 def rows_of(spark, df, node):
     """Rows that a plan's nodes of a name put out, at most."""
@@ -72,3 +78,30 @@ def test_ranks_are_those_of_one_sort(spark):
     assert {r.lemma: r.r for r in out.collect()} == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "row_number" in plan and "row_number() windowspecdefinition(part" in plan
+
+
+def test_one_pass_counts_tokens_and_names(spark):
+    said = ["So The Boss's dogs met Anna. Then Anna saw it: Ülle's cats; RUST and Rust", "anna\nTHE Anna's fences `Code` Fences. o'NEIL İstanbul and Iİs", "", "Only stop words are in the"]
+    turns = spark.createDataFrame([(i, f"p{i % 2}", None, t) for i, t in enumerate(said * 3)], "turn_id long, project string, ts timestamp, text string")
+    got = tokens.lemma_table(turns, STOP)
+    n = {(r.lemma, r.project): r.n for r in got.collect() if r.n}
+    assert n == {(r.lemma, r.project): r["count"] for r in tokens.tokens(turns, STOP).groupBy("lemma", "project").count().collect()}
+    names = {r.lemma: (r.mid, r.capped) for r in got.groupBy("lemma").agg(F.sum("mid").alias("mid"), F.sum("capped").alias("capped")).collect() if r.mid}
+    assert names == {r.lemma: (r.mid, r.capped) for r in tokens.name_counts(turns, STOP).collect()}
+    assert names["anna"] == (9, 9)
+
+
+def test_an_audit_keeps_no_copy_of_the_texts(spark):
+    turns = spark.createDataFrame([(i, "p", None, f"alpha beta {chr(97 + i % 26) * 5} gamma") for i in range(500)], "turn_id long, project string, ts timestamp, text string")
+    entries = spark.createDataFrame([], "lemma string, entry_ord int")
+    made = set(Path(spark.conf.get("spark.checkpoint.dir")).iterdir())
+    out = commands.audit(turns, ["alpha", "absent"], ["beta gamma"], entries, STOP)
+    assert {r.term: r.hits for r in out.collect()} == {"alpha": 500, "absent": 0, "beta gamma": 0}
+    new = set(Path(spark.conf.get("spark.checkpoint.dir")).iterdir()) - made
+    assert sum(spark.read.parquet(str(p)).count() for p in new) == 29
+
+
+def test_postings_are_made_where_a_block_is(spark):
+    store = spark.createDataFrame([(1, 0, ["alpha", "beta"])], "turn_id long, sent_no int, tokens array<string>")
+    plan = postings._lists(store)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(block" in plan

@@ -76,19 +76,24 @@ def _capped(word: Column) -> Column:
 def lemma_table(turns: DataFrame, stopwords: list[str]) -> DataFrame:
     """lemma, project, n, mid, capped: its tokens, and what ``name_counts`` counts, in one pass over the texts.
 
-    Words are counted as they stand; lemmas are made of the distinct ones.
+    A word of a sentence gives one row unless lower case would cut the sentence into other words.
     """
-
-    def spoken(cleaned: Column) -> Column:
-        every = F.transform(tx.words(F.lower(cleaned)), lambda w: F.struct(w.alias("word"), F.lit(False).alias("inner")))
-        inner = F.flatten(F.transform(tx.sentences(cleaned), _after_first))
-        return F.concat(every, F.transform(inner, lambda w: F.struct(w.alias("word"), F.lit(True).alias("inner"))))
-
-    said = turns.select("project", F.explode(tx.let(tx.clean(F.col("text")), spoken)).alias("w"))
-    words = said.groupBy("w.word", "w.inner", "project").agg(F.count("*").alias("c"))
-    own = words.select(tx.lemma(F.lower("word")).alias("lemma"), "project", "inner", _capped(F.col("word")).alias("capped"), "c").filter(tx.keep(F.col("lemma"), stopwords))
-    of = lambda which: F.sum(F.when(which, F.col("c")).otherwise(0))
-    return own.groupBy("lemma", "project").agg(of(~F.col("inner")).alias("n"), of(F.col("inner")).alias("mid"), of(F.col("inner") & F.col("capped")).alias("capped"))
+    row = lambda lemma, n, mark: F.struct(lemma.alias("lemma"), n.alias("n"), mark.alias("mark"))
+    mark = lambda w: F.when(_capped(w), 2).otherwise(1)
+
+    def told(s: Column) -> Column:
+        inner = lambda low, cased: F.when(low == cased, 1).otherwise(mark(cased))
+        one = F.transform(s["low"], lambda w, i: row(tx.stem(w), F.lit(1), F.when(i == 0, 0).otherwise(inner(w, F.get(s["cased"], i)))))
+        rest = F.transform(F.slice(s["cased"], F.lit(2), F.size(s["cased"])), lambda w: row(tx.lemma(F.lower(w)), F.lit(0), mark(w)))
+        two = F.concat(F.transform(s["low"], lambda w: row(tx.stem(w), F.lit(1), F.lit(0))), rest)
+        return F.when(F.transform(s["cased"], F.lower) == s["low"], one).otherwise(two)
+
+    def spoken(sentence: Column) -> Column:
+        rows = tx.let(F.struct(tx.words(sentence).alias("cased"), tx.words(F.lower(sentence)).alias("low")), told)
+        return F.filter(rows, lambda w: tx.keep(w["lemma"], stopwords))
+
+    said = turns.select("project", F.explode(tx.sentences(tx.clean(F.col("text")))).alias("sentence")).select("project", F.explode(spoken(F.col("sentence"))).alias("w"))
+    return said.groupBy("w.lemma", "project").agg(F.sum("w.n").alias("n"), F.count_if(F.col("w.mark") > 0).alias("mid"), F.count_if(F.col("w.mark") == 2).alias("capped"))
 
 
 def stored(sents: DataFrame) -> DataFrame:

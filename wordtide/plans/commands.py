@@ -182,23 +182,19 @@ def report(
     return out.withColumn("entry_ord", F.row_number().over(Window.orderBy("lane", "place", "lemma"))).drop("lane", "place")
 
 
-def audit(turns: DataFrame, curated_words: Sequence[str], phrases: Sequence[str], entries: DataFrame, stopwords: list[str], log: DataFrame | None = None, proper_nouns: Sequence[str] = (), sents: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
-    """Every curated entry with its uses, its place in the report and why it is not in it. ``sents`` are the turns' sentences
-    where they are cut already, ``names`` what is read as a name where that is known."""
+def audit(turns: DataFrame, curated_words: Sequence[str], phrases: Sequence[str], entries: DataFrame, stopwords: list[str], log: DataFrame | None = None, proper_nouns: Sequence[str] = (), counts: DataFrame | None = None) -> DataFrame:
+    """Every curated entry with its uses, its place in the report and why it is not in it. ``counts`` are the turns'
+    ``tokens.lemma_table`` where that is written already."""
     spark = turns.sparkSession
     words = list(dict.fromkeys(tx.lemma_of(w.lower()) for w in curated_words))
     curated = spark.createDataFrame([(w, False) for w in words] + [(p, True) for p in dict.fromkeys(phrases)], "term string, is_phrase boolean")
-    if sents is None:
-        sents = cut(tokens.sentences(turns, stopwords).select("turn_id", "project", "ts", "tokens", "cased"), "audit-sentences")
-    toks = tokens.of_sentences(sents)
-    # one pass for the words and their total: counts by term and project, other lemmas by project alone
-    term = F.when(F.col("lemma").isin(words), F.col("lemma"))
-    counted = cut(toks.groupBy(term.alias("term"), "project").agg(F.count("*").alias("n")), "audit-words")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("full_total"))
+    if counts is None:
+        counts = cut(tokens.lemma_table(turns, stopwords), "audit-words")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("full_total"))
+    own = counts.filter(F.col("lemma").isin(words))
     said = tokens.audit_phrases(turns, list(phrases)).groupBy(F.col("phrase").alias("term"), "project").agg(F.count("*").alias("n"))
-    uses = counted.filter("term is not null").unionByName(said)
-    if names is None:
-        names = tokens.names_of(sents, stopwords).filter(tx.is_name(F.col("mid"), F.col("capped")))
+    uses = own.filter("n > 0").select(F.col("lemma").alias("term"), "project", "n").unionByName(said)
+    names = own.groupBy("lemma").agg(F.sum("mid").alias("mid"), F.sum("capped").alias("capped")).filter(tx.is_name(F.col("mid"), F.col("capped")))
     names = names.select("lemma").union(spark.createDataFrame([(tx.lemma_of(w.lower()),) for w in proper_nouns], "lemma string")).distinct()
     terms = spark.createDataFrame([], "word string") if log is None else verdicts.latest(log).filter("role = 'term_of_art'").select("word")
     ranks = entries.select(F.lower("lemma").alias("term"), F.col("entry_ord").alias("rank"))
