@@ -87,7 +87,7 @@ def report(
         return made[-1]
 
     # the corpus is cleaned and cut into sentences once; every branch reads what is written here
-    sents = kept(tokens.sentences(turns, stopwords), "report-sentences")
+    sents = kept(tokens.sentences(turns, stopwords).drop("raw"), "report-sentences").withColumn("raw", F.trim(F.lower("cased")))
     toks = tokens.of_sentences(sents)
     store = kept(tokens.stored(sents), "sentences")
     lemmas = kept(drift.lemma_counts(drift.lemma_project_counts(toks, now, o)), "lemmas")

@@ -859,8 +859,9 @@ def swap_table(spark: SparkSession, d: str) -> DataFrame:
 @_query(None)
 def report_document(spark: SparkSession, d: str) -> DataFrame:
     """The whole report; words of a made-up thesaurus, in which a lemma's hypernyms are the ones ranked around it."""
-    toks = _common(spark, d)
-    top = cut(_top(toks, 1_000), "top")
+    counts = cut(_common(spark, d).groupBy("lemma").agg(F.count("*").alias("n")), "query-counts")
+    best = counts.orderBy(F.desc("n"), "lemma").limit(1_000)
+    top = cut(best.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "lemma"))), "top")
     key = F.concat(F.lit("k"), "r")
     synset = top.select(key.alias("key"), F.lit("n").alias("pos"), F.lit("").alias("gloss"))
     words_ = top.select(key.alias("key"), F.lit(0).alias("ord"), F.col("lemma").alias("word"))
@@ -868,7 +869,7 @@ def report_document(spark: SparkSession, d: str) -> DataFrame:
     index = top.select(F.lit("n").alias("pos"), "lemma", F.lit(0).alias("sense_ord"), key.alias("key"))
     none = spark.createDataFrame([], "key string, ic double")
     t = thesaurus.Thesaurus(index, synset, words_, up, none, top.select("lemma", "n"))
-    out = commands.report(turns(spark, d), NOW, STOP, t, lambda v: _table(spark, d, toks).join(v, "word", "left_semi"), CURATED, PHRASES, (), None, REPORT.but(threshold=0.6, rarity_floor=6.0, incongruity_floor=0.5))
+    out = commands.report(turns(spark, d), NOW, STOP, t, lambda v: _vectors(spark, d, counts).join(v, "word", "left_semi"), CURATED, PHRASES, (), None, REPORT.but(threshold=0.6, rarity_floor=6.0, incongruity_floor=0.5))
     return _rounded(out.withColumn("words", F.array_join("words", " < ")).withColumn("spark", F.transform("spark", lambda x: F.round(x, 6))), "rate", "ratio")
 
 
