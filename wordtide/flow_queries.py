@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .operators import gate, ledger, postings, thesaurus, tokens
 from .options import SCAN
 from .plans import display, partials
-from .queries import _FENCED, _LADDER, _LEDGER, ORACLE, STOP, SWAPS, _ladders, _lemma, _query, _rounded, _sents, _top
+from .queries import _FENCED, _LADDER, _LEDGER, ORACLE, STOP, SWAPS, _ladders, _lemma, _query, _rounded, _top
 from .sources import files
 from .sources.adapters import NOW, table, turns
 from .work import cut, place, rename_files
@@ -125,7 +125,8 @@ def rising_from_partials(spark: SparkSession, d: str) -> DataFrame:
 @_query(ORACLE["uses_sample"])
 def uses_from_postings(spark: SparkSession, d: str) -> DataFrame:
     """The sample of the uses of 40 lemmas from the stored index of all."""
-    sents, path = _sents(spark, d), place(spark, "query-postings")
-    postings.write(tokens.stored(sents), path)
-    asked = [r.lemma for r in _top(tokens.of_sentences(sents), 40).collect()]
+    path = place(spark, "query-postings")
+    # texts are read twice: a copy of their sentences would lie on the disk beside the index
+    asked = [r.lemma for r in _top(tokens.tokens(turns(spark, d), STOP), 40).collect()]
+    postings.write(tokens.stored(tokens.sentences(turns(spark, d), STOP).select("turn_id", "sent_no", "tokens")), path)
     return postings.uses(postings.of_lemmas(spark, path, asked), 50)

@@ -23,14 +23,27 @@ def bucket_of(lemma: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(lemma), F.lit(buckets)).cast("int")
 
 
+def _lists(store: DataFrame) -> DataFrame:
+    """lemma, block, at: sentences travel whole to the task of their block, where lists are made. Tokens have no blanks.
+
+    A place is one number, sent_no and then the turn's place in the block.
+    """
+    dealt = store.select(F.expr(f"(turn_id - pmod(turn_id, {BLOCK})) div {BLOCK}").alias("block"), "turn_id", "sent_no", F.array_join("tokens", " ").alias("t")).repartition("block")
+    rows = index(dealt.withColumn("tokens", F.split("t", " ")), "block")
+    place = F.col("sent_no").cast("bigint") * BLOCK + (F.col("turn_id") - F.col("block") * BLOCK)
+    return rows.groupBy("lemma", "block").agg(F.collect_list(place).alias("at"))
+
+
 def write(store: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """The index of ``store`` (turn_id a number). A row holds what one block of turns has of a lemma, so no list grows with the corpus."""
-    rows = index(store).withColumn("block", F.expr(f"turn_id div {BLOCK}"))
-    lists = rows.groupBy("lemma", "block").agg(F.array_sort(F.collect_list(F.struct("turn_id", "sent_no"))).alias("at"))
+    bucket = bucket_of(F.col("lemma"), buckets)
+    lists = _lists(store).repartition(buckets, bucket).withColumn("bucket", bucket).sortWithinPartitions("bucket", "lemma", "block")
+    # multiples of a power of two below 2 ** 40: the division is exact
+    whole = lambda p: ((p - F.pmod(p, F.lit(BLOCK))) / BLOCK).cast("int")
+    at = F.array_sort(F.transform("at", lambda p: F.struct((F.col("block") * BLOCK + F.pmod(p, F.lit(BLOCK))).alias("turn_id"), whole(p).alias("sent_no"))))
     turns = F.transform("at", lambda x: x["turn_id"])
     gaps = F.zip_with(turns, F.concat(F.array(F.lit(0).cast("bigint")), turns), lambda a, b: a - b)
-    out = lists.select("lemma", "block", F.size("at").alias("n"), F.slice(gaps, F.lit(1), F.size("at")).alias("turns"), F.transform("at", lambda x: x["sent_no"].cast("int")).alias("sents"), bucket_of(F.col("lemma"), buckets).alias("bucket"))
-    out = out.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lemma", "block")
+    out = lists.withColumn("at", at).select("lemma", "block", F.size("at").alias("n"), F.slice(gaps, F.lit(1), F.size("at")).alias("turns"), F.transform("at", lambda x: x["sent_no"]).alias("sents"), "bucket")
     out.write.partitionBy("bucket").parquet(path)
 
 
